@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codemass.operators import metrics, traverse
+from codemass.plans import graph_queries, measure_queries, series_queries, text_queries
+from codemass.plans.proxies import expand, frame
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query."""
-    raise NotImplementedError
+    """Composition metrics over components whose distances come from the dependency graph."""
+    components = traverse.value_distances(frame(spark, sf_dir, "components"), frame(spark, sf_dir, "edges"))
+    return metrics.composition(components)
+
+
+_ALL = (graph_queries, measure_queries, series_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable."""
-    return {}
+    return {name: fn for module in _ALL for name, (fn, _) in module.QUERIES.items()} | {"scan_flagship": flagship}
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {}
+    return {name: expand(sql) for module in _ALL for name, (_, sql) in module.QUERIES.items() if sql}
