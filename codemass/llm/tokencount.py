@@ -25,7 +25,7 @@ SPACE = "▁"
 #: Letters, one digit, other signs or a run of spaces, with the spaces before it.
 FINE = re.compile(rf"{SPACE}*[^\W\d_²³¹]+|{SPACE}*[0-9]|{SPACE}*(?:[^\w{SPACE}\n]|[_²³¹]|(?![0-9])\d)+|{SPACE}*\n|{SPACE}+")
 COARSE = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+")
-MEMO = 400_000
+MEMO = 200_000
 
 
 class PairMerger:
