@@ -41,13 +41,13 @@ select 'parts' as snapshot_id, concat('s', cast(p_partkey as string)) as id, con
  case when p_partkey % 3 = 0 then null else concat('s', cast(p_partkey % 25 as string)) end as parent_id,
  {_case("p_partkey % 12", CATEGORIES)} as category from {{part}}""",
     "links": """
-select 'parts' as snapshot_id, l_orderkey * 8 + l_linenumber as edge_seq, concat('s', cast(l_partkey as string)) as source_id,
+select distinct 'parts' as snapshot_id, (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey as edge_seq, concat('s', cast(l_partkey as string)) as source_id,
  case (l_orderkey + l_linenumber) % 5 when 0 then 'calls' when 1 then 'imports' when 2 then 'inherits' when 3 then 'contains' else 'calls' end as kind,
  '' as target_name, case when l_returnflag = 'N' then null else concat('s', cast((l_partkey * 7 + l_suppkey) % (select count(*) from {part}) as string)) end as target_id,
  case l_returnflag when 'A' then 'exact' when 'R' then 'probable' else 'unresolved' end as resolution, l_linestatus as evidence
 from {lineitem} where l_linenumber = 1 and l_orderkey % 5 = 0""",
     "named_links": """
-select 'parts' as snapshot_id, l_orderkey * 8 + l_linenumber as edge_seq, concat('s', cast(l_partkey as string)) as source_id, 'calls' as kind,
+select distinct 'parts' as snapshot_id, (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey as edge_seq, concat('s', cast(l_partkey as string)) as source_id, 'calls' as kind,
  case when l_orderkey % 3 = 0 then concat(split_part(p_name, ' ', 1), '.', split_part(p_name, ' ', 2), cast(l_suppkey % 45 as string))
   else concat(split_part(p_name, ' ', 2), cast(l_suppkey % 45 as string)) end as target_name,
  cast(null as string) as target_id, 'unresolved' as resolution, '' as evidence
