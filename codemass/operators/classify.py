@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codemass.functions.text import gram_tokens, mentions, normal_path, parent, phrase_hit, snippet, tokens
@@ -48,32 +45,58 @@ def _tokens_of(phrase: str) -> list[str]:
     return [t for t in phrase.lower().replace("_", " ").replace("-", " ").split() if t]
 
 
-def _hits(phrases: tuple[str, ...], test) -> Column:
-    return F.array_compact(F.array(*[F.when(test(p), F.lit(p)) for p in phrases]))
+def _listed(tests: list[tuple[str, Column]]) -> Column:
+    """The phrases whose test holds, in order."""
+    return F.array_compact(F.array(*[F.when(test, F.lit(p)) for p, test in tests]))
+
+
+#: Phrases of one word, which one pattern finds in one pass; a word found settles all phrases that it starts with.
+_SINGLE = sorted({p for phrases in RULES.values() for p in phrases if p.isalnum()})
+_ANY_SINGLE = r"(?U)\b(?:" + "|".join(_SINGLE) + r")\w*"
+
+
+def _inside(phrase: str) -> Column:
+    """Whether the text (column _c, its found words in _found) holds a phrase."""
+    if not phrase.isalnum():
+        return phrase_hit("_c", phrase)
+    if len(phrase) < 4:
+        return F.array_contains("_found", phrase)
+    return F.exists("_found", lambda w: F.startswith(w, F.lit(phrase)))
 
 
 def signals(files: DataFrame) -> DataFrame:
-    """(snapshot_id, path, category, weight, reason, seq): every rule's signal for each file, seq in rule order."""
+    """(snapshot_id, path, category, weight, reason, seq): every rule's signal for each file, seq in rule order.
+
+    The text is read by one pattern for all single words; hits are columns before anything is made of them, so that no
+    test runs twice.
+    """
     content = F.lower(F.substring("text", 1, HEAD))
     base = files.select(SNAP, "path", "language", content.alias("_c"), tokens("path").alias("_t"))
+    base = base.withColumn("_found", F.array_distinct(F.regexp_extract_all("_c", F.lit(_ANY_SINGLE), F.lit(0))))
+    hits = {}
+    for k, phrases in enumerate(RULES.values()):
+        hits[f"_p{k}"] = _listed([(p, F.size(F.array_except(F.array(*map(F.lit, _tokens_of(p))), "_t")) == 0) for p in phrases])
+        hits[f"_i{k}"] = _listed([(p, _inside(p)) for p in phrases])
+    hits["_deep"] = _listed([(p, F.contains("_c", F.lit(p))) for p in RECURSIVE_PHRASES])
+    hits["_many"] = mentions("_c") >= 4
+    found = base.select(SNAP, "path", "language", "_t", *[c.alias(k) for k, c in hits.items()])
     rows: list[tuple[str, Column, Column]] = [
         ("documentation", F.when(F.col("language").isin("markdown", "documentation"), F.lit(7.0)), F.lit("documentation file type")),
         ("process-machinery", F.when(F.col("path").startswith(".github/"), F.lit(8.0)), F.lit("GitHub workflow/process path")),
     ]
-    for category, phrases in RULES.items():
-        at_path = _hits(phrases, lambda p: F.size(F.array_except(F.array(*map(F.lit, _tokens_of(p))), "_t")) == 0)
+    for k, category in enumerate(RULES):
+        at_path, inside = F.col(f"_p{k}"), F.col(f"_i{k}")
         weight = F.lit(PATH_WEIGHT[category]) + F.least(F.lit(2.0), F.lit(0.35) * (F.size(at_path) - 1))
         rows.append((category, F.when(F.size(at_path) > 0, weight), F.concat(F.lit("path signals: "), F.array_join(F.slice(at_path, 1, 4), ", "))))
-        inside = _hits(phrases, lambda p: phrase_hit("_c", p))
         density = F.least(F.lit(3.6), F.lit(0.55) + F.log2(F.lit(1.0) + F.size(inside)))
         rows.append((category, F.when(F.size(inside) > 0, density), F.concat(F.lit("content signals: "), F.array_join(F.slice(inside, 1, 5), ", "))))
     for category, words, weight, reason in FOLDERS:
         rows.append((category, F.when(F.arrays_overlap("_t", F.array(*map(F.lit, words))), F.lit(weight)), F.lit(reason)))
-    deep = _hits(RECURSIVE_PHRASES, lambda p: F.contains("_c", F.lit(p)))
+    deep = F.col("_deep")
     weight = F.lit(4.5) + F.least(F.lit(2.5), F.size(deep) * 0.6)
-    rows.append(("meta-machinery", F.when((F.size(deep) > 0) & (mentions("_c") >= 4), weight), F.concat(F.lit("recursive machinery semantics: "), F.array_join(F.slice(deep, 1, 4), ", "))))
+    rows.append(("meta-machinery", F.when((F.size(deep) > 0) & F.col("_many"), weight), F.concat(F.lit("recursive machinery semantics: "), F.array_join(F.slice(deep, 1, 4), ", "))))
     made = F.array(*[F.struct(F.lit(c).alias("category"), w.cast("double").alias("weight"), r.alias("reason"), F.lit(k).alias("seq")) for k, (c, w, r) in enumerate(rows)])
-    return base.select(SNAP, "path", F.explode(F.filter(made, lambda s: s["weight"].isNotNull())).alias("s")).select(SNAP, "path", "s.*")
+    return found.select(SNAP, "path", F.explode(F.filter(made, lambda s: s["weight"].isNotNull())).alias("s")).select(SNAP, "path", "s.*")
 
 
 def scores(found: DataFrame) -> DataFrame:
@@ -90,15 +113,17 @@ def classify(files: DataFrame, overrides: DataFrame | None = None, *, keep_signa
     The category of the best score holds; ties go to the category whose first signal comes first.  A file without any
     signal is unknown, at confidence 0.  ``overrides``: (prefix, category), see ``declared``.
     """
-    found = signals(files)
-    order = W.partitionBy(SNAP, "path").orderBy(F.desc("score"), "first")
-    ranked = scores(found).withColumns({"_rank": F.row_number().over(order), "_second": F.coalesce(F.lead("score").over(order), F.lit(0.0))}).where("_rank = 1")
-    margin = F.greatest(F.lit(0.0), F.col("score") - F.col("_second"))
-    sure = F.least(F.lit(0.99), F.lit(0.42) + F.lit(0.08) * F.col("score") + F.lit(0.06) * margin)
-    best = ranked.select(SNAP, "path", F.col("category").alias("_best"), sure.alias("_sure"))
-    by_weight = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("o"), "seq", "category", "weight", "reason")))
-    kept = found.groupBy(SNAP, "path").agg(F.transform(F.slice(by_weight, 1, keep_signals), lambda s: F.struct(s["category"].alias("category"), s["weight"].alias("weight"), s["reason"].alias("reason"))).alias("_signals"))
-    out = files.drop("text", "category", "confidence", "signals").join(best, [SNAP, "path"], "left").join(kept, [SNAP, "path"], "left")
+    each = signals(files).groupBy(SNAP, "path", "category").agg(F.array_sort(F.collect_list(F.struct("seq", "weight", "reason"))).alias("_w"))
+    score = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["weight"])
+    score = F.when((F.col("category") == "testing") & (score >= 7), score + 4.0).otherwise(score)
+    entry = F.struct((-score).alias("o"), F.col("_w")[0]["seq"].alias("first"), "category", score.alias("score"), F.col("_w").alias("w"))
+    ranked = each.groupBy(SNAP, "path").agg(F.array_sort(F.collect_list(entry)).alias("r"))
+    best_score, second = F.col("r")[0]["score"], F.coalesce(F.try_element_at("r", F.lit(2))["score"], F.lit(0.0))
+    sure = F.least(F.lit(0.99), F.lit(0.42) + F.lit(0.08) * best_score + F.lit(0.06) * F.greatest(F.lit(0.0), best_score - second))
+    listed = F.flatten(F.transform("r", lambda e: F.transform(e["w"], lambda s: F.struct((-s["weight"]).alias("o"), s["seq"].alias("seq"), e["category"].alias("category"), s["weight"].alias("weight"), s["reason"].alias("reason")))))
+    kept = F.transform(F.slice(F.array_sort(listed), 1, keep_signals), lambda s: F.struct(s["category"].alias("category"), s["weight"].alias("weight"), s["reason"].alias("reason")))
+    judged = ranked.select(SNAP, "path", F.col("r")[0]["category"].alias("_best"), sure.alias("_sure"), kept.alias("_signals"))
+    out = files.drop("text", "category", "confidence", "signals").join(judged, [SNAP, "path"], "left")
     declared_as = F.lit(None).cast("string")
     if overrides is not None:
         out = out.join(declared(files.select(SNAP, "path"), overrides), [SNAP, "path"], "left")
@@ -214,8 +239,3 @@ def refine_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
     source = choose(*map(F.lit, ("file-classification", "strong-path-role", "symbol-local-product-evidence", "file-seed-preserved", "symbol-local-machinery-evidence", "mixed-file-context-fallback")))
     made = joined.select(*[c for c in symbols.columns if c not in ("category", "role_confidence", "role_source")], category.alias("category"), sure.alias("role_confidence"), source.alias("role_source"))
     return made
-
-
-def summed(parts: list[Column]) -> Column:
-    """Columns added in order."""
-    return reduce(lambda a, b: a + b, parts)
