@@ -26,7 +26,7 @@ from codemass.llm.frames import checkpointed
 
 CAPACITY = 4096
 END = 2
-MEMO = 300_000
+MEMO = 120_000
 #: Texts of these characters only are cut into the tokenizer's own words here; words are then looked up one by one.
 _PLAIN = re.compile(r"[\t\n\r\x0b\x0c\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-zà-öø-ÿß0-9]+")
@@ -82,11 +82,11 @@ def word_tokens(path: str) -> WordTokens:
     return _TOKENS[path]
 
 
-def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each piece of at most ``capacity`` ids: key, start, length, ids (binary), ids_crc32, doc_tokens."""
+def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = END, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """One row for each piece of at most ``capacity`` ids: key, start, length, ids_crc32, doc_tokens, and ids (binary) if asked for."""
     schema = T.StructType([
         docs.schema[key], T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
-        T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()),
+        T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()), *([T.StructField("ids", T.BinaryType())] if with_ids else []),
     ])
     last = np.asarray([end], "<u4").tobytes()
 
@@ -98,8 +98,9 @@ def pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = E
                 ids = tokens.ids(s.as_py() or "") + last
                 n = len(ids) // 4
                 for at in range(0, n, capacity):
-                    out.append((k.as_py(), at, min(capacity, n - at), ids[4 * at : 4 * (at + capacity)], n))
-                held += len(ids)
+                    piece = ids[4 * at : 4 * (at + capacity)]
+                    out.append((k.as_py(), at, min(capacity, n - at), zlib.crc32(piece), n, *([piece] if with_ids else [])))
+                held += len(ids) if with_ids else 64
                 if held > 8 << 20:
                     yield _rows(out, schema)
                     out, held = [], 0
@@ -176,9 +177,8 @@ def pack(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = END
     ``capacity`` are cut, into full pieces and a rest.  Repeated keys are packed as documents of their own.
     An empty table gives an empty result.
     """
-    cut = pieces(docs, path, capacity=capacity, end=end, key=key, text=text)
-    ids = F.crc32("ids").alias("ids_crc32")
-    cut = checkpointed(cut.select(key, "start", "length", ids, "doc_tokens", *(["ids"] if with_ids else []), F.monotonically_increasing_id().alias("_row")))
+    cut = pieces(docs, path, capacity=capacity, end=end, key=key, text=text, with_ids=with_ids)
+    cut = checkpointed(cut.withColumn("_row", F.monotonically_increasing_id()))
     salt = F.pmod(F.xxhash64(key, "start", "_row"), F.lit(256)).cast("int")
     cut = cut.withColumn("_salt", salt)
     counts = checkpointed(cut.groupBy("length", "_salt").count())
