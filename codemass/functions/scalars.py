@@ -58,7 +58,7 @@ def band(percentile: Column | str, cohort: Column | str) -> Column:
 
 def clean_counts(counts: Column) -> Column:
     """An array of the twelve categories' counts from a map, junk and negatives as 0."""
-    one = lambda c: F.greatest(F.coalesce(F.try_element_at(counts, F.lit(c)).cast("double"), F.lit(0.0)), F.lit(0.0))
+    one = lambda c: F.greatest(F.coalesce(finite(F.try_element_at(counts, F.lit(c))), F.lit(0.0)), F.lit(0.0))
     return F.array(*[one(c) for c in CATEGORIES])
 
 
