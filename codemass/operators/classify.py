@@ -50,33 +50,40 @@ def _listed(tests: list[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(p)) for p, test in tests]))
 
 
-#: Phrases of one word, which one pattern finds in one pass; a word found settles all phrases that it starts with.
+#: Phrases of one word.  A text's words are cut once; only those that begin like a phrase are compared with phrases.
 _SINGLE = sorted({p for phrases in RULES.values() for p in phrases if p.isalnum()})
-_ANY_SINGLE = r"(?U)\b(?:" + "|".join(_SINGLE) + r")\w*"
+_BEGINS = sorted({p[:4] for p in _SINGLE if len(p) >= 4})
+_OTHERS = [p for phrases in RULES.values() for p in phrases if not p.isalnum()]
 
 
-def _inside(phrase: str) -> Column:
-    """Whether the text (column _c, its found words in _found) holds a phrase."""
-    if not phrase.isalnum():
-        return phrase_hit("_c", phrase)
-    if len(phrase) < 4:
-        return F.array_contains("_found", phrase)
-    return F.exists("_found", lambda w: F.startswith(w, F.lit(phrase)))
+def _texts(values) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def _content_hits() -> Column:
+    """All phrases that the text (column _c, its found words in _found) holds, in any order."""
+    long = F.filter(_texts([p for p in _SINGLE if len(p) >= 4]), lambda p: F.exists("_found", lambda w: F.startswith(w, p)))
+    short = F.array_intersect(_texts([p for p in _SINGLE if len(p) < 4]), F.col("_found"))
+    return F.when(F.size("_found") > 0, F.concat(long, short)).otherwise(F.array().cast("array<string>"))
 
 
 def signals(files: DataFrame) -> DataFrame:
     """(snapshot_id, path, category, weight, reason, seq): every rule's signal for each file, seq in rule order.
 
-    The text is read by one pattern for all single words; hits are columns before anything is made of them, so that no
+    The text is cut into words once; hits are columns before anything is made of them, so that no
     test runs twice.
     """
     content = F.lower(F.substring("text", 1, HEAD))
     base = files.select(SNAP, "path", "language", content.alias("_c"), tokens("path").alias("_t"))
-    base = base.withColumn("_found", F.array_distinct(F.regexp_extract_all("_c", F.lit(_ANY_SINGLE), F.lit(0))))
+    words = F.array_distinct(F.split("_c", r"(?U)\W+"))
+    base = base.withColumn("_found", F.filter(words, lambda w: F.substring(w, 1, 4).isin(_BEGINS) | w.isin([p for p in _SINGLE if len(p) < 4])))
+    spelled = _listed([(p, F.size(F.array_except(_texts(_tokens_of(p)), "_t")) == 0) for p in _OTHERS])
+    base = base.select("*", _content_hits().alias("_h1"), _listed([(p, phrase_hit("_c", p)) for p in _OTHERS]).alias("_h2"), spelled.alias("_h3"))
+    inside, at_path = F.concat("_h1", "_h2"), F.concat("_t", "_h3")
     hits = {}
     for k, phrases in enumerate(RULES.values()):
-        hits[f"_p{k}"] = _listed([(p, F.size(F.array_except(F.array(*map(F.lit, _tokens_of(p))), "_t")) == 0) for p in phrases])
-        hits[f"_i{k}"] = _listed([(p, _inside(p)) for p in phrases])
+        hits[f"_p{k}"] = F.array_intersect(_texts(phrases), at_path)
+        hits[f"_i{k}"] = F.array_intersect(_texts(phrases), inside)
     hits["_deep"] = _listed([(p, F.contains("_c", F.lit(p))) for p in RECURSIVE_PHRASES])
     hits["_many"] = mentions("_c") >= 4
     found = base.select(SNAP, "path", "language", "_t", *[c.alias(k) for k, c in hits.items()])
