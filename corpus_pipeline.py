@@ -17,11 +17,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is identified; those without any letter (``und``) go."""
+    """Keeps documents whose language is identified; null texts and those without any letter go.
+
+    Where no row is labelled there is nothing to learn, and every document with a letter stays.
+    """
     docs = docs.select(*COLUMNS)
     kept = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))
     net = langid.train(docs.where(~kept))
-    return langid.identify(docs, net).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
+    return langid.identify(docs, net).where((F.col("lang_pred") != langid.UNKNOWN) | (F.lit(net.classes == [langid.UNKNOWN]) & F.col("text").rlike(r"\p{L}"))).select(*COLUMNS)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
