@@ -26,13 +26,23 @@ from codemass.llm.frames import checkpointed
 
 CAPACITY = 4096
 END = 2
-MEMO = 120_000
+MEMO = 200_000
 #: Texts of these characters only are cut into the tokenizer's own words here; words are then looked up one by one.
 _PLAIN = re.compile(r"[\t\n\r\x0b\x0c\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-zà-öø-ÿß0-9]+")
 _GAPS = re.compile(r"[ \t\n\r]+")
 
 
+def _visible() -> dict[int, str]:
+    """How byte-level tokenizers write bytes: visible Latin-1 characters as they are, the others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+_VISIBLE = _visible()
+
+
 class WordTokens(dict):
     """Word to its ids (unsigned little-endian 32-bit), from the tokenizers library; a bounded two-generation memo."""
 
@@ -41,14 +51,19 @@ class WordTokens(dict):
 
         super().__init__()
         self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.merges = self.tokenizer.model.tokenize
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         normal, split = str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)
-        self.by_word = "Lowercase" in normal and "\\\\p{L}" in split.replace("\\p", "\\\\p") and "use_regex=False" in split
+        self.by_word = "Lowercase" in normal and "\\\\p{L}" in split.replace("\\p", "\\\\p") and "use_regex=False" in split and type(self.tokenizer.model).__name__ == "BPE"
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
-        if ids is None:
+        if ids is None and self.by_word and _PLAIN.fullmatch(word) and not self.special.search(word):
+            # a word as the tokenizer's own stages leave it: only its merges are still to be made
+            found = self.merges(word.encode().decode("latin-1").translate(_VISIBLE))
+            ids = np.array([t.id for t in found], "<u4").tobytes()
+        elif ids is None:
             ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 64:
             self[word] = ids
