@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -126,6 +126,74 @@ def module_symbol(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
     return wanted.join(picked.select(SNAP, "module", "callable", answer.alias("symbol_id")), [SNAP, "module", "callable"], "left")
 
 
+# How entry points and public declarations read.
+MAINS = {"go": ("main", r"\bfunc\s+main\s*\("), "java": ("main", r"(?i)\bstatic\s+void\s+main\s*\("), "csharp": ("Main", r"\bstatic\b.*\bMain\s*\(")}
+PUBLIC, RUST_PUBLIC = r"^\s*public\b", r"^\s*pub(?:\([^)]*\))?\s+"
+
+
+def _stem(path: str) -> Column:
+    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]+$", "")
+
+
+def entry_points(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Modules with a main guard, and the main functions of compiled languages whose line declares one.
+
+    (snapshot_id, kind, name, path, line, evidence_kind, detail, symbol_id): the first main of a file.
+    """
+    wanted = F.when(F.col("language") == "python", "main")
+    for language, (name, _) in MAINS.items():
+        wanted = F.when(F.col("language") == language, name).otherwise(wanted)
+    asked = files.withColumn("_main", wanted).where("_main is not null")
+    inner = symbols.where("kind not in ('file', 'module', 'namespace')").select(SNAP, "path", F.col("name").alias("_n"), F.col("qualified_name").alias("_q"), "id", "start_line")
+    hit = asked.join(inner, [SNAP, "path"]).where("_n = _main or _q = _main")
+    first = hit.groupBy(SNAP, "path", "language", "_main").agg(F.min_by(F.struct("id", "start_line", "_n"), F.struct("start_line", "id")).alias("m"))
+    rows = first.join(files.select(SNAP, "path", "text"), [SNAP, "path"])
+    line = F.coalesce(F.try_element_at(lines_of("text"), F.col("m.start_line")), F.lit(""))
+    fits = (F.col("language") == "python") & F.col("text").contains("__name__") & F.col("text").contains("__main__")
+    for language, (_, pattern) in MAINS.items():
+        fits = fits | ((F.col("language") == language) & line.rlike(pattern))
+    python = F.col("language") == "python"
+    return rows.where(fits).select(
+        SNAP, F.lit("entrypoint").alias("kind"), F.when(python, _stem("path")).otherwise(F.concat_ws(".", _stem("path"), "m._n")).alias("name"), "path", F.col("m.start_line").alias("line"),
+        F.concat("language", F.lit("-main")).alias("evidence_kind"), F.when(python, "module contains an __main__ guard anchored to main()").otherwise(strip(line)).alias("detail"), F.col("m.id").alias("symbol_id"),
+    )
+
+
+def declared_surfaces(files: DataFrame, symbols: DataFrame, anchored: DataFrame, *, top_level: str = "no_parent") -> DataFrame:
+    """Public declarations and user-surface symbols that no other surface anchors yet.
+
+    ``anchored``: snapshot_id, symbol_id.  ``top_level``: "no_parent" takes symbols without any parent only;
+    "file_parent" also those whose parent is their file, as the parser makes them.
+    """
+    top = F.col("parent_id").isNull()
+    if top_level == "file_parent":
+        top = top | (F.col("parent_id") == F.concat("path", F.lit("::<file>")))
+    rows = symbols.where(top & ~F.col("name").startswith("_") & ~F.col("kind").isin("file", "module", "namespace", "variable", "unknown"))
+    rows = rows.join(anchored.select(SNAP, F.col("symbol_id").alias("id")).distinct(), [SNAP, "id"], "left_anti").join(files.select(SNAP, "path", "text"), [SNAP, "path"], "left")
+    line = strip(F.coalesce(F.try_element_at(lines_of(F.coalesce("text", F.lit(""))), F.greatest(F.col("start_line"), F.lit(1))), F.lit("")))
+    lang = F.col("language")
+    public = (lang.isin("csharp", "java", "kotlin") & line.rlike(PUBLIC)) | ((lang == "rust") & line.rlike(RUST_PUBLIC)) | ((lang == "go") & F.col("name").rlike(r"^\p{Lu}"))
+    surface = (F.col("category") == "user-surface") & (F.col("role_confidence") >= 0.80)
+    kind = F.when(public, "public-symbol").when(surface, "user-surface")
+    detail = F.when(public & (lang == "go"), F.concat(F.lit("Go exported identifier "), F.col("name"))).when(public, line).otherwise(F.format_string("%s; confidence=%.2f", F.col("role_source"), F.col("role_confidence")))
+    return rows.withColumn("_kind", kind).where("_kind is not null").select(
+        SNAP, F.col("_kind").alias("kind"), F.col("qualified_name").alias("name"), "path", F.col("start_line").alias("line"),
+        F.when(public, "language-public-declaration").otherwise("semantic-role").alias("evidence_kind"), detail.alias("detail"), F.col("id").alias("symbol_id"),
+    )
+
+
+def journey_warnings(events: DataFrame, types: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(snapshot_id, type_id, warning): stages without events, members with a role that nothing calls, calls that are not exact."""
+    stages = journey_stages(events, types).where("events = 0")
+    missing = stages.groupBy(SNAP, "type_id").agg(F.concat(F.lit("No canonical lifecycle event was observed for: "), F.array_join(F.array_sort(F.collect_list("role")), ", ")).alias("warning"))
+    ends = members(symbols, edges).join(types, [SNAP, "type_id"])
+    called = events.select(SNAP, "type_id", F.col("target_id").alias("id")).distinct()
+    idle = ends.where("role is not null").join(called, [SNAP, "type_id", "id"], "left_anti").groupBy(SNAP, "type_id").agg(F.concat(F.count("*").cast("string"), F.lit(" lifecycle-shaped member definition(s) have no observed exact caller.")).alias("warning"))
+    near = ends.select(SNAP, "type_id", F.col("id").alias("target_id")).union(types.select(SNAP, "type_id", F.col("type_id").alias("target_id")))
+    loose = edges.where("kind = 'calls' and resolution <> 'exact'").join(near, [SNAP, "target_id"]).select(SNAP, "type_id", F.lit("Probable or unresolved calls touch this data neighborhood.").alias("warning")).distinct()
+    return missing.union(idle).union(loose)
+
+
 def merge_capabilities(found: DataFrame, *, keep: int = 200) -> DataFrame:
     """One row for each (kind, name, path, line): evidence joined in order, the first anchor; the first 200 of a snapshot.
 

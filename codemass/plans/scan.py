@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codemass.functions import scalars
 from codemass.functions.checkpoint import checkpointed
-from codemass.operators import classify, compare, layout, metabolism, metrics, references, resolve, surfaces, traverse
-from codemass.sources import parse, trees
+from codemass.operators import classify, compare, corpus, layout, metabolism, metrics, references, resolve, select, surfaces, traverse
+from codemass.sources import parse, records, trees
 
 SNAP = "snapshot_id"
 
@@ -108,12 +109,85 @@ def metabolise(s: Scan, commits: DataFrame) -> DataFrame:
     return metabolism.status(rows.join(frames, SNAP).select(F.lit("repo").alias("repository"), "frame", "path", "category", "code_lines", "active", "print"))
 
 
-def atlas(s: Scan) -> DataFrame:
+def atlas(s: Scan, *, top_level: str = "no_parent") -> DataFrame:
     """Externally visible surfaces with their evidence and anchors."""
-    placed = surfaces.routes(s.files).unionByName(surfaces.exports(s.files)).unionByName(surfaces.package_bins(s.files))
+    placed = surfaces.routes(s.files).unionByName(surfaces.exports(s.files)).unionByName(surfaces.package_bins(s.files)).unionByName(parse.python_exports(s.files))
     scripts = surfaces.packaged_scripts(s.files)
     near = surfaces.nearest_symbol(placed.withColumn("_shown", F.col("name")).withColumn("name", F.when(F.col("kind") == "public-api", F.col("name"))), s.symbols)
     near = near.withColumn("name", F.col("_shown")).drop("_shown")
     named = surfaces.module_symbol(scripts, s.symbols).drop("module", "callable")
-    both = near.unionByName(named)
-    return surfaces.merge_capabilities(both.withColumn("seq", F.xxhash64("path", "line", "evidence_kind", "detail")))
+    both = near.unionByName(named).unionByName(surfaces.entry_points(s.files, s.symbols))
+    both = checkpointed(both.where("evidence_kind <> 'python-export' or symbol_id is not null"))
+    more = surfaces.declared_surfaces(s.files, s.symbols, both.where("symbol_id is not null"), top_level=top_level)
+    return surfaces.merge_capabilities(both.unionByName(more).withColumn("seq", F.xxhash64("path", "line", "evidence_kind", "detail")))
+
+
+def value_path(s: Scan, capabilities: DataFrame, selector: str | None, *, max_depth: int = 12) -> DataFrame:
+    """The strongest call path of the selected capability, and up to five others."""
+    chosen = select.capability(capabilities, selector)
+    calls = traverse.exact_edges(s.edges).where("kind = 'calls'")
+    paths, _ = traverse.value_paths(calls, chosen.select(SNAP, F.col("symbol_id").alias("node")), max_depth=max_depth)
+    return traverse.rank_paths(paths, s.symbols)
+
+
+def data_journey(s: Scan, selector: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events, stages and warnings of the selected data type."""
+    types = select.data_symbol(s.symbols, selector).select(SNAP, F.col("id").alias("type_id"))
+    events = checkpointed(surfaces.journeys(types, s.symbols, s.edges))
+    return events, surfaces.journey_stages(events, types), surfaces.journey_warnings(events, types, s.symbols, s.edges)
+
+
+def record(s: Scan, names: DataFrame, *, version: str, revision: str) -> DataFrame:
+    """One corpus record for each snapshot: names has snapshot_id, repository, sha, scanned_at."""
+    code = metrics.category_lines(s.components).groupBy(SNAP).agg(F.map_from_entries(F.collect_list(F.struct("category", F.col("code_lines").cast("double")))).alias("lines"))
+    roles = s.symbols.groupBy(SNAP, "category").agg(F.count("*").cast("double").alias("n")).groupBy(SNAP).agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("roles"))
+    rows = names.join(s.metrics, SNAP).join(s.symbol_metrics, SNAP, "left").join(code, SNAP, "left").join(roles, SNAP, "left")
+    value = lambda c: F.col(c).cast("double")
+    return rows.select(
+        F.lit("ok").alias("status"), "scanned_at", scalars.identity_key("repository", "sha", F.lit(version), F.lit(revision)).alias("identity"),
+        F.struct(F.col("repository").alias("name"), F.col("sha"), F.lit(None).cast("string").alias("id")).alias("repository"),
+        F.struct(F.lit("codemass").alias("name"), F.lit(version).alias("version"), F.lit(revision).alias("source_revision"), F.lit(True).alias("canonical")).alias("analyzer"),
+        F.struct(
+            F.lit("semantic-v1").alias("measurement_model"), F.col("lines").alias("category_code_lines"), F.col("roles").alias("category_symbol_counts"),
+            F.struct(value("direct_product_share").alias("direct_product_share"), value("tooling_share").alias("tooling_share"), value("scaffolding_ratio").alias("scaffolding_ratio")).alias("baseline"),
+            F.struct(
+                value("relationship_count").alias("relationship_count"), value("exact_resolution_rate").alias("exact_resolution_rate"), value("max_recursive_depth").alias("max_recursive_depth"),
+                value("semantic_recursion_index").alias("semantic_recursion_index"), value("far_from_value_symbol_share").alias("far_from_value_symbol_share"),
+            ).alias("semantic"),
+        ).alias("measurement"),
+        F.lit(None).cast("struct<code:string,message:string>").alias("reason"),
+    )
+
+
+def index(spark: SparkSession, targets: DataFrame, corpus_path: str, *, version: str, revision: str, refresh: bool = False) -> DataFrame:
+    """Scans the tarballs of targets that the corpus lacks in one job, and appends their records.
+
+    ``targets``: repository, sha, path (a tarball that all executors can reach).  At most 100 targets a call.  A tarball
+    that fails closed becomes a failed record with its reason and does not stop the others.
+    """
+    trees.register(spark)
+    named = targets.withColumn("identity", scalars.identity_key("repository", "sha", F.lit(version), F.lit(revision)))
+    if not refresh and records.exists(spark, corpus_path):
+        named = corpus.skip_known(named, records.corpus(spark, corpus_path))
+    rows = named.limit(101).collect()
+    if len(rows) > 100:
+        raise ValueError("at most 100 targets a call")
+    good, bad = [], []
+    for r in rows:
+        try:
+            trees.check_tarball(r["path"])
+            good.append(r)
+        except (trees.TreeError, OSError) as e:
+            bad.append((r, getattr(e, "code", "unreadable"), str(e)))
+    made = spark.createDataFrame([], records.RECORD)
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    if good:
+        s = scan(spark.read.format("source_tarball").option("path", ",".join(r["path"] for r in good)).load())
+        names = spark.createDataFrame([(r["path"].rsplit("/", 1)[-1], r["repository"], r["sha"]) for r in good], "snapshot_id string, repository string, sha string")
+        made = made.unionByName(record(s, names.withColumn("scanned_at", now), version=version, revision=revision))
+    if bad:
+        failed = spark.createDataFrame([(r["identity"], r["repository"], r["sha"], code, message) for r, code, message in bad], "identity string, name string, sha string, code string, message string")
+        made = made.unionByName(failed.select(F.lit("failed").alias("status"), now.alias("scanned_at"), "identity", F.struct("name", "sha", F.lit(None).cast("string").alias("id")).alias("repository"), F.struct("code", "message").alias("reason")), allowMissingColumns=True)
+    made = checkpointed(made)
+    records.append(made, corpus_path)
+    return made

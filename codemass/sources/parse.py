@@ -170,6 +170,37 @@ def python_notes(source: str, lines: list[str]) -> set[int]:
     return out
 
 
+def exported(source: str) -> list[tuple[str, int]]:
+    """Names that a module's ``__all__`` lists as plain texts, and its line."""
+    try:
+        body = ast.parse(source).body
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out = []
+    for node in body:
+        targets = node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []
+        if any(isinstance(t, ast.Name) and t.id == "__all__" for t in targets) and isinstance(node.value, ast.List | ast.Tuple | ast.Set):
+            out += [(e.value, node.lineno) for e in node.value.elts if isinstance(e, ast.Constant) and isinstance(e.value, str)]
+    return out
+
+
+def python_exports(files: DataFrame) -> DataFrame:
+    """(snapshot_id, kind, name, path, line, evidence_kind, detail) of names in ``__all__``."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(s, name, p, line) for s, p, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for name, line in exported(t or "")]
+            if rows:
+                s, name, p, line = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(name, pa.string()), pa.array(p, pa.string()), pa.array(line, pa.int32())], names=["snapshot_id", "name", "path", "line"])
+
+    python = files.where((F.col("language") == "python") & F.col("text").contains("__all__")).select("snapshot_id", "path", "text")
+    rows = python.mapInArrow(run, "snapshot_id string, name string, path string, line int")
+    return rows.select("snapshot_id", F.lit("public-api").alias("kind"), "name", "path", "line", F.lit("python-export").alias("evidence_kind"), F.concat(F.lit("__all__ exports "), F.col("name")).alias("detail"))
+
+
 def with_python_lines(files: DataFrame) -> DataFrame:
     """``files`` with code_lines of Python counted by its parser; other languages as they are."""
 

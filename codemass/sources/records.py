@@ -23,6 +23,12 @@ def append(records: DataFrame, path: str) -> None:
     records.where("status <> 'skipped'").write.mode("append").json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a corpus has been written at a path that Spark can reach."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """Records of a corpus; a line that is no JSON fails the job and is named.  Blank lines are skipped."""
     lines = spark.read.text(path).where(F.trim("value") != "")
