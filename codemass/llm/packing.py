@@ -27,6 +27,8 @@ from codemass.llm.frames import checkpointed
 CAPACITY = 4096
 END = 2
 MEMO = 200_000
+#: Pieces that one task ranks at most, about: hashed sub-ranges of a length follow the corpus.
+RANKED = 1_000_000
 #: Texts of these characters only are cut into the tokenizer's own words here; words are then looked up one by one.
 _PLAIN = re.compile(r"[\t\n\r\x0b\x0c\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-zà-öø-ÿß0-9]+")
@@ -194,7 +196,8 @@ def pack(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: int = END
     """
     cut = pieces(docs, path, capacity=capacity, end=end, key=key, text=text, with_ids=with_ids)
     cut = checkpointed(cut.withColumn("_row", F.monotonically_increasing_id()))
-    salt = F.pmod(F.xxhash64(key, "start", "_row"), F.lit(256)).cast("int")
+    salts = max(256, cut.count() // RANKED)
+    salt = F.pmod(F.xxhash64(key, "start", "_row"), F.lit(salts)).cast("int")
     cut = cut.withColumn("_salt", salt)
     counts = checkpointed(cut.groupBy("length", "_salt").count())
     ahead = F.sum("count").over(W.partitionBy("length").orderBy("_salt")) - F.col("count")

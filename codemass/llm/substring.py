@@ -226,7 +226,8 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     several = rows.withColumns({"_a": F.min("doc").over(by), "_b": F.max("doc").over(by)}).where("_a < _b")
     wanted = several.select(block(F.col("doc")).alias("_block"), "low")
 
-    dealt = docs.select([f.name for f in keep]).withColumn("_block", block(F.coalesce(F.col(key).cast("long"), F.lit(0))))
+    # rows without a key are dealt out by their texts: they judge nothing and are judged by nothing
+    dealt = docs.select([f.name for f in keep]).withColumn("_block", block(F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text)))))
 
     def segments(table: pa.Table, lows: pa.Table) -> pa.Table:
         want = np.unique(lows.column("low").to_numpy().view(np.uint64)) if lows.num_rows else np.zeros(0, np.uint64)

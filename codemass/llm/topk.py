@@ -101,7 +101,7 @@ def best(queries: _Block, candidates: _Block, floor: np.ndarray, k: int) -> tupl
     return np.concatenate(q_out), np.concatenate(c_out), np.concatenate(s_out)
 
 
-def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, key: str = "vec_id", embedding: str = "embedding", scale: int = 1024, shards: int = 24) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, key: str = "vec_id", embedding: str = "embedding", scale: int = 1024, shards: int | None = None) -> DataFrame:
     """Each query's ``k`` highest integer inner products: query_id, rank (from 1), vec_id, score; ties to the smaller id.
 
     Components become floor(scale * x).  Queries are the rows where ``is_query`` holds; candidates are all rows but
@@ -110,8 +110,10 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, key: str = "vec_
     a candidate, but the result has an id once for each query.  An empty table gives an empty result.
 
     Blocks of queries meet blocks of candidates by an equi-join on one of ``shards`` numbers: each query block is
-    sent to every shard, each candidate block to one.
+    sent to every shard, each candidate block to one.  By default a shard has about sixteen candidate blocks.
     """
+    if shards is None:
+        shards = max(24, vectors.count() // (16 * CANDIDATES))
     whole = F.transform(F.col(embedding), lambda x: F.floor(x.cast("double") * scale).cast("double"))
     sound = F.col(key).isNotNull() & F.col(embedding).isNotNull() & (F.size(embedding) > 0) & F.forall(
         embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
