@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from codemass.functions.checkpoint import checkpoint_dir as ensure_checkpoint_dir
+from codemass.functions.checkpoint import checkpointed
+
+__all__ = ["append_columns", "checkpointed", "ensure_checkpoint_dir", "free_name"]
+
 
 def append_columns(df: DataFrame, fields: Sequence[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """``df`` with the columns that ``fn`` makes of each Arrow batch.
@@ -31,24 +35,9 @@ def append_columns(df: DataFrame, fields: Sequence[T.StructField], fn: Callable[
     return df.mapInArrow(run, schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage through the shared folder of spark.checkpoint.dir.
-
-    Only where the session names none (as in tests on one machine) is a folder of our own set.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder."""
-    context = spark.sparkContext
-    have = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not have:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            have = f"/tmp/spark-checkpoints-{uuid.uuid4().hex}"
-        context.setCheckpointDir(have)
-    return have
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codemass.llm import text as X
+from codemass.llm.frames import free_name
 
 WINDOW, GRAM = 13, 5
 #: Windows of a segment at most.
@@ -227,13 +228,14 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     wanted = several.select(block(F.col("doc")).alias("_block"), "low")
 
     # rows without a key are dealt out by their texts: they judge nothing and are judged by nothing
-    dealt = docs.select([f.name for f in keep]).withColumn("_block", block(F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text)))))
+    own = free_name(docs, "_block")
+    dealt = docs.select([f.name for f in keep]).withColumn(own, block(F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text)))))
 
     def segments(table: pa.Table, lows: pa.Table) -> pa.Table:
         want = np.unique(lows.column("low").to_numpy().view(np.uint64)) if lows.num_rows else np.zeros(0, np.uint64)
         parts = []
         if table.num_rows:
-            number = table.column("_block")[0].as_py()
+            number = table.column(own)[0].as_py()
             ids = table.column(key).combine_chunks()
             null = ids.is_null().to_numpy(zero_copy_only=False)
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -261,7 +263,7 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         )
 
     out_segments = pa.schema([("shard", pa.int32()), ("_block", pa.int32()), ("h", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("words", pa.binary())])
-    sent = dealt.groupBy("_block").cogroup(wanted.groupBy("_block")).applyInArrow(segments, "shard int, _block int, h long, low long, high long, words binary")
+    sent = dealt.groupBy(own).cogroup(wanted.groupBy("_block")).applyInArrow(segments, "shard int, _block int, h long, low long, high long, words binary")
 
     out_found = pa.schema([("_block", pa.int32()), ("h", pa.int64()), ("least", pa.binary())])
 
@@ -327,4 +329,4 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         arrays = [table.column(c).combine_chunks() for c in names] + [pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), pa.array(kept, pa.string())]
         return pa.Table.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    return dealt.groupBy("_block").cogroup(found.groupBy("_block")).applyInArrow(delete, schema)
+    return dealt.groupBy(own).cogroup(found.groupBy("_block")).applyInArrow(delete, schema)

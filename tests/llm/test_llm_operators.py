@@ -146,6 +146,18 @@ def test_substring_dedup_empty_table(spark):
     assert done.count() == 0 and done.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_words", "n_removed", "kept"]
 
 
+def test_clashing_columns_keep_their_values(spark, texts):
+    docs = spark.createDataFrame(texts, DOCS).withColumns({"_block": F.lit("mine"), "fp": F.lit("x"), "Kept": F.lit(1), "n_chars_": F.lit(2)})
+    done = substring.deduplicate(docs)
+    assert [c for c in done.columns if c.lower() == "kept"] == ["kept"] and {r["_block"] for r in done.select("_block").collect()} == {"mine"}
+    assert simhash.near_duplicates(docs).columns == ["doc_id", "fp", "component_id"]
+    pages = spark.createDataFrame([(1, "http://h/a", "<p>x</p>", "mine", "old")], "page_id long, url string, html string, _host string, TEXT string")
+    row = htmltext.extract(pages).first()
+    assert row.asDict() == {"page_id": 1, "url": "http://h/a", "_host": "mine", "text": "x", "n_chars": 1}
+    net = langid.ByteConvNet(["aa"])
+    assert langid.identify(docs.withColumn("SCORE", F.lit(5)), net).columns[-2:] == ["lang_pred", "score"]
+
+
 def test_fm_index_searches():
     rnd = np.random.default_rng(4)
     body = rnd.integers(1, 5, 400)
