@@ -27,4 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {name: expand(sql) for module in _ALL for name, (_, sql) in module.QUERIES.items() if sql}
+    distances = graph_queries._HOPS + f", comp as (select snapshot_id, path, category, code_lines, greatest({graph_queries._BASE}, coalesce(h, 0))::int value_distance from {{components}} left join d on node = p_partkey) "
+    flagship_sql = distances + measure_queries.QUERIES["composition_metrics"][1].replace("{components}", "comp")
+    return {name: expand(sql) for module in _ALL for name, (_, sql) in module.QUERIES.items() if sql} | {"scan_flagship": expand(flagship_sql)}

@@ -234,9 +234,13 @@ QUERIES = {
     "audit_chain_topk": (audit_chain_topk, _WALKS + """, t as (select array_to_string(paths, ' > ') chain, depth, paths, (select sum(k.code_lines) from k where list_contains(paths, k.path))::bigint total_lines from c),
  l as (select * from t where not exists (select 1 from t u where starts_with(u.chain, t.chain || ' > ')))
 select row_number() over (order by depth desc, total_lines desc, paths)::int as "rank", depth::int depth, total_lines, chain from l qualify row_number() over (order by depth desc, total_lines desc, paths) <= 25"""),
-    "audit_budget": (audit_budget, None),
+    "audit_budget": (audit_budget, f"select 'parts' snapshot_id, least(count(*), 3) expansions, count(*) > 3 truncated from {{edges}} e join {{components}} a on a.path = e.dst and a.category in {_in(PRODUCT)} join {{components}} b on b.path = e.src and b.category in {_in(RECURSIVE)}"),
     "symbol_distance": (symbol_distance, _NEAR + " select id, kind, category, h::int value_distance from {symbols} left join d on node = id"),
-    "recursive_chain_depth": (recursive_chain_depth, None),
+    "recursive_chain_depth": (recursive_chain_depth, f"""
+with recursive k as (select id, category, kind from {{symbols}}), e as (select distinct a, b from {_EXACT} where kind <> 'contains'),
+ w(root, node, ids) as (select id, id, [id] from k where category in {_in(PRODUCT)} and kind <> 'file'
+  union all select root, e.a, list_append(ids, e.a) from w join e on e.b = w.node join k on k.id = e.a and k.category in {_in(MACHINERY)} where not list_contains(ids, e.a) and len(ids) <= 12)
+select root, max(len(ids) - 1)::int max_depth, count(*) chains from w join k on k.id = w.node where len(ids) > 1 and k.category in {_in(RECURSIVE)} group by root"""),
     "value_path_topk": (value_path_topk, f"""
 with recursive e as (select distinct a, b from {_EXACT} where kind = 'calls'), w(root, node, ids) as (select id, id, [id] from {{symbols}} where kind = 'constructor'
   union all select root, e.b, list_append(ids, e.b) from w join e on e.a = w.node where not list_contains(ids, e.b) and len(ids) <= 6),
