@@ -106,14 +106,6 @@ def signals(files: DataFrame) -> DataFrame:
     return found.select(SNAP, "path", F.explode(F.filter(made, lambda s: s["weight"].isNotNull())).alias("s")).select(SNAP, "path", "s.*")
 
 
-def scores(found: DataFrame) -> DataFrame:
-    """(snapshot_id, path, category, score, first): signals summed in rule order; strong testing counts 4 more."""
-    listed = found.groupBy(SNAP, "path", "category").agg(F.array_sort(F.collect_list(F.struct("seq", "weight"))).alias("_w"))
-    total = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["weight"])
-    lifted = F.when((F.col("category") == "testing") & (total >= 7), total + 4.0).otherwise(total)
-    return listed.select(SNAP, "path", "category", lifted.alias("score"), F.col("_w")[0]["seq"].alias("first"))
-
-
 def classify(files: DataFrame, overrides: DataFrame | None = None, *, keep_signals: int = 8) -> DataFrame:
     """``files`` without text, with category, confidence and signals (the heaviest eight).
 

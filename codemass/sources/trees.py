@@ -227,9 +227,7 @@ def files(raw: DataFrame) -> DataFrame:
         language = F.when(low == end, name).otherwise(language)
     kept = raw.withColumn("language", language).where(F.col("language").isNotNull() & (F.octet_length("content") <= MAX_FILE_BYTES) & ~text.is_binary("content"))
     kept = kept.where(~F.exists(F.split("path", "/"), lambda p: p.isin(*IGNORED)))
-    decoded = F.decode(F.col("content"), "UTF-8") if kept.sparkSession.conf.get("spark.sql.legacy.codingErrorAction", "false") == "true" else F.try_validate_utf8(F.col("content").cast("string"))
-    decoded = F.coalesce(decoded, F.make_valid_utf8(F.col("content").cast("string")))
-    rows = kept.withColumn("text", decoded).withColumn("lines_of", text.lines_of("text"))
+    rows = kept.withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))).withColumn("lines_of", text.lines_of("text"))
     rows = rows.where(~text.looks_generated("lines_of"))
     return rows.select(
         "snapshot_id", "path", "language", "text", "lines_of", F.size("lines_of").alias("lines"), text.code_lines("lines_of", "language").alias("code_lines"),
