@@ -217,7 +217,7 @@ def test_links_of_dense_groups(spark, monkeypatch, block):
     fps = {centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 3))) for _ in range(150)} | {rnd.getrandbits(64) for _ in range(100)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     found = simhash.connected(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long")))
-    assert {r["node"] % (1 << 64) for r in found.collect() if True} >= {f for f in fps if f != centre and (f ^ centre).bit_count() <= 3 and centre in fps}
+    assert {r["node"] % (1 << 64) for r in found.collect()} >= {f for f in fps if f != centre and (f ^ centre).bit_count() <= 3 and centre in fps}
     assert found.select("root").distinct().count() == 1
 
 
