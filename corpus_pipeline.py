@@ -13,14 +13,22 @@ from pyspark.sql import functions as F
 from codemass.llm import decontaminate, frames, langid, packing, simhash, substring
 from codemass.llm.queries import tokenizer_path
 
+#: Rows of an Arrow batch: documents are some KB each, so a batch stays at some MB in the JVM and in Python.
+BATCH_ROWS = 2000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches for the stages that follow."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is identified; null texts and those without any letter go.
 
     Where no row is labelled there is nothing to learn, and every document with a letter stays.
     """
+    _small_batches(spark)
     docs = docs.select(*COLUMNS)
     kept = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))
     net = langid.train(docs.where(~kept))
@@ -29,6 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each near-duplicate component the document of smallest doc_id; a row without doc_id stays."""
+    _small_batches(spark)
     found = simhash.near_duplicates(docs).where("component_id is null or doc_id is null or doc_id = component_id")
     keys = found.where("doc_id is not null").select("doc_id").distinct()
     return docs.where("doc_id is not null").join(keys, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
@@ -36,6 +45,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes 13-word windows that an earlier document has; documents with nothing left go."""
+    _small_batches(spark)
     done = substring.deduplicate(docs.select(*COLUMNS))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
     left = done.where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
@@ -44,12 +54,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents that hold a benchmark item."""
+    _small_batches(spark)
     leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 4096 tokens: a row for each piece."""
+    _small_batches(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
 
