@@ -195,10 +195,15 @@ def rank_paths(paths: DataFrame, symbols: DataFrame, *, keep: int = 6) -> DataFr
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
-def neighbourhood(edges: DataFrame, anchors: DataFrame, *, max_depth: int = 4, max_symbols: int = 250) -> DataFrame:
-    """(snapshot_id, anchor, node, hops, truncated): what each anchor reaches forward; at most ``max_symbols``, nearest first."""
+def neighbourhood(edges: DataFrame, anchors: DataFrame, *, max_depth: int = 4, max_symbols: int | None = 250) -> DataFrame:
+    """(snapshot_id, anchor, node, hops, truncated): what each anchor reaches forward; at most ``max_symbols``, nearest first.
+
+    All of it where ``max_symbols`` is None.
+    """
     roots = anchors.select(SNAP, F.col("node").alias("anchor"), "node")
     found = hops(edges, roots, max_depth=max_depth)
+    if max_symbols is None:
+        return found.withColumn("truncated", F.lit(False))
     order = W.partitionBy(SNAP, "anchor").orderBy("hops", "node")
     ranked = found.withColumns({"_rank": F.row_number().over(order), "_all": F.count("*").over(W.partitionBy(SNAP, "anchor"))})
     return ranked.where(F.col("_rank") <= max_symbols).withColumn("truncated", F.col("_all") > max_symbols).drop("_rank", "_all")

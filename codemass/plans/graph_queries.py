@@ -84,7 +84,7 @@ def reach_neighbourhood(spark: SparkSession, sf: str) -> DataFrame:
     """What every class reaches in four steps over exact links."""
     anchors = frame(spark, sf, "symbols").where("kind = 'class'").select("snapshot_id", F.col("id").alias("node"))
     edges = traverse.exact_edges(frame(spark, sf, "links"), contains=True)
-    return traverse.neighbourhood(edges, anchors).select("anchor", "node", "hops")
+    return traverse.neighbourhood(edges, anchors, max_symbols=None).select("anchor", "node", "hops")
 
 
 def boundary_closure(spark: SparkSession, sf: str) -> DataFrame:

@@ -28,7 +28,7 @@ select 'parts' as snapshot_id, p_partkey, {_PATH} as path, 'python' as language,
  {_case("p_partkey % 12", CATEGORIES)} as category, cast(p_size % 6 as int) as value_distance from {{part}}""",
     "pairs": """
 select distinct l_partkey as a, (l_partkey * 7 + l_suppkey) % (select count(*) from {part}) as b
-from {lineitem} where l_linenumber = 1 and l_orderkey % 13 = 0""",
+from {lineitem}""",
     "edges": """
 select 'parts' as snapshot_id, x.path as src, y.path as dst from {pairs} e join {components} x on x.p_partkey = e.a join {components} y on y.p_partkey = e.b where e.a <> e.b""",
     "symbols": f"""
@@ -45,13 +45,13 @@ select distinct 'parts' as snapshot_id, (l_orderkey * 8 + l_linenumber) * 100000
  case (l_orderkey + l_linenumber) % 5 when 0 then 'calls' when 1 then 'imports' when 2 then 'inherits' when 3 then 'contains' else 'calls' end as kind,
  '' as target_name, case when l_returnflag = 'N' then null else concat('s', cast((l_partkey * 7 + l_suppkey) % (select count(*) from {part}) as string)) end as target_id,
  case l_returnflag when 'A' then 'exact' when 'R' then 'probable' else 'unresolved' end as resolution, l_linestatus as evidence
-from {lineitem} where l_linenumber = 1 and l_orderkey % 5 = 0""",
+from {lineitem}""",
     "named_links": """
 select distinct 'parts' as snapshot_id, (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey as edge_seq, concat('s', cast(l_partkey as string)) as source_id, 'calls' as kind,
  case when l_orderkey % 3 = 0 then concat(split_part(p_name, ' ', 1), '.', split_part(p_name, ' ', 2), cast(l_suppkey % 45 as string))
   else concat(split_part(p_name, ' ', 2), cast(l_suppkey % 45 as string)) end as target_name,
  cast(null as string) as target_id, 'unresolved' as resolution, '' as evidence
-from {lineitem} join {part} on p_partkey = l_partkey where l_orderkey % 4 = 0""",
+from {lineitem} join {part} on p_partkey = l_partkey""",
     "imports": """
 select 'parts' as snapshot_id, concat('src/', lower(replace(p_brand, '#', '')), '/mod', cast(p_partkey as string), '.py') as path, p_partkey,
  concat(case when p_partkey % 3 = 0 then 'elsewhere' else lower(replace(p_brand, '#', '')) end, '.mod', cast((p_partkey * 3 + 1) % (select count(*) from {part}) as string)) as raw from {part}""",
