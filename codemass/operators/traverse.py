@@ -66,12 +66,13 @@ def exact_edges(edges: DataFrame, *, contains: bool = False) -> DataFrame:
     return kept.select(SNAP, F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "kind", "edge_seq")
 
 
-def audit_chains(components: DataFrame, edges: DataFrame, *, max_depth: int = 8, budget: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def audit_chains(components: DataFrame, edges: DataFrame, *, max_depth: int = 8, budget: int | None = 50_000) -> tuple[DataFrame, DataFrame]:
     """Chains of machinery upon machinery over reverse dependencies, and (snapshot_id, expansions, truncated).
 
     From each product file a path steps to a dependant of a recursive category that it has not met.  Of the paths that
     reach one node at one depth from one root only the least is extended; all are chains.  A snapshot whose expansions
-    pass the budget is truncated: it goes no level deeper.
+    pass the budget is truncated: the level's first expansions that fit are kept and it goes no level deeper.
+    A budget of None is no bound; so it is in the other traversals.
     """
     kinds = components.select(SNAP, F.col("path").alias("node"), "category")
     back = checkpointed(
@@ -82,18 +83,34 @@ def audit_chains(components: DataFrame, edges: DataFrame, *, max_depth: int = 8,
     return _chains(front, back, kinds.select(SNAP), max_depth, budget)
 
 
-def _chains(front: DataFrame, back: DataFrame, snapshots: DataFrame, max_depth: int, budget: int) -> tuple[DataFrame, DataFrame]:
-    spent = snapshots.distinct().select(SNAP, F.lit(0).cast("long").alias("expansions"), F.lit(False).alias("truncated"))
-    spent, found = checkpointed(spent), None
+def _spent(snapshots: DataFrame) -> DataFrame:
+    """The account of a traversal before its first level."""
+    return checkpointed(snapshots.distinct().select(SNAP, F.lit(0).cast("long").alias("expansions"), F.lit(False).alias("truncated"), F.lit(False).alias("_now"), F.lit(0).cast("long").alias("_room")))
+
+
+def _within(spent: DataFrame, step: DataFrame, budget: int | None, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``spent`` with a level's expansions added, and the rows of ``step`` that the budget has room for; None is no bound.
+
+    Of the level that passes the budget the first rows in ``order`` are kept; a snapshot goes no level deeper then.
+    """
+    total = F.col("expansions") + F.coalesce("_n", F.lit(0))
+    now = spent.join(step.groupBy(SNAP).agg(F.count("*").alias("_n")), SNAP, "left")
+    if budget is None:
+        return checkpointed(now.select(SNAP, total.alias("expansions"), "truncated", "_now", "_room")), step
+    over = ~F.col("truncated") & (total > budget)
+    spent = checkpointed(now.select(SNAP, F.least(total, F.lit(budget)).alias("expansions"), (F.col("truncated") | (total > budget)).alias("truncated"), over.alias("_now"), (F.lit(budget) - F.col("expansions")).alias("_room")))
+    ranked = step.join(spent.where("_now").select(SNAP, "_room"), SNAP).withColumn("_rank", F.row_number().over(W.partitionBy(SNAP).orderBy(*order)))
+    first = ranked.where((F.col("_rank") <= budget) & (F.col("_rank") <= F.col("_room"))).select(*step.columns)
+    return spent, step.join(spent.where("not truncated").select(SNAP), SNAP).select(*step.columns).union(first)
+
+
+def _chains(front: DataFrame, back: DataFrame, snapshots: DataFrame, max_depth: int, budget: int | None) -> tuple[DataFrame, DataFrame]:
+    spent, found = _spent(snapshots.select(SNAP)), None
     for _ in range(max_depth):
         one = front.groupBy(SNAP, "root", "node").agg(F.min("paths").alias("paths"))
         step = one.join(back, [SNAP, "node"])
-        count = step.groupBy(SNAP).agg(F.count("*").alias("_n"))
-        total = F.col("expansions") + F.coalesce("_n", F.lit(0))
-        spent = checkpointed(
-            spent.join(count, SNAP, "left").select(SNAP, F.least(total, F.lit(budget)).alias("expansions"), (F.col("truncated") | (total > budget)).alias("truncated"))
-        )
-        new = step.where(~F.array_contains("paths", F.col("_to"))).join(spent.where("not truncated").select(SNAP), SNAP)
+        spent, within = _within(spent, step, budget, ["root", "paths", "_to"])
+        new = within.where(~F.array_contains("paths", F.col("_to")))
         front = checkpointed(new.select(SNAP, "root", F.col("_to").alias("node"), F.concat("paths", F.array("_to")).alias("paths")))
         if front.isEmpty():
             break
@@ -101,7 +118,7 @@ def _chains(front: DataFrame, back: DataFrame, snapshots: DataFrame, max_depth:
         found = chains if found is None else found.union(chains)
     if found is None:
         found = front.select(SNAP, "root", "paths", (F.size("paths") - 1).alias("depth")).limit(0)
-    return found, spent
+    return found, spent.drop("_now", "_room")
 
 
 def top_chains(chains: DataFrame, components: DataFrame, *, keep: int = 25) -> DataFrame:
@@ -117,7 +134,7 @@ def top_chains(chains: DataFrame, components: DataFrame, *, keep: int = 25) -> D
     return left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).drop("_chain")
 
 
-def recursive_chains(symbols: DataFrame, edges: DataFrame, *, max_depth: int = 12, budget: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def recursive_chains(symbols: DataFrame, edges: DataFrame, *, max_depth: int = 12, budget: int | None = 100_000) -> tuple[DataFrame, DataFrame]:
     """Chains over reverse exact relationships, and (snapshot_id, expansions, truncated).
 
     From each product symbol a path steps to dependants of recursive categories, which end a chain each, and passes
@@ -130,15 +147,13 @@ def recursive_chains(symbols: DataFrame, edges: DataFrame, *, max_depth: int = 1
     front = kinds.where(among("category", PRODUCT) & (F.col("kind") != "file")).select(
         SNAP, F.col("node").alias("root"), "node", F.array("node").alias("ids"), F.array().cast("array<string>").alias("kinds"), F.array().cast("array<bigint>").alias("seqs")
     )
-    spent = checkpointed(kinds.select(SNAP).distinct().select(SNAP, F.lit(0).cast("long").alias("expansions"), F.lit(False).alias("truncated")))
+    spent = _spent(kinds.select(SNAP))
     found = None
     for _ in range(max_depth):
         one = front.groupBy(SNAP, "root", "node").agg(F.min(F.struct("seqs", "ids", "kinds")).alias("p")).select(SNAP, "root", "node", "p.*")
         step = one.join(back, [SNAP, "node"])
-        count = step.groupBy(SNAP).agg(F.count("*").alias("_n"))
-        total = F.col("expansions") + F.coalesce("_n", F.lit(0))
-        spent = checkpointed(spent.join(count, SNAP, "left").select(SNAP, F.least(total, F.lit(budget)).alias("expansions"), (F.col("truncated") | (total > budget)).alias("truncated")))
-        new = step.where(F.col("_emit").isNotNull() & ~F.array_contains("ids", F.col("_to"))).join(spent.where("not truncated").select(SNAP), SNAP)
+        spent, within = _within(spent, step, budget, ["root", "seqs", "edge_seq"])
+        new = within.where(F.col("_emit").isNotNull() & ~F.array_contains("ids", F.col("_to")))
         front = checkpointed(new.select(
             SNAP, "root", F.col("_to").alias("node"), F.concat("ids", F.array("_to")).alias("ids"), F.concat("kinds", F.array("_kind")).alias("kinds"),
             F.concat("seqs", F.array("edge_seq")).alias("seqs"), "_emit",
@@ -152,17 +167,17 @@ def recursive_chains(symbols: DataFrame, edges: DataFrame, *, max_depth: int = 1
         found = front.select(SNAP, "root", F.col("ids").alias("symbol_ids"), F.col("kinds").alias("relationships"), "seqs").limit(0)
     # parallel edges give one chain; the last visited one names its relationships
     last = found.groupBy(SNAP, "root", "symbol_ids").agg(F.max_by("relationships", "seqs").alias("relationships"))
-    return last.withColumn("depth", F.size("symbol_ids") - 1), spent
+    return last.withColumn("depth", F.size("symbol_ids") - 1), spent.drop("_now", "_room")
 
 
-def value_paths(calls: DataFrame, roots: DataFrame, *, max_depth: int = 12, budget: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def value_paths(calls: DataFrame, roots: DataFrame, *, max_depth: int = 12, budget: int | None = 50_000) -> tuple[DataFrame, DataFrame]:
     """Simple call paths from roots that cannot be extended or are ``max_depth`` long, and (snapshot_id, expansions, truncated).
 
-    ``calls``: snapshot_id, src, dst.  The result has root, ids, depth, complete (false where the depth bound ended it).
+    ``calls``: snapshot_id, src, dst.  The result has root, ids, depth, complete (false where a bound ended it).
     """
     e = checkpointed(calls.select(SNAP, "src", "dst").distinct())
     front = checkpointed(roots.select(SNAP, F.col("node").alias("root"), F.array("node").alias("ids"), F.col("node")))
-    spent = checkpointed(roots.select(SNAP).distinct().select(SNAP, F.lit(0).cast("long").alias("expansions"), F.lit(False).alias("truncated")))
+    spent = _spent(roots.select(SNAP))
     ended = None
     for level in range(max_depth + 1):
         more = front.join(e.withColumnRenamed("src", "node"), [SNAP, "node"]).where(~F.array_contains("ids", F.col("dst")))
@@ -174,16 +189,17 @@ def value_paths(calls: DataFrame, roots: DataFrame, *, max_depth: int = 12, budg
         ended = stop if ended is None else ended.union(stop)
         if level == max_depth:
             cut = stop.where("not complete").select(SNAP).distinct().withColumn("_cut", F.lit(True))
-            spent = spent.join(cut, SNAP, "left").select(SNAP, "expansions", (F.col("truncated") | F.coalesce("_cut", F.lit(False))).alias("truncated"))
+            spent = spent.join(cut, SNAP, "left").select(SNAP, "expansions", "_now", "_room", (F.col("truncated") | F.coalesce("_cut", F.lit(False))).alias("truncated"))
             break
-        count = more.groupBy(SNAP).agg(F.count("*").alias("_n"))
-        total = F.col("expansions") + F.coalesce("_n", F.lit(0))
-        spent = checkpointed(spent.join(count, SNAP, "left").select(SNAP, F.least(total, F.lit(budget)).alias("expansions"), (F.col("truncated") | (total > budget)).alias("truncated")))
-        new = more.join(spent.where("not truncated").select(SNAP), SNAP)
+        spent, new = _within(spent, more, budget, ["root", "ids", "dst"])
+        if budget is not None:
+            # paths that the budget leaves without any extension end here
+            cut = live.join(spent.where("truncated").select(SNAP), SNAP).join(new.select(SNAP, "ids").distinct(), [SNAP, "ids"], "left_anti")
+            ended = ended.union(checkpointed(front.select(SNAP, "root", "ids").join(cut, [SNAP, "ids"], "left_semi").withColumn("complete", F.lit(False))))
         front = checkpointed(new.select(SNAP, "root", F.concat("ids", F.array("dst")).alias("ids"), F.col("dst").alias("node")))
         if front.isEmpty():
             break
-    return ended.withColumn("depth", F.size("ids") - 1), spent
+    return ended.withColumn("depth", F.size("ids") - 1), spent.drop("_now", "_room")
 
 
 def rank_paths(paths: DataFrame, symbols: DataFrame, *, keep: int = 6) -> DataFrame:

@@ -30,7 +30,7 @@ with recursive e as (select a, b from {pairs} where a <> b union select b, a fro
 
 def audit_chain_depth(spark: SparkSession, sf: str) -> DataFrame:
     """The deepest chain of machinery upon machinery over each product component."""
-    chains, _ = traverse.audit_chains(frame(spark, sf, "components"), frame(spark, sf, "edges"))
+    chains, _ = traverse.audit_chains(frame(spark, sf, "components"), frame(spark, sf, "edges"), budget=None)
     return chains.groupBy("root").agg(F.max("depth").alias("max_depth"))
 
 
@@ -44,7 +44,7 @@ with recursive e as (select distinct src, dst from {{edges}}), k as (select path
 def audit_chain_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The 25 deepest chains that begin no longer one."""
     c = frame(spark, sf, "components")
-    chains, _ = traverse.audit_chains(c, frame(spark, sf, "edges"))
+    chains, _ = traverse.audit_chains(c, frame(spark, sf, "edges"), budget=None)
     return traverse.top_chains(chains, c).select("rank", "depth", "total_lines", F.array_join("paths", " > ").alias("chain"))
 
 
@@ -68,7 +68,7 @@ with recursive e as (select a, b from {_EXACT} union select b, a from {_EXACT}),
 
 def recursive_chain_depth(spark: SparkSession, sf: str) -> DataFrame:
     """The deepest recursive chain over each product symbol."""
-    chains, _ = traverse.recursive_chains(frame(spark, sf, "symbols"), frame(spark, sf, "links"))
+    chains, _ = traverse.recursive_chains(frame(spark, sf, "symbols"), frame(spark, sf, "links"), budget=None)
     return chains.groupBy("root").agg(F.max("depth").alias("max_depth"), F.count("*").alias("chains"))
 
 
@@ -76,7 +76,7 @@ def value_path_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The strongest call path of every constructor."""
     s = frame(spark, sf, "symbols")
     calls = traverse.exact_edges(frame(spark, sf, "links")).where("kind = 'calls'")
-    paths, _ = traverse.value_paths(calls, s.where("kind = 'constructor'").select("snapshot_id", F.col("id").alias("node")), max_depth=6)
+    paths, _ = traverse.value_paths(calls, s.where("kind = 'constructor'").select("snapshot_id", F.col("id").alias("node")), max_depth=6, budget=None)
     return traverse.rank_paths(paths, s, keep=1).select("root", "depth", "distinct_files", "distinct_categories", F.array_join("ids", ">").alias("ids"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
+from test_core import components, graph, links, symbols
 
 from codemass.operators import traverse
-from codemass.plans import proxies
+from codemass.plans import graph_queries, proxies
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +38,32 @@ def test_neighbourhood_of_a_wide_anchor(spark):
     found = traverse.neighbourhood(edges, anchors, max_symbols=None)
     assert found.count() == 301 and found.where("truncated").count() == 0
     assert traverse.neighbourhood(edges, anchors).count() == 250
+
+
+def test_budget_keeps_what_fits(spark):
+    c = components(spark, [("app", "core-product", 1), *[(f"v{i}", "verification", 1) for i in range(9)]])
+    g = graph(spark, [(f"v{i}", "app") for i in range(9)] + [("v0", "v1")])
+    cut, spent = traverse.audit_chains(c, g, budget=4)
+    assert sorted(r["paths"][1] for r in cut.collect()) == ["v0", "v1", "v2", "v3"]
+    assert tuple(spent.first()) == ("s", 4, True)
+    whole, spent = traverse.audit_chains(c, g, budget=None)
+    assert whole.count() == 10 and tuple(spent.first()) == ("s", 10, False)
+    s = symbols(spark, [("core", "function", "core-product"), *[(f"v{i}", "function", "verification") for i in range(9)]])
+    e = links(spark, [(f"v{i}", "calls", "core", "exact") for i in range(9)])
+    cut, spent = traverse.recursive_chains(s, e, budget=4)
+    assert sorted(r["symbol_ids"][1] for r in cut.collect()) == ["v0", "v1", "v2", "v3"] and spent.first()["truncated"]
+    calls = graph(spark, [("a", f"n{i}") for i in range(9)] + [("n0", "z")])
+    root = spark.createDataFrame([("s", "a")], "snapshot_id string, node string")
+    cut, spent = traverse.value_paths(calls, root, budget=4)
+    assert sorted((r["ids"][-1], r["complete"]) for r in cut.collect()) == [("n0", False), ("n1", True), ("n2", True), ("n3", True)] and spent.first()["truncated"]
+
+
+def test_registered_chains_have_no_budget(spark, monkeypatch):
+    """A star that passes every default budget: chains of all its points come back."""
+    n = 100_001
+    each = spark.range(n).select(F.lit("s").alias("snapshot_id"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("path"), F.lit("verification").alias("category"), F.lit(1).cast("long").alias("code_lines"))
+    app = spark.createDataFrame([("s", "app", "core-product", 1)], each.schema)
+    tables = {"components": each.union(app), "edges": each.select("snapshot_id", F.col("path").alias("src"), F.lit("app").alias("dst"))}
+    monkeypatch.setattr(graph_queries, "frame", lambda spark, sf, name: tables[name])
+    assert graph_queries.audit_chain_depth(spark, "").count() == 1
+    assert graph_queries.audit_chain_topk(spark, "").count() == 25
