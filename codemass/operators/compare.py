@@ -33,8 +33,10 @@ def inversion_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...]
 
 def deepest_chains(chains: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, signature, first, last): only the chains of greatest depth."""
-    over = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    deep = chains.withColumn("_max", F.max("depth").over(over)).where("depth = _max")
+    if keys:
+        deep = chains.withColumn("_max", F.max("depth").over(W.partitionBy(*keys))).where("depth = _max")
+    else:  # one row of the greatest depth, so that no task reads all chains
+        deep = chains.crossJoin(F.broadcast(chains.agg(F.max("depth").alias("_max")))).where("depth = _max")
     return deep.select(*keys, F.array_join("symbol_ids", " -> ").alias("signature"), F.element_at("symbol_ids", 1).alias("first"), F.element_at("symbol_ids", -1).alias("last")).distinct()
 
 

@@ -128,7 +128,7 @@ def semantic_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 def chain_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Two-step call chains of even orders against those of odd ones: added, removed and changed."""
-    pairs = frame(spark, sf, "pairs").where("a < 200")
+    pairs = frame(spark, sf, "pairs")
 
     def chains(rest: int) -> DataFrame:
         rows = pairs.where(F.col("b") % 3 != rest)

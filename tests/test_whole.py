@@ -67,3 +67,15 @@ def test_registered_chains_have_no_budget(spark, monkeypatch):
     monkeypatch.setattr(graph_queries, "frame", lambda spark, sf, name: tables[name])
     assert graph_queries.audit_chain_depth(spark, "").count() == 1
     assert graph_queries.audit_chain_topk(spark, "").count() == 25
+
+
+def test_chain_diff_compares_all_parts(spark, monkeypatch):
+    pairs = [(a, (a * 7 + k) % 900) for a in (3, 150, 200, 471, 899) for k in range(4)]
+    monkeypatch.setattr(graph_queries, "frame", lambda spark, sf, name: spark.createDataFrame(pairs, "a long, b long"))
+
+    def chains(rest):
+        return {f"s{a % 17} -> m{b} -> t{a % 5}" for a, b in pairs if b % 3 != rest}
+
+    got = graph_queries.chain_diff(spark, "").collect()
+    assert {r["before"] for r in got} - {None} == chains(0) - chains(1)
+    assert {r["after"] for r in got} - {None} == chains(1) - chains(0)
