@@ -67,13 +67,13 @@ def _content_hits() -> Column:
     return F.when(F.size("_found") > 0, F.concat(long, short)).otherwise(F.array().cast("array<string>"))
 
 
-def signals(files: DataFrame) -> DataFrame:
+def signals(files: DataFrame, *, head: int | None = HEAD) -> DataFrame:
     """(snapshot_id, path, category, weight, reason, seq): every rule's signal for each file, seq in rule order.
 
     The text is cut into words once; hits are columns before anything is made of them, so that no
-    test runs twice.
+    test runs twice.  Only the first ``head`` characters are read, as the reference does; None reads all.
     """
-    content = F.lower(F.substring("text", 1, HEAD))
+    content = F.lower("text" if head is None else F.substring("text", 1, head))
     base = files.select(SNAP, "path", "language", content.alias("_c"), tokens("path").alias("_t"))
     words = F.array_distinct(F.split("_c", r"(?U)\W+"))
     base = base.withColumn("_found", F.filter(words, lambda w: F.substring(w, 1, 4).isin(_BEGINS) | w.isin([p for p in _SINGLE if len(p) < 4])))
@@ -106,13 +106,13 @@ def signals(files: DataFrame) -> DataFrame:
     return found.select(SNAP, "path", F.explode(F.filter(made, lambda s: s["weight"].isNotNull())).alias("s")).select(SNAP, "path", "s.*")
 
 
-def classify(files: DataFrame, overrides: DataFrame | None = None, *, keep_signals: int = 8) -> DataFrame:
+def classify(files: DataFrame, overrides: DataFrame | None = None, *, keep_signals: int = 8, head: int | None = HEAD) -> DataFrame:
     """``files`` without text, with category, confidence and signals (the heaviest eight).
 
     The category of the best score holds; ties go to the category whose first signal comes first.  A file without any
     signal is unknown, at confidence 0.  ``overrides``: (prefix, category), see ``declared``.
     """
-    each = signals(files).groupBy(SNAP, "path", "category").agg(F.array_sort(F.collect_list(F.struct("seq", "weight", "reason"))).alias("_w"))
+    each = signals(files, head=head).groupBy(SNAP, "path", "category").agg(F.array_sort(F.collect_list(F.struct("seq", "weight", "reason"))).alias("_w"))
     score = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["weight"])
     score = F.when((F.col("category") == "testing") & (score >= 7), score + 4.0).otherwise(score)
     entry = F.struct((-score).alias("o"), F.col("_w")[0]["seq"].alias("first"), "category", score.alias("score"), F.col("_w").alias("w"))

@@ -70,7 +70,7 @@ def classify_argmax(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("docs").alias("snapshot_id"), F.concat(F.element_at(F.array(*map(F.lit, _FOLDERS)), (F.col("p_partkey") % len(_FOLDERS) + 1).cast("int")), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"),
         F.lit("python").alias("language"), F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("p_partkey") % len(_TEXTS) + 1).cast("int")).alias("text"),
     )
-    return classify.classify(docs.union(parts)).select("path", "category", F.round("confidence", 9).alias("confidence"), F.size("signals").alias("signals"))
+    return classify.classify(docs.union(parts), head=None).select("path", "category", F.round("confidence", 9).alias("confidence"), F.size("signals").alias("signals"))
 
 
 _FOLDERS = ("src/game", "tests", "docs", ".github/flows", "ui/views", "auditAuditor", "tools", "lib", "storage/cache", "validatorValidator", "telemetry", "release")
@@ -122,7 +122,7 @@ def module_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def target_names(spark: SparkSession, sf: str) -> DataFrame:
     """Names of conversation texts as call targets: normalised and shortened."""
-    t = frame(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("  new "), F.substring("text", 1, 60), F.lit("::Run(); ")).alias("t"), "text")
+    t = frame(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("  new "), F.col("text"), F.lit("::Run(); ")).alias("t"), "text")
     return t.select("conv_id", "turn", text.normal_target(F.translate("t", "\n", " ")).alias("target"), F.length(text.compact("text")).alias("n"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_core import components, graph, links, symbols
 
 from codemass.operators import traverse
-from codemass.plans import graph_queries, proxies
+from codemass.plans import graph_queries, proxies, text_queries
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +79,17 @@ def test_chain_diff_compares_all_parts(spark, monkeypatch):
     got = graph_queries.chain_diff(spark, "").collect()
     assert {r["before"] for r in got} - {None} == chains(0) - chains(1)
     assert {r["after"] for r in got} - {None} == chains(1) - chains(0)
+
+
+def test_whole_texts_are_read(spark, monkeypatch):
+    long = "word " * 30 + "Last.name"
+    talk = spark.createDataFrame([(1, 0, "user", long)], "conv_id long, turn int, role string, text string")
+    monkeypatch.setattr(text_queries, "frame", lambda spark, sf, name: talk)
+    assert text_queries.target_names(spark, "").first()["target"] == "Last.name.Run"
+    late = "x " * 70_000 + "audit report checker verification audit validate"
+    tables = {
+        "files": spark.createDataFrame([("docs", 1, "a.md", "c", late)], "snapshot_id string, doc_id long, path string, language string, text string"),
+        "part": spark.createDataFrame([], "p_partkey long, p_name string"),
+    }
+    monkeypatch.setattr(text_queries, "frame", lambda spark, sf, name: tables[name])
+    assert text_queries.classify_argmax(spark, "").first()["signals"] > 1
