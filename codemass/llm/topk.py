@@ -54,6 +54,7 @@ def pack_blocks(vectors: DataFrame, key: str, values: str, rows: int) -> DataFra
 class _Block:
     def __init__(self, ids: bytes, flat: bytes, n: int):
         self.ids = np.frombuffer(ids, np.int64)
+        self.repeats = len(np.unique(self.ids)) < n
         self.flat = np.frombuffer(flat, np.float64).reshape(-1, n)
         mass = self.flat**2
         rest = np.zeros((len(mass) + 1, n))
@@ -65,6 +66,7 @@ def best(queries: _Block, candidates: _Block, floor: np.ndarray, k: int) -> tupl
     """The pairs that may be among a query's k best: query rows, candidate rows, whole scores.
 
     floor: each query's k-th best score so far (raised here).  Scores below it are left out; equal ones are not.
+    An id that the block repeats counts once.
     """
     dims = len(queries.flat)
     first = queries.flat[:STEP].T @ candidates.flat[:STEP]
@@ -86,6 +88,12 @@ def best(queries: _Block, candidates: _Block, floor: np.ndarray, k: int) -> tupl
                 break
         stay = candidates.ids[alive] != queries.ids[q]
         alive, score = alive[stay], score[stay]
+        if candidates.repeats:
+            # an id has one place: its best score's
+            order = np.lexsort((-score, candidates.ids[alive]))
+            ids = candidates.ids[alive][order]
+            order = order[np.concatenate([[True], ids[1:] != ids[:-1]])] if len(ids) else order
+            alive, score = alive[order], score[order]
         if len(score) > k:
             # all that reach the k-th best, ties included
             low = np.partition(score, len(score) - k)[len(score) - k]
@@ -107,7 +115,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, key: str = "vec_
     Components become floor(scale * x).  Queries are the rows where ``is_query`` holds; candidates are all rows but
     the query's own id.  Vectors that are null, empty or hold a null or non-finite component take no part, nor does a
     null id; vectors of another length than the query's are not compared with it.  Of rows that repeat an id, each is
-    a candidate, but the result has an id once for each query.  An empty table gives an empty result.
+    a candidate, but the result has an id once for each query, with its best score.  An empty table gives an empty result.
 
     Blocks of queries meet blocks of candidates by an equi-join on one of ``shards`` numbers: each query block is
     sent to every shard, each candidate block to one.  By default a shard has about sixteen candidate blocks.
@@ -139,6 +147,6 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 10, key: str = "vec_
                 qi, ci, s = best(q, c, floor, k)
                 yield pa.RecordBatch.from_pydict({"query_id": q.ids[qi], "vec_id": c.ids[ci], "score": s.astype(np.int64)})
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long").distinct()
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
