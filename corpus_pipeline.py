@@ -35,12 +35,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs, net).where((F.col("lang_pred") != langid.UNKNOWN) | (F.lit(net.classes == [langid.UNKNOWN]) & F.col("text").rlike(r"\p{L}"))).select(*COLUMNS)
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with _row, a digest of the row's values: rows of one digest are the same in every column."""
+    digests = [F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-")) for c in COLUMNS]
+    return docs.select(*COLUMNS, F.sha2(F.concat_ws(",", *digests), 256).alias("_row"))
+
+
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate component the document of smallest doc_id; a row without doc_id stays."""
+    """Keeps one row of each near-duplicate component: that of smallest doc_id, rows without one last.
+
+    Rows that repeat a doc_id are judged each on their own; the digest of a row's values chooses among them.
+    """
     _small_batches(spark)
-    found = simhash.near_duplicates(docs).where("component_id is null or doc_id is null or doc_id = component_id")
-    keys = found.where("doc_id is not null").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(keys, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    rows = _named(docs)
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    found = simhash.near_duplicates(rows.select(name.alias("_name"), "text"), key="_name").where("_name <=> component_id")
+    keys = found.select(F.col("_name._row").alias("_row")).distinct()
+    return rows.join(keys, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +64,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes documents that hold a benchmark item."""
+    """Removes documents that hold a benchmark item; rows that repeat a doc_id or have none are judged each on their own."""
     _small_batches(spark)
-    leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    rows = _named(docs)
+    leaks = decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row")
+    return rows.join(leaks.select("_row").distinct(), "_row", "left_anti").select(*COLUMNS)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
