@@ -3,7 +3,8 @@
 1. Documents are tokenised where they lie and cut into pieces; a piece's length and checksum are its row.
 2. Only the histogram of lengths (at most ``capacity`` counts) goes to the driver.  Lengths are placed
    longest first; each goes to the open pattern with the most room (the shortest pack), and pattern counts
-   are updated instead of single packs.  What leaves patterns with room is filled by cutting shorter pieces.
+   are updated instead of single packs.  Room that no length fits stays padding: only what is longer than
+   ``capacity`` is cut.
 3. Every piece gets its rank among the pieces of its length (hashed sub-ranges of documents are counted
    first, so no task ranks one whole length), and patterns join back to pieces by length and rank.
 """
