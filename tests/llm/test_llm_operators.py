@@ -329,13 +329,6 @@ def test_html_extract(spark):
     assert got[4] == [""] and got[5] == [""] and got[6] == ["plain & text"]
 
 
-def test_shared_lines():
-    a, b = list("xaybzcq"), list("xbacyq")
-    found = htmltext.shared_lines(a, b)
-    assert "".join(a[i] for i in sorted(found)) in ("xabq", "xayq", "xbcq", "xacq") and len(found) == 4
-    assert htmltext.shared_lines([], b) == set() and htmltext.shared_lines(a, a) == set(range(7))
-
-
 def test_language_id(spark):
     rnd = random.Random(10)
     say = lambda words, n: " ".join(rnd.choice(words) for _ in range(n))
