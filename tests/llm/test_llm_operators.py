@@ -81,7 +81,7 @@ def test_word_ids_equal_the_library():
 def test_packing_places_every_id_once(spark, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = spark.createDataFrame(texts, DOCS)
-    rows = packing.pack(docs.where("doc_id is not null"), path, capacity=64).collect()
+    rows = packing.pack(docs, path, capacity=64).collect()
     words = packing.word_tokens(path)
     of, places = defaultdict(list), defaultdict(list)
     for r in rows:
