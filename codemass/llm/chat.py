@@ -1,14 +1,15 @@
 """Chat formatting by event-sourced reconstruction, in DataFrame functions only.
 
 A log of events is partitioned by conversation, sorted by sequence and folded into final messages:
-``message`` starts a message, ``delta`` appends streamed text to its message, ``edit`` replaces the text of
-an earlier message, and ``regenerate`` discards its message and all after it and starts that message anew.
+``message`` starts a message, ``delta`` appends streamed text to its turn's message, ``edit`` replaces that message's
+text, and ``regenerate`` discards all messages of its turn and later ones and starts its turn's message anew.
 The final messages are rendered under a template whose marks cannot occur inside an escaped text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: What the template is made of.  STRINGS are the strings that other templates use for control.
@@ -34,40 +35,40 @@ def unescape(text: Column) -> Column:
 def reconstruct(events: DataFrame, *, conversation: str = "conv_id", sequence: str = "seq") -> DataFrame:
     """Final messages of each conversation: conversation, messages array<struct<turn, role, text>> in turn order.
 
-    ``events`` has conversation, sequence, kind, turn, role and text.  Null text counts as empty, null kind as
-    ``message``, null role as "".  Events of equal sequence follow turn, role, then text.  Within a turn the last
-    message or regeneration holds; deltas and edits for a turn without a message start one.  Repeated message
-    rows of one turn without sequence order between them are kept as messages of their own.
+    ``events`` has conversation, sequence, kind, turn, role and text.  Null text counts as empty, null kind as ``message``,
+    null role as ""; a null turn comes before all others.  Events of equal sequence follow turn, role, text, then kind.  Every
+    ``message`` row is a message of its own, so repeated rows are kept, in the order of the log within a turn.  A delta or
+    an edit goes to its turn's latest message and starts one (with its role) where the turn has none, or has none
+    left after a regeneration.  A null conversation is one like others.
+
+    The log is shuffled once, by conversation; a fold is windows and grouped sums over sorted events, linear in them.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    event = F.struct(
-        F.col(sequence).alias("seq"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"),
-        text.alias("text"), F.coalesce("kind", F.lit("message")).alias("kind"),
+    e = events.select(
+        F.col(conversation).alias("_conv"), F.col(sequence).alias("_seq"), F.col("turn").cast("long").alias("_turn"),
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("_role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"),
+        F.coalesce(F.col("kind").cast("string"), F.lit("message")).alias("_kind"),
     )
-    log = events.groupBy(conversation).agg(F.array_sort(F.collect_list(event)).alias("log"))
-    part = "struct<turn:bigint,role:string,text:string>"
-    empty = F.expr(f"cast(array() as array<{part}>)")
-
-    def step(done: Column, e: Column) -> Column:
-        new = F.struct(e["turn"].alias("turn"), e["role"].alias("role"), e["text"].alias("text"))
-        there = F.exists(done, lambda m: m["turn"].eqNullSafe(e["turn"]))
-        changed = F.transform(
-            done,
-            lambda m: F.when(
-                m["turn"].eqNullSafe(e["turn"]),
-                F.struct(m["turn"].alias("turn"), m["role"].alias("role"), F.when(e["kind"] == "delta", F.concat(m["text"], e["text"])).otherwise(e["text"]).alias("text")),
-            ).otherwise(m),
-        )
-        return (
-            F.when((e["kind"] == "message") | ~there, F.concat(done, F.array(new)))
-            .when(e["kind"] == "regenerate", F.concat(F.filter(done, lambda m: m["turn"] < e["turn"]), F.array(new)))
-            .otherwise(changed)
-        )
-
-    plain = F.transform("log", lambda e: F.struct(e["turn"].alias("turn"), e["role"].alias("role"), e["text"].alias("text")))
-    folded = F.aggregate("log", empty, step)
-    only_messages = F.forall("log", lambda e: e["kind"] == "message")
-    return log.select(conversation, F.when(only_messages, plain).otherwise(folded).alias("messages"))
+    e = e.withColumn("_n", F.row_number().over(W.partitionBy("_conv").orderBy("_seq", "_turn", "_role", "_text", "_kind")))
+    # a regeneration discards what came before it in its own turn and in later turns
+    upto = W.partitionBy("_conv").orderBy("_turn").rangeBetween(W.unboundedPreceding, W.currentRow)
+    e = e.withColumn("_cut", F.max(F.when(F.col("_kind") == "regenerate", F.col("_n"))).over(upto)).where("_cut is null or _n >= _cut")
+    by = W.partitionBy("_conv", "_turn").orderBy("_n")
+    start = F.col("_kind").isin("message", "regenerate") | (F.row_number().over(by) == 1)
+    e = e.withColumn("_start", start)
+    so_far = by.rowsBetween(W.unboundedPreceding, W.currentRow)
+    e = e.withColumns({
+        "_message": F.sum(F.col("_start").cast("long")).over(so_far),
+        "_reset": F.sum((F.col("_start") | (F.col("_kind") == "edit")).cast("long")).over(so_far),
+    })
+    # the text since a start or an edit, then each message's latest such text
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_text"))), lambda x: x["_text"]), "")
+    texts = e.groupBy("_conv", "_turn", "_message", "_reset").agg(F.min("_n").alias("_n"), F.min_by("_role", "_n").alias("_role"), joined.alias("_text"))
+    done = texts.groupBy("_conv", "_turn", "_message").agg(
+        F.min("_n").alias("_n"), F.min_by("_role", "_n").alias("_role"), F.max_by("_text", "_reset").alias("_text")
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("_turn", "_n", "_role", "_text")))
+    plain = F.transform(ordered, lambda m: F.struct(m["_turn"].alias("turn"), m["_role"].alias("role"), m["_text"].alias("text")))
+    return done.groupBy("_conv").agg(plain.alias("messages")).withColumnRenamed("_conv", conversation)
 
 
 def render(messages: DataFrame, column: str = "messages") -> DataFrame:
