@@ -114,8 +114,10 @@ def automaton():
 def scan_words(normal: str, raw: str) -> tuple[int, int | None, int | None, str, str, float, list[tuple[int, str]]]:
     """Of a text as ' word word ... ': base places, first and last start, base labels, labels, score, all places."""
     places, own, tagged = [], set(), False
+    words = at = 0  # words that have ended before ``at``
     for end, (phrase, label) in automaton().iter(normal):
-        places.append((normal.count(" ", 0, end - len(phrase)) - 1, phrase))
+        words, at = words + normal.count(" ", at, end), end
+        places.append((words - phrase.count(" ") - 1, phrase))
         if phrase == TAG:
             tagged = True
         else:
