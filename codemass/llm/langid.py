@@ -160,8 +160,8 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", key:
     """A network fitted on at most ``docs`` documents of each label, those of least hashed key and text.
 
     The sample is bounded, so only it goes to the driver: SAMPLE_WINDOWS windows spread over each sampled text.
-    Rows with null text or label, or text without letters, teach nothing.  Without any labelled row the network
-    has the single class ``und``.
+    Rows with null text or label, or text without letters, teach nothing.  Rows of null or repeated keys are drawn by their
+    text; rows of one key and text are alike and drawn together.  Without any labelled row the network has the single class ``und``.
     """
     usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
     size = F.length(F.col(text))
@@ -169,7 +169,8 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", key:
         F.encode(F.substring(F.col(text), (F.lit(1) + F.floor(F.greatest(size - WINDOW, F.lit(0)) * i / max(1, SAMPLE_WINDOWS - 1))).cast("int"), F.lit(WINDOW)), "utf-8")
         for i in range(SAMPLE_WINDOWS)
     ])
-    order = F.xxhash64(F.col(key).cast("string"), F.lit("language sample"))
+    # the text takes part, so that rows without a key, or of one key, are drawn one by one
+    order = F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("language sample"))
     # a pass over the labels gives each one's chance; the texts are read again for the few that are drawn
     least = usable.groupBy(F.col(label).alias("_l")).agg(F.count("*").alias("_n"))
     counts = {r["_l"]: r["_n"] for r in least.collect()}
@@ -179,7 +180,11 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", key:
     for name, n in counts.items():
         chance = F.when(F.col(label) == name, F.lit(min(1.0, 1.5 * docs / n))).otherwise(chance)
     unit = (F.shiftrightunsigned(order, 11).cast("double")) / float(1 << 53)
-    rows = usable.where(unit < chance).select(F.col(label).alias("label"), order.alias("o"), spread.alias("w")).orderBy("o", "label").limit(2 * docs * len(counts)).collect()
+    told = usable.select(F.col(label).alias("label"), order.alias("o"), unit.alias("u"), chance.alias("c"), spread.alias("w"))
+    rows = told.where("u < c").drop("u", "c").orderBy("o", "label").limit(2 * docs * len(counts)).collect()
+    # copies are drawn together or not at all: labels that went without are drawn by least hash
+    for name in sorted(set(counts) - {r["label"] for r in rows}):
+        rows += told.where(F.col("label") == name).drop("u", "c").orderBy("o").limit(docs).collect()
     classes = sorted(counts)
     taken = dict.fromkeys(classes, 0)
     xs, ys = [], []

@@ -305,6 +305,17 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_long_license_texts_are_linear(spark):
+    import time
+
+    text = "mit license and more words, " * 200_000
+    docs = spark.createDataFrame([(1, text, 5, "x")], "doc_id long, text string, N_WORDS int, labels string")
+    began = time.time()
+    row = licenses.scan_licenses(docs).first()
+    assert (row["n_base"], row["first_word"], row["last_word"]) == (200_000, 0, 5 * 199_999) and row["n_words"] == 1_000_000
+    assert time.time() - began < 20 and licenses.scan_licenses(docs).columns.count("labels") == 1
+
+
 def test_license_expressions():
     assert licenses.evaluate("MIT OR Apache-2.0") == ({"mit", "apache"}, frozenset())
     assert licenses.evaluate("MIT AND Apache-2.0") == ({"mit", "apache"}, {"mit", "apache"})
@@ -384,3 +395,31 @@ def test_chat_folds_events(spark):
     assert got == {1: [("user", "hey"), ("assistant", "ho!")], 2: [("assistant", "a"), ("user", "")]}
 
 
+@pytest.mark.parametrize("key", ["null", "7", "null and one text"])
+def test_language_rows_without_keys_teach(spark, key):
+    rows = [(None if "null" in key else 7, f"lorem ipsum {i if 'one' not in key else ''} dolor", "aa") for i in range(3000)]
+    rows += [(None, f"forêt été {i}", "bb") for i in range(50)]
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), docs=60)
+    assert net.classes == ["aa", "bb"]
+    told = langid.identify(spark.createDataFrame([(1, "lorem dolor ipsum"), (2, "été forêt"), (3, None), (3, None)], "doc_id long, text string"), net)
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in told.collect()) == [(1, "aa"), (2, "bb"), (3, "und"), (3, "und")]
+
+
+def test_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "abc", None), (2, "12", "aa"), (3, None, "aa")], "doc_id long, text string, lang string")
+    net = langid.train(docs)
+    assert net.classes == ["und"] and {r["lang_pred"] for r in langid.identify(docs, net).collect()} == {"und"}
+    assert langid.train(docs.limit(0)).classes == ["und"]
+
+
+def test_language_accuracy_on_held_out_documents(spark):
+    import os
+
+    from codemass.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{folder}/documents.parquet"):
+        pytest.skip("the given tables are not here")
+    told = queries.op9_language_id(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    right, n = told.where("lang is not null and lang_pred <> 'und'").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
+    assert n > 100 and right > 0.97, (right, n)
