@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +24,9 @@ RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Bits in each of the five groups.
 GROUPS = (13, 13, 13, 13, 12)
 #: A bucket with more fingerprints is dealt out as pairs of sub-blocks of about this size.
-BLOCK = 4096
+BLOCK = 8192
+#: One with still more is cut by the bits that its own do not tell, in five groups again.
+HOT, SUB_GROUPS = 8 * BLOCK, (8, 8, 8, 8, 8)
 _LANES = np.uint64(0x0101010101010101)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -93,37 +95,59 @@ def planes(fps: np.ndarray) -> np.ndarray:
 
 
 def near(queries: np.ndarray, vertical: np.ndarray) -> np.ndarray:
-    """For each query, the packed mask of fingerprints at most three bits away (padding included)."""
-    shape = (len(queries), vertical.shape[1])
-    ones, twos, beyond = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)
+    """For each query, the packed mask of fingerprints at most three bits away (padding included).
+
+    A word of 64 fingerprints is a block: it is abandoned as soon as all of it is beyond, for all queries.
+    """
+    found = np.zeros((len(queries), vertical.shape[1]), np.uint64)
+    words = np.arange(vertical.shape[1])
+    ones, twos, beyond = (np.zeros_like(found) for _ in range(3))
     for p in range(64):
         flip = np.where((queries >> np.uint64(p)) & np.uint64(1), _ALL, np.uint64(0))
-        x = vertical[p][None, :] ^ flip[:, None]
+        x = vertical[p][None, words] ^ flip[:, None]
         carry = ones & x
         ones ^= x
         beyond |= twos & carry
         twos ^= carry
-        if p % 8 == 7 and (beyond == _ALL).all():
-            break
-    return ~beyond
+        if p % 8 == 7:
+            live = (beyond != _ALL).any(0)
+            if not live.all():
+                words = words[live]
+                if not len(words):
+                    return found
+                ones, twos, beyond = ones[:, live], twos[:, live], beyond[:, live]
+    found[:, words] = ~beyond
+    return found
 
 
 def group_roots(fps: np.ndarray) -> np.ndarray:
-    """Of different fingerprints: for each the first one of its component, links being at most three bits."""
+    """Of different fingerprints: for each the first one of its component, links being at most three bits.
+
+    The planes are packed once; each fingerprint is a query once, in batches of 64, against those from its batch on.
+    """
     n = len(fps)
-    root = np.full(n, -1)
-    left = np.arange(n)
-    while len(left):
-        seed, front, left = left[0], left[:1], left[1:]
-        root[seed] = seed
-        while len(front) and len(left):
-            some, front = front[:64], front[64:]
-            mask = np.bitwise_or.reduce(near(fps[some], planes(fps[left])), axis=0)
-            hit = np.unpackbits(mask.view(np.uint8), bitorder="little")[: len(left)].astype(bool)
-            new, left = left[hit], left[~hit]
-            root[new] = seed
-            front = np.concatenate([front, new])
-    return root
+    vertical, parent = planes(fps), np.arange(n)
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for at in range(0, n, 64):
+        batch = fps[at : at + 64]
+        mask = near(batch, vertical[:, at // 64 :])
+        query, word = np.nonzero(mask)
+        bits = np.unpackbits(mask[query, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        row, bit = np.nonzero(bits)
+        a, b = at + query[row], at + 64 * word[row] + bit
+        real = b < n
+        # copies of one link between known components are one
+        pairs = np.unique(np.stack([parent[a[real]], parent[b[real]]], 1), axis=0)
+        for x, y in pairs[pairs[:, 0] != pairs[:, 1]].tolist():
+            x, y = top(x), top(y)
+            parent[max(x, y)] = min(x, y)
+    return np.array([top(i) for i in range(n)], np.int64)
 
 
 def small_roots(fps: np.ndarray, group: np.ndarray, widest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,19 +164,41 @@ def small_roots(fps: np.ndarray, group: np.ndarray, widest: int) -> tuple[np.nda
     return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
 
 
+def _pairs_of(value: Column, groups: tuple[int, ...]) -> list[tuple[int, int, Column]]:
+    """For each pair of bit groups: their numbers, and the bits of both as one number."""
+    at = np.concatenate([[0], np.cumsum(groups)])
+    part = [F.shiftrightunsigned(value, int(a)).bitwiseAND(F.lit((1 << g) - 1).cast("long")) for a, g in zip(at, groups, strict=False)]
+    return [(i, j, F.shiftleft(part[i], max(groups)) + part[j]) for i, j in combinations(range(len(groups)), 2)]
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """``rows`` of buckets (t, key) that hold more than one, with n, how many."""
+    return rows.join(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), ["t", "key"])
+
+
 def links(different: DataFrame) -> DataFrame:
     """Links (a, b) that have the components of all pairs of fingerprints at most three bits apart.
 
     ``different``: fp, each once.  A bucket of n fingerprints in sub-blocks gives at most n links a pair of
-    sub-blocks, never all its pairs.
+    sub-blocks, never all its pairs.  The members of a bucket of more than HOT go to ten buckets each by the bits that
+    the bucket leaves open, as they can differ in three of those at most.
     """
-    at = np.concatenate([[0], np.cumsum(GROUPS)])
-    part = [F.shiftrightunsigned("fp", int(a)).bitwiseAND(F.lit((1 << g) - 1)) for a, g in zip(at, GROUPS, strict=False)]
-    keys = [F.struct(F.lit(t).alias("t"), (F.shiftleft(part[i], 13) + part[j]).alias("key")) for t, (i, j) in enumerate(combinations(range(5), 2))]
-    rows = different.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.t", "k.key")
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / BLOCK).cast("long")
-    dealt = rows.join(sizes, ["t", "key"]).withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64("fp"), F.col("_parts")))
+    keys = [F.struct(F.lit(t).alias("t"), key.alias("key")) for t, (_, _, key) in enumerate(_pairs_of(F.col("fp"), GROUPS))]
+    rows = _counted(different.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.t", "k.key"))
+    at, rest = np.concatenate([[0], np.cumsum(GROUPS)]), F.lit(0).cast("long")
+    for t, pair in enumerate(combinations(range(5), 2)):
+        value, used = F.lit(0).cast("long"), 0
+        for g in sorted(set(range(5)) - set(pair)):
+            value += F.shiftleft(F.shiftrightunsigned("fp", int(at[g])).bitwiseAND(F.lit((1 << GROUPS[g]) - 1).cast("long")), used)
+            used += GROUPS[g]
+        rest = F.when(F.col("t") == t, value).otherwise(rest)
+    subs = [
+        F.struct((F.lit(10) + F.col("t") * 10 + s).alias("t"), (F.shiftleft("key", 16) + key).alias("key"))
+        for s, (_, _, key) in enumerate(_pairs_of(F.col("rest"), SUB_GROUPS))
+    ]
+    hot = rows.where(F.col("n") > HOT).withColumn("rest", rest).select("fp", F.explode(F.array(*subs)).alias("k")).select("fp", "k.t", "k.key")
+    rows = rows.where(F.col("n") <= HOT).select("fp", "t", "key", "n").unionByName(_counted(hot).select("fp", "t", "key", "n"))
+    dealt = rows.withColumn("_parts", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("_own", F.pmod(F.xxhash64("fp"), F.col("_parts")))
     dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
     # a sub-block needs no visit of its own where it meets others
     dealt = dealt.where("_parts = 1 or _own <> _with").select("fp", "t", "key", F.least("_own", "_with").alias("lo"), F.greatest("_own", "_with").alias("hi"))
