@@ -29,8 +29,10 @@ from codemass.llm.frames import free_name
 WINDOW, GRAM = 13, 5
 #: Windows of a segment at most.
 RUN = 64
-#: Documents of a block on average, and the bounded sample that finds very frequent minimizers.
-BLOCK_DOCS, SAMPLE_DOCS, FREQUENT = 1024, 4096, 12
+#: Documents and UTF-8 bytes of a block at most, on average.
+BLOCK_DOCS, BLOCK_BYTES = 8192, 2 << 20
+#: The sample that finds very frequent minimizers, how many of its documents have one, and the most that are broadcast.
+SAMPLE_DOCS, FREQUENT, FREQUENT_MOST = 4096, 12, 1 << 18
 
 
 def lowest_grams(words: np.ndarray, window: int) -> np.ndarray:
@@ -183,27 +185,50 @@ def _flat(column: pa.ChunkedArray | pa.Array, kind: type) -> tuple[np.ndarray, n
 
 
 def _frequent(known: DataFrame, key: str, text: str, total: int) -> np.ndarray:
-    """Minimizers of FREQUENT documents or more among about SAMPLE_DOCS (least hashed keys); sorted."""
+    """Minimizers of FREQUENT documents or more among about SAMPLE_DOCS (least hashes), the most frequent; sorted."""
     modulus = max(1, total // SAMPLE_DOCS)
-    sample = known.where(F.pmod(F.xxhash64(F.col(key), F.lit("frequent")), F.lit(modulus)) == 0)
-    rows = sample.mapInArrow(_minimizers(key, text, None), "low long, doc long").distinct().groupBy("low").count().where(F.col("count") >= FREQUENT)
-    return np.sort(np.array([r["low"] for r in rows.select("low").collect()], np.int64).view(np.uint64))
+    sample = known.where(F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit("frequent")), F.lit(modulus)) == 0)
+    counted = sample.mapInArrow(_minimizers(key, text, None), "low long, doc long, _block int").select("low", "doc").distinct().groupBy("low").count()
+    rows = counted.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "low").limit(FREQUENT_MOST).select("low").collect()
+    return np.sort(np.array([r["low"] for r in rows], np.int64).view(np.uint64))
 
 
 def _minimizers(key: str, text: str, shared):
     def run(batches):
         frequent = shared.value if shared else np.zeros(0, np.uint64)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            ids, block = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (key, "_block"))
             for r0, _, raw, offs in X.chunks(batch.column(batch.schema.get_field_index(text))):
                 s = Segments(raw, offs, frequent)
                 new = ~s.often
                 if new.any():
-                    yield pa.RecordBatch.from_pydict({"low": s.low[new].view(np.int64), "doc": ids[r0 + s.row[new]].astype(np.int64)})
+                    row = r0 + s.row[new]
+                    yield pa.RecordBatch.from_pydict({"low": s.low[new].view(np.int64), "doc": ids[row].astype(np.int64), "_block": block[row].astype(np.int32)})
 
     return run
 
 
+def _untouched(docs: DataFrame, names: list[str], text: str, schema: T.StructType) -> DataFrame:
+    """Rows that no other judges, with all their words."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            count, kept = [], []
+            for _, _, raw, offs in X.chunks(batch.column(batch.schema.get_field_index(text))):
+                starts, ends, first = X.spans(raw, offs, X.NON_SPACE)
+                data, to = X.spaced(raw, starts, ends)
+                data, bounds = data.tobytes(), to[first].tolist()
+                count += np.diff(first).tolist()
+                kept += [data[a : max(a, b - 1)].decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            arrays = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            arrays += [pa.array(count, pa.int64()), pa.array([0] * len(count), pa.int64()), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+
+    return docs.select(*names).mapInArrow(run, schema)
+
+
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_removed and kept (the words left, one space apart), each row's whole text judged.
 
@@ -212,39 +237,38 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     no row before it, so such a row keeps its words.  Rows of equal key do not judge one another.  Row order is not kept.
     Input columns with a result's name are replaced.  Words are compared by 32-bit codes of 64-bit hashes within shards
     of equal minimizer, so a false match needs 13 colliding words in a row.
+
+    Blocks and shards are as many as the corpus's rows and bytes ask for.  A row's block follows its key and text, so rows of
+    one key lie in many blocks; only copies that agree in both lie in one.
     """
     spark = docs.sparkSession
     new = {"n_words", "n_removed", "kept"}
     keep = [f for f in docs.schema.fields if f.name.lower() not in new]
-    total = docs.count()
-    n_blocks = max(1, -(-total // BLOCK_DOCS))
-    known = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), text)
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    n_blocks = max(1, -(-total // BLOCK_DOCS), -(-size // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64(F.col(key).cast("long"), F.col(text)), F.lit(n_blocks)).cast("int")
+    known = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), text, block.alias("_block"))
     shared = spark.sparkContext.broadcast(_frequent(known, key, text, total))
-    block = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(n_blocks)).cast("int")
 
-    rows = known.mapInArrow(_minimizers(key, text, shared), "low long, doc long").repartition("low")
+    rows = known.mapInArrow(_minimizers(key, text, shared), "low long, doc long, _block int").repartition("low")
     by = W.partitionBy("low")
     several = rows.withColumns({"_a": F.min("doc").over(by), "_b": F.max("doc").over(by)}).where("_a < _b")
-    wanted = several.select(block(F.col("doc")).alias("_block"), "low")
+    wanted = several.select("_block", "low")
 
-    # rows without a key are dealt out by their texts: they judge nothing and are judged by nothing
     own = free_name(docs, "_block")
-    dealt = docs.select([f.name for f in keep]).withColumn(own, block(F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text)))))
+    dealt = docs.where(F.col(key).isNotNull()).select([f.name for f in keep]).withColumn(own, block)
 
     def segments(table: pa.Table, lows: pa.Table) -> pa.Table:
         want = np.unique(lows.column("low").to_numpy().view(np.uint64)) if lows.num_rows else np.zeros(0, np.uint64)
         parts = []
         if table.num_rows:
             number = table.column(own)[0].as_py()
-            ids = table.column(key).combine_chunks()
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = table.column(key).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
             for r0, _, raw, offs in X.chunks(table.column(text).combine_chunks()):
                 s = Segments(raw, offs, shared.value)
                 use = s.often.copy()
                 if len(want) and len(s.low):
                     use |= want[np.minimum(np.searchsorted(want, s.low), len(want) - 1)] == s.low
-                use &= ~null[r0 + s.row] if len(s.row) else use
                 h, size, doc, word = s.hash[use], s.size[use] + WINDOW - 1, ids[r0 + s.row[use]], s.word[use]
                 shard = np.where(s.often[use], h, s.low[use]) % np.uint64(n_blocks)
                 codes = (s.words >> np.uint64(32)).astype(np.uint32)
@@ -295,9 +319,7 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
         if not table.num_rows:
             return to_arrow_schema(schema).empty_table()
-        ids = table.column(key).combine_chunks()
-        null = ids.is_null().to_numpy(zero_copy_only=False)
-        ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = table.column(key).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
         flat, size = _flat(marks.column("least"), np.int64) if marks.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         h = marks.column("h").to_numpy() if marks.num_rows else np.zeros(0, np.int64)
         # parts of a block's text may have sent the same segment each; their answers are alike
@@ -310,7 +332,7 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
             if len(h) and len(s.hash):
                 own = s.hash.view(np.int64)
                 k = np.minimum(np.searchsorted(h, own), len(h) - 1)
-                hit = np.flatnonzero((h[k] == own) & ~null[r0 + s.row] & (size[k] == s.size))
+                hit = np.flatnonzero((h[k] == own) & (size[k] == s.size))
                 k = k[hit]
                 least = flat[X.ranges(begin[k], size[k])]
                 gone = X.ranges(s.word[hit], size[k])[least < np.repeat(ids[r0 + s.row[hit]], size[k])]
@@ -329,4 +351,5 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         arrays = [table.column(c).combine_chunks() for c in names] + [pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), pa.array(kept, pa.string())]
         return pa.Table.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    return dealt.groupBy(own).cogroup(found.groupBy("_block")).applyInArrow(delete, schema)
+    judged = dealt.groupBy(own).cogroup(found.groupBy("_block")).applyInArrow(delete, schema)
+    return judged.unionByName(_untouched(docs.where(F.col(key).isNull()), names, text, schema))

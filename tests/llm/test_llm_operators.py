@@ -134,6 +134,7 @@ def brute_substring(rows: list[tuple]) -> dict:
 @pytest.mark.parametrize(("block", "sample"), [(1024, 4096), (8, 20)])
 def test_substring_dedup_equals_brute_force(spark, texts, monkeypatch, block, sample):
     monkeypatch.setattr(substring, "BLOCK_DOCS", block)
+    monkeypatch.setattr(substring, "FREQUENT_MOST", 5)
     monkeypatch.setattr(substring, "SAMPLE_DOCS", sample)
     monkeypatch.setattr(substring, "FREQUENT", 3)
     docs = spark.createDataFrame(texts, DOCS).repartition(5)
@@ -141,6 +142,16 @@ def test_substring_dedup_equals_brute_force(spark, texts, monkeypatch, block, sa
     assert got == brute_substring(texts)
 
 
+def test_substring_dedup_of_hot_keys_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 20_000)
+    rnd = random.Random(15)
+    long = prose(rnd, 20_000)
+    rows = [(7, prose(rnd, 30)) for _ in range(200)] + [(None, None)] * 50 + [(8, None)] * 50 + [(1, long), (2, long + "x"), (7, long), (3, long[300:9000])]
+    done = substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in done.collect()), key=str)
+    assert got == brute_substring(rows)
+
+
 def test_substring_dedup_empty_table(spark):
     done = substring.deduplicate(spark.createDataFrame([], DOCS + ", kept int"))
     assert done.count() == 0 and done.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_words", "n_removed", "kept"]
@@ -209,9 +220,10 @@ def test_simhash_equals_brute_force(spark, texts):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [4096, 20])
-def test_links_of_dense_groups(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(8192, 65536), (20, 160), (20, 30)])
+def test_links_of_dense_groups(spark, monkeypatch, block, hot):
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HOT", hot)
     rnd = random.Random(6)
     centre = rnd.getrandbits(64)
     fps = {centre ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 3))) for _ in range(150)} | {rnd.getrandbits(64) for _ in range(100)}
@@ -221,6 +233,50 @@ def test_links_of_dense_groups(spark, monkeypatch, block):
     assert found.select("root").distinct().count() == 1
 
 
+@pytest.mark.parametrize(("block", "hot"), [(8192, 65536), (16, 24)])
+def test_links_within_hot_buckets(spark, monkeypatch, block, hot):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rnd = random.Random(16)
+    # all agree in two groups, so each pair meets in one bucket; chains of three bits cross the others
+    fps = {0}
+    while len(fps) < 400:
+        f = rnd.choice(sorted(fps)) ^ sum(1 << b for b in rnd.sample(range(26, 64), rnd.choice([3, 3, 4, 5])))
+        fps.add(f)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = {r["node"]: r["root"] for r in simhash.connected(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect()}
+    parent = {f: f for f in signed}
+
+    def top(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for i, a in enumerate(signed):
+        for b in signed[i + 1 :]:
+            if ((a ^ b) % (1 << 64)).bit_count() <= 3:
+                a_top, b_top = top(a), top(b)
+                parent[max(a_top, b_top)] = min(a_top, b_top)
+    assert {f: nodes.get(f, f) for f in signed} == {f: top(f) for f in signed}
+
+
+def test_group_roots_are_components():
+    rnd = np.random.default_rng(3)
+    for n in (1, 2, 63, 64, 65, 400):
+        fps = np.unique(rnd.integers(0, 1 << 13, n, dtype=np.uint64) * np.uint64(0x11001))
+        rnd.shuffle(fps)
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+        want = np.full(len(fps), -1)
+        for i in range(len(fps)):
+            front = [i] if want[i] < 0 else []
+            while front:
+                k = front.pop()
+                if want[k] < 0:
+                    want[k] = i
+                    front += np.flatnonzero(near[k]).tolist()
+        assert (simhash.group_roots(fps) == want).all()
+
+
 def test_near_counts_bits():
     rnd = np.random.default_rng(7)
     fps = rnd.integers(0, 1 << 63, 200, dtype=np.uint64)
