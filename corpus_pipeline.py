@@ -14,13 +14,13 @@ from codemass.llm import decontaminate, frames, langid, packing, simhash, substr
 from codemass.llm.queries import tokenizer_path
 
 #: Rows of an Arrow batch: documents are some KB each, so a batch stays at some MB in the JVM and in Python.
-BATCH_ROWS = 2000
+BATCH_ROWS, BATCH_KEY = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches for the stages that follow."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds the session's Arrow batches until the stage's result is written; ``run`` restores what was set before."""
+    spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     kept = F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))
     net = langid.train(docs.where(~kept))
-    return langid.identify(docs, net).where((F.col("lang_pred") != langid.UNKNOWN) | (F.lit(net.classes == [langid.UNKNOWN]) & F.col("text").rlike(r"\p{L}"))).select(*COLUMNS)
+    nothing_learned = F.lit(net.classes == [langid.UNKNOWN]) & F.col("text").rlike(r"\p{L}")
+    return langid.identify(docs, net).where((F.col("lang_pred") != langid.UNKNOWN) | nothing_learned).select(*COLUMNS)
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -89,12 +90,27 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written to the shared folder and read again."""
+    """All stages over the documents of ``sf_dir``, each written to the shared folder and read again.
+
+    A stage's folder goes once the next is written; the last one stays for the returned frame.  The session's settings
+    are as before when it returns.
+    """
     folder = f"{frames.ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    docs, last, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None, spark.conf.get(BATCH_KEY)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            out = f"{folder}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(out)
+            docs = spark.read.parquet(out)
+            if last:
+                _remove(spark, last)
+            last = out
+    finally:
+        spark.conf.set(BATCH_KEY, before)
     return docs
