@@ -332,7 +332,8 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     sorted_url = F.when(host != "", F.concat(host, F.lit("\x00"), path))
     own = F.xxhash64(F.col(key), F.col(html))
     order = checkpointed(pages.select(sorted_url.alias("_u"), own.alias("_h")))
-    count = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), order.count() // 20_000)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = ranges or max(usual, order.count() // 20_000)
     edges = _edges(order.where("_u is not null"), count)
     shared = spark.sparkContext.broadcast(([e[0] for e in edges], dict(_ghosts(edges))))  # some URLs for each range
 
@@ -354,7 +355,7 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     rows = pages.select(*names, html, sorted_url.alias(by[1]), own.alias(by[2]))
     rows = rows.withColumn(by[0], F.explode(targets(by[1], by[2])))
     half = F.floor(F.col(by[0]) / 2)
-    dealt = rows.repartition(half).sortWithinPartitions(half, *by[1:], by[0])
+    dealt = (rows.repartition(count, half) if count > usual else rows.repartition(half)).sortWithinPartitions(half, *by[1:], by[0])
     schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
