@@ -122,13 +122,18 @@ def _chains(front: DataFrame, back: DataFrame, snapshots: DataFrame, max_depth:
 
 
 def top_chains(chains: DataFrame, components: DataFrame, *, keep: int = 25) -> DataFrame:
-    """The deepest chains (then of most lines, then by path), without those that begin a longer one; a top-k report."""
+    """The deepest chains (then of most lines, then by path), without those that begin a longer one; a top-k report.
+
+    ``chains`` has the beginnings of its chains, as the traversals give them, so a chain begins another if it does one
+    that is a step longer.  Where the deepest level alone fills the report, only that is looked at.
+    """
+    levels = chains.groupBy(SNAP, "depth").agg(F.count("*").alias("_n")).groupBy(SNAP).agg(F.max(F.struct("depth", "_n")).alias("_last"))
+    chains = chains.join(levels, SNAP).where((F.col("_last._n") < keep) | (F.col("depth") == F.col("_last.depth"))).drop("_last")
     lines = components.select(SNAP, F.col("path").alias("_node"), "code_lines")
     text = F.array_join("paths", "\x1f")
     each = chains.withColumn("_chain", text)
     sums = each.select(SNAP, "_chain", F.explode("paths").alias("_node")).join(lines, [SNAP, "_node"]).groupBy(SNAP, "_chain").agg(F.sum("code_lines").alias("total_lines"))
-    longer = chains.where("depth >= 2").select(SNAP, "paths", F.explode(F.sequence(F.lit(2), F.col("depth"))).alias("_n"))
-    begins = longer.select(SNAP, F.array_join(F.slice("paths", F.lit(1), F.col("_n")), "\x1f").alias("_chain")).distinct()
+    begins = chains.where("depth >= 2").select(SNAP, F.array_join(F.slice("paths", F.lit(1), F.col("depth")), "\x1f").alias("_chain")).distinct()
     left = each.join(begins, [SNAP, "_chain"], "left_anti").join(sums, [SNAP, "_chain"], "left")
     order = W.partitionBy(SNAP).orderBy(F.desc("depth"), F.desc("total_lines"), "paths")
     return left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).drop("_chain")

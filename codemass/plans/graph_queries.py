@@ -34,11 +34,19 @@ def audit_chain_depth(spark: SparkSession, sf: str) -> DataFrame:
     return chains.groupBy("root").agg(F.max("depth").alias("max_depth"))
 
 
+def _levels(first: str, grow: str, depth: int) -> str:
+    """A traversal in SQL, a level after another: l0, l1, ... as ``first`` and ``grow`` of the level before."""
+    return ",\n".join([f" l0 as ({first})", *(f" l{i} as ({grow.format(f'l{i - 1}')})" for i in range(1, depth + 1))])
+
+
 _WALKS = f"""
-with recursive e as (select distinct src, dst from {{edges}}), k as (select path, category, code_lines from {{components}}),
- w(root, node, paths) as (select path, path, [path] from k where category in {_in(PRODUCT)}
-  union all select root, e.src, list_append(paths, e.src) from w join e on e.dst = w.node join k on k.path = e.src and k.category in {_in(RECURSIVE)} where not list_contains(paths, e.src) and len(paths) <= 8),
- c as (select root, paths, len(paths) - 1 depth from w where len(paths) > 1)"""
+with e as (select distinct src, dst from {{edges}}), k as (select path, category, code_lines from {{components}}),
+""" + _levels(
+    f"select path root, path node, [path] paths from k where category in {_in(PRODUCT)}",
+    "select root, e.src node, list_append(paths, e.src) paths from (select root, node, min(paths) paths from {} group by root, node) m join e on e.dst = m.node "
+    f"join k on k.path = e.src and k.category in {_in(RECURSIVE)} where not list_contains(paths, e.src)",
+    8,
+) + ", c as (" + " union all ".join(f"select root, paths, {i} depth from l{i}" for i in range(1, 9)) + ")"
 
 
 def audit_chain_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,6 +80,17 @@ def recursive_chain_depth(spark: SparkSession, sf: str) -> DataFrame:
     return chains.groupBy("root").agg(F.max("depth").alias("max_depth"), F.count("*").alias("chains"))
 
 
+_CALLERS = f"""
+with k as (select id, category, kind from {{symbols}}), e as (select a, b, edge_seq from {_EXACT} where kind <> 'contains'),
+""" + _levels(
+    f"select id root, id node, [id] ids, []::bigint[] seqs, false emit from k where category in {_in(PRODUCT)} and kind <> 'file'",
+    "select root, e.a node, list_append(ids, e.a) ids, list_append(seqs, edge_seq) seqs, "
+    f"k.category in {_in(RECURSIVE)} emit from (select root, node, arg_min(ids, seqs) ids, min(seqs) seqs from {{}} group by root, node) m "
+    f"join e on e.b = m.node join k on k.id = e.a and k.category in {_in(MACHINERY)} where not list_contains(ids, e.a)",
+    12,
+) + ", c as (" + " union ".join(f"select root, ids from l{i} where emit" for i in range(1, 13)) + ")"
+
+
 def value_path_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The strongest call path of every constructor."""
     s = frame(spark, sf, "symbols")
@@ -138,7 +157,7 @@ def chain_diff(spark: SparkSession, sf: str) -> DataFrame:
     return compare.chain_changes(chains(0), chains(1))
 
 
-_CHAINS = "select distinct 's' || (a % 17) || ' -> m' || b || ' -> t' || (a % 5) s, 's' || (a % 17) x, 't' || (a % 5) y from {{pairs}} where a < 200 and b % 3 <> {}"
+_CHAINS = "select distinct 's' || (a % 17) || ' -> m' || b || ' -> t' || (a % 5) s, 's' || (a % 17) x, 't' || (a % 5) y from {{pairs}} where b % 3 <> {}"
 
 
 def nearest_interval(spark: SparkSession, sf: str) -> DataFrame:
@@ -231,16 +250,14 @@ def literal_references(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "value_distance": (value_distance, _HOPS + f" select path, category, greatest({_BASE}, coalesce(h, 0))::int value_distance from {{components}} left join d on node = p_partkey"),
     "audit_chain_depth": (audit_chain_depth, _WALKS + " select root, max(depth)::int max_depth from c group by root"),
-    "audit_chain_topk": (audit_chain_topk, _WALKS + """, t as (select array_to_string(paths, ' > ') chain, depth, paths, (select sum(k.code_lines) from k where list_contains(paths, k.path))::bigint total_lines from c),
- l as (select * from t where not exists (select 1 from t u where starts_with(u.chain, t.chain || ' > ')))
+    "audit_chain_topk": (audit_chain_topk, _WALKS + """,
+ t as (select paths, depth, sum(k.code_lines)::bigint total_lines from (select paths, depth, unnest(paths) p from c) join k on k.path = p group by paths, depth),
+ x as (select distinct list_slice(paths, 1, n) paths from (select paths, unnest(range(2, len(paths))) n from c)),
+ l as (select *, array_to_string(paths, ' > ') chain from t anti join x using (paths))
 select row_number() over (order by depth desc, total_lines desc, paths)::int as "rank", depth::int depth, total_lines, chain from l qualify row_number() over (order by depth desc, total_lines desc, paths) <= 25"""),
     "audit_budget": (audit_budget, f"select 'parts' snapshot_id, least(count(*), 3) expansions, count(*) > 3 truncated from {{edges}} e join {{components}} a on a.path = e.dst and a.category in {_in(PRODUCT)} join {{components}} b on b.path = e.src and b.category in {_in(RECURSIVE)}"),
     "symbol_distance": (symbol_distance, _NEAR + " select id, kind, category, h::int value_distance from {symbols} left join d on node = id"),
-    "recursive_chain_depth": (recursive_chain_depth, f"""
-with recursive k as (select id, category, kind from {{symbols}}), e as (select distinct a, b from {_EXACT} where kind <> 'contains'),
- w(root, node, ids) as (select id, id, [id] from k where category in {_in(PRODUCT)} and kind <> 'file'
-  union all select root, e.a, list_append(ids, e.a) from w join e on e.b = w.node join k on k.id = e.a and k.category in {_in(MACHINERY)} where not list_contains(ids, e.a) and len(ids) <= 12)
-select root, max(len(ids) - 1)::int max_depth, count(*) chains from w join k on k.id = w.node where len(ids) > 1 and k.category in {_in(RECURSIVE)} group by root"""),
+    "recursive_chain_depth": (recursive_chain_depth, _CALLERS + " select root, max(len(ids) - 1)::int max_depth, count(*) chains from c group by root"),
     "value_path_topk": (value_path_topk, f"""
 with recursive e as (select distinct a, b from {_EXACT} where kind = 'calls'), w(root, node, ids) as (select id, id, [id] from {{symbols}} where kind = 'constructor'
   union all select root, e.b, list_append(ids, e.b) from w join e on e.a = w.node where not list_contains(ids, e.b) and len(ids) <= 6),

@@ -99,7 +99,7 @@ def _classify_sql() -> str:
     add("meta-machinery", f"case when {deep} > 0 and {_COUNT(text.MACHINERY_WORDS)} >= 4 then 4.5::double + least(2.5::double, {deep} * 0.6::double) end")
     folders, texts = list(_FOLDERS), list(_TEXTS)
     return f"""
-with f as (select path, 'markdown' as language, lower(left(text, 120000)) t from {{files}} union all select {folders!r}[p_partkey % {len(folders)} + 1] || '/' || replace(p_name, ' ', '_') || p_partkey || '.py', 'python', lower({texts!r}[p_partkey % {len(texts)} + 1]) from {{part}}),
+with f as (select path, 'markdown' as language, lower(text) t from {{files}} union all select {folders!r}[p_partkey % {len(folders)} + 1] || '/' || replace(p_name, ' ', '_') || p_partkey || '.py', 'python', lower({texts!r}[p_partkey % {len(texts)} + 1]) from {{part}}),
  g as (select *, list_distinct(string_split_regex(trim(regexp_replace(lower(regexp_replace(path, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+', ' ', 'g')), ' ')) k from f),
  s as (select path, unnest([{", ".join(rows)}]) r from g), u as (select path, r.c, r.w, r.s from s where r.w is not null),
  v as (select path, c, list_reduce(list(w order by s), lambda a, b: a + b) w, min(s) s, count(*) n from u group by 1, 2), x as (select path, c, case when c = 'testing' and w >= 7 then w + 4 else w end w, s, n from v),
@@ -148,7 +148,7 @@ QUERIES = {
     "classify_argmax": (classify_argmax, _classify_sql()),
     "generated_headers": (generated_headers, "select page_id, page_id % 3 = 0 as generated from {pages}"),
     "module_names": (module_names, "with c as (select path, regexp_replace(path, '\\.py$', '') s from {components}) select path, array_to_string(list_sort(list_distinct([s, replace(s, '/', '.'), s[5:], replace(s[5:], '/', '.')])), ' ') aliases, 'py' as tail from c"),
-    "target_names": (target_names, r"""with t as (select conv_id, turn, regexp_replace(trim(replace('  new ' || substring(text, 1, 60) || '::Run(); ', chr(10), ' ')), '[;(){}\[\]]+$', '') t, text from {conversations})
+    "target_names": (target_names, r"""with t as (select conv_id, turn, regexp_replace(trim(replace('  new ' || text || '::Run(); ', chr(10), ' ')), '[;(){}\[\]]+$', '') t, text from {conversations})
 select conv_id, turn, regexp_replace(regexp_replace(list_last(string_split(trim(regexp_replace(replace(replace(t, '::', '.'), '->', '.'), '\s+', ' ', 'g')), ' ')), '^\.+', ''), '\.+$', '') as target, least(length(trim(regexp_replace(text, '\s+', ' ', 'g'))), 180)::int n from t"""),
     "member_roles": (member_roles, """select name, case when k then 'created' else case name when 'renderView' then 'emitted' when 'apply_click' then 'transformed' when 'SaveOrder' then 'persisted' when 'create-user' then 'created' end end as role, count(*) n
 from (select case event_type when 'view' then 'renderView' when 'click' then 'apply_click' when 'purchase' then 'SaveOrder' when 'signup' then 'create-user' else 'x' end name, event_id % 97 = 0 k from {events}) group by 1, 2"""),
