@@ -73,7 +73,7 @@ def sections(spark: SparkSession, a: argparse.Namespace) -> list[tuple[str, Data
         if a.command == "journey":
             return list(zip(("events", "stages", "warnings"), scan.data_journey(s, a.data), strict=True))
         found = scan.atlas(s, top_level=getattr(a, "top_level", "no_parent"))
-        return [("capabilities", found)] if a.command == "atlas" else [("paths", scan.value_path(s, found, a.capability))]
+        return [("capabilities", scan.atlas_reach(s, found))] if a.command == "atlas" else [("paths", scan.value_path(s, found, a.capability))]
     if a.command == "index":
         with open(a.manifest) as f:
             targets = corpus.distinct_targets(records.manifest(spark, f.read()))

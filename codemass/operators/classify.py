@@ -67,14 +67,15 @@ def _content_hits() -> Column:
     return F.when(F.size("_found") > 0, F.concat(long, short)).otherwise(F.array().cast("array<string>"))
 
 
-def signals(files: DataFrame, *, head: int | None = HEAD) -> DataFrame:
-    """(snapshot_id, path, category, weight, reason, seq): every rule's signal for each file, seq in rule order.
+def _with_signals(files: DataFrame, head: int | None) -> DataFrame:
+    """``files`` without text, with _s: every rule's signal (category, weight, reason, seq) in rule order.
 
     The text is cut into words once; hits are columns before anything is made of them, so that no
     test runs twice.  Only the first ``head`` characters are read, as the reference does; None reads all.
     """
     content = F.lower("text" if head is None else F.substring("text", 1, head))
-    base = files.select(SNAP, "path", "language", content.alias("_c"), tokens("path").alias("_t"))
+    own = [c for c in files.columns if c not in ("text", "category", "confidence", "signals")]
+    base = files.select(*own, content.alias("_c"), tokens("path").alias("_t"))
     words = F.array_distinct(F.split("_c", r"(?U)\W+"))
     base = base.withColumn("_found", F.filter(words, lambda w: F.substring(w, 1, 4).isin(_BEGINS) | w.isin([p for p in _SINGLE if len(p) < 4])))
     spelled = _listed([(p, F.size(F.array_except(_texts(_tokens_of(p)), "_t")) == 0) for p in _OTHERS])
@@ -86,7 +87,7 @@ def signals(files: DataFrame, *, head: int | None = HEAD) -> DataFrame:
         hits[f"_i{k}"] = F.array_intersect(_texts(phrases), inside)
     hits["_deep"] = _listed([(p, F.contains("_c", F.lit(p))) for p in RECURSIVE_PHRASES])
     hits["_many"] = mentions("_c") >= 4
-    found = base.select(SNAP, "path", "language", "_t", *[c.alias(k) for k, c in hits.items()])
+    found = base.select(*own, "_t", *[c.alias(k) for k, c in hits.items()])
     rows: list[tuple[str, Column, Column]] = [
         ("documentation", F.when(F.col("language").isin("markdown", "documentation"), F.lit(7.0)), F.lit("documentation file type")),
         ("process-machinery", F.when(F.col("path").startswith(".github/"), F.lit(8.0)), F.lit("GitHub workflow/process path")),
@@ -103,7 +104,12 @@ def signals(files: DataFrame, *, head: int | None = HEAD) -> DataFrame:
     weight = F.lit(4.5) + F.least(F.lit(2.5), F.size(deep) * 0.6)
     rows.append(("meta-machinery", F.when((F.size(deep) > 0) & F.col("_many"), weight), F.concat(F.lit("recursive machinery semantics: "), F.array_join(F.slice(deep, 1, 4), ", "))))
     made = F.array(*[F.struct(F.lit(c).alias("category"), w.cast("double").alias("weight"), r.alias("reason"), F.lit(k).alias("seq")) for k, (c, w, r) in enumerate(rows)])
-    return found.select(SNAP, "path", F.explode(F.filter(made, lambda s: s["weight"].isNotNull())).alias("s")).select(SNAP, "path", "s.*")
+    return found.select(*own, F.filter(made, lambda s: s["weight"].isNotNull()).alias("_s"))
+
+
+def signals(files: DataFrame, *, head: int | None = HEAD) -> DataFrame:
+    """(snapshot_id, path, category, weight, reason, seq): every rule's signal for each file, seq in rule order."""
+    return _with_signals(files, head).select(SNAP, "path", F.explode("_s").alias("s")).select(SNAP, "path", "s.*")
 
 
 def classify(files: DataFrame, overrides: DataFrame | None = None, *, keep_signals: int = 8, head: int | None = HEAD) -> DataFrame:
@@ -112,17 +118,22 @@ def classify(files: DataFrame, overrides: DataFrame | None = None, *, keep_signa
     The category of the best score holds; ties go to the category whose first signal comes first.  A file without any
     signal is unknown, at confidence 0.  ``overrides``: (prefix, category), see ``declared``.
     """
-    each = signals(files, head=head).groupBy(SNAP, "path", "category").agg(F.array_sort(F.collect_list(F.struct("seq", "weight", "reason"))).alias("_w"))
-    score = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["weight"])
-    score = F.when((F.col("category") == "testing") & (score >= 7), score + 4.0).otherwise(score)
-    entry = F.struct((-score).alias("o"), F.col("_w")[0]["seq"].alias("first"), "category", score.alias("score"), F.col("_w").alias("w"))
-    ranked = each.groupBy(SNAP, "path").agg(F.array_sort(F.collect_list(entry)).alias("r"))
-    best_score, second = F.col("r")[0]["score"], F.coalesce(F.try_element_at("r", F.lit(2))["score"], F.lit(0.0))
+    def entry(category: Column) -> Column:
+        own = F.filter("_s", lambda x: x["category"] == category)
+        sum_ = F.aggregate(own, F.lit(0.0), lambda a, x: a + x["weight"])
+        score = F.when((category == "testing") & (sum_ >= 7), sum_ + 4.0).otherwise(sum_)
+        return F.struct((-score).alias("o"), F.get(own, 0)["seq"].alias("first"), category.alias("category"), score.alias("score"), own.alias("w"))
+
+    # all of it is local to a file: sums over its signals, no shuffle
+    marked = _with_signals(files, head)
+    categories = F.array_distinct(F.transform("_s", lambda x: x["category"]))
+    ranked = marked.withColumn("r", F.array_sort(F.transform(categories, entry)))
+    first = F.get("r", 0)
+    best_score, second = first["score"], F.coalesce(F.get("r", 1)["score"], F.lit(0.0))
     sure = F.least(F.lit(0.99), F.lit(0.42) + F.lit(0.08) * best_score + F.lit(0.06) * F.greatest(F.lit(0.0), best_score - second))
     listed = F.flatten(F.transform("r", lambda e: F.transform(e["w"], lambda s: F.struct((-s["weight"]).alias("o"), s["seq"].alias("seq"), e["category"].alias("category"), s["weight"].alias("weight"), s["reason"].alias("reason")))))
     kept = F.transform(F.slice(F.array_sort(listed), 1, keep_signals), lambda s: F.struct(s["category"].alias("category"), s["weight"].alias("weight"), s["reason"].alias("reason")))
-    judged = ranked.select(SNAP, "path", F.col("r")[0]["category"].alias("_best"), sure.alias("_sure"), kept.alias("_signals"))
-    out = files.drop("text", "category", "confidence", "signals").join(judged, [SNAP, "path"], "left")
+    out = ranked.select(*marked.drop("_s").columns, first["category"].alias("_best"), F.when(F.size("r") > 0, sure).alias("_sure"), kept.alias("_signals"))
     declared_as = F.lit(None).cast("string")
     if overrides is not None:
         out = out.join(declared(files.select(SNAP, "path"), overrides), [SNAP, "path"], "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from codemass.functions.scalars import family
 from codemass.schema import MACHINERY, PRODUCT, among
 
-KEY = ["repository", "path"]
+SNAP, KEY = "snapshot_id", ["repository", "path"]
 # Words of a path that tell that a document is kept for the record.
 ARCHIVE_WORDS = ("handoff", "archive", "legacy", "history", "historical", "qualification", "release-notes")
 
@@ -83,6 +83,26 @@ def status_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("repository", "status").agg(F.count("*").alias("files"), F.sum("code_lines").cast("long").alias("lines"))
 
 
+def structural_use(symbols: DataFrame, edges: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(snapshot_id, path, kind, source, detail): exact relationships and resolved dependencies from other files."""
+    place = symbols.select(SNAP, "id", "path")
+    exact = edges.where("resolution = 'exact' and kind <> 'contains' and target_id is not null")
+    ends = exact.join(place.select(SNAP, F.col("id").alias("target_id"), "path"), [SNAP, "target_id"]).join(place.select(SNAP, F.col("id").alias("source_id"), F.col("path").alias("source")), [SNAP, "source_id"])
+    inbound = ends.where("path <> source").select(SNAP, "path", F.lit("exact_semantic_inbound").alias("kind"), "source", F.concat_ws(": ", "kind", "evidence").alias("detail"))
+    named = dependencies.where("src <> dst").select(SNAP, F.col("dst").alias("path"), F.lit("local_dependency_inbound").alias("kind"), F.col("src").alias("source"), F.lit("").alias("detail"))
+    return inbound.unionByName(named).distinct()
+
+
+def capability_use(capabilities: DataFrame, symbols: DataFrame, reached: DataFrame) -> DataFrame:
+    """(snapshot_id, path, kind, source, detail): files that declare or anchor a capability, and files that it reaches."""
+    shown = capabilities.select(SNAP, "path", F.col("symbol_id").alias("anchor"), F.col("kind").alias("source"), F.col("name").alias("detail"))
+    anchored = shown.drop("path").join(symbols.select(SNAP, F.col("id").alias("anchor"), "path"), [SNAP, "anchor"])
+    through = shown.drop("path").join(reached.select(SNAP, "anchor", "path").distinct(), [SNAP, "anchor"])
+    row = lambda kind: [SNAP, "path", F.lit(kind).alias("kind"), "source", "detail"]
+    surface = shown.select(*row("capability_surface")).unionByName(anchored.select(*row("capability_surface")))
+    return surface.unionByName(through.select(*row("capability_reachable"))).distinct()
+
+
 def evidence(rows: DataFrame, *, keys: tuple[str, ...] = ("repository", "path")) -> DataFrame:
     """(keys, kinds, evidence): different evidence rows (kind, source, detail) in order; kinds without repetition."""
     each = rows.select(*keys, F.struct("kind", "source", "detail").alias("e")).distinct()

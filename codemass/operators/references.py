@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codemass.functions.checkpoint import checkpointed
 from codemass.functions.text import file_name, parent
 from codemass.operators.traverse import closure
 
@@ -39,14 +40,15 @@ def _joined(folder: Column, relative: Column) -> Column:
     return F.when(~out.contains("\x00") & (out != ""), out)
 
 
-def literal_references(files: DataFrame) -> DataFrame:
+def literal_references(files: DataFrame, sources: Column | None = None) -> DataFrame:
     """(snapshot_id, src, dst, form): files whose text names another file's path, from the root or from its own folder.
 
     Texts are cut into path-like words; a word and its endings at slashes, read from the root and from the file's folder,
-    join the paths by equality.  The longest form that a text has for a file holds.
+    join the paths by equality.  The longest form that a text has for a file holds.  ``sources`` says which texts are read.
     """
     word = r"[A-Za-z0-9_./-]+"
-    rows = files.select(SNAP, F.col("path").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("word"))
+    texts = files if sources is None else files.where(sources)
+    rows = texts.select(SNAP, F.col("path").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(word), F.lit(0)))).alias("word"))
     parts = F.split("word", "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
     # an ending without a slash would be a bare name at the end of another path, so only the whole word counts there
@@ -58,9 +60,22 @@ def literal_references(files: DataFrame) -> DataFrame:
     return hits.groupBy(SNAP, "src", "dst").agg(F.max_by("form", F.struct(F.length("form"), F.col("form"))).alias("form"))
 
 
+def use(files: DataFrame) -> DataFrame:
+    """(snapshot_id, path, kind, source, detail): files that texts refer to, as evidence of their use.
+
+    ``static_path_references`` are a trusted boundary's own.  Where what it refers to passes references on, those of that file
+    are ``boundary_path_references``, and so on: one search for all boundaries of a snapshot.  Files that refer to each other
+    but that no boundary reaches are no evidence.
+    """
+    refs = checkpointed(literal_references(files, is_boundary("path", "category") | passes_on("path")))
+    direct = refs.join(files.where(is_boundary("path", "category")).select(SNAP, F.col("path").alias("src")), [SNAP, "src"], "left_semi")
+    passing = files.where(passes_on("path")).select(SNAP, F.col("path").alias("node"))
+    first = direct.select(SNAP, F.lit("").alias("boundary"), F.col("dst").alias("node")).distinct().join(passing, [SNAP, "node"], "left_semi")
+    reached = closure(refs, first, through=passing).join(passing, [SNAP, "node"], "left_semi").select(SNAP, F.col("node").alias("src")).distinct()
+    row = lambda kind: [SNAP, F.col("dst").alias("path"), F.lit(kind).alias("kind"), F.col("src").alias("source"), F.col("form").alias("detail")]
+    return direct.select(*row("static_path_references")).unionByName(refs.join(reached, [SNAP, "src"], "left_semi").select(*row("boundary_path_references")))
+
+
 def boundary_use(files: DataFrame) -> DataFrame:
-    """(snapshot_id, boundary, path): files that a trusted boundary refers to, directly or through files that pass it on."""
-    refs = literal_references(files).select(SNAP, "src", "dst")
-    roots = files.where(is_boundary("path", "category")).select(SNAP, F.col("path").alias("boundary"), F.col("path").alias("node"))
-    through = files.where(passes_on("path") | is_boundary("path", "category")).select(SNAP, F.col("path").alias("node"))
-    return closure(refs, roots, through=through).where("node <> boundary").select(SNAP, "boundary", F.col("node").alias("path"))
+    """(snapshot_id, path): files that a trusted boundary refers to, directly or through files that pass it on."""
+    return use(files).select(SNAP, "path").distinct()

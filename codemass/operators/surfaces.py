@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from codemass.functions.scalars import member_role
 from codemass.functions.text import file_name, lines_of, strip
+from codemass.operators import traverse
 from codemass.schema import JOURNEY_ROLES
 
 SNAP = "snapshot_id"
@@ -208,6 +209,36 @@ def merge_capabilities(found: DataFrame, *, keep: int = 200) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
+def implementation(capabilities: DataFrame, symbols: DataFrame, edges: DataFrame, *, max_depth: int = 4, max_symbols: int | None = 250) -> DataFrame:
+    """(snapshot_id, anchor, id, path, hops, truncated): symbols that each anchored capability reaches over exact edges, containment too.
+
+    Capabilities of one anchor share its rows.  The nearest symbols come first where there are more than ``max_symbols``.
+    """
+    anchors = capabilities.where("symbol_id is not null").select(SNAP, F.col("symbol_id").alias("node")).distinct()
+    own = symbols.select(SNAP, "id", "path")
+    anchors = anchors.join(own.select(SNAP, F.col("id").alias("node")), [SNAP, "node"], "left_semi")
+    found = traverse.neighbourhood(traverse.exact_edges(edges, contains=True), anchors, max_depth=max_depth, max_symbols=max_symbols)
+    return found.withColumnRenamed("node", "id").join(own, [SNAP, "id"]).select(SNAP, "anchor", "id", "path", "hops", "truncated")
+
+
+def with_implementation(capabilities: DataFrame, reached: DataFrame, edges: DataFrame) -> DataFrame:
+    """``capabilities`` with implementation_files, implementation_symbols, truncated, and counts of edges that are not exact.
+
+    ``reached``: as ``implementation`` gives it.  A capability without an anchor has empty lists and no edges.
+    """
+    of = reached.groupBy(SNAP, "anchor").agg(
+        F.array_sort(F.collect_set("path")).alias("implementation_files"), F.array_sort(F.collect_list("id")).alias("implementation_symbols"), F.max("truncated").alias("truncated")
+    )
+    loose = edges.where("resolution <> 'exact'").groupBy(SNAP, F.col("source_id").alias("id")).agg(
+        F.sum((F.col("resolution") == "probable").cast("long")).alias("_p"), F.sum((F.col("resolution") == "unresolved").cast("long")).alias("_u")
+    )
+    counts = reached.select(SNAP, "anchor", "id").join(loose, [SNAP, "id"]).groupBy(SNAP, "anchor").agg(F.sum("_p").alias("probable_relationships"), F.sum("_u").alias("unresolved_relationships"))
+    rows = capabilities.withColumnRenamed("symbol_id", "anchor").join(of.join(counts, [SNAP, "anchor"], "left"), [SNAP, "anchor"], "left").withColumnRenamed("anchor", "symbol_id")
+    nothing = F.array().cast("array<string>")
+    rows = rows.withColumns({c: F.coalesce(c, nothing) for c in ("implementation_files", "implementation_symbols")})
+    return rows.fillna(0, ["probable_relationships", "unresolved_relationships"]).fillna(False, ["truncated"])
+
+
 def atlas_counts(capabilities: DataFrame) -> DataFrame:
     """(snapshot_id, anchored, unanchored)."""
     return capabilities.groupBy(SNAP).agg(F.count("symbol_id").alias("anchored"), F.sum(F.col("symbol_id").isNull().cast("long")).alias("unanchored"))

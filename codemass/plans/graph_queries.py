@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codemass.operators import compare, metrics, references, resolve, surfaces, traverse
+from codemass.operators import compare, metabolism, metrics, references, resolve, surfaces, traverse
 from codemass.plans.proxies import frame
 from codemass.schema import AUDIT, BASE_DISTANCE, MACHINERY, PRODUCT, RECURSIVE
 
@@ -247,6 +247,34 @@ def literal_references(spark: SparkSession, sf: str) -> DataFrame:
     return references.literal_references(files).select("src", "dst")
 
 
+def use_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """How many evidence rows of each of the six kinds every file has; user-surface classes are the capabilities."""
+    c, symbols, links, edges = (frame(spark, sf, n) for n in ("components", "symbols", "links", "edges"))
+    texts = edges.groupBy("snapshot_id", "src").agg(F.concat(F.lit("run "), F.array_join(F.sort_array(F.collect_list("dst")), "; sh ./")).alias("text"))
+    files = c.select("snapshot_id", "path", "category").join(texts.withColumnRenamed("src", "path"), ["snapshot_id", "path"], "left").fillna("", ["text"])
+    found = symbols.where("kind = 'class' and category = 'user-surface'").select("snapshot_id", F.lit("user-surface").alias("kind"), F.col("id").alias("name"), "path", F.col("id").alias("symbol_id"))
+    reached = surfaces.implementation(found, symbols, links, max_symbols=None)
+    rows = metabolism.structural_use(symbols, links, edges).unionByName(metabolism.capability_use(found, symbols, reached)).unionByName(references.use(files))
+    return rows.groupBy("path", "kind").agg(F.count("*").alias("evidence"), F.min("source").alias("first_source"))
+
+
+_USE = f"""
+with recursive k as (select path, category from {{components}}), e as (select distinct src, dst from {{edges}}), x as (select distinct a, b from {_EXACT}), s as (select id, path, kind, category from {{symbols}}),
+ ev as (select distinct source_id a, target_id b, kind, evidence from {{links}} where resolution = 'exact' and target_id is not null and kind <> 'contains'),
+ cap as (select id, path from s where kind = 'class' and category = 'user-surface'),
+ w(anchor, node, h) as (select id, id, 0 from cap union select anchor, x.b, h + 1 from w join x on x.a = w.node where h < 4),
+ roots as (select path from k where category = 'testing'),
+ r(node) as (select dst from e where src in (select path from roots) union select e.dst from r join e on e.src = r.node),
+ rows as (
+  select distinct t.path, 'exact_semantic_inbound' kind, o.path source, ev.kind || ': ' || ev.evidence detail from ev join s t on t.id = ev.b join s o on o.id = ev.a where t.path <> o.path
+  union all select distinct dst, 'local_dependency_inbound', src, '' from e where src <> dst
+  union all select distinct path, 'capability_surface', 'user-surface', id from cap
+  union all select distinct s.path, 'capability_reachable', 'user-surface', anchor from w join s on s.id = w.node
+  union all select distinct dst, 'static_path_references', src, '' from e where src in (select path from roots)
+  union all select distinct dst, 'boundary_path_references', src, '' from e where src in (select node from r))
+select path, kind, count(*) evidence, min(source) first_source from rows group by 1, 2"""
+
+
 QUERIES = {
     "value_distance": (value_distance, _HOPS + f" select path, category, greatest({_BASE}, coalesce(h, 0))::int value_distance from {{components}} left join d on node = p_partkey"),
     "audit_chain_depth": (audit_chain_depth, _WALKS + " select root, max(depth)::int max_depth from c group by root"),
@@ -292,5 +320,6 @@ select case when r.s is null then 'added' when a.s is null then 'removed' else '
     "page_routes": (page_routes, _HREFS),
     "capability_dedup": (capability_dedup, _MERGED),
     "journey_stages": (journey_stages, _STAGES),
+    "use_evidence": (use_evidence, _USE),
     "literal_references": (literal_references, "select distinct src, dst from {edges}"),
 }

@@ -98,14 +98,21 @@ def movie(s: Scan, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rects, compare.layout_changes(before, flat.where("frame > 0"), ("frame",))
 
 
-def metabolise(s: Scan, commits: DataFrame) -> DataFrame:
-    """The status of every file of the last commit, by what boundaries and exact relationships use."""
+def use_evidence(s: Scan) -> DataFrame:
+    """(snapshot_id, path, kind, source, detail): all six kinds of evidence that a file is in use."""
+    text = s.files.select(SNAP, "path", "text").join(s.components.select(SNAP, "path", "category"), [SNAP, "path"])
+    found = checkpointed(atlas(s))
+    reached = surfaces.implementation(found, s.symbols, s.edges)
+    rows = metabolism.structural_use(s.symbols, s.edges, s.dependencies).unionByName(metabolism.capability_use(found, s.symbols, reached)).unionByName(references.use(text))
+    return rows.join(s.components.select(SNAP, "path"), [SNAP, "path"], "left_semi")
+
+
+def metabolise(s: Scan, commits: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """The status of every file of the last commit: a file is active where any of the six kinds of evidence holds."""
     frames = commits.select(F.col("sha").alias(SNAP), "frame")
-    text = s.files.select(SNAP, "path", "text").join(s.components.select(SNAP, "path", "category", "code_lines"), [SNAP, "path"])
-    used = references.boundary_use(text).select(SNAP, "path").distinct()
-    inbound = traverse.exact_edges(s.edges).join(s.symbols.select(SNAP, F.col("id").alias("dst"), F.col("path").alias("_p")), [SNAP, "dst"]).join(s.symbols.select(SNAP, F.col("id").alias("src"), F.col("path").alias("_q")), [SNAP, "src"]).where("_p <> _q").select(SNAP, F.col("_p").alias("path"))
-    active = used.union(inbound).distinct().withColumn("active", F.lit(True))
-    rows = text.select(SNAP, "path", "category", "code_lines", F.sha2("text", 256).alias("print")).join(active, [SNAP, "path"], "left").fillna(False, ["active"])
+    used = (use_evidence(s) if evidence is None else evidence).select(SNAP, "path").distinct().withColumn("active", F.lit(True))
+    prints = s.files.select(SNAP, "path", F.sha2("text", 256).alias("print"))
+    rows = prints.join(s.components.select(SNAP, "path", "category", "code_lines"), [SNAP, "path"]).join(used, [SNAP, "path"], "left").fillna(False, ["active"])
     return metabolism.status(rows.join(frames, SNAP).select(F.lit("repo").alias("repository"), "frame", "path", "category", "code_lines", "active", "print"))
 
 
@@ -122,6 +129,11 @@ def atlas(s: Scan, *, top_level: str = "no_parent") -> DataFrame:
     return surfaces.merge_capabilities(both.unionByName(more).withColumn("seq", F.xxhash64("path", "line", "evidence_kind", "detail")))
 
 
+def atlas_reach(s: Scan, capabilities: DataFrame) -> DataFrame:
+    """``capabilities`` with the files and symbols that implement each."""
+    return surfaces.with_implementation(capabilities, checkpointed(surfaces.implementation(capabilities, s.symbols, s.edges)), s.edges)
+
+
 def value_path(s: Scan, capabilities: DataFrame, selector: str | None, *, max_depth: int = 12) -> DataFrame:
     """The strongest call path of the selected capability, and up to five others."""
     chosen = select.capability(capabilities, selector)
