@@ -1,4 +1,4 @@
-"""Command line: scan, history, movie, metabolism, atlas, path, journey, index, neighbours, context.
+"""Command line: scan, history, movie, metabolism, atlas, path, journey, index, neighbours, context, compare, drivers, story.
 
 Exit codes: 0 done, 1 some target of an index run failed, 2 an error.
 """
@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codemass.operators import corpus
-from codemass.plans import reports, scan
+from codemass.plans import artifacts, reports, scan
 from codemass.sources import records, trees
 
+VERSION = "0.1.0"
+
 
 def parser() -> argparse.ArgumentParser:
     """The command line's parser."""
@@ -27,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
         for arg in positional:
             c.add_argument(arg)
         c.add_argument("--report")
+        c.add_argument("--json", help="a new folder for the result's rows")
         c.add_argument("--limit", type=int, default=20)
         return c
 
@@ -45,6 +48,13 @@ def parser() -> argparse.ArgumentParser:
     c = command("index", "manifest", "corpus")
     c.add_argument("--tarballs", required=True, help="folder of owner__name.tar.gz files")
     c.add_argument("--refresh", action="store_true")
+    command("compare", "before", "after")
+    c = command("drivers", "path")
+    c.add_argument("--before", required=True)
+    c.add_argument("--after", default="HEAD")
+    c = command("story", "scan")
+    for name in ("history", "drivers", "context"):
+        c.add_argument(f"--{name}")
     for name in ("neighbours", "context"):
         c = command(name, "corpus")
         c.add_argument("--repo", required=True)
@@ -53,17 +63,23 @@ def parser() -> argparse.ArgumentParser:
 
 
 def sections(spark: SparkSession, a: argparse.Namespace) -> list[tuple[str, DataFrame]]:
-    """The named results of a command."""
+    """The named results of a command; ``a.sha`` is set to the commit that they are of, where there is one."""
+    a.sha = getattr(a, "sha", None)
+    identity = {"version": VERSION, "source": trees.analyzer_revision(VERSION)}
     if a.command == "scan":
         options = {}
         if a.config and not a.canonical:
             with open(a.config) as f:
                 options["overrides"], options["ignore"] = records.config(spark, f.read())
         s = scan.scan_folder(spark, a.path, symbols=not a.rating_only, **options)
+        a.sha = trees.static_sha(a.path)
+        if a.json and not a.rating_only:
+            return list(artifacts.of_scan(s, canonical=not options, sha=a.sha, **identity).items())
         return [("metrics", s.metrics), ("profiles", s.profiles)] + ([] if a.rating_only else [("symbol metrics", s.symbol_metrics), ("diagnostics", s.diagnostics)])
     if a.command in ("history", "movie", "metabolism"):
         commits = trees.commits(spark, a.path, a.to, first=a.first, limit=a.max_commits)
         s = scan.scan_commits(spark, a.path, commits)
+        a.sha = commits.agg(F.max_by("sha", "frame")).first()[0]
         if a.command == "metabolism":
             return [("status", scan.metabolise(s, commits))]
         one, two = (scan.history if a.command == "history" else scan.movie)(s, commits)
@@ -78,7 +94,16 @@ def sections(spark: SparkSession, a: argparse.Namespace) -> list[tuple[str, Data
         with open(a.manifest) as f:
             targets = corpus.distinct_targets(records.manifest(spark, f.read()))
         file = F.concat(F.lit(a.tarballs.rstrip("/") + "/"), F.replace("repository", F.lit("/"), F.lit("__")), F.lit(".tar.gz"))
-        return [("records", scan.index(spark, targets.withColumn("path", file), a.corpus, version="0.1.0", revision="local", refresh=a.refresh).select("status", "identity", "reason"))]
+        return [("records", scan.index(spark, targets.withColumn("path", file), a.corpus, version=VERSION, revision=identity["source"], refresh=a.refresh).select("status", "identity", "reason"))]
+    if a.command == "compare":
+        a.sha = artifacts.head(spark, a.after, "scan")["repository_sha"]
+        return list(artifacts.comparison(artifacts.read_scan(spark, a.before), artifacts.read_scan(spark, a.after)).items())
+    if a.command == "drivers":
+        found, a.sha = artifacts.scan_two(spark, a.path, a.before, a.after, **identity)
+        return list(found.items())
+    if a.command == "story":
+        a.sha = artifacts.head(spark, a.scan, "scan")["repository_sha"]
+        return list(artifacts.story(spark, a.scan, history=a.history, drivers=a.drivers, context=a.context).items())
     prints = corpus.fingerprints(records.flat(records.corpus(spark, a.corpus)))
     query = corpus.newest_match(prints, F.lit(a.repo), F.lit(a.sha) if a.sha else None)
     return [("neighbours", corpus.neighbours(query, prints, keep=a.limit))] if a.command == "neighbours" else [("context", corpus.context(query, prints))]
@@ -91,6 +116,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     began = time.monotonic()
     try:
         found = sections(spark, a)
+        if a.json:
+            artifacts.save(spark, a.json, a.command, a.sha, {name.replace(" ", "_"): df for name, df in found})
         if a.report:
             reports.write(a.report, f"codemass {a.command}", found)
         else:

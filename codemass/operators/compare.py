@@ -143,6 +143,30 @@ def explanations(deltas: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return deltas.where("delta <> 0").select(*keys, F.row_number().over(order).alias("rank"), text.alias("message"))
 
 
+def structural_explanations(deltas: DataFrame, crossed: DataFrame, depth: DataFrame, chains: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, part, rank, message): what changed in words, in the order of parts and ranks.
+
+    Parts: 0 categories, 1 folders that crossed over, 2 recursive depth (``depth``: keys, before, after), 3 and 4 the first chain
+    that appeared and that went, 5 whether one kept its ends only.  Missing depths say nothing.
+    """
+    by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    at = lambda part: F.lit(part).alias("part")
+    rows = explanations(deltas, keys).select(*keys, at(0), "rank", "message")
+    over = crossed.select(*keys, at(1), F.row_number().over(by.orderBy("path")).alias("rank"), F.concat("path", F.lit(" crossed from product-dominant to machinery-dominant.")).alias("message"))
+    how = F.when(F.col("after") > F.col("before"), "increased").otherwise("decreased")
+    words = F.concat(F.lit("Max exact recursive depth "), how, F.lit(" from "), F.col("before").cast("string"), F.lit(" to "), F.col("after").cast("string"), F.lit("."))
+    deep = depth.where("before <> after").select(*keys, at(2), F.lit(1).alias("rank"), words.alias("message"))
+
+    def first(change: str, part: int, signature: str, before: str, after: str = "") -> DataFrame:
+        found = chains.where(F.col("change") == change).groupBy(*keys).agg(F.min(signature).alias("_s")).where("_s is not null")
+        return found.select(*keys, at(part), F.lit(1).alias("rank"), F.concat(F.lit(before), F.col("_s"), F.lit(after)).alias("message"))
+
+    new = first("added", 3, "after", "A new deepest exact machinery chain appeared through ", ".")
+    gone = first("removed", 4, "before", "A previously deepest exact machinery chain disappeared: ", ".")
+    kept = chains.where("change = 'changed'").select(*keys, at(5), F.lit(1).alias("rank"), F.lit("A deepest exact chain kept the same endpoints but changed its internal structural path.").alias("message")).distinct()
+    return rows.union(over).union(deep).union(new).union(gone).union(kept)
+
+
 def story_coherence(scan: DataFrame, comparison: DataFrame) -> DataFrame:
     """One row: whether the comparison's later sha is the scan's, and the warning if not."""
     both = scan.select(F.col("sha").alias("scan_sha")).join(comparison.select("before_sha", "after_sha"), F.lit(True))

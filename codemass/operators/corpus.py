@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codemass.functions.checkpoint import checkpointed
 from codemass.functions.scalars import band, clean_counts, composition_distance, finite, identity_key, model_of, ordered_sum, shares
 from codemass.schema import CATEGORIES
 
@@ -146,26 +147,43 @@ def _long(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.dimension", "p.value")
 
 
+#: Buckets of a cohort's range.
+RANGES = 512
+
+
 def context(queries: DataFrame, records: DataFrame) -> DataFrame:
     """(query, dimension, value, percentile, band, cohort_size, minimum, median, maximum, reason) of each query.
 
     The cohort is each repository's latest record of the query's model and canonical setting, the query's own one too.
     The percentile is mid-rank; the median is the upper one.  reason tells why a dimension has no position.
-    Positions are counted over sorted distinct values, so a cohort is never gathered in one row.
+    Positions are counted over sorted distinct values in RANGES buckets of a cohort's range, so a cohort is never in one task.
     """
+    by = ["model", "canonical", "dimension"]
     peers = _long(latest(records).where("model is not null"), ["model", "canonical"]).where("value is not null")
-    values = peers.groupBy("model", "canonical", "dimension", "value").agg(F.count("*").alias("n"))
-    order = W.partitionBy("model", "canonical", "dimension").orderBy("value")
-    whole = W.partitionBy("model", "canonical", "dimension")
-    placed = values.withColumns({"below": F.sum("n").over(order) - F.col("n"), "cohort_size": F.sum("n").over(whole), "minimum": F.min("value").over(whole), "maximum": F.max("value").over(whole)})
+    values = checkpointed(peers.groupBy(*by, "value").agg(F.count("*").alias("n")))
+    stats = values.groupBy(*by).agg(F.sum("n").alias("cohort_size"), F.min("value").alias("minimum"), F.max("value").alias("maximum"))
+    # two levels: sums over buckets of a cohort's range, then sorted values within each bucket
+    width = F.col("maximum") - F.col("minimum")
+    bucket = F.when(width > 0, F.floor((F.col("value") - F.col("minimum")) / width * RANGES)).otherwise(F.lit(0))
+    spread = values.join(stats, by).withColumn("_b", bucket)
+
+    def ahead(rows: DataFrame) -> DataFrame:
+        sums = rows.groupBy(*by, "_b").agg(F.sum("n").alias("_n"))
+        return sums.select(*by, "_b", (F.sum("_n").over(W.partitionBy(*by).orderBy("_b")) - F.col("_n")).alias("_ahead"))
+
+    within = W.partitionBy(*by, "_b").orderBy("value")
+    placed = spread.withColumn("_in", F.sum("n").over(within) - F.col("n")).join(ahead(spread), [*by, "_b"]).withColumn("below", F.col("_ahead") + F.col("_in"))
     middle = F.floor(F.col("cohort_size") / 2)
-    medians = placed.where((F.col("below") <= middle) & (middle < F.col("below") + F.col("n"))).select("model", "canonical", "dimension", F.col("value").alias("median"), "cohort_size", "minimum", "maximum")
+    medians = placed.where((F.col("below") <= middle) & (middle < F.col("below") + F.col("n"))).select(*by, F.col("value").alias("median"), "cohort_size", "minimum", "maximum")
     asked = _long(queries.withColumn("query", F.col("identity")), ["query", "model", "canonical"])
-    sized = asked.join(medians, ["model", "canonical", "dimension"], "left")
-    spots = placed.select("model", "canonical", "dimension", F.col("value").alias("v"), "n", "below")
-    ranked = sized.join(spots, ["model", "canonical", "dimension"], "left").groupBy("query", "model", "canonical", "dimension", "value", "median", "cohort_size", "minimum", "maximum").agg(
-        F.sum(F.when(F.col("v") < F.col("value"), F.col("n")).otherwise(0)).alias("_below"), F.sum(F.when(F.col("v") == F.col("value"), F.col("n")).otherwise(0)).alias("_equal")
-    )
+    sized = asked.join(medians, by, "left")
+    # a query's values take their places among the cohort's
+    asks = sized.where("value is not null and cohort_size is not null").select(*by, bucket.alias("_b"), "value", F.lit(0).cast("long").alias("n"), "query")
+    rows = spread.select(*by, "_b", "value", "n", F.lit(None).cast("string").alias("query")).unionByName(asks)
+    upto = within.rangeBetween(W.unboundedPreceding, W.currentRow)
+    spots = rows.withColumns({"_upto": F.sum("n").over(upto), "_equal": F.sum("n").over(W.partitionBy(*by, "_b", "value"))}).where("query is not null")
+    spots = spots.join(ahead(rows), [*by, "_b"]).select("query", "dimension", (F.col("_ahead") + F.col("_upto") - F.col("_equal")).alias("_below"), "_equal")
+    ranked = sized.join(spots.distinct(), ["query", "dimension"], "left")
     percentile = 100.0 * (F.col("_below") + 0.5 * F.col("_equal")) / F.col("cohort_size")
     known = F.col("value").isNotNull() & F.col("cohort_size").isNotNull()
     return ranked.withColumn("percentile", F.when(known, percentile)).select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codemass.functions.checkpoint import checkpointed
 from codemass.operators import classify, compare, corpus, metrics
 from codemass.plans.proxies import frame
 from codemass.schema import ASSURANCE, AUDIT, CATEGORIES, ESSENTIAL, MACHINERY, PRODUCT
@@ -91,7 +92,8 @@ from (select repository, sha, frame, max(scanned_at) scanned_at, sum(n)::bigint
 
 
 def _prints(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.fingerprints(_records(spark, sf))
+    """Fingerprints of all records, made once for both sides of a comparison."""
+    return checkpointed(corpus.fingerprints(_records(spark, sf)))
 
 
 def corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:

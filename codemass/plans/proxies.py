@@ -26,9 +26,9 @@ SQL = {
     "components": f"""
 select 'parts' as snapshot_id, p_partkey, {_PATH} as path, 'python' as language, cast(p_size as bigint) as code_lines,
  {_case("p_partkey % 12", CATEGORIES)} as category, cast(p_size % 6 as int) as value_distance from {{part}}""",
-    # every line item gives an edge; those of a part go to four parts at most, as a file depends on few others
+    # every line item gives an edge; those of a part go to five parts at most, as a file depends on few others
     "pairs": """
-select distinct l_partkey as a, (l_partkey * 7 + l_suppkey % 4) % (select count(*) from {part}) as b
+select distinct l_partkey as a, (l_partkey * 7 + l_suppkey % 5) % (select count(*) from {part}) as b
 from {lineitem}""",
     "edges": """
 select 'parts' as snapshot_id, x.path as src, y.path as dst from {pairs} e join {components} x on x.p_partkey = e.a join {components} y on y.p_partkey = e.b where e.a <> e.b""",
@@ -44,7 +44,7 @@ select 'parts' as snapshot_id, concat('s', cast(p_partkey as string)) as id, con
     "links": """
 select distinct 'parts' as snapshot_id, (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey as edge_seq, concat('s', cast(l_partkey as string)) as source_id,
  case (l_orderkey + l_linenumber) % 5 when 0 then 'calls' when 1 then 'imports' when 2 then 'inherits' when 3 then 'contains' else 'calls' end as kind,
- '' as target_name, case when l_returnflag = 'N' then null else concat('s', cast((l_partkey * 7 + l_suppkey % 4) % (select count(*) from {part}) as string)) end as target_id,
+ '' as target_name, case when l_returnflag = 'N' then null else concat('s', cast((l_partkey * 7 + l_suppkey % 5) % (select count(*) from {part}) as string)) end as target_id,
  case l_returnflag when 'A' then 'exact' when 'R' then 'probable' else 'unresolved' end as resolution, l_linestatus as evidence
 from {lineitem}""",
     "named_links": """

@@ -215,5 +215,6 @@ def with_python_lines(files: DataFrame) -> DataFrame:
 
         return pd.Series([one(s or "") for s in source], dtype="int32")
 
-    python = F.col("language") == "python"
-    return files.where(~python).unionByName(files.where(python).withColumn("code_lines", count("text")))
+    # one pass over the source: other languages hand the counter nothing
+    python = F.coalesce(F.col("language") == "python", F.lit(False))
+    return files.withColumn("code_lines", F.when(python, count(F.when(python, F.col("text")))).otherwise(F.col("code_lines")))

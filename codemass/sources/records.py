@@ -19,8 +19,9 @@ RECORD = (
 
 
 def append(records: DataFrame, path: str) -> None:
-    """Adds records to a corpus folder as JSON lines; skipped ones are not kept."""
-    records.where("status <> 'skipped'").write.mode("append").json(path)
+    """Adds records to a corpus folder as JSON lines with sorted keys; skipped ones are not kept."""
+    rows = records.where("status <> 'skipped'")
+    rows.select(*sorted(rows.columns)).write.mode("append").json(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,11 +31,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a corpus; a line that is no JSON fails the job and is named.  Blank lines are skipped."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    """Records of a corpus; a line that is no JSON fails the job, which names its file and its first words.  Blank lines are skipped."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_file")).where(F.trim("value") != "")
     row = F.from_json("value", RECORD, {"mode": "PERMISSIVE"})
     broken = F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{")
-    checked = F.when(broken, F.raise_error(F.concat(F.lit("not a JSON record: "), F.substring("value", 1, 80)))).otherwise(row)
+    checked = F.when(broken, F.raise_error(F.concat(F.lit("not a JSON record in "), F.col("_file"), F.lit(": "), F.substring("value", 1, 80)))).otherwise(row)
     return lines.select(checked.alias("r")).select("r.*")
 
 

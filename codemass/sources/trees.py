@@ -36,6 +36,8 @@ IGNORED = (
 )
 MAX_FILE_BYTES = 1_000_000
 MAX_FILES, MAX_BYTES, MAX_COMMITS, GIT_SECONDS = 150_000, 512 << 20, 200, 60
+#: Oldest git that is asked for commits.
+MIN_GIT = (2, 30)
 
 
 class TreeError(ValueError):
@@ -242,12 +244,41 @@ def skipped_warnings(raw: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def _git(root: str, *args: str) -> str:
-    run = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=30)
+    try:
+        run = subprocess.run(["git", "-C", root, *args], capture_output=True, text=True, timeout=30)
+    except FileNotFoundError as e:
+        raise TreeError("git-not-found", "commits need git") from e
+    except subprocess.TimeoutExpired as e:
+        raise TreeError("git-timeout", " ".join(args)[:200]) from e
     if run.returncode:
         raise TreeError("git-error", run.stderr.strip()[:200])
     return run.stdout
 
 
+def repository_root(path: str) -> str:
+    """The top folder of the repository that ``path`` lies in; needs a git of MIN_GIT or newer."""
+    if not os.path.isdir(path):
+        raise TreeError("repository-missing", path)
+    told = _git(path, "--version")
+    version = re.search(r"(\d+)\.(\d+)", told)
+    if not version or tuple(map(int, version.groups())) < MIN_GIT:
+        raise TreeError("git-version", f"git {'.'.join(map(str, MIN_GIT))} or newer is needed, found {told.strip()!r}")
+    root = _git(path, "rev-parse", "--show-toplevel").strip()
+    if not os.path.isdir(root):
+        raise TreeError("repository-missing", root)
+    return root
+
+
+def analyzer_revision(version: str) -> str:
+    """The commit that this library is run from; ``release:version`` where it is no work tree."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    for _ in range(5):
+        if sha := static_sha(here):
+            return sha
+        here = os.path.dirname(here)
+    return f"release:{version}"
+
+
 def resolve_commit(root: str, ref: str) -> str:
     """The full hash of a ref."""
     sha = _git(root, "rev-parse", "--verify", "--end-of-options", f"{ref}^{{commit}}").strip().lower()
@@ -263,6 +294,7 @@ def commits(spark: SparkSession, root: str, last: str, *, first: str | None = No
     """
     if not 1 <= limit <= MAX_COMMITS:
         raise TreeError("invalid-limit", f"limit must be from 1 to {MAX_COMMITS}")
+    root = repository_root(root)
     end = resolve_commit(root, last)
     shas = _git(root, "rev-list", "--first-parent", f"--max-count={limit + (first is not None)}", end).split()
     if first is not None:
@@ -272,10 +304,8 @@ def commits(spark: SparkSession, root: str, last: str, *, first: str | None = No
         shas = shas[: shas.index(begin) + 1]
         if len(shas) > limit:
             raise TreeError("history-range-too-large", f"{len(shas)} commits, limit {limit}")
-    rows = []
-    for k, sha in enumerate(reversed(shas)):
-        _, at, subject = _git(root, "show", "-s", "--format=%H%x00%aI%x00%s", sha).rstrip("\n").split("\x00", 2)
-        rows.append((k, sha, at, subject))
+    told = _git(root, "show", "-s", "--no-walk=unsorted", "--format=%H%x00%aI%x00%s", *reversed(shas)).splitlines()
+    rows = [(k, *line.split("\x00", 2)) for k, line in enumerate(told)]
     return spark.createDataFrame(rows, "frame int, sha string, authored_at string, subject string")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from test_core import git, write
 
 from codemass.operators import references, surfaces
+from codemass.plans import proxies
 from codemass.plans import scan as plans
 from codemass.sources import trees
 
@@ -57,3 +58,12 @@ def test_references_by_accident_do_not_count(spark):
     got = {(r["source"], r["path"]) for r in references.use(files).collect()}
     assert got == {("Makefile", "tools/make.py"), ("sub/Makefile", "up.py"), ("sub/Makefile", "sub/own.py")}
     assert references.use(files).where(F.col("kind") == "boundary_path_references").count() == 0
+
+
+def test_suppliers_fold_to_five_targets(spark, tmp_path):
+    """The edges of all line items of a part go to five parts at most: suppliers are folded, lines are not left out."""
+    folder = str(tmp_path)
+    spark.range(50).select(F.col("id").alias("p_partkey")).write.parquet(f"{folder}/part.parquet")
+    lines = [(o, 1, o % 3, o * 7 + 1) for o in range(40)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long").write.parquet(f"{folder}/lineitem.parquet")
+    assert {tuple(r) for r in proxies.frame(spark, folder, "pairs").collect()} == {(p, (p * 7 + s % 5) % 50) for _, _, p, s in lines}
