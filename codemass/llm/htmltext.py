@@ -246,13 +246,14 @@ def main_text(page: list[tuple[int, str]], neighbour: list[tuple[int, str]] | No
     """The page's content lines, two line ends apart, by differencing with its neighbour.
 
     A line of the page alone is content, one that the neighbour shares is furniture.  Markup breaks ties: what the page's own
-    markup names as furniture goes; a shared line stays if its page names it as content and the neighbour does not name
-    it as furniture, or if only the neighbour marks content and names it so.  A page of which nothing would be left (a copy
+    markup names as furniture goes; a shared line stays if its page names it as content, unless it lies outside of what the
+    neighbour marks as content (what the neighbour names as an advert, a menu or the like may quote this page and says
+    nothing), or if only the neighbour marks content and names it so.  A page of which nothing would be left (a copy
     of its neighbour) keeps what its own markup leaves.
     """
     own = _says(page)
     twins = aligned([s for _, s in page], [s for _, s in neighbour]) if neighbour else {}
-    other = _says(neighbour) if neighbour else []
+    other = [None if zone == DROP else told for (zone, _), told in zip(neighbour, _says(neighbour), strict=True)] if neighbour else []
 
     def stays(i: int) -> bool:
         if own[i] is False or i not in twins:
