@@ -76,45 +76,65 @@ def structural_distance(q: str = "q", c: str = "c") -> Column:
     return F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), distance)).alias("distance"), rows.alias("components"))
 
 
-def exclusion(q: str = "q", c: str = "c", *, same_repository: bool = False, cross_model: bool = False) -> Column:
-    """Why a candidate is no neighbour, the first reason that fits; null if it is one."""
-    x = lambda side, name: F.col(f"{side}.{name}")
-    out = F.when(x(c, "code_shares").isNull(), "invalid").when(x(c, "identity") == x(q, "identity"), "same_identity")
-    if not same_repository:
-        out = out.when(F.lower(x(c, "repository")) == F.lower(x(q, "repository")), "same_repository")
-    if not cross_model:
-        out = out.when(x(c, "model").isNull() | ~x(c, "model").eqNullSafe(x(q, "model")) | ~x(c, "canonical").eqNullSafe(x(q, "canonical")), "measurement_mismatch")
-    return out
+#: Shards that a corpus is dealt to where stated queries meet it.
+SHARDS = 64
 
 
-def compared(queries: DataFrame, corpus: DataFrame, *, same_repository: bool = False, cross_model: bool = False, query_bytes: int = 8 << 20) -> DataFrame:
-    """Every stated query against every record, with ``reason`` (null for a neighbour) and ``d``, their distance.
+def compared(queries: DataFrame, corpus: DataFrame, *, same_repository: bool = False, cross_model: bool = False) -> DataFrame:
+    """Every stated query (alias q) with every record (alias c) that may be its neighbour, and ``d``, their distance.
 
-    Queries are a stated set.  Up to ``query_bytes`` of them (by their own count) are broadcast to the records; beyond,
-    they are dealt to 64 shards of the corpus by an equi-join.
+    The records are dealt to SHARDS by their identity, so that a model that most records have is not in one task, and the queries
+    go to every shard; they join by shard and, unless ``cross_model``, by model and canonical setting.
     """
-    small = queries.count() * 1024 <= query_bytes
-    reason = exclusion(same_repository=same_repository, cross_model=cross_model)
-    if small:
-        pairs = corpus.alias("c").join(F.broadcast(queries.alias("q")), F.lit(True))
-    else:
-        dealt = queries.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        pairs = corpus.withColumn("_s", F.pmod(F.xxhash64("identity"), F.lit(64)).cast("int")).alias("c").join(dealt.alias("q"), F.col("c._s") == F.col("q._s"))
-    return pairs.withColumn("reason", reason).withColumn("d", F.when(F.col("reason").isNull(), structural_distance()))
+    dealt = queries.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1)))).alias("q")
+    records = corpus.where("code_shares is not null").withColumn("_s", F.pmod(F.xxhash64("identity", "scanned_at", "seq"), F.lit(SHARDS)).cast("int")).alias("c")
+    on = F.col("c._s") == F.col("q._s")
+    if not cross_model:
+        on = on & (F.col("c.model") == F.col("q.model")) & F.col("c.canonical").eqNullSafe(F.col("q.canonical"))
+    other = ~F.coalesce(F.col("c.identity") == F.col("q.identity"), F.lit(False))
+    if not same_repository:
+        other = other & ~F.coalesce(F.lower("c.repository") == F.lower("q.repository"), F.lit(False))
+    return records.join(dealt, on).where(other).withColumn("d", structural_distance())
 
 
 def neighbours(queries: DataFrame, corpus: DataFrame, *, keep: int = 10, **options) -> DataFrame:
     """(query, repository, sha, distance, rank): the nearest repositories of each query, each by its closest record; a top-k report."""
-    found = compared(queries, corpus, **options).where("reason is null")
+    found = compared(queries, corpus, **options)
     rows = found.select(F.col("q.identity").alias("query"), F.col("c.repository").alias("repository"), F.col("c.sha").alias("sha"), F.col("d.distance").alias("distance"))
     best = rows.groupBy("query", F.lower("repository").alias("_r")).agg(F.min(F.struct("distance", "repository", "sha")).alias("b"))
     order = W.partitionBy("query").orderBy("distance", "repository", "sha")
     return best.select("query", "b.*").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
-def exclusions(queries: DataFrame, corpus: DataFrame, **options) -> DataFrame:
-    """(query, reason, records): how many records each reason keeps out."""
-    return compared(queries, corpus, **options).where("reason is not null").groupBy(F.col("q.identity").alias("query"), "reason").agg(F.count("*").alias("records"))
+def exclusions(queries: DataFrame, corpus: DataFrame, *, same_repository: bool = False, cross_model: bool = False) -> DataFrame:
+    """(query, reason, records): how many records each reason keeps out, the first that fits.
+
+    ``invalid``: without code shares; then ``same_identity``, ``same_repository`` and ``measurement_mismatch``.  Counted from
+    the corpus's totals by identity, repository and model; no query meets a record.
+    """
+    setting = [F.col("model").alias("_model"), F.col("canonical").alias("_canonical")]
+    total = F.sum("_n")
+    cells = corpus.where("code_shares is not null").groupBy("identity", F.lower("repository").alias("_r"), *setting).agg(F.count("*").alias("_n"))
+    numbered = queries.withColumn("_q", F.monotonically_increasing_id())
+    asked = checkpointed(numbered.select("_q", "identity", F.lower("repository").alias("_own"), "model", "canonical"))
+    fits = (F.col("_model") == F.col("model")) & F.col("_canonical").eqNullSafe(F.col("canonical"))
+    counts = lambda rows, name: rows.groupBy("_q").agg(total.alias(name), F.sum(F.when(fits, F.col("_n")).otherwise(0)).alias(f"{name}_fit"))
+    by_id = asked.join(cells, "identity")
+    by_repository = asked.join(cells.groupBy("_r", "_model", "_canonical").agg(total.alias("_n")), F.col("_own") == F.col("_r"))
+    by_setting = asked.join(cells.groupBy("_model", "_canonical").agg(total.alias("_n")), fits)
+    rows = asked.select("_q", "identity")
+    for frame, name in ((by_id, "_id"), (by_id.where("_own = _r"), "_both"), (by_repository, "_repo"), (by_setting, "_set")):
+        rows = rows.join(counts(frame, name), "_q", "left")
+    rows = rows.fillna(0)
+    valid = F.coalesce(cells.agg(total.alias("n")).scalar(), F.lit(0))
+    invalid = corpus.where("code_shares is null").agg(F.count("*").alias("n")).scalar()
+    own = F.lit(0) if same_repository else F.col("_repo") - F.col("_both")
+    own_fit = F.lit(0) if same_repository else F.col("_repo_fit") - F.col("_both_fit")
+    wrong = F.lit(0) if cross_model else valid - F.col("_id") - own - (F.col("_set") - F.col("_id_fit") - own_fit)
+    reasons = {"invalid": invalid, "same_identity": F.col("_id"), "same_repository": own, "measurement_mismatch": wrong}
+    each = F.array(*[F.struct(F.lit(k).alias("reason"), n.cast("long").alias("records")) for k, n in reasons.items()])
+    flat = rows.select(F.col("identity").alias("query"), F.explode(each).alias("e")).select("query", "e.*")
+    return flat.groupBy("query", "reason").agg(F.sum("records").alias("records")).where("records > 0")
 
 
 def category_differences(q: str = "q", c: str = "c", keep: int = 5) -> Column:

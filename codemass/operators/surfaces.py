@@ -89,42 +89,57 @@ def nearest_symbol(places: DataFrame, symbols: DataFrame, *, after_lines: int =
     """``places`` (snapshot_id, path, line, name nullable) with symbol_id: the nearest symbol of the file, null if none.
 
     First one of the name, nearest by line; else the smallest that holds the line; else the next that starts within
-    ``after_lines``.  Files, modules and namespaces are no anchors.
+    ``after_lines``.  Files, modules and namespaces are no anchors.  Each rule is an equi-join of its own: names by equality;
+    spans by blocks of lines as wide as the span's size class, so that a span lies in two blocks at most; starts by blocks of
+    ``after_lines`` + 1 lines.
     """
-    keys = [SNAP, "path", "line", "name"]
+    keys, at = [SNAP, "path", "line", "name"], [SNAP, "path"]
     asked = places.select(*keys).distinct()
-    inner = symbols.where("kind not in ('file', 'module', 'namespace')").select(SNAP, "path", F.col("id").alias("_id"), F.col("name").alias("_n"), F.col("qualified_name").alias("_q"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
-    line = F.col("line")
-    both = asked.join(inner, [SNAP, "path"])
-    by_name = F.coalesce((F.col("_n") == F.col("name")) | (F.col("_q") == F.col("name")), F.lit(False))
-    holds = (F.col("_a") <= line) & (line <= F.col("_b"))
-    follows = (line <= F.col("_a")) & (F.col("_a") <= line + after_lines)
-    tier = F.when(by_name, 0).when(holds, 1).when(follows, 2)
-    first = F.when(by_name, F.abs(F.col("_a") - line)).when(holds, F.col("_b") - F.col("_a")).otherwise(F.col("_a"))
-    second = F.when(by_name | holds, F.col("_a")).otherwise(F.col("_b") - F.col("_a"))
-    order = F.struct(tier.alias("t"), first.alias("x"), second.alias("y"), F.col("_a").alias("a"), (F.col("_b") - F.col("_a")).alias("w"), F.col("_q").alias("q"))
-    best = both.where(tier.isNotNull()).groupBy(*keys).agg(F.min_by("_id", order).alias("symbol_id"))
+    width = F.col("end_line") - F.col("start_line")
+    inner = symbols.where("kind not in ('file', 'module', 'namespace')").select(
+        *at, "name", F.col("qualified_name").alias("_q"), F.col("start_line").alias("_a"), width.alias("_w"), F.col("id").alias("_id")
+    )
+    one = F.min(F.struct("_w", "_q", "_id")).alias("_s")
+    line, start, size = F.col("line"), F.col("_a"), F.col("_s._w")
+
+    called = inner.select(*at, F.explode(F.array_distinct(F.array("name", "_q"))).alias("name"), "_a", "_w", "_q", "_id")
+    named = asked.join(called.groupBy(*at, "name", "_a").agg(one), [*at, "name"]).select(*keys, F.lit(0).alias("_t"), F.abs(start - line).alias("_x"), "_a", "_s")
+
+    spans = inner.where("_w >= 0").groupBy(*at, "_a", "_w").agg(one).withColumn("_class", F.length(F.bin("_w")))
+    block = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("_class")))
+    spans = spans.withColumn("_block", F.explode(F.sequence(block(start), block(start + F.col("_w"))))).drop("_w")
+    within = asked.join(spans.select(*at, "_class").distinct(), at).withColumn("_block", block(line))
+    held = within.join(spans, [*at, "_class", "_block"]).where((start <= line) & (line <= start + size)).select(*keys, F.lit(1).alias("_t"), size.alias("_x"), "_a", "_s")
+
+    reach = after_lines + 1
+    starts = inner.groupBy(*at, "_a").agg(one).withColumn("_block", F.floor(start / reach))
+    soon = asked.withColumn("_block", F.explode(F.array_distinct(F.array(F.floor(line / reach), F.floor((line + after_lines) / reach)))))
+    next_one = soon.join(starts, [*at, "_block"]).where((line <= start) & (start <= line + after_lines)).select(*keys, F.lit(2).alias("_t"), start.alias("_x"), "_a", "_s")
+
+    found = named.unionByName(held).unionByName(next_one)
+    best = found.groupBy(*keys).agg(F.min(F.struct("_t", "_x", "_a", "_s")).alias("_m")).select(*keys, F.col("_m._s._id").alias("symbol_id"))
     on = [F.col(f"p.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    cond = on[0] & on[1] & on[2] & on[3]
-    return places.alias("p").join(best.alias("b"), cond, "left").select("p.*", "b.symbol_id")
+    return places.alias("p").join(best.alias("b"), on[0] & on[1] & on[2] & on[3], "left").select("p.*", "b.symbol_id")
 
 
 def module_symbol(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
     """``wanted`` (snapshot_id, module, callable, ...) with symbol_id: the one symbol of a file whose path ends so.
 
-    If several fit, the only one without a parent; else null.  Paths are cut to every ending they have, which join by
-    equality.
+    If several fit, the only one without a parent; else null.  An ending need not start at a slash.  Paths are cut to each
+    length that a module asked for with the callable has; these endings join by equality.
     """
-    s = symbols.where(F.col("path").endswith(".py")).select(SNAP, "id", "path", "name", "qualified_name", "parent_id")
-    ends = s.withColumn("_suffix", F.col("path"))
+    on = [SNAP, "callable", "_end"]
     last = F.element_at(F.split("qualified_name", r"\."), -1)
-    named = ends.withColumn("callable", F.explode(F.array_distinct(F.array("name", F.when(F.col("qualified_name").contains("."), last).otherwise(F.col("name"))))))
-    w = wanted.withColumn("_end", F.concat(F.replace("module", F.lit("."), F.lit("/")), F.lit(".py")))
-    both = w.select(SNAP, "module", "callable", "_end").distinct().join(named, [SNAP, "callable"]).where(F.endswith("path", F.col("_end")))
-    top = F.col("parent_id").isNull()
-    picked = both.groupBy(SNAP, "module", "callable").agg(F.countDistinct("id").alias("_n"), F.min("id").alias("_id"), F.countDistinct(F.when(top, F.col("id"))).alias("_m"), F.min(F.when(top, F.col("id"))).alias("_top"))
+    both_names = F.array("name", F.when(F.col("qualified_name").contains("."), last).otherwise(F.col("name")))
+    named = symbols.where(F.col("path").endswith(".py")).select(SNAP, "id", "path", "parent_id", F.explode(F.array_distinct(both_names)).alias("callable"))
+    asked = wanted.select(SNAP, "module", "callable").distinct().withColumn("_end", F.concat(F.replace("module", F.lit("."), F.lit("/")), F.lit(".py")))
+    sizes = asked.select(SNAP, "callable", F.length("_end").alias("_size")).distinct()
+    cut = named.join(sizes, [SNAP, "callable"]).where(F.col("_size") <= F.length("path")).withColumn("_end", F.right("path", F.col("_size")))
+    top = F.when(F.col("parent_id").isNull(), F.col("id"))
+    counted = cut.groupBy(*on).agg(F.countDistinct("id").alias("_n"), F.min("id").alias("_id"), F.countDistinct(top).alias("_m"), F.min(top).alias("_top"))
     answer = F.when(F.col("_n") == 1, F.col("_id")).when(F.col("_m") == 1, F.col("_top"))
-    return wanted.join(picked.select(SNAP, "module", "callable", answer.alias("symbol_id")), [SNAP, "module", "callable"], "left")
+    picked = asked.join(counted, on).select(SNAP, "module", "callable", answer.alias("symbol_id"))
+    return wanted.join(picked, [SNAP, "module", "callable"], "left")
 
 
 # How entry points and public declarations read.

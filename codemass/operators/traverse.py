@@ -19,7 +19,8 @@ def hops(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None, di
     """(snapshot_id, root columns..., node, hops): the least number of edges from the roots of a snapshot.
 
     ``edges``: snapshot_id, src, dst.  ``roots``: snapshot_id, node and any further columns, which name separate
-    searches.  Undirected searches follow edges both ways.
+    searches.  Undirected searches follow edges both ways; a step then leads at most one level back, so only the last two
+    levels are looked at for nodes that are met again.
     """
     keys = [c for c in roots.columns if c != "node"]
     e = edges.select(SNAP, "src", "dst")
@@ -27,12 +28,13 @@ def hops(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None, di
         e = e.union(e.select(SNAP, F.col("dst").alias("src"), F.col("src").alias("dst")))
     e = checkpointed(e.where("src <> dst").distinct())
     front = checkpointed(roots.select(*keys, "node").distinct().withColumn("hops", F.lit(0)))
-    seen, depth = front, 0
+    seen, known, depth = front, front, 0
     while (max_depth is None or depth < max_depth) and not front.isEmpty():
         depth += 1
         step = front.join(e.withColumnRenamed("src", "node"), [SNAP, "node"]).select(*keys, F.col("dst").alias("node")).distinct()
-        front = checkpointed(step.join(seen, [*keys, "node"], "left_anti").withColumn("hops", F.lit(depth)))
+        before, front = front, checkpointed(step.join(known, [*keys, "node"], "left_anti").withColumn("hops", F.lit(depth)))
         seen = seen.union(front)
+        known = seen if directed else before.union(front)
     return seen
 
 

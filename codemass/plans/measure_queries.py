@@ -122,7 +122,7 @@ def _queried(p: DataFrame) -> DataFrame:
 def structural_distance_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """The distance of every record of 2000 from every comparable record."""
     p = _prints(spark, sf)
-    rows = corpus.compared(_queried(p), p).where("reason is null")
+    rows = corpus.compared(_queried(p), p)
     return rows.select(F.col("q.identity").alias("query"), F.col("c.identity").alias("candidate"), F.round("d.distance", 9).alias("distance"))
 
 
