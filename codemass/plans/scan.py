@@ -181,16 +181,13 @@ def index(spark: SparkSession, targets: DataFrame, corpus_path: str, *, version:
     named = targets.withColumn("identity", scalars.identity_key("repository", "sha", F.lit(version), F.lit(revision)))
     if not refresh and records.exists(spark, corpus_path):
         named = corpus.skip_known(named, records.corpus(spark, corpus_path))
-    rows = named.limit(101).collect()
-    if len(rows) > 100:
+    few = named.limit(101).collect()
+    if len(few) > 100:
         raise ValueError("at most 100 targets a call")
-    good, bad = [], []
-    for r in rows:
-        try:
-            trees.check_tarball(r["path"])
-            good.append(r)
-        except (trees.TreeError, OSError) as e:
-            bad.append((r, getattr(e, "code", "unreadable"), str(e)))
+    # the executors check the tarballs, few to a task
+    rows = trees.checked(spark.createDataFrame(few, named.schema).repartition(max(1, len(few)), "path")).collect()
+    good = [r for r in rows if r["code"] is None]
+    bad = [(r, r["code"], r["message"]) for r in rows if r["code"] is not None]
     made = spark.createDataFrame([], records.RECORD)
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     if good:

@@ -6,11 +6,15 @@ Each gives (snapshot_id, path, content).
 
 from __future__ import annotations
 
+import gzip
 import io
+import lzma
 import os
 import re
 import subprocess
 import tarfile
+import threading
+import zlib
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
@@ -21,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from codemass.functions import text
 
 SCHEMA = "snapshot_id string, path string, content binary"
-FILES_A_PARTITION = 256
+FILES_A_PARTITION, BYTES_A_PARTITION = 256, 32 << 20
 
 # Languages by suffix, folders that are not read, and bounds.
 LANGUAGES = {
@@ -80,8 +84,18 @@ class _FolderReader(DataSourceReader):
         for folder, folders, files in os.walk(self.root):
             folders[:] = [d for d in folders if d not in IGNORED]
             names += [os.path.relpath(os.path.join(folder, f), self.root).replace(os.sep, "/") for f in files if f not in IGNORED and suffix(f) in LANGUAGES]
-        names.sort()
-        return [_Part(self.snapshot, tuple(names[k : k + FILES_A_PARTITION])) for k in range(0, len(names), FILES_A_PARTITION)] or [_Part(self.snapshot, ())]
+        parts, held, size = [], [], 0
+        for name in sorted(names):
+            try:
+                more = os.path.getsize(os.path.join(self.root, name))
+            except OSError:
+                continue
+            if held and (len(held) == FILES_A_PARTITION or size + more > BYTES_A_PARTITION):
+                parts.append(_Part(self.snapshot, tuple(held)))
+                held, size = [], 0
+            held.append(name)
+            size += more if more <= self.limit else 0
+        return [*parts, _Part(self.snapshot, tuple(held))]
 
     def read(self, partition: _Part):
         for name in partition.items:
@@ -125,12 +139,30 @@ class _GitReader(DataSourceReader):
         return [_Part(sha, ()) for sha in self.commits]
 
     def read(self, partition: _Part):
-        run = subprocess.run(["git", "-C", self.root, "archive", "--format=tar", partition.snapshot], capture_output=True, timeout=GIT_SECONDS)
-        if run.returncode:
-            raise TreeError("git-error", run.stderr.decode("utf-8", "replace")[:200])
-        for name, data in members(run.stdout, strict=False):
-            if suffix(name) in LANGUAGES and not set(PurePosixPath(name).parts) & set(IGNORED):
-                yield partition.snapshot, name, data
+        run = subprocess.Popen(["git", "-C", self.root, "archive", "--format=tar", partition.snapshot], stdout=subprocess.PIPE, stderr=subprocess.PIPE)
+        late = threading.Timer(GIT_SECONDS, run.kill)
+        late.start()
+        try:
+            yield from ((partition.snapshot, name, data) for name, data in members(run.stdout, strict=False, stream=True) if wanted(name))
+            run.stdout.read()  # what pads the archive
+            failed = run.wait()
+        except TreeError as e:
+            # a git that fails writes no archive
+            if e.code != "invalid-archive" or not run.wait():
+                raise
+            failed = run.returncode
+        finally:
+            late.cancel()
+            run.kill()
+            words = run.stderr.read().decode("utf-8", "replace")[:200]
+            run.wait()
+        if failed:
+            raise TreeError("git-error", words)
+
+
+def wanted(name: str) -> bool:
+    """Whether a file of a tree is read: a known suffix and no ignored folder."""
+    return suffix(name) in LANGUAGES and not set(PurePosixPath(name).parts) & set(IGNORED)
 
 
 class TarballSource(DataSource):
@@ -159,56 +191,92 @@ class _TarballReader(DataSourceReader):
 
     def read(self, partition: _Part):
         with open(partition.snapshot, "rb") as f:
-            data = f.read()
-        for name, content in members(data, strict=True):
-            if suffix(name) in LANGUAGES and not set(PurePosixPath(name).parts) & set(IGNORED):
-                yield os.path.basename(partition.snapshot), name, content
+            for name, content in members(f, strict=True):
+                if wanted(name):
+                    yield os.path.basename(partition.snapshot), name, content
 
 
-def members(data: bytes, *, strict: bool, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES):
-    """(path, content) of a tar's regular files.
+def members(source, *, strict: bool, stream: bool = False, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES):
+    """(path, content) of the regular files of a tar, given as bytes or as an open binary file, one at a time.
 
     strict: one top folder, which is cut off, and nothing but folders and files; else other members are skipped.
+    stream: the file is a pipe without a way back.  A damaged or cut archive fails as invalid-archive.
     """
-    try:
-        archive = tarfile.open(fileobj=io.BytesIO(data), mode="r:*")
-    except tarfile.TarError as e:
-        raise TreeError("invalid-archive", "not a readable tarball") from e
     seen, top, total = set(), None, 0
-    with archive:
-        for m in archive:
-            if not m.isfile() and not m.isdir():
-                if strict:
-                    raise TreeError("unsafe-archive", f"unsupported member type: {m.name!r}")
-                continue
-            parts = PurePosixPath(m.name).parts
-            if not parts or "\x00" in m.name or "\\" in m.name or m.name.startswith("/") or ".." in parts or any(":" in p for p in parts):
-                raise TreeError("unsafe-archive", f"unsafe path: {m.name!r}")
+    opened = io.BytesIO(source) if isinstance(source, bytes) else source
+    for m, read in _entries(opened, "r|*" if stream else "r:*"):
+        if not m.isfile() and not m.isdir():
             if strict:
-                top = top or parts[0]
-                if parts[0] != top:
-                    raise TreeError("unsafe-archive", "more than one top-level folder")
-                parts = parts[1:]
-                if not parts and not m.isdir():
-                    raise TreeError("unsafe-archive", "top-level entry is no folder")
-            if m.isdir():
-                continue
-            name = "/".join(parts)
-            if name in seen:
-                raise TreeError("unsafe-archive", f"duplicate path: {name}")
-            seen.add(name)
-            total += m.size
-            if len(seen) > max_files:
-                raise TreeError("too-many-files", f"over {max_files} files")
-            if total > max_bytes:
-                raise TreeError("extracted-too-large", f"over {max_bytes} bytes")
-            yield name, archive.extractfile(m).read()
+                raise TreeError("unsafe-archive", f"unsupported member type: {m.name!r}")
+            continue
+        parts = PurePosixPath(m.name).parts
+        if not parts or "\x00" in m.name or "\\" in m.name or m.name.startswith("/") or ".." in parts or any(":" in p for p in parts):
+            raise TreeError("unsafe-archive", f"unsafe path: {m.name!r}")
+        if strict:
+            top = top or parts[0]
+            if parts[0] != top:
+                raise TreeError("unsafe-archive", "more than one top-level folder")
+            parts = parts[1:]
+            if not parts and not m.isdir():
+                raise TreeError("unsafe-archive", "top-level entry is no folder")
+        if m.isdir():
+            continue
+        name = "/".join(parts)
+        if name in seen:
+            raise TreeError("unsafe-archive", f"duplicate path: {name}")
+        seen.add(name)
+        total += m.size
+        if len(seen) > max_files:
+            raise TreeError("too-many-files", f"over {max_files} files")
+        if total > max_bytes:
+            raise TreeError("extracted-too-large", f"over {max_bytes} bytes")
+        yield name, read()
+
+
+def _entries(source, mode: str):
+    """(member, reader of its content) of a tar; what a damaged archive raises becomes a TreeError."""
+    damage = (tarfile.TarError, EOFError, zlib.error, lzma.LZMAError, gzip.BadGzipFile)
+    guarded = lambda call: _or_invalid(call, damage)
+    archive = guarded(lambda: tarfile.open(fileobj=source, mode=mode))
+    with archive:
+        while (m := guarded(archive.next)) is not None:
+            yield m, lambda m=m: guarded(lambda: archive.extractfile(m).read())
+            archive.members = []  # headers of members that are done
+        while guarded(lambda: archive.fileobj.read(1 << 20)):
+            pass  # up to the checksum at the end
+
+
+def _or_invalid(call, damage):
+    try:
+        return call()
+    except damage as e:
+        raise TreeError("invalid-archive", "not a readable tarball") from e
 
 
 def check_tarball(path: str) -> int:
     """How many files a tarball has; fails as reading it would."""
     with open(path, "rb") as f:
-        return sum(1 for _ in members(f.read(), strict=True))
+        return sum(1 for _ in members(f, strict=True))
+
+
+def checked(targets: DataFrame, path: str = "path") -> DataFrame:
+    """``targets`` with code and message: why the tarball at ``path`` cannot be read, null if it can; read on the executors."""
+
+    @F.pandas_udf("code string, message string")
+    def check(paths):
+        import pandas as pd
+
+        def one(p):
+            try:
+                check_tarball(p)
+            except (TreeError, OSError) as e:
+                return getattr(e, "code", "unreadable"), str(e)
+            return None, None
+
+        return pd.DataFrame([one(p) for p in paths], columns=["code", "message"])
+
+    free = targets.withColumn("_check", check(path))
+    return free.select(*targets.columns, "_check.code", "_check.message")
 
 
 def register(spark: SparkSession) -> None:
