@@ -275,6 +275,8 @@ def _common(a: str, b: str) -> int:
 
 
 _OWN, _GHOST = 0, 1
+#: Pages and bytes of html that a range has on average, at most.
+RANGE_PAGES, RANGE_BYTES = 4_000, 16 << 20
 
 
 def _edges(order: DataFrame, count: int) -> list[tuple]:
@@ -322,7 +324,7 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
 
     Pages are shuffled once, into ``ranges`` of the order, so a host with a third of all pages lies in many tasks.  The
     ranges' first and last URLs are found beforehand from rows of URL and print alone; rows at a range's end go to the
-    range beyond as well.  By default a range has at most about 20,000 pages.
+    range beyond as well.  Each range is a task; by default one has about 4,000 pages or 16 MB of html on average, or less.
     """
     spark = pages.sparkSession
     low = F.lower(F.coalesce(F.col(url).cast("string"), F.lit("")))
@@ -332,10 +334,11 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     names = [f.name for f in keep]
     sorted_url = F.when(host != "", F.concat(host, F.lit("\x00"), path))
     own = F.xxhash64(F.col(key), F.col(html))
-    order = checkpointed(pages.select(sorted_url.alias("_u"), own.alias("_h")))
+    order = checkpointed(pages.select(sorted_url.alias("_u"), own.alias("_h"), F.octet_length(html).alias("_n")))
+    total = order.agg(F.count("*").alias("pages"), F.coalesce(F.sum("_n"), F.lit(0)).alias("bytes")).first()
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    count = ranges or max(usual, order.count() // 20_000)
-    edges = _edges(order.where("_u is not null"), count)
+    count = ranges or max(usual, total["pages"] // RANGE_PAGES, total["bytes"] // RANGE_BYTES)
+    edges = _edges(order.where("_u is not null").select("_u", "_h"), count)
     shared = spark.sparkContext.broadcast(([e[0] for e in edges], dict(_ghosts(edges))))  # some URLs for each range
 
     @F.pandas_udf("array<int>")
@@ -355,8 +358,8 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     by = [free_name(pages, c) for c in ("_range", "_url", "_print")]
     rows = pages.select(*names, html, sorted_url.alias(by[1]), own.alias(by[2]))
     rows = rows.withColumn(by[0], F.explode(targets(by[1], by[2])))
-    half = F.floor(F.col(by[0]) / 2)
-    dealt = (rows.repartition(count, half) if count > usual else rows.repartition(half)).sortWithinPartitions(half, *by[1:], by[0])
+    half = F.floor(F.col(by[0]) / 2).cast("int")
+    dealt = rows.repartitionById(count, half).sortWithinPartitions(half, *by[1:], by[0])
     schema = T.StructType([*keep, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
