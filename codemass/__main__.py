@@ -75,7 +75,8 @@ def sections(spark: SparkSession, a: argparse.Namespace) -> list[tuple[str, Data
         a.sha = trees.static_sha(a.path)
         if a.json and not a.rating_only:
             return list(artifacts.of_scan(s, canonical=not options, sha=a.sha, **identity).items())
-        return [("metrics", s.metrics), ("profiles", s.profiles)] + ([] if a.rating_only else [("symbol metrics", s.symbol_metrics), ("diagnostics", s.diagnostics)])
+        return [("metrics", s.metrics), ("profiles", s.profiles)] + (
+            [] if a.rating_only else [("symbol metrics", s.symbol_metrics), ("diagnostics", s.diagnostics)])
     if a.command in ("history", "movie", "metabolism"):
         commits = trees.commits(spark, a.path, a.to, first=a.first, limit=a.max_commits)
         s = scan.scan_commits(spark, a.path, commits)
@@ -94,7 +95,8 @@ def sections(spark: SparkSession, a: argparse.Namespace) -> list[tuple[str, Data
         with open(a.manifest) as f:
             targets = corpus.distinct_targets(records.manifest(spark, f.read()))
         file = F.concat(F.lit(a.tarballs.rstrip("/") + "/"), F.replace("repository", F.lit("/"), F.lit("__")), F.lit(".tar.gz"))
-        return [("records", scan.index(spark, targets.withColumn("path", file), a.corpus, version=VERSION, revision=identity["source"], refresh=a.refresh).select("status", "identity", "reason"))]
+        return [("records", scan.index(spark, targets.withColumn("path", file), a.corpus, version=VERSION, revision=identity["source"],
+                    refresh=a.refresh).select("status", "identity", "reason"))]
     if a.command == "compare":
         a.sha = artifacts.head(spark, a.after, "scan")["repository_sha"]
         return list(artifacts.comparison(artifacts.read_scan(spark, a.before), artifacts.read_scan(spark, a.after)).items())

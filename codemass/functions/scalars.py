@@ -89,7 +89,8 @@ def family(path: Column | str) -> tuple[Column, Column]:
     stem = F.substr(name, F.lit(1), F.length(name) - F.length(suffix))
     hit = stem.rlike(pattern)
     folder = F.when(parent(path) == "", F.lit(".")).otherwise(parent(path))
-    named = F.concat(folder, F.lit("/"), F.lower(F.concat(F.regexp_extract(stem, pattern, 1), F.lit("{n}"), F.regexp_extract(stem, pattern, 3))), F.lower(suffix))
+    named = F.concat(folder, F.lit("/"), F.lower(F.concat(F.regexp_extract(stem, pattern, 1), F.lit("{n}"), F.regexp_extract(stem, pattern, 3))),
+        F.lower(suffix))
     return F.when(hit, named), F.when(hit, F.regexp_extract(stem, pattern, 2).cast("long"))
 
 

@@ -28,7 +28,8 @@ IMPORTS = {
 }
 GENERATED_MARKS = ("generated file", "auto-generated", "autogenerated", "do not edit", "code generated", "generated by")
 HEADER_COMMENTS = ("#", "//", "/*", "*", "<!--", ";", "--")
-MACHINERY_WORDS = ("audit", "verify", "validator", "validation", "receipt", "provenance", "telemetry", "diagnostic", "report", "reconcile", "checker", "monitor", "workflow", "pipeline")
+MACHINERY_WORDS = ("audit", "verify", "validator", "validation", "receipt", "provenance", "telemetry", "diagnostic", "report", "reconcile", "checker",
+    "monitor", "workflow", "pipeline")
 SOURCE_PREFIXES = ("src/", "lib/", "app/", "source/")
 PACKAGE_FILES = ("__init__.py", "index.js", "index.ts", "index.tsx", "index.jsx")
 

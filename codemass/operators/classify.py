@@ -14,15 +14,24 @@ HEAD = 120_000
 # Phrases of each category, in the order that breaks ties, and what a hit in the path weighs.
 RULES = {
     "testing": ("test", "tests", "spec", "specs", "fixture", "fixtures", "mock", "mocks", "assert", "pytest", "unittest", "xunit", "nunit", "jest", "vitest"),
-    "meta-machinery": ("meta-audit", "audit auditor", "audit of audit", "validator validator", "verify verifier", "check checker", "report validator", "quality of audit", "audit quality", "compliance of compliance", "tooling analyzer"),
-    "audit-provenance": ("audit", "auditor", "provenance", "receipt", "receipts", "evidence ledger", "reconcile", "reconciliation", "attestation", "traceability", "lineage record"),
-    "verification": ("verify", "verification", "validate", "validation", "validator", "integrity", "checksum", "consistency", "invariant", "sanity check", "precondition", "postcondition", "assertion"),
-    "observability": ("telemetry", "tracing", "trace", "metrics", "logging", "logger", "monitoring", "instrumentation", "diagnostic", "diagnostics", "span", "opentelemetry"),
-    "process-machinery": ("workflow", "pipeline", "ci", "cd", "release", "packaging", "deploy", "deployment", "quality gate", "approval gate", "build orchestration"),
-    "developer-tooling": ("tool", "tools", "generator", "scaffold", "scaffolding", "migration", "migrate", "bootstrap", "devtool", "codemod", "benchmark", "bench", "script", "scripts"),
-    "user-surface": ("ui", "gui", "view", "views", "page", "pages", "screen", "dialog", "window", "controller", "route", "routes", "endpoint", "api", "cli", "command", "commands", "frontend", "component", "components", "interaction", "input", "menu"),
-    "essential-support": ("storage", "database", "repository", "persistence", "serializer", "serialization", "network", "http", "adapter", "adapters", "cache", "filesystem", "file system", "transport", "protocol", "config", "configuration", "loader", "parser"),
-    "core-product": ("gameplay", "game", "engine", "domain", "model", "models", "service", "services", "simulation", "render", "audio", "combat", "inventory", "session", "editor", "player", "business logic", "core"),
+    "meta-machinery": ("meta-audit", "audit auditor", "audit of audit", "validator validator", "verify verifier", "check checker", "report validator",
+        "quality of audit", "audit quality", "compliance of compliance", "tooling analyzer"),
+    "audit-provenance": ("audit", "auditor", "provenance", "receipt", "receipts", "evidence ledger", "reconcile", "reconciliation", "attestation",
+        "traceability", "lineage record"),
+    "verification": ("verify", "verification", "validate", "validation", "validator", "integrity", "checksum", "consistency", "invariant",
+        "sanity check", "precondition", "postcondition", "assertion"),
+    "observability": ("telemetry", "tracing", "trace", "metrics", "logging", "logger", "monitoring", "instrumentation", "diagnostic", "diagnostics",
+        "span", "opentelemetry"),
+    "process-machinery": ("workflow", "pipeline", "ci", "cd", "release", "packaging", "deploy", "deployment", "quality gate", "approval gate",
+        "build orchestration"),
+    "developer-tooling": ("tool", "tools", "generator", "scaffold", "scaffolding", "migration", "migrate", "bootstrap", "devtool", "codemod",
+        "benchmark", "bench", "script", "scripts"),
+    "user-surface": ("ui", "gui", "view", "views", "page", "pages", "screen", "dialog", "window", "controller", "route", "routes", "endpoint", "api",
+        "cli", "command", "commands", "frontend", "component", "components", "interaction", "input", "menu"),
+    "essential-support": ("storage", "database", "repository", "persistence", "serializer", "serialization", "network", "http", "adapter", "adapters",
+        "cache", "filesystem", "file system", "transport", "protocol", "config", "configuration", "loader", "parser"),
+    "core-product": ("gameplay", "game", "engine", "domain", "model", "models", "service", "services", "simulation", "render", "audio", "combat",
+        "inventory", "session", "editor", "player", "business logic", "core"),
     "documentation": ("docs", "documentation", "readme", "guide", "manual", "tutorial", "architecture decision"),
 }
 PATH_WEIGHT = {
@@ -102,8 +111,10 @@ def _with_signals(files: DataFrame, head: int | None) -> DataFrame:
         rows.append((category, F.when(F.arrays_overlap("_t", F.array(*map(F.lit, words))), F.lit(weight)), F.lit(reason)))
     deep = F.col("_deep")
     weight = F.lit(4.5) + F.least(F.lit(2.5), F.size(deep) * 0.6)
-    rows.append(("meta-machinery", F.when((F.size(deep) > 0) & F.col("_many"), weight), F.concat(F.lit("recursive machinery semantics: "), F.array_join(F.slice(deep, 1, 4), ", "))))
-    made = F.array(*[F.struct(F.lit(c).alias("category"), w.cast("double").alias("weight"), r.alias("reason"), F.lit(k).alias("seq")) for k, (c, w, r) in enumerate(rows)])
+    rows.append(("meta-machinery", F.when((F.size(deep) > 0) & F.col("_many"), weight),
+            F.concat(F.lit("recursive machinery semantics: "), F.array_join(F.slice(deep, 1, 4), ", "))))
+    made = F.array(*[F.struct(F.lit(c).alias("category"), w.cast("double").alias("weight"), r.alias("reason"), F.lit(k).alias("seq")) for k,
+            (c, w, r) in enumerate(rows)])
     return found.select(*own, F.filter(made, lambda s: s["weight"].isNotNull()).alias("_s"))
 
 
@@ -131,8 +142,11 @@ def classify(files: DataFrame, overrides: DataFrame | None = None, *, keep_signa
     first = F.get("r", 0)
     best_score, second = first["score"], F.coalesce(F.get("r", 1)["score"], F.lit(0.0))
     sure = F.least(F.lit(0.99), F.lit(0.42) + F.lit(0.08) * best_score + F.lit(0.06) * F.greatest(F.lit(0.0), best_score - second))
-    listed = F.flatten(F.transform("r", lambda e: F.transform(e["w"], lambda s: F.struct((-s["weight"]).alias("o"), s["seq"].alias("seq"), e["category"].alias("category"), s["weight"].alias("weight"), s["reason"].alias("reason")))))
-    kept = F.transform(F.slice(F.array_sort(listed), 1, keep_signals), lambda s: F.struct(s["category"].alias("category"), s["weight"].alias("weight"), s["reason"].alias("reason")))
+    listed = F.flatten(F.transform("r", lambda e: F.transform(e["w"],
+                lambda s: F.struct((-s["weight"]).alias("o"), s["seq"].alias("seq"), e["category"].alias("category"), s["weight"].alias("weight"),
+                    s["reason"].alias("reason")))))
+    kept = F.transform(F.slice(F.array_sort(listed), 1, keep_signals),
+        lambda s: F.struct(s["category"].alias("category"), s["weight"].alias("weight"), s["reason"].alias("reason")))
     out = ranked.select(*marked.drop("_s").columns, first["category"].alias("_best"), F.when(F.size("r") > 0, sure).alias("_sure"), kept.alias("_signals"))
     declared_as = F.lit(None).cast("string")
     if overrides is not None:
@@ -172,12 +186,14 @@ def ignored(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
 ROLE_WORDS = {
     "meta-machinery": ("metaaudit", "auditofaudit", "auditquality", "reportvalidator"),
     "audit-provenance": ("audit", "auditor", "provenance", "reconcile", "reconciliation", "traceability", "lineage"),
-    "verification": ("verify", "verified", "verification", "validate", "validation", "validator", "integrity", "checksum", "sha256", "invariant", "consistency"),
+    "verification": ("verify", "verified", "verification", "validate", "validation", "validator", "integrity", "checksum", "sha256", "invariant",
+        "consistency"),
     "observability": ("telemetry", "trace", "tracing", "logging", "logger", "monitor", "monitoring", "diagnostic", "diagnostics", "opentelemetry"),
     "process-machinery": ("workflow", "deploy", "deployment", "packaging", "release"),
     "developer-tooling": ("probe", "benchmark", "bench", "scaffold", "generator", "codemod", "migration", "bootstrap"),
     "user-surface": ("gui", "view", "screen", "dialog", "window", "controller", "route", "endpoint", "cli", "command", "menu", "frontend"),
-    "essential-support": ("config", "configuration", "storage", "store", "history", "cache", "serializer", "serialization", "parser", "loader", "filesystem", "transport", "protocol", "adapter", "catalog", "archive"),
+    "essential-support": ("config", "configuration", "storage", "store", "history", "cache", "serializer", "serialization", "parser", "loader",
+        "filesystem", "transport", "protocol", "adapter", "catalog", "archive"),
 }
 PATH_ROLES = {
     "testing": ("test", "tests", "spec", "specs", "fixtures"),
@@ -228,8 +244,10 @@ def refine_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
     lines = F.coalesce("_lines", F.array().cast("array<string>"))
     named = F.array_union(gram_tokens("name"), gram_tokens("qualified_name"))
     body = gram_tokens(snippet(lines, F.col("start_line"), F.col("end_line")))
-    ranked = F.array_sort(F.transform(local_scores(named, body), lambda s: F.struct((-s["score"]).alias("o"), s["rank"].alias("rank"), s["category"].alias("category"), s["score"].alias("score"))))
-    joined = joined.withColumn("_r", ranked).withColumns({"_path": path_role("path"), "_best": F.try_element_at("_r", F.lit(1)), "_next": F.coalesce(F.try_element_at("_r", F.lit(2))["score"], F.lit(0.0))})
+    ranked = F.array_sort(F.transform(local_scores(named, body),
+            lambda s: F.struct((-s["score"]).alias("o"), s["rank"].alias("rank"), s["category"].alias("category"), s["score"].alias("score"))))
+    joined = joined.withColumn("_r", ranked).withColumns(
+        {"_path": path_role("path"), "_best": F.try_element_at("_r", F.lit(1)), "_next": F.coalesce(F.try_element_at("_r", F.lit(2))["score"], F.lit(0.0))})
     best, score = F.col("_best.category"), F.col("_best.score")
     clear = F.coalesce((score >= 5.0) & (score - F.col("_next") >= 0.5), F.lit(False))
     machine = among("category", MACHINERY)
@@ -246,6 +264,8 @@ def refine_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
         F.lit(1.0), F.lit(0.98), F.least(F.lit(0.95), F.lit(0.66) + F.lit(0.04) * score), F.when(among("category", PRODUCT), 0.72).otherwise(0.62),
         F.least(F.lit(0.97), F.lit(0.68) + F.lit(0.04) * score), F.when(fallback == "core-product", 0.68).otherwise(0.62),
     )
-    source = choose(*map(F.lit, ("file-classification", "strong-path-role", "symbol-local-product-evidence", "file-seed-preserved", "symbol-local-machinery-evidence", "mixed-file-context-fallback")))
-    made = joined.select(*[c for c in symbols.columns if c not in ("category", "role_confidence", "role_source")], category.alias("category"), sure.alias("role_confidence"), source.alias("role_source"))
+    source = choose(*map(F.lit, ("file-classification", "strong-path-role", "symbol-local-product-evidence", "file-seed-preserved",
+                "symbol-local-machinery-evidence", "mixed-file-context-fallback")))
+    made = joined.select(*[c for c in symbols.columns if c not in ("category", "role_confidence", "role_source")], category.alias("category"),
+        sure.alias("role_confidence"), source.alias("role_source"))
     return made

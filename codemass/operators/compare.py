@@ -37,7 +37,8 @@ def deepest_chains(chains: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         deep = chains.withColumn("_max", F.max("depth").over(W.partitionBy(*keys))).where("depth = _max")
     else:  # one row of the greatest depth, so that no task reads all chains
         deep = chains.crossJoin(F.broadcast(chains.agg(F.max("depth").alias("_max")))).where("depth = _max")
-    return deep.select(*keys, F.array_join("symbol_ids", " -> ").alias("signature"), F.element_at("symbol_ids", 1).alias("first"), F.element_at("symbol_ids", -1).alias("last")).distinct()
+    return deep.select(*keys, F.array_join("symbol_ids", " -> ").alias("signature"), F.element_at("symbol_ids", 1).alias("first"),
+        F.element_at("symbol_ids", -1).alias("last")).distinct()
 
 
 def chain_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -61,13 +62,15 @@ def change_drivers(before: DataFrame, after: DataFrame, keys: tuple[str, ...] =
     Files without movement whose purpose stayed are left out.  ``keep``: the report's bound a key, None for all.
     """
     on = [*keys, "path"]
-    side = lambda df, p: df.select(*on, F.col("category").alias(f"{p}_category"), F.col("code_lines").alias(f"{p}_code_lines"), F.lit(True).alias(f"_{p}"))
+    side = lambda df, p: df.select(*on, F.col("category").alias(f"{p}_category"), F.col("code_lines").alias(f"{p}_code_lines"),
+        F.lit(True).alias(f"_{p}"))
     both = side(before, "before").join(side(after, "after"), on, "full_outer")
     same = F.col("before_category").eqNullSafe(F.col("after_category"))
     status = F.when(F.col("_before").isNull(), "added").when(F.col("_after").isNull(), "removed").when(~same, "recategorized").otherwise("changed")
     both = both.withColumn("status", status).fillna(0, ["before_code_lines", "after_code_lines"])
     moved = F.when(same, F.abs(F.col("after_code_lines") - F.col("before_code_lines"))).otherwise(F.greatest("before_code_lines", "after_code_lines"))
-    rows = both.withColumns({"movement": moved, "delta": F.col("after_code_lines") - F.col("before_code_lines")}).where("movement > 0 or status <> 'changed'").drop("_before", "_after")
+    rows = both.withColumns({"movement": moved, "delta": F.col("after_code_lines") - F.col("before_code_lines")}).where(
+        "movement > 0 or status <> 'changed'").drop("_before", "_after")
     if keep is None:
         return rows
     order = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
@@ -77,7 +80,8 @@ def change_drivers(before: DataFrame, after: DataFrame, keys: tuple[str, ...] =
 def layout_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """A row for each file that appeared, disappeared, grew, shrank, or changed purpose or distance from value."""
     on = [*keys, "path"]
-    side = lambda df, p: df.select(*on, *[F.col(c).alias(f"{p}_{c}") for c in ("weight", "category", "value_distance")], F.lit(True).alias(f"_{p}"))
+    side = lambda df, p: df.select(*on, *[F.col(c).alias(f"{p}_{c}") for c in ("weight", "category", "value_distance")],
+        F.lit(True).alias(f"_{p}"))
     both = side(before, "before").join(side(after, "after"), on, "full_outer")
     there = F.col("_before").isNotNull() & F.col("_after").isNotNull()
     delta = F.coalesce("after_weight", F.lit(0)) - F.coalesce("before_weight", F.lit(0))
@@ -113,9 +117,11 @@ def history_events(checkpoints: DataFrame, profiles: DataFrame, *, key: str = "r
     p = paired(checkpoints, key, order).where("previous is not null")
     left, right = dominance("previous.product_share", "previous.machinery_share"), dominance("product_share", "machinery_share")
     none = F.lit(None).cast("string")
-    shift = p.where(left != right).select(key, order, F.lit("repository-dominance-shift").alias("type"), none.alias("path"), left.alias("before"), right.alias("after"))
+    shift = p.where(left != right).select(key, order, F.lit("repository-dominance-shift").alias("type"), none.alias("path"), left.alias("before"),
+        right.alias("after"))
     deep = p.where(F.col("recursive_depth") != F.col("previous.recursive_depth")).select(
-        key, order, F.lit("recursive-depth-change").alias("type"), none.alias("path"), F.col("previous.recursive_depth").cast("string").alias("before"), F.col("recursive_depth").cast("string").alias("after")
+        key, order, F.lit("recursive-depth-change").alias("type"), none.alias("path"),
+        F.col("previous.recursive_depth").cast("string").alias("before"), F.col("recursive_depth").cast("string").alias("after")
     )
     moved = crossovers(profiles.withColumn(order, F.col(order) + 1), profiles, (key, order))
     lines = lambda s: F.concat_ws("/", F.col(f"{s}_product").cast("string"), F.col(f"{s}_machinery").cast("string"))
@@ -139,7 +145,8 @@ def explanations(deltas: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, rank, message) for each category that gained or lost lines, the largest first."""
     order = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(F.desc(F.abs("delta")), "category")
     title = F.initcap(F.replace("category", F.lit("-"), F.lit(" ")))
-    text = F.when(F.col("delta") > 0, F.concat(title, F.lit(" gained "), F.format_number("delta", 0), F.lit(" LOC."))).otherwise(F.concat(title, F.lit(" lost "), F.format_number(-F.col("delta"), 0), F.lit(" LOC.")))
+    text = F.when(F.col("delta") > 0, F.concat(title, F.lit(" gained "), F.format_number("delta", 0), F.lit(" LOC."))).otherwise(
+        F.concat(title, F.lit(" lost "), F.format_number(-F.col("delta"), 0), F.lit(" LOC.")))
     return deltas.where("delta <> 0").select(*keys, F.row_number().over(order).alias("rank"), text.alias("message"))
 
 
@@ -152,9 +159,11 @@ def structural_explanations(deltas: DataFrame, crossed: DataFrame, depth: DataFr
     by = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     at = lambda part: F.lit(part).alias("part")
     rows = explanations(deltas, keys).select(*keys, at(0), "rank", "message")
-    over = crossed.select(*keys, at(1), F.row_number().over(by.orderBy("path")).alias("rank"), F.concat("path", F.lit(" crossed from product-dominant to machinery-dominant.")).alias("message"))
+    over = crossed.select(*keys, at(1), F.row_number().over(by.orderBy("path")).alias("rank"),
+        F.concat("path", F.lit(" crossed from product-dominant to machinery-dominant.")).alias("message"))
     how = F.when(F.col("after") > F.col("before"), "increased").otherwise("decreased")
-    words = F.concat(F.lit("Max exact recursive depth "), how, F.lit(" from "), F.col("before").cast("string"), F.lit(" to "), F.col("after").cast("string"), F.lit("."))
+    words = F.concat(F.lit("Max exact recursive depth "), how, F.lit(" from "), F.col("before").cast("string"), F.lit(" to "),
+        F.col("after").cast("string"), F.lit("."))
     deep = depth.where("before <> after").select(*keys, at(2), F.lit(1).alias("rank"), words.alias("message"))
 
     def first(change: str, part: int, signature: str, before: str, after: str = "") -> DataFrame:
@@ -163,7 +172,8 @@ def structural_explanations(deltas: DataFrame, crossed: DataFrame, depth: DataFr
 
     new = first("added", 3, "after", "A new deepest exact machinery chain appeared through ", ".")
     gone = first("removed", 4, "before", "A previously deepest exact machinery chain disappeared: ", ".")
-    kept = chains.where("change = 'changed'").select(*keys, at(5), F.lit(1).alias("rank"), F.lit("A deepest exact chain kept the same endpoints but changed its internal structural path.").alias("message")).distinct()
+    kept = chains.where("change = 'changed'").select(*keys, at(5), F.lit(1).alias("rank"),
+        F.lit("A deepest exact chain kept the same endpoints but changed its internal structural path.").alias("message")).distinct()
     return rows.union(over).union(deep).union(new).union(gone).union(kept)
 
 
@@ -171,4 +181,5 @@ def story_coherence(scan: DataFrame, comparison: DataFrame) -> DataFrame:
     """One row: whether the comparison's later sha is the scan's, and the warning if not."""
     both = scan.select(F.col("sha").alias("scan_sha")).join(comparison.select("before_sha", "after_sha"), F.lit(True))
     match = F.coalesce(F.col("scan_sha") == F.col("after_sha"), F.lit(False))
-    return both.withColumns({"matches": match, "warning": F.when(~match, F.concat(F.lit("comparison ends at "), F.coalesce("after_sha", F.lit("?")), F.lit(", scan is of "), F.coalesce("scan_sha", F.lit("?"))))})
+    return both.withColumns({"matches": match, "warning": F.when(~match,
+                F.concat(F.lit("comparison ends at "), F.coalesce("after_sha", F.lit("?")), F.lit(", scan is of "), F.coalesce("scan_sha", F.lit("?"))))})

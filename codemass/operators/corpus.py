@@ -16,7 +16,8 @@ from codemass.functions.scalars import band, clean_counts, composition_distance,
 from codemass.schema import CATEGORIES
 
 # What each dimension of the structural distance weighs, and the dimensions of a context.
-WEIGHTS = {"code_composition": 0.40, "symbol_composition": 0.20, "recursive_depth": 0.15, "semantic_index": 0.10, "far_from_value": 0.10, "exact_coverage": 0.05}
+WEIGHTS = {"code_composition": 0.40, "symbol_composition": 0.20, "recursive_depth": 0.15, "semantic_index": 0.10, "far_from_value": 0.10,
+    "exact_coverage": 0.05}
 DIMENSIONS = ("product_share", "machinery_share", "scaffolding_ratio", "recursive_depth", "semantic_index", "far_share", "exact_coverage")
 
 
@@ -42,7 +43,8 @@ def fingerprints(records: DataFrame) -> DataFrame:
         F.greatest(F.lit(0), F.coalesce(finite("max_recursive_depth"), F.lit(0.0)).cast("int")).alias("recursive_depth"),
         _clamped("semantic_index", 100.0).alias("semantic_index"), _clamped("far_share", 1.0).alias("far_share"),
         F.when(links > 0, finite("exact_resolution_rate")).alias("exact_coverage"), links.alias("relationship_count"),
-        finite("scaffolding_ratio").alias("scaffolding_ratio"), _clamped("product_share", 1.0).alias("product_share"), _clamped("machinery_share", 1.0).alias("machinery_share"),
+        finite("scaffolding_ratio").alias("scaffolding_ratio"), _clamped("product_share", 1.0).alias("product_share"),
+        _clamped("machinery_share", 1.0).alias("machinery_share"),
     )
 
 
@@ -52,7 +54,8 @@ def distance_parts(q: str = "q", c: str = "c") -> dict[str, Column]:
     deep = lambda side: x(side, "recursive_depth") / (x(side, "recursive_depth") + 3.0)
     return {
         "code_composition": F.when((x(q, "code_total") > 0) & (x(c, "code_total") > 0), composition_distance(x(q, "code_shares"), x(c, "code_shares"))),
-        "symbol_composition": F.when((x(q, "symbol_total") > 0) & (x(c, "symbol_total") > 0), composition_distance(x(q, "symbol_shares"), x(c, "symbol_shares"))),
+        "symbol_composition": F.when((x(q, "symbol_total") > 0) & (x(c, "symbol_total") > 0),
+            composition_distance(x(q, "symbol_shares"), x(c, "symbol_shares"))),
         "recursive_depth": F.abs(deep(q) - deep(c)),
         "semantic_index": F.abs(x(q, "semantic_index") - x(c, "semantic_index")) / 100.0,
         "far_from_value": F.abs(x(q, "far_share") - x(c, "far_share")),
@@ -70,7 +73,8 @@ def structural_distance(q: str = "q", c: str = "c") -> Column:
     each = {k: (F.lit(WEIGHTS[k]) / total) for k in parts}
     distance = ordered_sum([F.coalesce(d * each[k], F.lit(0.0)) for k, d in parts.items()])
     rows = F.array_compact(F.array(*[
-        F.when(d.isNotNull(), F.struct(F.lit(k).alias("dimension"), d.alias("distance"), F.lit(WEIGHTS[k]).alias("weight"), each[k].alias("effective_weight"), (d * each[k]).alias("contribution")))
+        F.when(d.isNotNull(), F.struct(F.lit(k).alias("dimension"), d.alias("distance"), F.lit(WEIGHTS[k]).alias("weight"),
+                        each[k].alias("effective_weight"), (d * each[k]).alias("contribution")))
         for k, d in parts.items()
     ]))
     return F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), distance)).alias("distance"), rows.alias("components"))
@@ -87,7 +91,8 @@ def compared(queries: DataFrame, corpus: DataFrame, *, same_repository: bool = F
     go to every shard; they join by shard and, unless ``cross_model``, by model and canonical setting.
     """
     dealt = queries.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1)))).alias("q")
-    records = corpus.where("code_shares is not null").withColumn("_s", F.pmod(F.xxhash64("identity", "scanned_at", "seq"), F.lit(SHARDS)).cast("int")).alias("c")
+    records = corpus.where("code_shares is not null").withColumn("_s",
+        F.pmod(F.xxhash64("identity", "scanned_at", "seq"), F.lit(SHARDS)).cast("int")).alias("c")
     on = F.col("c._s") == F.col("q._s")
     if not cross_model:
         on = on & (F.col("c.model") == F.col("q.model")) & F.col("c.canonical").eqNullSafe(F.col("q.canonical"))
@@ -100,7 +105,8 @@ def compared(queries: DataFrame, corpus: DataFrame, *, same_repository: bool = F
 def neighbours(queries: DataFrame, corpus: DataFrame, *, keep: int = 10, **options) -> DataFrame:
     """(query, repository, sha, distance, rank): the nearest repositories of each query, each by its closest record; a top-k report."""
     found = compared(queries, corpus, **options)
-    rows = found.select(F.col("q.identity").alias("query"), F.col("c.repository").alias("repository"), F.col("c.sha").alias("sha"), F.col("d.distance").alias("distance"))
+    rows = found.select(F.col("q.identity").alias("query"), F.col("c.repository").alias("repository"), F.col("c.sha").alias("sha"),
+        F.col("d.distance").alias("distance"))
     best = rows.groupBy("query", F.lower("repository").alias("_r")).agg(F.min(F.struct("distance", "repository", "sha")).alias("b"))
     order = W.partitionBy("query").orderBy("distance", "repository", "sha")
     return best.select("query", "b.*").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
@@ -140,10 +146,13 @@ def exclusions(queries: DataFrame, corpus: DataFrame, *, same_repository: bool =
 def category_differences(q: str = "q", c: str = "c", keep: int = 5) -> Column:
     """The largest differences of code shares: array<struct<category, query, candidate, delta>>."""
     rows = F.array(*[
-        F.struct((-F.abs(F.col(f"{c}.code_shares")[k] - F.col(f"{q}.code_shares")[k])).alias("o"), F.lit(name).alias("category"), F.col(f"{q}.code_shares")[k].alias("query"), F.col(f"{c}.code_shares")[k].alias("candidate"))
+        F.struct((-F.abs(F.col(f"{c}.code_shares")[k] - F.col(f"{q}.code_shares")[k])).alias("o"), F.lit(name).alias("category"),
+                F.col(f"{q}.code_shares")[k].alias("query"), F.col(f"{c}.code_shares")[k].alias("candidate"))
         for k, name in enumerate(CATEGORIES)
     ])
-    return F.transform(F.slice(F.array_sort(rows), 1, keep), lambda r: F.struct(r["category"].alias("category"), r["query"].alias("query"), r["candidate"].alias("candidate"), (r["candidate"] - r["query"]).alias("delta")))
+    return F.transform(F.slice(F.array_sort(rows), 1, keep),
+        lambda r: F.struct(r["category"].alias("category"), r["query"].alias("query"), r["candidate"].alias("candidate"),
+            (r["candidate"] - r["query"]).alias("delta")))
 
 
 def latest(records: DataFrame, *, key: Column | str = "repository") -> DataFrame:
@@ -194,7 +203,8 @@ def context(queries: DataFrame, records: DataFrame) -> DataFrame:
     within = W.partitionBy(*by, "_b").orderBy("value")
     placed = spread.withColumn("_in", F.sum("n").over(within) - F.col("n")).join(ahead(spread), [*by, "_b"]).withColumn("below", F.col("_ahead") + F.col("_in"))
     middle = F.floor(F.col("cohort_size") / 2)
-    medians = placed.where((F.col("below") <= middle) & (middle < F.col("below") + F.col("n"))).select(*by, F.col("value").alias("median"), "cohort_size", "minimum", "maximum")
+    medians = placed.where((F.col("below") <= middle) & (middle < F.col("below") + F.col("n"))).select(*by, F.col("value").alias("median"),
+        "cohort_size", "minimum", "maximum")
     asked = _long(queries.withColumn("query", F.col("identity")), ["query", "model", "canonical"])
     sized = asked.join(medians, by, "left")
     # a query's values take their places among the cohort's
@@ -232,7 +242,8 @@ def with_overrides(targets: DataFrame, overrides: DataFrame) -> DataFrame:
     Two different shas for one repository fail the job.
     """
     named = overrides.groupBy(F.lower("repository").alias("_k")).agg(F.min("repository").alias("_r"), F.min("sha").alias("_a"), F.max("sha").alias("_b"))
-    sure = named.select("_k", "_r", F.when(F.lower("_a") == F.lower("_b"), F.col("_a")).otherwise(F.raise_error(F.concat(F.lit("conflicting sha overrides for "), F.col("_r")))).alias("_sha"))
+    sure = named.select("_k", "_r", F.when(F.lower("_a") == F.lower("_b"),
+            F.col("_a")).otherwise(F.raise_error(F.concat(F.lit("conflicting sha overrides for "), F.col("_r")))).alias("_sha"))
     both = targets.withColumn("_k", F.lower("repository")).join(sure, "_k", "full_outer")
     clash = F.col("sha").isNotNull() & F.col("_sha").isNotNull() & (F.lower("sha") != F.lower("_sha"))
     sha = F.when(clash, F.raise_error(F.concat(F.lit("conflicting sha for "), F.col("repository")))).otherwise(F.coalesce("_sha", "sha"))
@@ -245,7 +256,8 @@ def diagnostics_rollup(diagnostics: DataFrame, *, by: str = "snapshot_id", sampl
     first = diagnostics.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= samples)
     kept = first.groupBy(by, "severity").agg(F.array_sort(F.collect_list(F.struct("_k", "path", "message"))).alias("_s"))
     counts = diagnostics.groupBy(by, "severity").agg(F.count("*").alias("n"))
-    return counts.join(kept, [by, "severity"]).select(by, "severity", "n", F.transform("_s", lambda s: F.concat_ws(": ", s["path"], s["message"])).alias("samples"))
+    return counts.join(kept, [by, "severity"]).select(by, "severity", "n",
+        F.transform("_s", lambda s: F.concat_ws(": ", s["path"], s["message"])).alias("samples"))
 
 
 def explanation(q: str = "q", c: str = "c", d: str = "d") -> Column:
@@ -254,9 +266,13 @@ def explanation(q: str = "q", c: str = "c", d: str = "d") -> Column:
     code, symbols = part("code_composition"), part("symbol_composition")
     a, b = F.col(f"{q}.recursive_depth"), F.col(f"{c}.recursive_depth")
     return F.array_compact(F.array(
-        F.when(code.isNotNull(), F.format_string("Code-purpose composition distance is %.3f.", code)).otherwise("Code-purpose composition was unavailable for at least one scan and was excluded from distance weighting."),
-        F.when(symbols.isNotNull(), F.format_string("Symbol-role composition distance is %.3f.", symbols)).otherwise("Symbol-role composition was unavailable for at least one scan and was excluded from distance weighting."),
-        F.when(a == b, F.format_string("Both scans have exact recursive depth %d.", a)).otherwise(F.format_string("Exact recursive depth differs: %d versus %d.", a, b)),
-        F.format_string("Semantic Index differs by %+.1f points; this is structural context, not a quality judgment.", F.col(f"{c}.semantic_index") - F.col(f"{q}.semantic_index")),
+        F.when(code.isNotNull(), F.format_string("Code-purpose composition distance is %.3f.", code)).otherwise(
+                "Code-purpose composition was unavailable for at least one scan and was excluded from distance weighting."),
+        F.when(symbols.isNotNull(), F.format_string("Symbol-role composition distance is %.3f.", symbols)).otherwise(
+                "Symbol-role composition was unavailable for at least one scan and was excluded from distance weighting."),
+        F.when(a == b, F.format_string("Both scans have exact recursive depth %d.", a)).otherwise(
+                F.format_string("Exact recursive depth differs: %d versus %d.", a, b)),
+        F.format_string("Semantic Index differs by %+.1f points; this is structural context, not a quality judgment.",
+                F.col(f"{c}.semantic_index") - F.col(f"{q}.semantic_index")),
         F.when(part("exact_coverage").isNull(), "Exact relationship coverage was unavailable for at least one scan and was excluded from distance weighting."),
     ))

@@ -32,10 +32,12 @@ def treemap(components: DataFrame, *, width: float = 1000.0, height: float = 620
     nodes = checkpointed(tree(components))
     by = W.partitionBy(SNAP, "parent").orderBy(F.desc("weight"), "path")
     whole = W.partitionBy(SNAP, "parent")
-    ranked = nodes.withColumns({"_before": F.coalesce(F.sum("weight").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_total": F.sum("weight").over(whole), "_last": F.row_number().over(by) == F.count("*").over(whole)})
+    ranked = nodes.withColumns({"_before": F.coalesce(F.sum("weight").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+            "_total": F.sum("weight").over(whole), "_last": F.row_number().over(by) == F.count("*").over(whole)})
     ranked = checkpointed(ranked)
     deepest = ranked.agg(F.max("depth")).first()[0] or 0
-    box = nodes.select(SNAP).distinct().select(SNAP, F.lit("").alias("parent"), F.lit(0.0).alias("px"), F.lit(0.0).alias("py"), F.lit(float(width)).alias("pw"), F.lit(float(height)).alias("ph"))
+    box = nodes.select(SNAP).distinct().select(SNAP, F.lit("").alias("parent"), F.lit(0.0).alias("px"), F.lit(0.0).alias("py"),
+        F.lit(float(width)).alias("pw"), F.lit(float(height)).alias("ph"))
     done = None
     for depth in range(1, deepest + 1):
         level = ranked.where(F.col("depth") == depth).join(box, [SNAP, "parent"])
@@ -53,7 +55,8 @@ def treemap(components: DataFrame, *, width: float = 1000.0, height: float = 620
             F.greatest(F.lit(0.0), F.col("ch") - 2 * pad).alias("height"), "weight", "depth",
         )
         rows = checkpointed(rows)
-        box = rows.where("kind = 'directory'").select(SNAP, F.col("path").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("width").alias("pw"), F.col("height").alias("ph"))
+        box = rows.where("kind = 'directory'").select(SNAP, F.col("path").alias("parent"), F.col("x").alias("px"), F.col("y").alias("py"),
+            F.col("width").alias("pw"), F.col("height").alias("ph"))
         done = rows if done is None else done.union(rows)
     if done is None:
         done = ranked.select(SNAP, "kind", "path", *[F.lit(0.0).alias(c) for c in ("x", "y", "width", "height")], "weight", "depth")

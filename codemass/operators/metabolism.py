@@ -22,13 +22,15 @@ def frame_metrics(frames: DataFrame) -> DataFrame:
     lines = lambda cond: F.sum(F.when(cond, F.col("code_lines")).otherwise(0)).cast("long")
     return frames.groupBy("repository", "frame").agg(
         F.count("*").alias("files"), F.sum("code_lines").cast("long").alias("lines"), lines(among("category", PRODUCT)).alias("product_lines"),
-        lines(among("category", MACHINERY)).alias("machinery_lines"), F.sum(F.col("active").cast("long")).alias("active_files"), lines(F.col("active")).alias("active_lines"),
+        lines(among("category", MACHINERY)).alias("machinery_lines"), F.sum(F.col("active").cast("long")).alias("active_files"),
+        lines(F.col("active")).alias("active_lines"),
     )
 
 
 def mass_delta(metrics: DataFrame) -> DataFrame:
     """(repository, start, current, delta) of lines between the first and the last frame."""
-    return metrics.groupBy("repository").agg(F.min_by("lines", "frame").alias("start"), F.max_by("lines", "frame").alias("current")).withColumn("delta", F.col("current") - F.col("start"))
+    return metrics.groupBy("repository").agg(F.min_by("lines", "frame").alias("start"),
+        F.max_by("lines", "frame").alias("current")).withColumn("delta", F.col("current") - F.col("start"))
 
 
 def changes(frames: DataFrame) -> DataFrame:
@@ -74,7 +76,8 @@ def status(frames: DataFrame) -> DataFrame:
     now = frames.join(ends, "repository").where("frame = _end").select(*KEY, "category", "code_lines", "active", "_total")
     rows = now.join(usage(frames), KEY).join(newer_siblings(now.select(*KEY)), KEY, "left")
     archive = (F.col("category") == "documentation") & F.lower("path").rlike("|".join(ARCHIVE_WORDS))
-    value = status_of(F.col("active"), F.col("newer").isNotNull(), archive, F.col("last_use"), among("category", MACHINERY), F.col("observed_frames"), F.col("_total"))
+    value = status_of(F.col("active"), F.col("newer").isNotNull(), archive, F.col("last_use"), among("category", MACHINERY), F.col("observed_frames"),
+        F.col("_total"))
     return rows.select(*KEY, "category", "code_lines", value.alias("status"), "observed_frames", "last_use", "last_change")
 
 
@@ -87,9 +90,12 @@ def structural_use(symbols: DataFrame, edges: DataFrame, dependencies: DataFrame
     """(snapshot_id, path, kind, source, detail): exact relationships and resolved dependencies from other files."""
     place = symbols.select(SNAP, "id", "path")
     exact = edges.where("resolution = 'exact' and kind <> 'contains' and target_id is not null")
-    ends = exact.join(place.select(SNAP, F.col("id").alias("target_id"), "path"), [SNAP, "target_id"]).join(place.select(SNAP, F.col("id").alias("source_id"), F.col("path").alias("source")), [SNAP, "source_id"])
-    inbound = ends.where("path <> source").select(SNAP, "path", F.lit("exact_semantic_inbound").alias("kind"), "source", F.concat_ws(": ", "kind", "evidence").alias("detail"))
-    named = dependencies.where("src <> dst").select(SNAP, F.col("dst").alias("path"), F.lit("local_dependency_inbound").alias("kind"), F.col("src").alias("source"), F.lit("").alias("detail"))
+    ends = exact.join(place.select(SNAP, F.col("id").alias("target_id"), "path"),
+        [SNAP, "target_id"]).join(place.select(SNAP, F.col("id").alias("source_id"), F.col("path").alias("source")), [SNAP, "source_id"])
+    inbound = ends.where("path <> source").select(SNAP, "path", F.lit("exact_semantic_inbound").alias("kind"), "source",
+        F.concat_ws(": ", "kind", "evidence").alias("detail"))
+    named = dependencies.where("src <> dst").select(SNAP, F.col("dst").alias("path"), F.lit("local_dependency_inbound").alias("kind"),
+        F.col("src").alias("source"), F.lit("").alias("detail"))
     return inbound.unionByName(named).distinct()
 
 
@@ -106,4 +112,5 @@ def capability_use(capabilities: DataFrame, symbols: DataFrame, reached: DataFra
 def evidence(rows: DataFrame, *, keys: tuple[str, ...] = ("repository", "path")) -> DataFrame:
     """(keys, kinds, evidence): different evidence rows (kind, source, detail) in order; kinds without repetition."""
     each = rows.select(*keys, F.struct("kind", "source", "detail").alias("e")).distinct()
-    return each.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("evidence")).withColumn("kinds", F.array_distinct(F.transform("evidence", lambda e: e["kind"])))
+    return each.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("evidence")).withColumn("kinds",
+        F.array_distinct(F.transform("evidence", lambda e: e["kind"])))

@@ -31,7 +31,8 @@ def composition(components: DataFrame, depths: DataFrame | None = None, *, by: s
     if depths is None:
         sums = sums.withColumn("max_audit_depth", F.lit(0))
     else:
-        sums = sums.join(depths.select(by, F.col("max_depth").alias("max_audit_depth")), by, "left").withColumn("max_audit_depth", F.coalesce("max_audit_depth", F.lit(0)))
+        sums = sums.join(depths.select(by, F.col("max_depth").alias("max_audit_depth")), by, "left").withColumn("max_audit_depth",
+            F.coalesce("max_audit_depth", F.lit(0)))
     out = sums.withColumns({
         "direct_product_share": ratio("product_lines", "total_lines"), "product_plus_essential_share": ratio("essential_lines", "total_lines"),
         "tooling_share": ratio("machinery_lines", "total_lines"), "meta_machinery_share": ratio("meta_lines", "total_lines"),
@@ -104,11 +105,13 @@ def symbol_metrics(symbols: DataFrame, edges: DataFrame, chains: DataFrame | Non
         "audit_symbol_share": ratio("audit_symbols", "symbol_count"), "meta_symbol_share": ratio("meta_symbols", "symbol_count"),
         "scaffolding_symbol_ratio": optional_ratio("machinery_symbols", "product_symbols"),
         "far_from_value_symbol_share": ratio("far_from_value_symbols", "symbol_count"),
-        "resolution_rate": F.when(F.col("relationship_count") > 0, (F.col("resolved_relationships") + F.col("probable_relationships")) / F.col("relationship_count")).otherwise(1.0),
+        "resolution_rate": F.when(F.col("relationship_count") > 0,
+                (F.col("resolved_relationships") + F.col("probable_relationships")) / F.col("relationship_count")).otherwise(1.0),
         "exact_resolution_rate": F.when(F.col("relationship_count") > 0, F.col("resolved_relationships") / F.col("relationship_count")).otherwise(1.0),
         "exact_coverage": F.when(F.col("relationship_count") > 0, F.col("resolved_relationships") / F.col("relationship_count")),
     })
-    return out.withColumn("semantic_recursion_index", file_index("audit_symbol_share", "meta_symbol_share", "far_from_value_symbol_share", "max_recursive_depth"))
+    return out.withColumn("semantic_recursion_index",
+        file_index("audit_symbol_share", "meta_symbol_share", "far_from_value_symbol_share", "max_recursive_depth"))
 
 
 def composition_warnings(components: DataFrame, *, by: str = "snapshot_id") -> DataFrame:

@@ -23,7 +23,8 @@ def is_boundary(path: Column | str, category: Column | str) -> Column:
     p = F.col(path) if isinstance(path, str) else path
     c = F.col(category) if isinstance(category, str) else category
     name = F.lower(file_name(p))
-    return p.startswith(".github/") | F.coalesce(c == "testing", F.lit(False)) | name.isin(*MANIFESTS) | (name.rlike(r"\.ya?ml$") & F.lower(p).contains("workflow"))
+    return p.startswith(".github/") | F.coalesce(c == "testing",
+        F.lit(False)) | name.isin(*MANIFESTS) | (name.rlike(r"\.ya?ml$") & F.lower(p).contains("workflow"))
 
 
 def passes_on(path: Column | str) -> Column:
@@ -35,7 +36,8 @@ def _joined(folder: Column, relative: Column) -> Column:
     """A path relative to a folder, with its '..' parts worked off; null if it leaves the root."""
     parts = F.filter(F.split(F.concat_ws("/", folder, relative), "/"), lambda p: (p != "") & (p != "."))
     empty = F.array().cast("array<string>")
-    step = lambda acc, p: F.when(p != "..", F.concat(acc, F.array(p))).when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.array(F.lit("\x00")))
+    step = lambda acc, p: F.when(p != "..", F.concat(acc, F.array(p))).when(F.size(acc) > 0,
+        F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.array(F.lit("\x00")))
     out = F.array_join(F.aggregate(parts, empty, step), "/")
     return F.when(~out.contains("\x00") & (out != ""), out)
 

@@ -32,7 +32,8 @@ def file_dependencies(files: DataFrame) -> DataFrame:
     wants = wants.withColumn("_c", _candidates("src", "raw"))
     hits = wants.select(SNAP, "src", "raw", F.explode("_c").alias("alias")).join(alias, [SNAP, "alias"]).select(SNAP, "src", "raw", "dst").distinct()
     missing = wants.join(hits.select(SNAP, "src", "raw").distinct(), [SNAP, "src", "raw"], "left_anti")
-    single = names.withColumn("tail", tail("alias")).where(F.length("tail") >= 3).groupBy(SNAP, "tail").agg(F.countDistinct("path").alias("_n"), F.min("path").alias("dst")).where("_n = 1").drop("_n")
+    single = names.withColumn("tail", tail("alias")).where(F.length("tail") >= 3).groupBy(SNAP, "tail").agg(F.countDistinct("path").alias("_n"),
+        F.min("path").alias("dst")).where("_n = 1").drop("_n")
     tails = missing.select(SNAP, "src", F.explode(F.array_distinct(F.transform("_c", tail))).alias("tail")).where(F.length("tail") >= 3)
     return hits.select(SNAP, "src", "dst").union(tails.join(single, [SNAP, "tail"]).select(SNAP, "src", "dst")).where("src <> dst").distinct()
 
@@ -58,7 +59,8 @@ def resolve_imports(edges: DataFrame, symbols: DataFrame, dependencies: DataFram
 
 def _first(symbols: DataFrame, keys: list[str]) -> DataFrame:
     """For each key: how many symbols, and the first by path, line and name.  Candidates are counted before any join."""
-    return symbols.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(F.struct("path", "start_line", "qualified_name", "id")).alias("_f")).select(*keys, "_n", F.col("_f.id").alias("_id"))
+    return symbols.groupBy(*keys).agg(F.count("*").alias("_n"),
+        F.min(F.struct("path", "start_line", "qualified_name", "id")).alias("_f")).select(*keys, "_n", F.col("_f.id").alias("_id"))
 
 
 def resolve_names(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -69,17 +71,20 @@ def resolve_names(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     more of the language, or of any, make the first probable.  Names that nothing answers are unresolved.
     """
     inner = symbols.where("kind <> 'file'").select(SNAP, "id", "path", "language", "name", "qualified_name", "start_line", "parent_id")
-    refs = F.concat(F.array("qualified_name", "name"), F.transform(module_aliases("path"), lambda m: F.regexp_replace(F.concat(m, F.lit("."), F.col("qualified_name")), r"^\.+|\.+$", "")))
+    refs = F.concat(F.array("qualified_name", "name"),
+        F.transform(module_aliases("path"), lambda m: F.regexp_replace(F.concat(m, F.lit("."), F.col("qualified_name")), r"^\.+|\.+$", "")))
     by_ref = inner.withColumn("target", F.explode(F.array_distinct(F.transform(F.filter(refs, lambda r: r != ""), normal_target)))).distinct()
     by_name = inner.withColumn("target", F.explode(F.array_distinct(F.array("name", "qualified_name"))))
     source = symbols.select(SNAP, F.col("id").alias("source_id"), F.col("path").alias("path"), "language", "parent_id")
-    wants = edges.where("target_id is null and kind <> 'contains'").join(source, [SNAP, "source_id"]).select(SNAP, "edge_seq", "path", "language", "parent_id", normal_target("target_name").alias("target"))
+    wants = edges.where("target_id is null and kind <> 'contains'").join(source, [SNAP, "source_id"]).select(SNAP, "edge_seq", "path", "language",
+        "parent_id", normal_target("target_name").alias("target"))
 
     def pick(rows: DataFrame, candidates: DataFrame, tiers: list[tuple[list[str], bool, bool]]) -> DataFrame:
         out, answer = rows, F.lit(None).cast("struct<id:string,resolution:string>")
         for k, (keys, _, _) in enumerate(tiers):
             c = _first(candidates, [SNAP, "target", *keys])
-            c = c.select(SNAP, "target", *[F.coalesce(x, F.lit("\x00")).alias(x) if x == "parent_id" else F.col(x) for x in keys], F.col("_n").alias(f"_n{k}"), F.col("_id").alias(f"_id{k}"))
+            c = c.select(SNAP, "target", *[F.coalesce(x, F.lit("\x00")).alias(x) if x == "parent_id" else F.col(x) for x in keys],
+                F.col("_n").alias(f"_n{k}"), F.col("_id").alias(f"_id{k}"))
             out = out.join(c, [SNAP, "target", *keys], "left")
         for k, (_, one_only, exact) in reversed(list(enumerate(tiers))):
             n = F.col(f"_n{k}")
@@ -88,7 +93,8 @@ def resolve_names(edges: DataFrame, symbols: DataFrame) -> DataFrame:
                 answer = F.when(n == 1, value("exact")).otherwise(answer)
             else:
                 answer = F.when((n == 1) & F.lit(exact), value("exact")).when(n >= 1, value("probable")).otherwise(answer)
-        return out.select(SNAP, "edge_seq", answer.alias("_r")).select(SNAP, "edge_seq", F.col("_r.id").alias("target_id"), F.coalesce("_r.resolution", F.lit("unresolved")).alias("resolution"))
+        return out.select(SNAP, "edge_seq", answer.alias("_r")).select(SNAP, "edge_seq", F.col("_r.id").alias("target_id"),
+            F.coalesce("_r.resolution", F.lit("unresolved")).alias("resolution"))
 
     wants = wants.withColumn("parent_id", F.coalesce("parent_id", F.lit("\x00")))
     dotted = wants.where(F.col("target").contains("."))

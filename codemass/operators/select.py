@@ -55,7 +55,8 @@ def capability(capabilities: DataFrame, selector: str | None) -> DataFrame:
     key = F.concat_ws(":", "kind", "path", "line", "name")
     rows = anchored.withColumn("id", key) if "id" not in anchored.columns else anchored
     needle = F.lower(F.lit(selector or ""))
-    tiers = [("id", F.lower("id") == needle), ("name", F.lower("name") == needle), ("part", F.contains(F.lower("name"), needle) | F.contains(F.lower("id"), needle))]
+    tiers = [("id", F.lower("id") == needle), ("name", F.lower("name") == needle),
+        ("part", F.contains(F.lower("name"), needle) | F.contains(F.lower("id"), needle))]
     return pick(rows, selector, tiers, "name")
 
 
@@ -67,5 +68,6 @@ def data_symbols(symbols: DataFrame) -> DataFrame:
 def data_symbol(symbols: DataFrame, selector: str | None) -> DataFrame:
     """The data symbol of an id, a qualified name, a name, or a part of the qualified name, in any letter case."""
     needle = F.lower(F.lit(selector or ""))
-    tiers = [("id", F.lower("id") == needle), ("qualified name", F.lower("qualified_name") == needle), ("name", F.lower("name") == needle), ("part", F.contains(F.lower("qualified_name"), needle))]
+    tiers = [("id", F.lower("id") == needle), ("qualified name", F.lower("qualified_name") == needle), ("name", F.lower("name") == needle),
+        ("part", F.contains(F.lower("qualified_name"), needle))]
     return pick(data_symbols(symbols), selector, tiers, "qualified_name")

@@ -27,7 +27,8 @@ SCRIPT_SECTIONS = ("project.scripts", "project.gui-scripts", "tool.poetry.script
 
 def numbered_lines(files: DataFrame) -> DataFrame:
     """(snapshot_id, path, language, line, raw): a row for each line, from 1."""
-    return files.select(SNAP, "path", "language", F.posexplode(lines_of("text")).alias("_p", "raw")).select(SNAP, "path", "language", (F.col("_p") + 1).alias("line"), "raw")
+    return files.select(SNAP, "path", "language", F.posexplode(lines_of("text")).alias("_p", "raw")).select(SNAP, "path", "language",
+        (F.col("_p") + 1).alias("line"), "raw")
 
 
 def routes(files: DataFrame) -> DataFrame:
@@ -49,7 +50,8 @@ def routes(files: DataFrame) -> DataFrame:
     for test, name, how in reversed(rules):
         found = F.when(test, F.struct(name.alias("name"), F.lit(how).alias("evidence"))).otherwise(found)
     rows = numbered_lines(files).withColumn("_f", found).where("_f is not null")
-    return rows.select(SNAP, F.lit("http-route").alias("kind"), F.col("_f.name").alias("name"), "path", "line", F.col("_f.evidence").alias("evidence_kind"), strip(raw).alias("detail"))
+    return rows.select(SNAP, F.lit("http-route").alias("kind"), F.col("_f.name").alias("name"), "path", "line",
+        F.col("_f.evidence").alias("evidence_kind"), strip(raw).alias("detail"))
 
 
 def packaged_scripts(files: DataFrame) -> DataFrame:
@@ -57,10 +59,13 @@ def packaged_scripts(files: DataFrame) -> DataFrame:
     rows = numbered_lines(files.where(file_name("path") == "pyproject.toml"))
     s = strip(F.col("raw"))
     header = s.startswith("[") & s.endswith("]")
-    section = F.last(F.when(header, F.trim(F.expr("substring(trim(raw), 2, length(trim(raw)) - 2)"))), ignorenulls=True).over(W.partitionBy(SNAP, "path").orderBy("line"))
-    hit = rows.withColumns({"_s": section, "_h": header, "_t": F.regexp_extract("raw", SCRIPT, 2)}).where(~F.col("_h") & F.col("_s").isin(*SCRIPT_SECTIONS) & F.col("_t").contains(":"))
+    section = F.last(F.when(header, F.trim(F.expr("substring(trim(raw), 2, length(trim(raw)) - 2)"))),
+        ignorenulls=True).over(W.partitionBy(SNAP, "path").orderBy("line"))
+    hit = rows.withColumns({"_s": section, "_h": header, "_t": F.regexp_extract("raw", SCRIPT, 2)}).where(
+        ~F.col("_h") & F.col("_s").isin(*SCRIPT_SECTIONS) & F.col("_t").contains(":"))
     return hit.select(
-        SNAP, F.lit("cli").alias("kind"), F.regexp_extract("raw", SCRIPT, 1).alias("name"), "path", "line", F.lit("packaging-entrypoint").alias("evidence_kind"),
+        SNAP, F.lit("cli").alias("kind"), F.regexp_extract("raw", SCRIPT, 1).alias("name"), "path", "line",
+        F.lit("packaging-entrypoint").alias("evidence_kind"),
         F.concat(F.lit("["), F.col("_s"), F.lit("] -> "), F.col("_t")).alias("detail"), F.trim(F.substring_index("_t", ":", 1)).alias("module"),
         F.trim(F.substring_index(F.substring_index(F.substring_index("_t", ":", -1), ":", 1), ".", 1)).alias("callable"),
     )
@@ -75,14 +80,16 @@ def package_bins(files: DataFrame) -> DataFrame:
     own = F.coalesce(F.get_json_object("text", "$.name"), F.when(folder == "", "package").otherwise(folder))
     bins = F.when(one.startswith("{"), many).otherwise(F.when(one.isNotNull(), F.create_map(own, one)))
     return rows.select(SNAP, "path", F.explode(bins).alias("name", "target")).select(
-        SNAP, F.lit("cli").alias("kind"), "name", "path", F.lit(1).alias("line"), F.lit("package-entrypoint").alias("evidence_kind"), F.concat(F.lit("package.json bin -> "), F.col("target")).alias("detail")
+        SNAP, F.lit("cli").alias("kind"), "name", "path", F.lit(1).alias("line"), F.lit("package-entrypoint").alias("evidence_kind"),
+        F.concat(F.lit("package.json bin -> "), F.col("target")).alias("detail")
     )
 
 
 def exports(files: DataFrame) -> DataFrame:
     """Names that script files export."""
     rows = numbered_lines(files.where(F.col("language").isin("javascript", "typescript", "tsx"))).where(F.col("raw").rlike(JS_EXPORT))
-    return rows.select(SNAP, F.lit("public-api").alias("kind"), F.regexp_extract("raw", JS_EXPORT, 1).alias("name"), "path", "line", F.lit("explicit-export").alias("evidence_kind"), strip(F.col("raw")).alias("detail"))
+    return rows.select(SNAP, F.lit("public-api").alias("kind"), F.regexp_extract("raw", JS_EXPORT, 1).alias("name"), "path", "line",
+        F.lit("explicit-export").alias("evidence_kind"), strip(F.col("raw")).alias("detail"))
 
 
 def nearest_symbol(places: DataFrame, symbols: DataFrame, *, after_lines: int = 8) -> DataFrame:
@@ -103,18 +110,21 @@ def nearest_symbol(places: DataFrame, symbols: DataFrame, *, after_lines: int =
     line, start, size = F.col("line"), F.col("_a"), F.col("_s._w")
 
     called = inner.select(*at, F.explode(F.array_distinct(F.array("name", "_q"))).alias("name"), "_a", "_w", "_q", "_id")
-    named = asked.join(called.groupBy(*at, "name", "_a").agg(one), [*at, "name"]).select(*keys, F.lit(0).alias("_t"), F.abs(start - line).alias("_x"), "_a", "_s")
+    named = asked.join(called.groupBy(*at, "name", "_a").agg(one), [*at, "name"]).select(*keys, F.lit(0).alias("_t"), F.abs(start - line).alias("_x"),
+        "_a", "_s")
 
     spans = inner.where("_w >= 0").groupBy(*at, "_a", "_w").agg(one).withColumn("_class", F.length(F.bin("_w")))
     block = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("_class")))
     spans = spans.withColumn("_block", F.explode(F.sequence(block(start), block(start + F.col("_w"))))).drop("_w")
     within = asked.join(spans.select(*at, "_class").distinct(), at).withColumn("_block", block(line))
-    held = within.join(spans, [*at, "_class", "_block"]).where((start <= line) & (line <= start + size)).select(*keys, F.lit(1).alias("_t"), size.alias("_x"), "_a", "_s")
+    held = within.join(spans, [*at, "_class", "_block"]).where((start <= line) & (line <= start + size)).select(*keys, F.lit(1).alias("_t"),
+        size.alias("_x"), "_a", "_s")
 
     reach = after_lines + 1
     starts = inner.groupBy(*at, "_a").agg(one).withColumn("_block", F.floor(start / reach))
     soon = asked.withColumn("_block", F.explode(F.array_distinct(F.array(F.floor(line / reach), F.floor((line + after_lines) / reach)))))
-    next_one = soon.join(starts, [*at, "_block"]).where((line <= start) & (start <= line + after_lines)).select(*keys, F.lit(2).alias("_t"), start.alias("_x"), "_a", "_s")
+    next_one = soon.join(starts, [*at, "_block"]).where((line <= start) & (start <= line + after_lines)).select(*keys, F.lit(2).alias("_t"),
+        start.alias("_x"), "_a", "_s")
 
     found = named.unionByName(held).unionByName(next_one)
     best = found.groupBy(*keys).agg(F.min(F.struct("_t", "_x", "_a", "_s")).alias("_m")).select(*keys, F.col("_m._s._id").alias("symbol_id"))
@@ -160,7 +170,8 @@ def entry_points(files: DataFrame, symbols: DataFrame) -> DataFrame:
     for language, (name, _) in MAINS.items():
         wanted = F.when(F.col("language") == language, name).otherwise(wanted)
     asked = files.withColumn("_main", wanted).where("_main is not null")
-    inner = symbols.where("kind not in ('file', 'module', 'namespace')").select(SNAP, "path", F.col("name").alias("_n"), F.col("qualified_name").alias("_q"), "id", "start_line")
+    inner = symbols.where("kind not in ('file', 'module', 'namespace')").select(SNAP, "path", F.col("name").alias("_n"),
+        F.col("qualified_name").alias("_q"), "id", "start_line")
     hit = asked.join(inner, [SNAP, "path"]).where("_n = _main or _q = _main")
     first = hit.groupBy(SNAP, "path", "language", "_main").agg(F.min_by(F.struct("id", "start_line", "_n"), F.struct("start_line", "id")).alias("m"))
     rows = first.join(files.select(SNAP, "path", "text"), [SNAP, "path"])
@@ -170,8 +181,10 @@ def entry_points(files: DataFrame, symbols: DataFrame) -> DataFrame:
         fits = fits | ((F.col("language") == language) & line.rlike(pattern))
     python = F.col("language") == "python"
     return rows.where(fits).select(
-        SNAP, F.lit("entrypoint").alias("kind"), F.when(python, _stem("path")).otherwise(F.concat_ws(".", _stem("path"), "m._n")).alias("name"), "path", F.col("m.start_line").alias("line"),
-        F.concat("language", F.lit("-main")).alias("evidence_kind"), F.when(python, "module contains an __main__ guard anchored to main()").otherwise(strip(line)).alias("detail"), F.col("m.id").alias("symbol_id"),
+        SNAP, F.lit("entrypoint").alias("kind"), F.when(python, _stem("path")).otherwise(F.concat_ws(".", _stem("path"), "m._n")).alias("name"),
+        "path", F.col("m.start_line").alias("line"),
+        F.concat("language", F.lit("-main")).alias("evidence_kind"),
+        F.when(python, "module contains an __main__ guard anchored to main()").otherwise(strip(line)).alias("detail"), F.col("m.id").alias("symbol_id"),
     )
 
 
@@ -185,13 +198,16 @@ def declared_surfaces(files: DataFrame, symbols: DataFrame, anchored: DataFrame,
     if top_level == "file_parent":
         top = top | (F.col("parent_id") == F.concat("path", F.lit("::<file>")))
     rows = symbols.where(top & ~F.col("name").startswith("_") & ~F.col("kind").isin("file", "module", "namespace", "variable", "unknown"))
-    rows = rows.join(anchored.select(SNAP, F.col("symbol_id").alias("id")).distinct(), [SNAP, "id"], "left_anti").join(files.select(SNAP, "path", "text"), [SNAP, "path"], "left")
+    rows = rows.join(anchored.select(SNAP, F.col("symbol_id").alias("id")).distinct(), [SNAP, "id"],
+        "left_anti").join(files.select(SNAP, "path", "text"), [SNAP, "path"], "left")
     line = strip(F.coalesce(F.try_element_at(lines_of(F.coalesce("text", F.lit(""))), F.greatest(F.col("start_line"), F.lit(1))), F.lit("")))
     lang = F.col("language")
-    public = (lang.isin("csharp", "java", "kotlin") & line.rlike(PUBLIC)) | ((lang == "rust") & line.rlike(RUST_PUBLIC)) | ((lang == "go") & F.col("name").rlike(r"^\p{Lu}"))
+    public = (lang.isin("csharp", "java", "kotlin") & line.rlike(PUBLIC)) | ((lang == "rust") & line.rlike(RUST_PUBLIC)) | (
+        (lang == "go") & F.col("name").rlike(r"^\p{Lu}"))
     surface = (F.col("category") == "user-surface") & (F.col("role_confidence") >= 0.80)
     kind = F.when(public, "public-symbol").when(surface, "user-surface")
-    detail = F.when(public & (lang == "go"), F.concat(F.lit("Go exported identifier "), F.col("name"))).when(public, line).otherwise(F.format_string("%s; confidence=%.2f", F.col("role_source"), F.col("role_confidence")))
+    detail = F.when(public & (lang == "go"), F.concat(F.lit("Go exported identifier "), F.col("name"))).when(public,
+        line).otherwise(F.format_string("%s; confidence=%.2f", F.col("role_source"), F.col("role_confidence")))
     return rows.withColumn("_kind", kind).where("_kind is not null").select(
         SNAP, F.col("_kind").alias("kind"), F.col("qualified_name").alias("name"), "path", F.col("start_line").alias("line"),
         F.when(public, "language-public-declaration").otherwise("semantic-role").alias("evidence_kind"), detail.alias("detail"), F.col("id").alias("symbol_id"),
@@ -201,12 +217,15 @@ def declared_surfaces(files: DataFrame, symbols: DataFrame, anchored: DataFrame,
 def journey_warnings(events: DataFrame, types: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """(snapshot_id, type_id, warning): stages without events, members with a role that nothing calls, calls that are not exact."""
     stages = journey_stages(events, types).where("events = 0")
-    missing = stages.groupBy(SNAP, "type_id").agg(F.concat(F.lit("No canonical lifecycle event was observed for: "), F.array_join(F.array_sort(F.collect_list("role")), ", ")).alias("warning"))
+    missing = stages.groupBy(SNAP, "type_id").agg(
+        F.concat(F.lit("No canonical lifecycle event was observed for: "), F.array_join(F.array_sort(F.collect_list("role")), ", ")).alias("warning"))
     ends = members(symbols, edges).join(types, [SNAP, "type_id"])
     called = events.select(SNAP, "type_id", F.col("target_id").alias("id")).distinct()
-    idle = ends.where("role is not null").join(called, [SNAP, "type_id", "id"], "left_anti").groupBy(SNAP, "type_id").agg(F.concat(F.count("*").cast("string"), F.lit(" lifecycle-shaped member definition(s) have no observed exact caller.")).alias("warning"))
+    idle = ends.where("role is not null").join(called, [SNAP, "type_id", "id"], "left_anti").groupBy(SNAP,
+        "type_id").agg(F.concat(F.count("*").cast("string"), F.lit(" lifecycle-shaped member definition(s) have no observed exact caller.")).alias("warning"))
     near = ends.select(SNAP, "type_id", F.col("id").alias("target_id")).union(types.select(SNAP, "type_id", F.col("type_id").alias("target_id")))
-    loose = edges.where("kind = 'calls' and resolution <> 'exact'").join(near, [SNAP, "target_id"]).select(SNAP, "type_id", F.lit("Probable or unresolved calls touch this data neighborhood.").alias("warning")).distinct()
+    loose = edges.where("kind = 'calls' and resolution <> 'exact'").join(near, [SNAP, "target_id"]).select(SNAP, "type_id",
+        F.lit("Probable or unresolved calls touch this data neighborhood.").alias("warning")).distinct()
     return missing.union(idle).union(loose)
 
 
@@ -242,13 +261,16 @@ def with_implementation(capabilities: DataFrame, reached: DataFrame, edges: Data
     ``reached``: as ``implementation`` gives it.  A capability without an anchor has empty lists and no edges.
     """
     of = reached.groupBy(SNAP, "anchor").agg(
-        F.array_sort(F.collect_set("path")).alias("implementation_files"), F.array_sort(F.collect_list("id")).alias("implementation_symbols"), F.max("truncated").alias("truncated")
+        F.array_sort(F.collect_set("path")).alias("implementation_files"), F.array_sort(F.collect_list("id")).alias("implementation_symbols"),
+        F.max("truncated").alias("truncated")
     )
     loose = edges.where("resolution <> 'exact'").groupBy(SNAP, F.col("source_id").alias("id")).agg(
         F.sum((F.col("resolution") == "probable").cast("long")).alias("_p"), F.sum((F.col("resolution") == "unresolved").cast("long")).alias("_u")
     )
-    counts = reached.select(SNAP, "anchor", "id").join(loose, [SNAP, "id"]).groupBy(SNAP, "anchor").agg(F.sum("_p").alias("probable_relationships"), F.sum("_u").alias("unresolved_relationships"))
-    rows = capabilities.withColumnRenamed("symbol_id", "anchor").join(of.join(counts, [SNAP, "anchor"], "left"), [SNAP, "anchor"], "left").withColumnRenamed("anchor", "symbol_id")
+    counts = reached.select(SNAP, "anchor", "id").join(loose, [SNAP, "id"]).groupBy(SNAP, "anchor").agg(F.sum("_p").alias("probable_relationships"),
+        F.sum("_u").alias("unresolved_relationships"))
+    rows = capabilities.withColumnRenamed("symbol_id", "anchor").join(of.join(counts, [SNAP, "anchor"], "left"), [SNAP, "anchor"],
+        "left").withColumnRenamed("anchor", "symbol_id")
     nothing = F.array().cast("array<string>")
     rows = rows.withColumns({c: F.coalesce(c, nothing) for c in ("implementation_files", "implementation_symbols")})
     return rows.fillna(0, ["probable_relationships", "unresolved_relationships"]).fillna(False, ["truncated"])
@@ -261,7 +283,8 @@ def atlas_counts(capabilities: DataFrame) -> DataFrame:
 
 def members(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """(snapshot_id, type_id, id, name, kind, role): members of each type by exact containment; role null if none."""
-    inside = edges.where("kind = 'contains' and resolution = 'exact'").select(SNAP, F.col("source_id").alias("type_id"), F.col("target_id").alias("id")).distinct()
+    inside = edges.where("kind = 'contains' and resolution = 'exact'").select(SNAP, F.col("source_id").alias("type_id"),
+        F.col("target_id").alias("id")).distinct()
     own = symbols.where("kind <> 'file'").select(SNAP, "id", "name", "kind")
     return inside.join(own, [SNAP, "id"]).withColumn("role", member_role("kind", "name"))
 

@@ -87,7 +87,8 @@ def audit_chains(components: DataFrame, edges: DataFrame, *, max_depth: int = 8,
 
 def _spent(snapshots: DataFrame) -> DataFrame:
     """The account of a traversal before its first level."""
-    return checkpointed(snapshots.distinct().select(SNAP, F.lit(0).cast("long").alias("expansions"), F.lit(False).alias("truncated"), F.lit(False).alias("_now"), F.lit(0).cast("long").alias("_room")))
+    return checkpointed(snapshots.distinct().select(SNAP, F.lit(0).cast("long").alias("expansions"), F.lit(False).alias("truncated"),
+            F.lit(False).alias("_now"), F.lit(0).cast("long").alias("_room")))
 
 
 def _within(spent: DataFrame, step: DataFrame, budget: int | None, order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +101,8 @@ def _within(spent: DataFrame, step: DataFrame, budget: int | None, order: list[s
     if budget is None:
         return checkpointed(now.select(SNAP, total.alias("expansions"), "truncated", "_now", "_room")), step
     over = ~F.col("truncated") & (total > budget)
-    spent = checkpointed(now.select(SNAP, F.least(total, F.lit(budget)).alias("expansions"), (F.col("truncated") | (total > budget)).alias("truncated"), over.alias("_now"), (F.lit(budget) - F.col("expansions")).alias("_room")))
+    spent = checkpointed(now.select(SNAP, F.least(total, F.lit(budget)).alias("expansions"),
+            (F.col("truncated") | (total > budget)).alias("truncated"), over.alias("_now"), (F.lit(budget) - F.col("expansions")).alias("_room")))
     ranked = step.join(spent.where("_now").select(SNAP, "_room"), SNAP).withColumn("_rank", F.row_number().over(W.partitionBy(SNAP).orderBy(*order)))
     first = ranked.where((F.col("_rank") <= budget) & (F.col("_rank") <= F.col("_room"))).select(*step.columns)
     return spent, step.join(spent.where("not truncated").select(SNAP), SNAP).select(*step.columns).union(first)
@@ -134,7 +136,8 @@ def top_chains(chains: DataFrame, components: DataFrame, *, keep: int = 25) -> D
     lines = components.select(SNAP, F.col("path").alias("_node"), "code_lines")
     text = F.array_join("paths", "\x1f")
     each = chains.withColumn("_chain", text)
-    sums = each.select(SNAP, "_chain", F.explode("paths").alias("_node")).join(lines, [SNAP, "_node"]).groupBy(SNAP, "_chain").agg(F.sum("code_lines").alias("total_lines"))
+    sums = each.select(SNAP, "_chain", F.explode("paths").alias("_node")).join(lines, [SNAP, "_node"]).groupBy(SNAP,
+        "_chain").agg(F.sum("code_lines").alias("total_lines"))
     begins = chains.where("depth >= 2").select(SNAP, F.array_join(F.slice("paths", F.lit(1), F.col("depth")), "\x1f").alias("_chain")).distinct()
     left = each.join(begins, [SNAP, "_chain"], "left_anti").join(sums, [SNAP, "_chain"], "left")
     order = W.partitionBy(SNAP).orderBy(F.desc("depth"), F.desc("total_lines"), "paths")
@@ -150,9 +153,11 @@ def recursive_chains(symbols: DataFrame, edges: DataFrame, *, max_depth: int = 1
     """
     kinds = symbols.select(SNAP, F.col("id").alias("node"), "category", "kind")
     machine = kinds.where(among("category", MACHINERY)).select(SNAP, F.col("node").alias("_to"), among("category", RECURSIVE).alias("_emit"))
-    back = checkpointed(exact_edges(edges).select(SNAP, F.col("dst").alias("node"), F.col("src").alias("_to"), F.col("kind").alias("_kind"), "edge_seq").join(machine, [SNAP, "_to"], "left"))
+    back = checkpointed(exact_edges(edges).select(SNAP, F.col("dst").alias("node"), F.col("src").alias("_to"), F.col("kind").alias("_kind"),
+            "edge_seq").join(machine, [SNAP, "_to"], "left"))
     front = kinds.where(among("category", PRODUCT) & (F.col("kind") != "file")).select(
-        SNAP, F.col("node").alias("root"), "node", F.array("node").alias("ids"), F.array().cast("array<string>").alias("kinds"), F.array().cast("array<bigint>").alias("seqs")
+        SNAP, F.col("node").alias("root"), "node", F.array("node").alias("ids"), F.array().cast("array<string>").alias("kinds"),
+        F.array().cast("array<bigint>").alias("seqs")
     )
     spent = _spent(kinds.select(SNAP))
     found = None
@@ -196,7 +201,8 @@ def value_paths(calls: DataFrame, roots: DataFrame, *, max_depth: int = 12, budg
         ended = stop if ended is None else ended.union(stop)
         if level == max_depth:
             cut = stop.where("not complete").select(SNAP).distinct().withColumn("_cut", F.lit(True))
-            spent = spent.join(cut, SNAP, "left").select(SNAP, "expansions", "_now", "_room", (F.col("truncated") | F.coalesce("_cut", F.lit(False))).alias("truncated"))
+            spent = spent.join(cut, SNAP, "left").select(SNAP, "expansions", "_now", "_room",
+                (F.col("truncated") | F.coalesce("_cut", F.lit(False))).alias("truncated"))
             break
         spent, new = _within(spent, more, budget, ["root", "ids", "dst"])
         if budget is not None:
@@ -213,7 +219,8 @@ def rank_paths(paths: DataFrame, symbols: DataFrame, *, keep: int = 6) -> DataFr
     """The strongest paths of each root: longest, then of most files, then of most categories, then by ids."""
     place = symbols.select(SNAP, F.col("id").alias("_id"), "path", "category")
     each = paths.select(SNAP, "root", "ids", "depth", F.explode("ids").alias("_id")).join(place, [SNAP, "_id"], "left")
-    counted = each.groupBy(SNAP, "root", "ids", "depth").agg(F.countDistinct("path").alias("distinct_files"), F.countDistinct("category").alias("distinct_categories"))
+    counted = each.groupBy(SNAP, "root", "ids", "depth").agg(F.countDistinct("path").alias("distinct_files"),
+        F.countDistinct("category").alias("distinct_categories"))
     order = W.partitionBy(SNAP, "root").orderBy(F.desc("depth"), F.desc("distinct_files"), F.desc("distinct_categories"), "ids")
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 

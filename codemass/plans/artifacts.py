@@ -62,10 +62,12 @@ def section(spark: SparkSession, folder: str, name: str, schema: str) -> DataFra
 
 
 SCAN = {
-    "metrics": "direct_product_share double, tooling_share double, scaffolding_ratio double, total_lines long", "category_lines": "category string, code_lines long",
+    "metrics": "direct_product_share double, tooling_share double, scaffolding_ratio double, total_lines long",
+    "category_lines": "category string, code_lines long",
     "profiles": "path string, product_lines long, machinery_lines long, code_lines long, scaffolding_ratio double, is_inversion boolean",
     "components": "path string, category string, code_lines long, value_distance int", "chains": "symbol_ids array<string>, depth int",
-    "symbol_metrics": "relationship_count long, max_recursive_depth int, semantic_recursion_index double, exact_coverage double", "identity": "version string, source string, canonical boolean, sha string",
+    "symbol_metrics": "relationship_count long, max_recursive_depth int, semantic_recursion_index double, exact_coverage double",
+    "identity": "version string, source string, canonical boolean, sha string",
 }
 
 
@@ -75,7 +77,8 @@ def of_scan(s: Scan, *, snapshot: str | None = None, version: str, source: str,
     spark = s.components.sparkSession
     lines = metrics.category_lines(s.components).select(SNAP, "category", "code_lines")
     return {
-        "metrics": one(s.metrics), "category_lines": one(lines), "profiles": one(s.profiles), "components": one(s.components.select(SNAP, *[c.split()[0] for c in SCAN["components"].split(", ")])),
+        "metrics": one(s.metrics), "category_lines": one(lines), "profiles": one(s.profiles),
+        "components": one(s.components.select(SNAP, *[c.split()[0] for c in SCAN["components"].split(", ")])),
         "chains": one(s.symbol_chains.select(SNAP, "symbol_ids", "depth")), "symbol_metrics": one(s.symbol_metrics),
         "identity": spark.createDataFrame([(version, source, canonical, sha)], SCAN["identity"]),
     }
@@ -95,8 +98,11 @@ def comparison(before: dict[str, DataFrame], after: dict[str, DataFrame], *, kee
     both = lambda name: before[name].select(F.struct("*").alias("before")).join(after[name].select(F.struct("*").alias("after")), F.lit(True))
     depth = both("symbol_metrics").select(F.col("before.max_recursive_depth").alias("before"), F.col("after.max_recursive_depth").alias("after"))
     return {
-        "identity": both("identity").select(*[v.alias(k) for k, v in compare.identity_flags().items()]), "metrics": both("metrics").join(both("symbol_metrics").select(F.col("before").alias("symbols_before"), F.col("after").alias("symbols_after")), F.lit(True)),
-        "categories": deltas, "files": compare.change_drivers(before["components"], after["components"], keep=keep), "inversions": compare.inversion_changes(before["profiles"], after["profiles"]),
+        "identity": both("identity").select(*[v.alias(k) for k, v in compare.identity_flags().items()]),
+        "metrics": both("metrics").join(both("symbol_metrics").select(F.col("before").alias("symbols_before"), F.col("after").alias("symbols_after")),
+            F.lit(True)),
+        "categories": deltas, "files": compare.change_drivers(before["components"], after["components"], keep=keep),
+        "inversions": compare.inversion_changes(before["profiles"], after["profiles"]),
         "crossovers": crossed, "chains": chains, "explanations": compare.structural_explanations(deltas, crossed, depth, chains),
     }
 

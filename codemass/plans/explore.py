@@ -44,7 +44,8 @@ def folder_files(components: DataFrame, *, keep: int = 40) -> DataFrame:
 
 def file_symbols(symbols: DataFrame, *, keep: int = 30) -> DataFrame:
     """(snapshot_id, path, rank, id): the first symbols of each file."""
-    return top(symbols.where("kind <> 'file'"), [SNAP, "path"], ["start_line", "qualified_name", "id"], keep).select(SNAP, "path", "rank", "id", "kind", "category")
+    return top(symbols.where("kind <> 'file'"), [SNAP, "path"], ["start_line", "qualified_name", "id"], keep).select(SNAP, "path", "rank", "id",
+        "kind", "category")
 
 
 def representative_chains(chains: DataFrame, *, keep: int = 5) -> DataFrame:
@@ -88,5 +89,6 @@ def story(scan: DataFrame, comparison: DataFrame, drivers: DataFrame, context: D
     for name, df, column in (("comparison", comparison, "after_sha"), ("drivers", drivers, "after_sha"), ("context", context, "sha")):
         one = one.join(df.select(F.col(column).alias(f"{name}_sha")), F.lit(True), "left")
     match = {k: F.coalesce(F.col("scan_sha") == F.col(f"{k}_sha"), F.lit(False)) for k in ("comparison", "drivers", "context")}
-    notes = F.array_compact(F.array(*[F.when(~m, F.concat(F.lit(f"{k} is of "), F.coalesce(f"{k}_sha", F.lit("an unknown commit")), F.lit(", scan of "), F.coalesce("scan_sha", F.lit("an unknown commit")))) for k, m in match.items()]))
+    notes = F.array_compact(F.array(*[F.when(~m, F.concat(F.lit(f"{k} is of "), F.coalesce(f"{k}_sha", F.lit("an unknown commit")),
+                        F.lit(", scan of "), F.coalesce("scan_sha", F.lit("an unknown commit")))) for k, m in match.items()]))
     return one.select("scan_sha", *[m.alias(f"{k}_matches") for k, m in match.items()], notes.alias("warnings"))

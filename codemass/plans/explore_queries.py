@@ -57,14 +57,16 @@ def metabolism_order(spark: SparkSession, sf: str) -> DataFrame:
 def baseline_frames(spark: SparkSession, sf: str) -> DataFrame:
     """How many nations crossed over in each quarter; the first quarter is the baseline."""
     p = series_queries._profiles(spark, sf)
-    n = compare.crossovers(p.withColumn("frame", F.col("frame") + 1), p, ("repository", "frame")).groupBy("repository", "frame").agg(F.count("*").alias("crossed"))
+    n = compare.crossovers(p.withColumn("frame", F.col("frame") + 1), p, ("repository", "frame")).groupBy("repository",
+        "frame").agg(F.count("*").alias("crossed"))
     return explore.with_baseline(n, p, ["crossed"])
 
 
 def representative_chains(spark: SparkSession, sf: str) -> DataFrame:
     """The first five of the two-step chains of every seventeenth."""
     ids = F.array(F.concat(F.lit("s"), F.col("a").cast("string")), F.concat(F.lit("m"), F.col("b").cast("string")))
-    rows = frame(spark, sf, "pairs").select(F.concat(F.lit("g"), (F.col("a") % 17).cast("string")).alias("snapshot_id"), ids.alias("symbol_ids"), (F.col("b") % 4).cast("int").alias("depth"))
+    rows = frame(spark, sf, "pairs").select(F.concat(F.lit("g"), (F.col("a") % 17).cast("string")).alias("snapshot_id"), ids.alias("symbol_ids"),
+        (F.col("b") % 4).cast("int").alias("depth"))
     return explore.representative_chains(rows).select("snapshot_id", "rank", "depth", F.array_join("symbol_ids", ">").alias("chain"))
 
 
@@ -89,7 +91,8 @@ def category_differences(spark: SparkSession, sf: str) -> DataFrame:
 
 def normal_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Names of parts as paths that need cleaning, cleaned."""
-    raw = F.concat(F.element_at(F.array(*map(F.lit, ("./", "/", "", ".\\"))), (F.col("p_partkey") % 4 + 1).cast("int")), F.replace("p_name", F.lit(" "), F.lit("\\")), F.lit("/"))
+    raw = F.concat(F.element_at(F.array(*map(F.lit, ("./", "/", "", ".\\"))), (F.col("p_partkey") % 4 + 1).cast("int")),
+        F.replace("p_name", F.lit(" "), F.lit("\\")), F.lit("/"))
     return frame(spark, sf, "part").select("p_partkey", text.normal_path(raw).alias("path"))
 
 
@@ -102,17 +105,20 @@ def structural_explanations(spark: SparkSession, sf: str) -> DataFrame:
     """What changed in words between two quarters of every region."""
     p = series_queries._profiles(spark, sf).where("frame in (8, 9)")
     side = lambda f: p.where(F.col("frame") == f)
-    lines = lambda f: side(f).groupBy("repository").agg(F.sum("product_lines").alias("core-product"), F.sum("machinery_lines").alias("testing")).unpivot("repository", ["core-product", "testing"], "category", "code_lines")
+    lines = lambda f: side(f).groupBy("repository").agg(F.sum("product_lines").alias("core-product"),
+        F.sum("machinery_lines").alias("testing")).unpivot("repository", ["core-product", "testing"], "category", "code_lines")
     deltas, crossed = compare.category_deltas(lines(8), lines(9), ("repository",)), compare.crossovers(side(8), side(9), ("repository",))
     deep = lambda f, name: side(f).groupBy("repository").agg((F.sum("product_lines") % 4).cast("int").alias(name))
-    chains = side(9).select("repository", F.when(F.col("product_lines") % 3 == 0, "added").when(F.col("product_lines") % 3 == 1, "removed").otherwise("changed").alias("change"), F.col("path").alias("before"), F.col("path").alias("after"))
+    chains = side(9).select("repository", F.when(F.col("product_lines") % 3 == 0, "added").when(F.col("product_lines") % 3 == 1,
+            "removed").otherwise("changed").alias("change"), F.col("path").alias("before"), F.col("path").alias("after"))
     return compare.structural_explanations(deltas, crossed, deep(8, "before").join(deep(9, "after"), "repository"), chains, ("repository",))
 
 
 def story(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the comparison, drivers and context of the tables are of the last scan."""
     last = lambda table, column, name: frame(spark, sf, table).agg(F.max(column).cast("date").cast("string").alias(name))
-    return explore.story(last("orders", "o_orderdate", "sha"), last("orders", "o_orderdate", "after_sha"), last("lineitem", "l_shipdate", "after_sha"), last("events", "ts", "sha")).withColumn("warnings", F.array_join("warnings", "; "))
+    return explore.story(last("orders", "o_orderdate", "sha"), last("orders", "o_orderdate", "after_sha"),
+        last("lineitem", "l_shipdate", "after_sha"), last("events", "ts", "sha")).withColumn("warnings", F.array_join("warnings", "; "))
 
 
 def python_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,7 +127,8 @@ def python_lines(spark: SparkSession, sf: str) -> DataFrame:
     line = lambda x: F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("# "), clean(x))).otherwise(F.concat(F.lit('x = "'), clean(x), F.lit('"')))
     body = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\n")
     source = F.concat(F.lit('"""About.\n\nMore."""\nimport pkg.'), F.coalesce("lang", F.lit("none")), F.lit("\n"), body, F.lit("\n"))
-    rows = frame(spark, sf, "documents").select(F.lit("docs").alias("snapshot_id"), "doc_id", F.lit("python").alias("language"), source.alias("text"), F.lit(0).alias("code_lines"))
+    rows = frame(spark, sf, "documents").select(F.lit("docs").alias("snapshot_id"), "doc_id", F.lit("python").alias("language"), source.alias("text"),
+        F.lit(0).alias("code_lines"))
     counted = parse.with_python_lines(rows)
     return counted.select("doc_id", "code_lines", F.array_join(text.imports_of("text", "language"), ",").alias("imports"))
 
@@ -144,7 +151,8 @@ select snapshot_id, (row_number() over o)::int as "rank", path, b / a scaffoldin
     "metabolism_order": (metabolism_order, f"select (row_number() over o)::int as \"rank\", path, status, code_lines from ({_STATUS}) window o as (order by list_position(['active', 'superseded-candidate', 'archive-candidate', 'dormant', 'bounded-orphan-candidate', 'insufficient-evidence'], status), code_lines desc, path) qualify row_number() over o <= 160"),
     "baseline_frames": (baseline_frames, f"""with p as ({series_queries._PROFILES}), c as (select b.repository, b.frame, count(*) n from p a join p b on a.repository = b.repository and a.path = b.path and b.frame = a.frame + 1 where a.product_lines > a.machinery_lines and b.machinery_lines > b.product_lines group by 1, 2)
 select repository, frame, frame = min(frame) over (partition by repository) baseline_frame, coalesce(n, 0) crossed from (select distinct repository, frame from p) left join c using (repository, frame)"""),
-    "representative_chains": (representative_chains, "select 'g' || (a % 17) snapshot_id, (row_number() over o)::int as \"rank\", (b % 4)::int depth, 's' || a || '>' || 'm' || b as chain from {pairs} window o as (partition by a % 17 order by b % 4 desc, 's' || a, 'm' || b) qualify row_number() over o <= 5"),
+    "representative_chains": (representative_chains,
+        "select 'g' || (a % 17) snapshot_id, (row_number() over o)::int as \"rank\", (b % 4)::int depth, 's' || a || '>' || 'm' || b as chain from {pairs} window o as (partition by a % 17 order by b % 4 desc, 's' || a, 'm' || b) qualify row_number() over o <= 5"),
     "data_symbols": (data_symbols, "select id, kind from {symbols} where kind in ('class', 'type', 'interface', 'struct', 'enum')"),
     "atlas_counts": (atlas_counts, "select category snapshot_id, count(*) filter (kind <> 'file') anchored, count(*) filter (kind = 'file')::bigint unanchored from {symbols} group by 1"),
     "category_differences": (category_differences, f"""

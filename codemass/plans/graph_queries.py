@@ -151,7 +151,8 @@ def chain_diff(spark: SparkSession, sf: str) -> DataFrame:
 
     def chains(rest: int) -> DataFrame:
         rows = pairs.where(F.col("b") % 3 != rest)
-        ids = F.array(F.concat(F.lit("s"), (F.col("a") % 17).cast("string")), F.concat(F.lit("m"), F.col("b").cast("string")), F.concat(F.lit("t"), (F.col("a") % 5).cast("string")))
+        ids = F.array(F.concat(F.lit("s"), (F.col("a") % 17).cast("string")), F.concat(F.lit("m"), F.col("b").cast("string")),
+            F.concat(F.lit("t"), (F.col("a") % 5).cast("string")))
         return compare.deepest_chains(rows.select(ids.alias("symbol_ids"), F.lit(2).alias("depth")))
 
     return compare.chain_changes(chains(0), chains(1))
@@ -163,7 +164,8 @@ _CHAINS = "select distinct 's' || (a % 17) || ' -> m' || b || ' -> t' || (a % 5)
 def nearest_interval(spark: SparkSession, sf: str) -> DataFrame:
     """The symbol nearest to each of a file's declared lines."""
     places = frame(spark, sf, "part").select(
-        F.lit("parts").alias("snapshot_id"), F.concat(F.lit("src/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit(".py")).alias("path"), ((F.col("p_partkey") * 13) % 400).cast("int").alias("line"),
+        F.lit("parts").alias("snapshot_id"), F.concat(F.lit("src/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))),
+            F.lit(".py")).alias("path"), ((F.col("p_partkey") * 13) % 400).cast("int").alias("line"),
         F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("bolt"), (F.col("p_partkey") % 50).cast("string"))).alias("name"), "p_partkey",
     )
     return surfaces.nearest_symbol(places, frame(spark, sf, "symbols")).select("p_partkey", "symbol_id")
@@ -180,7 +182,8 @@ select k p_partkey, id symbol_id from p left join (select k, id from c where t i
 def suffix_join(spark: SparkSession, sf: str) -> DataFrame:
     """Module and callable names anchored at the one symbol that they mean."""
     wanted = frame(spark, sf, "part").select(
-        F.lit("parts").alias("snapshot_id"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("module"), F.concat(F.split("p_name", " ")[1], (F.col("p_partkey") % 40).cast("string")).alias("callable"), "p_partkey"
+        F.lit("parts").alias("snapshot_id"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))).alias("module"),
+        F.concat(F.split("p_name", " ")[1], (F.col("p_partkey") % 40).cast("string")).alias("callable"), "p_partkey"
     )
     return surfaces.module_symbol(wanted, frame(spark, sf, "symbols")).select("p_partkey", "symbol_id")
 
@@ -196,7 +199,8 @@ def page_routes(spark: SparkSession, sf: str) -> DataFrame:
     pages = frame(spark, sf, "pages")
     found = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
     text = F.array_join(F.transform(found, lambda u: F.concat(F.lit('@app.get("'), u, F.lit('")'))), "\n")
-    files = pages.select(F.lit("pages").alias("snapshot_id"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("text"))
+    files = pages.select(F.lit("pages").alias("snapshot_id"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".py")).alias("path"),
+        F.lit("python").alias("language"), text.alias("text"))
     return surfaces.routes(files).select("name", "path", "line")
 
 
@@ -210,10 +214,13 @@ def capability_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows = page_routes(spark, sf)
     n = F.regexp_extract("path", r"(\d+)", 1).cast("long")
     found = rows.select(
-        F.concat(F.lit("g"), (n % 7).cast("string")).alias("snapshot_id"), F.lit("http-route").alias("kind"), "name", F.lit("all").alias("path"), F.lit(1).alias("line"),
-        F.when(n % 2 == 0, F.concat(F.lit("s"), n.cast("string"))).alias("symbol_id"), F.lit("route").alias("evidence_kind"), F.col("path").alias("detail"), (n * 1000 + F.col("line")).alias("seq"),
+        F.concat(F.lit("g"), (n % 7).cast("string")).alias("snapshot_id"), F.lit("http-route").alias("kind"), "name", F.lit("all").alias("path"),
+        F.lit(1).alias("line"),
+        F.when(n % 2 == 0, F.concat(F.lit("s"), n.cast("string"))).alias("symbol_id"), F.lit("route").alias("evidence_kind"),
+        F.col("path").alias("detail"), (n * 1000 + F.col("line")).alias("seq"),
     )
-    return surfaces.merge_capabilities(found).select("snapshot_id", "rank", "name", "symbol_id", F.array_join(F.transform("evidence", lambda e: e["detail"]), ",").alias("evidence"))
+    return surfaces.merge_capabilities(found).select("snapshot_id", "rank", "name", "symbol_id",
+        F.array_join(F.transform("evidence", lambda e: e["detail"]), ",").alias("evidence"))
 
 
 _MERGED = """
@@ -224,7 +231,9 @@ select g snapshot_id, k::int as "rank", name, symbol_id, evidence from (select *
 
 def journey_stages(spark: SparkSession, sf: str) -> DataFrame:
     """How many exact calls reach each stage of every class."""
-    s = frame(spark, sf, "symbols").withColumn("name", F.when(F.col("start_line") % 4 == 0, "saveAll").when(F.col("start_line") % 4 == 1, "normalize_it").when(F.col("start_line") % 4 == 2, "emit").otherwise(F.col("name")))
+    s = frame(spark, sf, "symbols").withColumn("name",
+        F.when(F.col("start_line") % 4 == 0, "saveAll").when(F.col("start_line") % 4 == 1, "normalize_it").when(F.col("start_line") % 4 == 2,
+            "emit").otherwise(F.col("name")))
     edges = frame(spark, sf, "links")
     types = s.where("kind = 'class'").select("snapshot_id", F.col("id").alias("type_id"))
     return surfaces.journey_stages(surfaces.journeys(types, s, edges), types).select("type_id", "role", "events")
@@ -242,7 +251,8 @@ def literal_references(spark: SparkSession, sf: str) -> DataFrame:
     """Paths that texts name: every component refers to its pair's path."""
     c = frame(spark, sf, "components").select("snapshot_id", "path", "p_partkey")
     other = c.select(F.col("p_partkey").alias("b"), F.col("path").alias("to"))
-    rows = frame(spark, sf, "pairs").join(c, F.col("a") == F.col("p_partkey")).join(other, "b").groupBy("snapshot_id", "path").agg(F.concat(F.lit("run "), F.array_join(F.sort_array(F.collect_list("to")), "; sh ./")).alias("text"))
+    rows = frame(spark, sf, "pairs").join(c, F.col("a") == F.col("p_partkey")).join(other, "b").groupBy("snapshot_id",
+        "path").agg(F.concat(F.lit("run "), F.array_join(F.sort_array(F.collect_list("to")), "; sh ./")).alias("text"))
     files = c.select("snapshot_id", "path").join(rows, ["snapshot_id", "path"], "left").fillna("", ["text"])
     return references.literal_references(files).select("src", "dst")
 
@@ -252,7 +262,8 @@ def use_evidence(spark: SparkSession, sf: str) -> DataFrame:
     c, symbols, links, edges = (frame(spark, sf, n) for n in ("components", "symbols", "links", "edges"))
     texts = edges.groupBy("snapshot_id", "src").agg(F.concat(F.lit("run "), F.array_join(F.sort_array(F.collect_list("dst")), "; sh ./")).alias("text"))
     files = c.select("snapshot_id", "path", "category").join(texts.withColumnRenamed("src", "path"), ["snapshot_id", "path"], "left").fillna("", ["text"])
-    found = symbols.where("kind = 'class' and category = 'user-surface'").select("snapshot_id", F.lit("user-surface").alias("kind"), F.col("id").alias("name"), "path", F.col("id").alias("symbol_id"))
+    found = symbols.where("kind = 'class' and category = 'user-surface'").select("snapshot_id", F.lit("user-surface").alias("kind"),
+        F.col("id").alias("name"), "path", F.col("id").alias("symbol_id"))
     reached = surfaces.implementation(found, symbols, links, max_symbols=None)
     rows = metabolism.structural_use(symbols, links, edges).unionByName(metabolism.capability_use(found, symbols, reached)).unionByName(references.use(files))
     return rows.groupBy("path", "kind").agg(F.count("*").alias("evidence"), F.min("source").alias("first_source"))

@@ -68,16 +68,23 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     rows = frame(spark, sf, "measured")
     by = ["repository", "sha", "frame"]
     as_map = lambda key: F.map_from_entries(F.collect_list(F.struct(key, "n")))
-    code = rows.groupBy(*by, "category").agg(F.sum("n").alias("n"), F.max("scanned_at").alias("at")).groupBy(*by).agg(as_map("category").alias("category_lines"), F.max("at").alias("scanned_at"), F.sum("n").alias("total"))
+    code = rows.groupBy(*by, "category").agg(F.sum("n").alias("n"),
+        F.max("scanned_at").alias("at")).groupBy(*by).agg(as_map("category").alias("category_lines"), F.max("at").alias("scanned_at"),
+        F.sum("n").alias("total"))
     roles = rows.groupBy(*by, "role").agg(F.sum("n").alias("n")).groupBy(*by).agg(as_map("role").alias("category_symbols"))
-    product = F.coalesce(F.try_element_at("category_lines", F.lit("core-product")), F.lit(0)) + F.coalesce(F.try_element_at("category_lines", F.lit("user-surface")), F.lit(0))
-    machine = F.coalesce(F.try_element_at("category_lines", F.lit("testing")), F.lit(0)) + F.coalesce(F.try_element_at("category_lines", F.lit("process-machinery")), F.lit(0))
+    product = F.coalesce(F.try_element_at("category_lines", F.lit("core-product")),
+        F.lit(0)) + F.coalesce(F.try_element_at("category_lines", F.lit("user-surface")), F.lit(0))
+    machine = F.coalesce(F.try_element_at("category_lines", F.lit("testing")),
+        F.lit(0)) + F.coalesce(F.try_element_at("category_lines", F.lit("process-machinery")), F.lit(0))
     links = F.when(F.col("frame") % 3 == 0, F.lit(0)).otherwise(F.col("total"))
     return code.join(roles, by).select(
-        "repository", "sha", "frame", "scanned_at", F.col("frame").alias("seq"), F.when(F.col("frame") == 1995, "0.13.0").otherwise("0.10.2").alias("version"), F.lit("r1").alias("revision"),
+        "repository", "sha", "frame", "scanned_at", F.col("frame").alias("seq"),
+        F.when(F.col("frame") == 1995, "0.13.0").otherwise("0.10.2").alias("version"), F.lit("r1").alias("revision"),
         F.lit(True).alias("canonical"), F.lit(None).cast("string").alias("model"), "category_lines", "category_symbols", links.alias("relationship_count"),
-        (product / F.col("total")).alias("exact_resolution_rate"), (F.col("total") % 7).alias("max_recursive_depth"), (F.col("total") % 90 + 0.5).alias("semantic_index"),
-        (machine / F.col("total") / 2.0).alias("far_share"), F.when(product > 0, machine / product).alias("scaffolding_ratio"), (product / F.col("total")).alias("product_share"), (machine / F.col("total")).alias("machinery_share"),
+        (product / F.col("total")).alias("exact_resolution_rate"), (F.col("total") % 7).alias("max_recursive_depth"),
+        (F.col("total") % 90 + 0.5).alias("semantic_index"),
+        (machine / F.col("total") / 2.0).alias("far_share"), F.when(product > 0, machine / product).alias("scaffolding_ratio"),
+        (product / F.col("total")).alias("product_share"), (machine / F.col("total")).alias("machinery_share"),
     )
 
 
@@ -100,7 +107,8 @@ def corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     """The fingerprint of every record, shares flat."""
     p = _prints(spark, sf)
     flat = [F.col("code_shares")[k].alias(f"code_{k}") for k in range(12)] + [F.col("symbol_shares")[k].alias(f"symbol_{k}") for k in range(12)]
-    return p.select("identity", "model", "code_total", "symbol_total", "recursive_depth", "semantic_index", "far_share", "exact_coverage", "scaffolding_ratio", *flat)
+    return p.select("identity", "model", "code_total", "symbol_total", "recursive_depth", "semantic_index", "far_share", "exact_coverage",
+        "scaffolding_ratio", *flat)
 
 
 _SUMS = "(" + " + ".join(f"c{k}" for k in range(12)) + ")", "(" + " + ".join(f"r{k}" for k in range(12)) + ")"
@@ -170,21 +178,25 @@ def newest_match(spark: SparkSession, sf: str) -> DataFrame:
 def ingest_skip_known(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that are no labelled ones yet: targets without a successful record."""
     targets = frame(spark, sf, "documents").select("doc_id", F.concat(F.lit("o/r"), F.col("doc_id").cast("string")).alias("identity"))
-    known = frame(spark, sf, "labels").select(F.concat(F.lit("o/r"), F.col("doc_id").cast("string")).alias("identity"), F.when(F.col("quality") == 1, "ok").otherwise("failed").alias("status"))
+    known = frame(spark, sf, "labels").select(F.concat(F.lit("o/r"), F.col("doc_id").cast("string")).alias("identity"),
+        F.when(F.col("quality") == 1, "ok").otherwise("failed").alias("status"))
     return corpus.skip_known(targets, known).select("doc_id", "identity")
 
 
 def target_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Targets by language and source, the first of each."""
     d = frame(spark, sf, "documents")
-    rows = d.select(F.when(F.col("doc_id") % 2 == 0, F.upper("lang")).otherwise(F.col("lang")).alias("repository"), F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("sha"), F.col("doc_id").alias("seq"))
+    rows = d.select(F.when(F.col("doc_id") % 2 == 0, F.upper("lang")).otherwise(F.col("lang")).alias("repository"),
+        F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("sha"), F.col("doc_id").alias("seq"))
     return corpus.distinct_targets(rows)
 
 
 def target_overrides(spark: SparkSession, sf: str) -> DataFrame:
     """Nations as targets, customers' segments as overrides."""
     targets = frame(spark, sf, "nation").select(F.col("n_name").alias("repository"), F.lit(None).cast("string").alias("sha"), F.col("n_nationkey").alias("seq"))
-    named = frame(spark, sf, "customer").where("c_nationkey % 2 = 0").select(F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("repository"), F.concat(F.lit("sha"), F.col("c_nationkey").cast("string")).alias("sha"))
+    named = frame(spark, sf, "customer").where("c_nationkey % 2 = 0").select(
+        F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("repository"),
+        F.concat(F.lit("sha"), F.col("c_nationkey").cast("string")).alias("sha"))
     extra = frame(spark, sf, "region").select(F.lower("r_name").alias("repository"), F.lit("shaR").alias("sha"))
     return corpus.with_overrides(targets, named.union(extra))
 
@@ -194,7 +206,8 @@ def override_longest_prefix(spark: SparkSession, sf: str) -> DataFrame:
     parts = frame(spark, sf, "part")
     brand = F.concat(F.lit("src/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
     rules = parts.where("p_partkey % 4 = 0").select(brand.alias("prefix"), F.lit("testing").alias("category")).union(
-        parts.where("p_partkey % 6 = 0").select(F.concat(brand, F.lit("/"), F.lower("p_type"), F.lit("/")).alias("prefix"), F.lit("verification").alias("category"))
+        parts.where("p_partkey % 6 = 0").select(F.concat(brand, F.lit("/"), F.lower("p_type"), F.lit("/")).alias("prefix"),
+            F.lit("verification").alias("category"))
     )
     return classify.declared(frame(spark, sf, "components").select("snapshot_id", "path"), rules.distinct()).select("path", "declared")
 
@@ -203,16 +216,20 @@ def diagnostics_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Events as diagnostics: counts by severity and the first 25 messages."""
     e = frame(spark, sf, "events").select(
         F.lit("events").alias("snapshot_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"),
-        F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "warning").otherwise("info").alias("severity"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message"),
+        F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "warning").otherwise("info").alias("severity"),
+        F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message"),
     )
     return corpus.diagnostics_rollup(e).select("severity", "n", F.array_join("samples", "|").alias("samples"))
 
 
 def identity_flags(spark: SparkSession, sf: str) -> DataFrame:
     """What changed between each nation's neighbouring measurements."""
-    rows = _records(spark, sf).select("repository", "frame", "version", "sha", F.when(F.col("frame") % 2 == 0, F.col("repository")).alias("source"), (F.col("frame") % 3 > 0).alias("canonical"))
-    both = rows.alias("before").join(rows.alias("after"), (F.col("before.repository") == F.col("after.repository")) & (F.col("after.frame") == F.col("before.frame") + 1))
-    return both.select(F.col("after.repository").alias("repository"), F.col("after.frame").alias("frame"), *[c.alias(k) for k, c in compare.identity_flags().items()])
+    rows = _records(spark, sf).select("repository", "frame", "version", "sha", F.when(F.col("frame") % 2 == 0, F.col("repository")).alias("source"),
+        (F.col("frame") % 3 > 0).alias("canonical"))
+    both = rows.alias("before").join(rows.alias("after"),
+        (F.col("before.repository") == F.col("after.repository")) & (F.col("after.frame") == F.col("before.frame") + 1))
+    return both.select(F.col("after.repository").alias("repository"), F.col("after.frame").alias("frame"),
+        *[c.alias(k) for k, c in compare.identity_flags().items()])
 
 
 def unknown_warning(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,14 +251,17 @@ QUERIES = {
     "category_lines": (category_lines, "select snapshot_id, category, sum(code_lines)::bigint code_lines from {components} group by 1, 2"),
     "directory_profiles": (directory_profiles, _PROFILED),
     "inversion_topk": (inversion_topk, f"select path, machinery_lines - product_lines excess, scaffolding_ratio from ({_PROFILED}) where is_inversion order by 2 desc, 3 desc, 1 limit 12"),
-    "component_order_topk": (component_order_topk, 'select category, row_number() over (partition by category order by code_lines desc, path)::int as "rank", path, code_lines from {components} qualify row_number() over (partition by category order by code_lines desc, path) <= 20'),
+    "component_order_topk": (component_order_topk,
+        'select category, row_number() over (partition by category order by code_lines desc, path)::int as "rank", path, code_lines from {components} qualify row_number() over (partition by category order by code_lines desc, path) <= 20'),
     "fingerprint_shares": (fingerprint_shares, f"select snapshot_id, k category, coalesce(sum(code_lines) filter (category = k), 0)::bigint / sum(code_lines)::bigint share from {{components}}, (select unnest([{', '.join(repr(c) for c in CATEGORIES[:10])}]) k) group by 1, 2"),
     "corpus_fingerprint": (corpus_fingerprint, _FINGER),
-    "structural_distance_pairs": (structural_distance_pairs, f"with f as ({_FULL}) select q.identity query, c.identity candidate, round({_DISTANCE}, 9) distance from f q, f c where q.frame = 2000 and lower(q.repository) <> lower(c.repository) and c.model = q.model"),
+    "structural_distance_pairs": (structural_distance_pairs,
+        f"with f as ({_FULL}) select q.identity query, c.identity candidate, round({_DISTANCE}, 9) distance from f q, f c where q.frame = 2000 and lower(q.repository) <> lower(c.repository) and c.model = q.model"),
     "neighbours_topk": (neighbours_topk, f"""with f as ({_FULL}), p as (select q.identity query, c.repository, c.sha, {_DISTANCE} d from f q, f c where q.frame = 2000 and lower(q.repository) <> lower(c.repository) and c.model = q.model),
  b as (select * from p qualify row_number() over (partition by query, repository order by d, sha) = 1)
 select query, row_number() over (partition by query order by d, repository, sha)::int as "rank", repository, sha, round(d, 9) distance from b qualify row_number() over (partition by query order by d, repository, sha) <= 10"""),
-    "neighbours_exclusions": (neighbours_exclusions, f"""with f as ({_FULL}) select q.identity query, case when c.identity = q.identity then 'same_identity' when c.repository = q.repository then 'same_repository' else 'measurement_mismatch' end reason, count(*) records
+    "neighbours_exclusions": (neighbours_exclusions,
+        f"""with f as ({_FULL}) select q.identity query, case when c.identity = q.identity then 'same_identity' when c.repository = q.repository then 'same_repository' else 'measurement_mismatch' end reason, count(*) records
 from f q, f c where q.frame = 2000 and (c.repository = q.repository or c.model is null) group by 1, 2"""),
     "context_percentiles": (context_percentiles, _CONTEXT),
     "latest_per_repo": (latest_per_repo, f"select repository, sha, identity, code_total from ({_FULL}) qualify row_number() over (partition by repository order by scanned_at desc, frame desc) = 1"),
@@ -250,7 +270,8 @@ from f q, f c where q.frame = 2000 and (c.repository = q.repository or c.model i
     "target_dedup": (target_dedup, "select repository, sha, seq from (select case when doc_id % 2 = 0 then upper(lang) else lang end repository, case when doc_id % 5 > 0 then source end sha, doc_id seq from {documents}) qualify row_number() over (partition by lower(repository), coalesce(sha, '') order by seq) = 1"),
     "target_overrides": (target_overrides, """select coalesce(n_name, r) repository, s sha, n_nationkey seq from {nation} full join (select distinct 'nation_' || c_nationkey r, 'sha' || c_nationkey s from {customer} where c_nationkey % 2 = 0
  union all select lower(r_name), 'shaR' from {region}) on lower(n_name) = r"""),
-    "override_longest_prefix": (override_longest_prefix, """with p as (select path, 'src/' || split_part(path, '/', 2) b, 'src/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3) t, p_partkey from {components})
+    "override_longest_prefix": (override_longest_prefix,
+        """with p as (select path, 'src/' || split_part(path, '/', 2) b, 'src/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3) t, p_partkey from {components})
 select path, case when t in (select t from p where p_partkey % 6 = 0) then 'verification' else 'testing' end declared from p
 where t in (select t from p where p_partkey % 6 = 0) or b in (select b from p where p_partkey % 4 = 0)"""),
     "diagnostics_rollup": (diagnostics_rollup, """select severity, n, string_agg(path || ': ' || message, '|' order by k) samples from (select *, count(*) over (partition by severity) n, row_number() over (partition by severity order by path, message) k from (

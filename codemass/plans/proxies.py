@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codemass.schema import CATEGORIES
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
+    "labels", "conversations")
 
 
 def _case(number: str, values: tuple[str, ...]) -> str:

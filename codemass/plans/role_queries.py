@@ -11,7 +11,8 @@ from codemass.schema import MACHINERY, PRODUCT
 
 _PATHS = ("src/shop/a.py", "lib/b.py", "tests/c.py", "audits/d.py", "app/validators/e.py", "x/y/f.py", "src/g.py", "ops/ci/h.py")
 _NAMES = ("verifyOrder", "open_menu", "auditQuality", "parse_config", "images", "TraceLogger", "run", "release_notes", "cacheStore", "validator")
-_LINES = ("return menu.route(command)", "audit audit provenance ledger", "x = 1", "verify checksum sha256; integrity", "config = load(storage, cache)", "logger.monitor(trace)")
+_LINES = ("return menu.route(command)", "audit audit provenance ledger", "x = 1", "verify checksum sha256; integrity",
+    "config = load(storage, cache)", "logger.monitor(trace)")
 
 
 def _of(values: tuple[str, ...], number: Column) -> Column:
@@ -25,7 +26,8 @@ def symbol_roles(spark: SparkSession, sf: str) -> DataFrame:
         "path": _of(_PATHS, n), "name": _of(_NAMES, F.floor(n / 8)), "qualified_name": F.concat(F.lit("m."), _of(_NAMES, F.floor(n / 80))),
         "start_line": (n % 6 + 1).cast("int"), "end_line": (n % 6 + 1 + n % 2).cast("int"),
     })
-    files = spark.range(len(_PATHS)).select(F.lit("parts").alias("snapshot_id"), _of(_PATHS, F.col("id")).alias("path"), F.array(*map(F.lit, _LINES)).alias("lines_of"))
+    files = spark.range(len(_PATHS)).select(F.lit("parts").alias("snapshot_id"), _of(_PATHS, F.col("id")).alias("path"),
+        F.array(*map(F.lit, _LINES)).alias("lines_of"))
     return classify.refine_symbols(s, files).select("id", "category", F.round("role_confidence", 9).alias("role_confidence"), "role_source")
 
 
@@ -65,8 +67,10 @@ def import_relationships(spark: SparkSession, sf: str) -> DataFrame:
     files = rows.select("snapshot_id", F.concat("path", F.lit("::<file>")).alias("id"), "path", F.lit("file").alias("kind"))
     deps = resolve.file_dependencies(rows.select("snapshot_id", "path", F.array("raw").alias("imports")))
     edges = rows.select(
-        "snapshot_id", F.col("p_partkey").alias("edge_seq"), F.concat("path", F.lit("::<file>")).alias("source_id"), F.lit("imports").alias("kind"), F.lit(None).cast("string").alias("target_id"),
-        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("import "), F.col("raw"))).otherwise(F.concat(F.lit("from \""), F.replace("raw", F.lit("."), F.lit("/")), F.lit('";'))).alias("target_name"),
+        "snapshot_id", F.col("p_partkey").alias("edge_seq"), F.concat("path", F.lit("::<file>")).alias("source_id"), F.lit("imports").alias("kind"),
+        F.lit(None).cast("string").alias("target_id"),
+        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("import "), F.col("raw"))).otherwise(
+            F.concat(F.lit("from \""), F.replace("raw", F.lit("."), F.lit("/")), F.lit('";'))).alias("target_name"),
     )
     return resolve.resolve_imports(edges, files, deps).select("edge_seq", "target_id", "resolution")
 

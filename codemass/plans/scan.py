@@ -58,7 +58,8 @@ def with_symbols(s: Scan) -> Scan:
     s.edges = checkpointed(resolve.resolve_relationships(parse.edges(rows), found, s.dependencies))
     s.symbols = checkpointed(traverse.symbol_distances(found, s.edges))
     s.symbol_chains, spent = traverse.recursive_chains(s.symbols, s.edges)
-    note = spent.where("truncated").select(SNAP, F.lit("<semantic-graph>").alias("path"), F.lit("graph").alias("language"), F.lit("Recursive chain traversal reached its budget; depth may be understated.").alias("message"), F.lit("warning").alias("severity"))
+    note = spent.where("truncated").select(SNAP, F.lit("<semantic-graph>").alias("path"), F.lit("graph").alias("language"),
+        F.lit("Recursive chain traversal reached its budget; depth may be understated.").alias("message"), F.lit("warning").alias("severity"))
     s.diagnostics = parse.diagnostics(rows).unionByName(note)
     s.symbol_metrics = metrics.symbol_metrics(s.symbols, s.edges, s.symbol_chains.groupBy(SNAP).agg(F.max("depth").alias("max_depth")))
     return s
@@ -81,7 +82,8 @@ def history(s: Scan, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Checkpoints of each commit, and events between neighbouring ones."""
     frames = commits.select(F.col("sha").alias(SNAP), "frame", F.lit("repo").alias("repository"))
     points = frames.join(s.metrics, SNAP).join(s.symbol_metrics, SNAP, "left").select(
-        "repository", "frame", F.col(SNAP).alias("sha"), F.col("direct_product_share").alias("product_share"), F.col("tooling_share").alias("machinery_share"), "scaffolding_ratio",
+        "repository", "frame", F.col(SNAP).alias("sha"), F.col("direct_product_share").alias("product_share"),
+        F.col("tooling_share").alias("machinery_share"), "scaffolding_ratio",
         F.coalesce("max_recursive_depth", F.lit(0)).alias("recursive_depth"), "semantic_recursion_index", "exact_coverage",
     )
     folders = frames.join(s.profiles, SNAP).select("repository", "frame", "path", "product_lines", "machinery_lines", "is_inversion")
@@ -103,7 +105,8 @@ def use_evidence(s: Scan) -> DataFrame:
     text = s.files.select(SNAP, "path", "text").join(s.components.select(SNAP, "path", "category"), [SNAP, "path"])
     found = checkpointed(atlas(s))
     reached = surfaces.implementation(found, s.symbols, s.edges)
-    rows = metabolism.structural_use(s.symbols, s.edges, s.dependencies).unionByName(metabolism.capability_use(found, s.symbols, reached)).unionByName(references.use(text))
+    rows = metabolism.structural_use(s.symbols, s.edges,
+        s.dependencies).unionByName(metabolism.capability_use(found, s.symbols, reached)).unionByName(references.use(text))
     return rows.join(s.components.select(SNAP, "path"), [SNAP, "path"], "left_semi")
 
 
@@ -118,9 +121,11 @@ def metabolise(s: Scan, commits: DataFrame, evidence: DataFrame | None = None) -
 
 def atlas(s: Scan, *, top_level: str = "no_parent") -> DataFrame:
     """Externally visible surfaces with their evidence and anchors."""
-    placed = surfaces.routes(s.files).unionByName(surfaces.exports(s.files)).unionByName(surfaces.package_bins(s.files)).unionByName(parse.python_exports(s.files))
+    placed = surfaces.routes(s.files).unionByName(surfaces.exports(s.files)).unionByName(surfaces.package_bins(s.files)).unionByName(
+        parse.python_exports(s.files))
     scripts = surfaces.packaged_scripts(s.files)
-    near = surfaces.nearest_symbol(placed.withColumn("_shown", F.col("name")).withColumn("name", F.when(F.col("kind") == "public-api", F.col("name"))), s.symbols)
+    near = surfaces.nearest_symbol(placed.withColumn("_shown", F.col("name")).withColumn("name",
+            F.when(F.col("kind") == "public-api", F.col("name"))), s.symbols)
     near = near.withColumn("name", F.col("_shown")).drop("_shown")
     named = surfaces.module_symbol(scripts, s.symbols).drop("module", "callable")
     both = near.unionByName(named).unionByName(surfaces.entry_points(s.files, s.symbols))
@@ -151,19 +156,24 @@ def data_journey(s: Scan, selector: str | None) -> tuple[DataFrame, DataFrame, D
 
 def record(s: Scan, names: DataFrame, *, version: str, revision: str) -> DataFrame:
     """One corpus record for each snapshot: names has snapshot_id, repository, sha, scanned_at."""
-    code = metrics.category_lines(s.components).groupBy(SNAP).agg(F.map_from_entries(F.collect_list(F.struct("category", F.col("code_lines").cast("double")))).alias("lines"))
-    roles = s.symbols.groupBy(SNAP, "category").agg(F.count("*").cast("double").alias("n")).groupBy(SNAP).agg(F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("roles"))
+    code = metrics.category_lines(s.components).groupBy(SNAP).agg(
+        F.map_from_entries(F.collect_list(F.struct("category", F.col("code_lines").cast("double")))).alias("lines"))
+    roles = s.symbols.groupBy(SNAP, "category").agg(F.count("*").cast("double").alias("n")).groupBy(SNAP).agg(
+        F.map_from_entries(F.collect_list(F.struct("category", "n"))).alias("roles"))
     rows = names.join(s.metrics, SNAP).join(s.symbol_metrics, SNAP, "left").join(code, SNAP, "left").join(roles, SNAP, "left")
     value = lambda c: F.col(c).cast("double")
     return rows.select(
         F.lit("ok").alias("status"), "scanned_at", scalars.identity_key("repository", "sha", F.lit(version), F.lit(revision)).alias("identity"),
         F.struct(F.col("repository").alias("name"), F.col("sha"), F.lit(None).cast("string").alias("id")).alias("repository"),
-        F.struct(F.lit("codemass").alias("name"), F.lit(version).alias("version"), F.lit(revision).alias("source_revision"), F.lit(True).alias("canonical")).alias("analyzer"),
+        F.struct(F.lit("codemass").alias("name"), F.lit(version).alias("version"), F.lit(revision).alias("source_revision"),
+            F.lit(True).alias("canonical")).alias("analyzer"),
         F.struct(
             F.lit("semantic-v1").alias("measurement_model"), F.col("lines").alias("category_code_lines"), F.col("roles").alias("category_symbol_counts"),
-            F.struct(value("direct_product_share").alias("direct_product_share"), value("tooling_share").alias("tooling_share"), value("scaffolding_ratio").alias("scaffolding_ratio")).alias("baseline"),
+            F.struct(value("direct_product_share").alias("direct_product_share"), value("tooling_share").alias("tooling_share"),
+                value("scaffolding_ratio").alias("scaffolding_ratio")).alias("baseline"),
             F.struct(
-                value("relationship_count").alias("relationship_count"), value("exact_resolution_rate").alias("exact_resolution_rate"), value("max_recursive_depth").alias("max_recursive_depth"),
+                value("relationship_count").alias("relationship_count"), value("exact_resolution_rate").alias("exact_resolution_rate"),
+                value("max_recursive_depth").alias("max_recursive_depth"),
                 value("semantic_recursion_index").alias("semantic_recursion_index"), value("far_from_value_symbol_share").alias("far_from_value_symbol_share"),
             ).alias("semantic"),
         ).alias("measurement"),
@@ -192,11 +202,15 @@ def index(spark: SparkSession, targets: DataFrame, corpus_path: str, *, version:
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     if good:
         s = scan(spark.read.format("source_tarball").option("path", ",".join(r["path"] for r in good)).load())
-        names = spark.createDataFrame([(r["path"].rsplit("/", 1)[-1], r["repository"], r["sha"]) for r in good], "snapshot_id string, repository string, sha string")
+        names = spark.createDataFrame([(r["path"].rsplit("/", 1)[-1], r["repository"], r["sha"]) for r in good],
+            "snapshot_id string, repository string, sha string")
         made = made.unionByName(record(s, names.withColumn("scanned_at", now), version=version, revision=revision))
     if bad:
-        failed = spark.createDataFrame([(r["identity"], r["repository"], r["sha"], code, message) for r, code, message in bad], "identity string, name string, sha string, code string, message string")
-        made = made.unionByName(failed.select(F.lit("failed").alias("status"), now.alias("scanned_at"), "identity", F.struct("name", "sha", F.lit(None).cast("string").alias("id")).alias("repository"), F.struct("code", "message").alias("reason")), allowMissingColumns=True)
+        failed = spark.createDataFrame([(r["identity"], r["repository"], r["sha"], code, message) for r, code, message in bad],
+            "identity string, name string, sha string, code string, message string")
+        made = made.unionByName(failed.select(F.lit("failed").alias("status"), now.alias("scanned_at"), "identity",
+                F.struct("name", "sha", F.lit(None).cast("string").alias("id")).alias("repository"), F.struct("code", "message").alias("reason")),
+                allowMissingColumns=True)
     made = checkpointed(made)
     records.append(made, corpus_path)
     return made

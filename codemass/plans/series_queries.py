@@ -28,10 +28,12 @@ def category_delta(spark: SparkSession, sf: str) -> DataFrame:
 
 def _profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Product and machinery lines of each nation by quarter: the folders of a region."""
-    o = frame(spark, sf, "orders").join(frame(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(frame(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    o = frame(spark, sf, "orders").join(frame(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(frame(spark, sf, "nation"),
+        F.col("n_nationkey") == F.col("c_nationkey"))
     product = F.substring("o_orderpriority", 1, 1).isin("1", "2")
     return o.groupBy(
-        (F.col("n_regionkey")).cast("string").alias("repository"), ((F.year("o_orderdate") - 1995) * 4 + F.quarter("o_orderdate") - 1).cast("int").alias("frame"), F.col("n_name").alias("path")
+        (F.col("n_regionkey")).cast("string").alias("repository"),
+        ((F.year("o_orderdate") - 1995) * 4 + F.quarter("o_orderdate") - 1).cast("int").alias("frame"), F.col("n_name").alias("path")
     ).agg(
         F.sum(F.when(product, 1).otherwise(0)).alias("product_lines"), F.sum(F.when(product, 0).otherwise(1)).alias("machinery_lines")
     ).withColumn("is_inversion", (F.col("product_lines") > 0) & (F.col("machinery_lines") > F.col("product_lines")))
@@ -57,8 +59,11 @@ def inversion_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _checkpoints(spark: SparkSession, sf: str) -> DataFrame:
-    p = _profiles(spark, sf).groupBy("repository", "frame").agg(F.sum("product_lines").alias("p"), F.sum("machinery_lines").alias("m"), F.sum(F.col("is_inversion").cast("long")).alias("inversion_count"))
-    return p.select("repository", "frame", (F.col("p") / (F.col("p") + F.col("m"))).alias("product_share"), (F.col("m") / (F.col("p") + F.col("m"))).alias("machinery_share"), ((F.col("p") + F.col("m")) % 4).cast("int").alias("recursive_depth"), "inversion_count")
+    p = _profiles(spark, sf).groupBy("repository", "frame").agg(F.sum("product_lines").alias("p"), F.sum("machinery_lines").alias("m"),
+        F.sum(F.col("is_inversion").cast("long")).alias("inversion_count"))
+    return p.select("repository", "frame", (F.col("p") / (F.col("p") + F.col("m"))).alias("product_share"),
+        (F.col("m") / (F.col("p") + F.col("m"))).alias("machinery_share"), ((F.col("p") + F.col("m")) % 4).cast("int").alias("recursive_depth"),
+        "inversion_count")
 
 
 _CHECKS = f"select repository, frame, sum(product_lines) / sum(product_lines + machinery_lines) product_share, sum(machinery_lines) / sum(product_lines + machinery_lines) machinery_share, (sum(product_lines + machinery_lines) % 4)::int recursive_depth, count(*) filter (product_lines > 0 and machinery_lines > product_lines) inversion_count from ({_PROFILES}) group by 1, 2"
@@ -90,7 +95,8 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     before = c.where(k % 10 != 0)
     after = c.where(k % 11 != 0).withColumns({
         "code_lines": F.col("code_lines") + F.when(k % 3 == 0, 5).when(k % 5 == 0, -3).otherwise(0),
-        "category": F.when(k % 8 == 0, F.lit("verification")).otherwise(F.col("category")), "value_distance": F.when(k % 6 == 0, F.lit(None).cast("int")).otherwise(F.col("value_distance")),
+        "category": F.when(k % 8 == 0, F.lit("verification")).otherwise(F.col("category")),
+            "value_distance": F.when(k % 6 == 0, F.lit(None).cast("int")).otherwise(F.col("value_distance")),
     })
     return before, after
 
@@ -102,7 +108,8 @@ _AFTER = "(select * replace (code_lines + case when p_partkey % 3 = 0 then 5 whe
 def change_drivers(spark: SparkSession, sf: str) -> DataFrame:
     """All files by how many of their lines moved."""
     before, after = _files(spark, sf)
-    return compare.change_drivers(before, after, ("snapshot_id",), keep=None).select("path", "status", "before_category", "after_category", "before_code_lines", "after_code_lines", "movement", "delta")
+    return compare.change_drivers(before, after, ("snapshot_id",), keep=None).select("path", "status", "before_category", "after_category",
+        "before_code_lines", "after_code_lines", "movement", "delta")
 
 
 def change_drivers_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,7 +149,8 @@ def explanations(spark: SparkSession, sf: str) -> DataFrame:
 
 def treemap_layout(spark: SparkSession, sf: str) -> DataFrame:
     """The rectangle of every folder and file."""
-    return layout.treemap(frame(spark, sf, "components")).select("kind", "path", *[F.round(c, 3).alias(c) for c in ("x", "y", "width", "height")], "weight", "depth")
+    return layout.treemap(frame(spark, sf, "components")).select("kind", "path", *[F.round(c, 3).alias(c) for c in ("x", "y", "width", "height")],
+        "weight", "depth")
 
 
 _TREE = """
@@ -202,14 +210,18 @@ def status_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def newer_siblings(spark: SparkSession, sf: str) -> DataFrame:
     """Newer members of version families: suppliers as releases of their nations, numbers repeated."""
-    s = frame(spark, sf, "supplier").select(F.lit("r").alias("repository"), F.concat(F.lit("ops/n"), F.col("s_nationkey").cast("string"), F.lit("/release_"), F.lpad((F.col("s_suppkey") % 30).cast("string"), 2, "0"), F.lit("_"), F.chr(F.lit(97) + F.col("s_suppkey") % 3), F.lit(".SH")).alias("path")).distinct()
+    s = frame(spark, sf, "supplier").select(F.lit("r").alias("repository"),
+        F.concat(F.lit("ops/n"), F.col("s_nationkey").cast("string"), F.lit("/release_"), F.lpad((F.col("s_suppkey") % 30).cast("string"), 2, "0"),
+            F.lit("_"), F.chr(F.lit(97) + F.col("s_suppkey") % 3), F.lit(".SH")).alias("path")).distinct()
     return metabolism.newer_siblings(s).select("path", F.array_join("newer", ",").alias("newer"))
 
 
 def evidence_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Different evidence of every user by kind of event and hour."""
-    e = frame(spark, sf, "events").select(F.lit("e").alias("repository"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("kind"), F.hour("ts").cast("string").alias("source"), F.lit("x").alias("detail"))
-    return metabolism.evidence(e).select("path", F.array_join("kinds", ",").alias("kinds"), F.array_join(F.transform("evidence", lambda x: F.concat_ws("/", x["kind"], x["source"])), ";").alias("evidence"))
+    e = frame(spark, sf, "events").select(F.lit("e").alias("repository"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"),
+        F.col("event_type").alias("kind"), F.hour("ts").cast("string").alias("source"), F.lit("x").alias("detail"))
+    return metabolism.evidence(e).select("path", F.array_join("kinds", ",").alias("kinds"),
+        F.array_join(F.transform("evidence", lambda x: F.concat_ws("/", x["kind"], x["source"])), ";").alias("evidence"))
 
 
 def content_hash_change(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,14 +235,16 @@ def content_hash_change(spark: SparkSession, sf: str) -> DataFrame:
 
 def story_coherence(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the last comparison of the orders ends at the last scan."""
-    o = frame(spark, sf, "orders").agg(F.max("o_orderdate").cast("date").cast("string").alias("sha"), F.min("o_orderdate").cast("date").cast("string").alias("before_sha"))
+    o = frame(spark, sf, "orders").agg(F.max("o_orderdate").cast("date").cast("string").alias("sha"),
+        F.min("o_orderdate").cast("date").cast("string").alias("before_sha"))
     line = frame(spark, sf, "lineitem").agg(F.max("l_shipdate").cast("date").cast("string").alias("after_sha"))
     return compare.story_coherence(o.select("sha"), o.select("before_sha").join(line, F.lit(True)))
 
 
 def anatomy_by_frame(spark: SparkSession, sf: str) -> DataFrame:
     """Line sums and shares of each region and year."""
-    rows = frame(spark, sf, "frames").select(F.concat_ws("/", "repository", F.col("frame").cast("string")).alias("snapshot_id"), "category", "code_lines", F.lit(None).cast("int").alias("value_distance"))
+    rows = frame(spark, sf, "frames").select(F.concat_ws("/", "repository", F.col("frame").cast("string")).alias("snapshot_id"), "category",
+        "code_lines", F.lit(None).cast("int").alias("value_distance"))
     return metrics.composition(rows).select("snapshot_id", "total_lines", "product_lines", "machinery_lines", "tooling_share", "scaffolding_ratio")
 
 

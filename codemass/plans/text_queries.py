@@ -67,14 +67,19 @@ def classify_argmax(spark: SparkSession, sf: str) -> DataFrame:
     """The purpose of every document as a file, and of every component by its path."""
     docs = frame(spark, sf, "files").select("snapshot_id", "path", F.lit("markdown").alias("language"), "text")
     parts = frame(spark, sf, "part").select(
-        F.lit("docs").alias("snapshot_id"), F.concat(F.element_at(F.array(*map(F.lit, _FOLDERS)), (F.col("p_partkey") % len(_FOLDERS) + 1).cast("int")), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"),
+        F.lit("docs").alias("snapshot_id"), F.concat(
+            F.element_at(F.array(*map(F.lit, _FOLDERS)), (F.col("p_partkey") % len(_FOLDERS) + 1).cast("int")), F.lit("/"),
+            F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"),
         F.lit("python").alias("language"), F.element_at(F.array(*map(F.lit, _TEXTS)), (F.col("p_partkey") % len(_TEXTS) + 1).cast("int")).alias("text"),
     )
-    return classify.classify(docs.union(parts), head=None).select("path", "category", F.round("confidence", 9).alias("confidence"), F.size("signals").alias("signals"))
+    return classify.classify(docs.union(parts), head=None).select("path", "category", F.round("confidence", 9).alias("confidence"),
+        F.size("signals").alias("signals"))
 
 
-_FOLDERS = ("src/game", "tests", "docs", ".github/flows", "ui/views", "auditAuditor", "tools", "lib", "storage/cache", "validatorValidator", "telemetry", "release")
-_TEXTS = ("x = 1", "def verify(): audit report; validate report; audit verify checker workflow", "render the page and load config from storage", "pipeline for release; ci; deploy", "", "test fixtures and mocks assert", "game engine with player inventory", "log metrics trace span; diagnostic")
+_FOLDERS = ("src/game", "tests", "docs", ".github/flows", "ui/views", "auditAuditor", "tools", "lib", "storage/cache", "validatorValidator",
+    "telemetry", "release")
+_TEXTS = ("x = 1", "def verify(): audit report; validate report; audit verify checker workflow", "render the page and load config from storage",
+    "pipeline for release; ci; deploy", "", "test fixtures and mocks assert", "game engine with player inventory", "log metrics trace span; diagnostic")
 
 
 def _classify_sql() -> str:
@@ -128,22 +133,27 @@ def target_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def member_roles(spark: SparkSession, sf: str) -> DataFrame:
     """Events by the stage that their kind's first word names."""
-    e = frame(spark, sf, "events").select(F.when(F.col("event_type") == "view", "renderView").when(F.col("event_type") == "click", "apply_click").when(F.col("event_type") == "purchase", "SaveOrder").when(F.col("event_type") == "signup", "create-user").otherwise("x").alias("name"), F.when(F.col("event_id") % 97 == 0, "constructor").otherwise("method").alias("kind"))
+    e = frame(spark, sf, "events").select(F.when(F.col("event_type") == "view", "renderView").when(F.col("event_type") == "click",
+            "apply_click").when(F.col("event_type") == "purchase", "SaveOrder").when(F.col("event_type") == "signup",
+            "create-user").otherwise("x").alias("name"), F.when(F.col("event_id") % 97 == 0, "constructor").otherwise("method").alias("kind"))
     return e.withColumn("role", scalars.member_role("kind", "name")).groupBy("name", "role").agg(F.count("*").alias("n"))
 
 
 def archive_members(spark: SparkSession, sf: str) -> DataFrame:
     """Urls as archive members: which names are safe, which repositories and hashes are well formed."""
     p = frame(spark, sf, "pages").select("page_id", "url", F.regexp_replace("url", "^https?://", F.lit("")).alias("m"))
-    m = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("../"), F.col("m"))).when(F.col("page_id") % 5 == 1, F.concat(F.lit("/"), F.col("m"))).otherwise(F.col("m"))
-    return p.select("page_id", scalars.safe_member(m).alias("safe"), scalars.safe_member("url").alias("safe_url"), scalars.is_repository(F.concat_ws("/", F.split("m", "/")[0], F.split("m", "/")[1])).alias("repository"), scalars.is_sha(F.sha1("url")).alias("sha"))
+    m = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("../"), F.col("m"))).when(F.col("page_id") % 5 == 1,
+        F.concat(F.lit("/"), F.col("m"))).otherwise(F.col("m"))
+    return p.select("page_id", scalars.safe_member(m).alias("safe"), scalars.safe_member("url").alias("safe_url"),
+        scalars.is_repository(F.concat_ws("/", F.split("m", "/")[0], F.split("m", "/")[1])).alias("repository"), scalars.is_sha(F.sha1("url")).alias("sha"))
 
 
 QUERIES = {
     "code_lines": (code_lines, _CODE),
     "path_tokens": (path_tokens, "select path, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(path), '[a-z0-9]+'))), ' ') tokens from {components}"),
     "ngram_tokens": (ngram_tokens, _GRAMS),
-    "phrase_hits": (phrase_hits, "with f as (select doc_id, lower(text) t from {files}) select doc_id, " + ", ".join(f"{_hit(p, 't')} p_{p.replace(' ', '_')}" for p in _PHRASES) + " from f"),
+    "phrase_hits": (phrase_hits, "with f as (select doc_id, lower(text) t from {files}) select doc_id, " + ", ".join(
+            f"{_hit(p, 't')} p_{p.replace(' ', '_')}" for p in _PHRASES) + " from f"),
     "mention_counts": (mention_counts, f"with f as (select doc_id, lower(text) t from {{files}}) select doc_id, ({_COUNT(text.MACHINERY_WORDS)})::bigint n, ({_COUNT(('th', 'ion', 'er'))})::bigint m from f"),
     "classify_argmax": (classify_argmax, _classify_sql()),
     "generated_headers": (generated_headers, "select page_id, page_id % 3 = 0 as generated from {pages}"),

@@ -16,7 +16,8 @@ ROWS = (
     "snapshot_id string, row string, seq bigint, id string, path string, language string, kind string, name string, qualified_name string,"
     " start_line int, end_line int, parent_id string, target_name string, target_id string, resolution string, evidence string, message string, severity string"
 )
-TREE_LANGUAGES = ("javascript", "typescript", "tsx", "csharp", "fsharp", "java", "kotlin", "go", "rust", "ruby", "php", "c", "cpp", "swift", "lua", "shell", "powershell")
+TREE_LANGUAGES = ("javascript", "typescript", "tsx", "csharp", "fsharp", "java", "kotlin", "go", "rust", "ruby", "php", "c", "cpp", "swift", "lua",
+    "shell", "powershell")
 
 
 def dotted(node: ast.AST) -> str | None:
@@ -45,7 +46,8 @@ class _Walk(ast.NodeVisitor):
         parent, prefix, _ = self.stack[-1]
         qualified = f"{prefix}.{name}".strip(".")
         key = f"{self.path}::{qualified}@{node.lineno}"
-        self.add("symbol", id=key, kind=kind, name=name, qualified_name=qualified, start_line=node.lineno, end_line=node.end_lineno or node.lineno, parent_id=parent)
+        self.add("symbol", id=key, kind=kind, name=name, qualified_name=qualified, start_line=node.lineno, end_line=node.end_lineno or node.lineno,
+            parent_id=parent)
         self.add("edge", id=parent, kind="contains", target_name=qualified, target_id=key, resolution="exact", evidence="python AST lexical containment")
         self.stack.append((key, qualified, kind))
         return key
@@ -134,13 +136,15 @@ def symbols(rows: DataFrame, components: DataFrame) -> DataFrame:
     """Symbols with their file's category; of a repeated id the last holds."""
     own = rows.where("row = 'symbol'").drop("row", "target_name", "target_id", "resolution", "evidence", "message", "severity")
     last = own.groupBy("snapshot_id", "id").agg(F.max_by(F.struct(*own.columns), "seq").alias("r")).select("r.*")
-    return last.drop("seq").join(components.select("snapshot_id", "path", "category"), ["snapshot_id", "path"], "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
+    return last.drop("seq").join(components.select("snapshot_id", "path", "category"), ["snapshot_id", "path"], "left").withColumn("category",
+        F.coalesce("category", F.lit("unknown")))
 
 
 def edges(rows: DataFrame) -> DataFrame:
     """Relationships with edge_seq, in the order of paths and of each file's tree."""
     return rows.where("row = 'edge'").select(
-        "snapshot_id", (F.xxhash64("path").bitwiseAND(F.lit((1 << 38) - 1)) * (1 << 24) + F.col("seq")).alias("edge_seq"), F.col("id").alias("source_id"), "kind", "target_name", "target_id", "resolution", "evidence"
+        "snapshot_id", (F.xxhash64("path").bitwiseAND(F.lit((1 << 38) - 1)) * (1 << 24) + F.col("seq")).alias("edge_seq"),
+        F.col("id").alias("source_id"), "kind", "target_name", "target_id", "resolution", "evidence"
     )
 
 
@@ -194,11 +198,13 @@ def python_exports(files: DataFrame) -> DataFrame:
             rows = [(s, name, p, line) for s, p, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) for name, line in exported(t or "")]
             if rows:
                 s, name, p, line = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(name, pa.string()), pa.array(p, pa.string()), pa.array(line, pa.int32())], names=["snapshot_id", "name", "path", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(name, pa.string()), pa.array(p, pa.string()),
+                        pa.array(line, pa.int32())], names=["snapshot_id", "name", "path", "line"])
 
     python = files.where((F.col("language") == "python") & F.col("text").contains("__all__")).select("snapshot_id", "path", "text")
     rows = python.mapInArrow(run, "snapshot_id string, name string, path string, line int")
-    return rows.select("snapshot_id", F.lit("public-api").alias("kind"), "name", "path", "line", F.lit("python-export").alias("evidence_kind"), F.concat(F.lit("__all__ exports "), F.col("name")).alias("detail"))
+    return rows.select("snapshot_id", F.lit("public-api").alias("kind"), "name", "path", "line", F.lit("python-export").alias("evidence_kind"),
+        F.concat(F.lit("__all__ exports "), F.col("name")).alias("detail"))
 
 
 def with_python_lines(files: DataFrame) -> DataFrame:

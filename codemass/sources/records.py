@@ -43,12 +43,16 @@ def flat(records: DataFrame) -> DataFrame:
     """Successful records with a measurement, as corpus.fingerprints reads them."""
     m = "measurement"
     return records.where("status = 'ok' and measurement is not null").select(
-        F.col("repository.name").alias("repository"), F.col("repository.sha").alias("sha"), "scanned_at", F.monotonically_increasing_id().alias("seq"), F.col("analyzer.version").alias("version"),
-        F.col("analyzer.source_revision").alias("revision"), F.coalesce("analyzer.canonical", F.lit(True)).alias("canonical"), F.col(f"{m}.measurement_model").alias("model"),
-        F.col(f"{m}.category_code_lines").alias("category_lines"), F.col(f"{m}.category_symbol_counts").alias("category_symbols"), F.col(f"{m}.semantic.relationship_count").alias("relationship_count"),
+        F.col("repository.name").alias("repository"), F.col("repository.sha").alias("sha"), "scanned_at",
+        F.monotonically_increasing_id().alias("seq"), F.col("analyzer.version").alias("version"),
+        F.col("analyzer.source_revision").alias("revision"), F.coalesce("analyzer.canonical", F.lit(True)).alias("canonical"),
+        F.col(f"{m}.measurement_model").alias("model"),
+        F.col(f"{m}.category_code_lines").alias("category_lines"), F.col(f"{m}.category_symbol_counts").alias("category_symbols"),
+        F.col(f"{m}.semantic.relationship_count").alias("relationship_count"),
         F.col(f"{m}.semantic.exact_resolution_rate").alias("exact_resolution_rate"), F.col(f"{m}.semantic.max_recursive_depth").alias("max_recursive_depth"),
         F.col(f"{m}.semantic.semantic_recursion_index").alias("semantic_index"), F.col(f"{m}.semantic.far_from_value_symbol_share").alias("far_share"),
-        F.col(f"{m}.baseline.scaffolding_ratio").alias("scaffolding_ratio"), F.col(f"{m}.baseline.direct_product_share").alias("product_share"), F.col(f"{m}.baseline.tooling_share").alias("machinery_share"),
+        F.col(f"{m}.baseline.scaffolding_ratio").alias("scaffolding_ratio"), F.col(f"{m}.baseline.direct_product_share").alias("product_share"),
+        F.col(f"{m}.baseline.tooling_share").alias("machinery_share"),
     )
 
 
@@ -78,7 +82,8 @@ def config(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
     rows = [(p, c, k) for k, (c, p) in enumerate((c, p) for c, prefixes in (data.get("paths") or {}).items() for p in prefixes)]
     if bad := {c for _, c, _ in rows} - set(CATEGORIES):
         raise ValueError(f"unknown categories: {sorted(bad)}")
-    return spark.createDataFrame(rows, "prefix string, category string, seq int"), spark.createDataFrame([(p,) for p in data.get("ignore") or []], "prefix string")
+    return spark.createDataFrame(rows, "prefix string, category string, seq int"), spark.createDataFrame([(p,) for p in data.get("ignore") or []],
+        "prefix string")
 
 
 def write_json(row: DataFrame, path: str) -> None:

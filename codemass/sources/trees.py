@@ -30,7 +30,8 @@ FILES_A_PARTITION, BYTES_A_PARTITION = 256, 32 << 20
 # Languages by suffix, folders that are not read, and bounds.
 LANGUAGES = {
     ".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "tsx", ".cs": "csharp", ".fs": "fsharp",
-    ".java": "java", ".kt": "kotlin", ".go": "go", ".rs": "rust", ".rb": "ruby", ".php": "php", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".hpp": "cpp",
+    ".java": "java", ".kt": "kotlin", ".go": "go", ".rs": "rust", ".rb": "ruby", ".php": "php", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp",
+    ".hpp": "cpp",
     ".swift": "swift", ".lua": "lua", ".ps1": "powershell", ".sh": "shell", ".bash": "shell", ".sql": "sql", ".html": "html", ".css": "css", ".scss": "css",
     ".md": "markdown", ".rst": "documentation", ".yml": "yaml", ".yaml": "yaml", ".toml": "toml", ".json": "json", ".xml": "xml",
 }
@@ -295,7 +296,8 @@ def files(raw: DataFrame) -> DataFrame:
     language = F.lit(None).cast("string")
     for end, name in LANGUAGES.items():
         language = F.when(low == end, name).otherwise(language)
-    kept = raw.withColumn("language", language).where(F.col("language").isNotNull() & (F.octet_length("content") <= MAX_FILE_BYTES) & ~text.is_binary("content"))
+    kept = raw.withColumn("language", language).where(
+        F.col("language").isNotNull() & (F.octet_length("content") <= MAX_FILE_BYTES) & ~text.is_binary("content"))
     kept = kept.where(~F.exists(F.split("path", "/"), lambda p: p.isin(*IGNORED)))
     rows = kept.withColumn("text", F.make_valid_utf8(F.col("content").cast("string"))).withColumn("lines_of", text.lines_of("text"))
     rows = rows.where(~text.looks_generated("lines_of"))

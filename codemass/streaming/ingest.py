@@ -18,4 +18,5 @@ def records(spark: SparkSession, path: str, *, delay: str = "7 days") -> DataFra
 
 def start(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Writes the stream as Parquet until all that is there now is read."""
-    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation",
+        checkpoint).outputMode("append").trigger(availableNow=True).start()

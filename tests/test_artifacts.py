@@ -47,7 +47,8 @@ def test_two_commits_compared_saved_and_told(spark, tmp_path, capsys):
 def test_broken_artifacts_are_named(spark, tmp_path):
     with pytest.raises(artifacts.ArtifactError, match="could not read"):
         artifacts.head(spark, str(tmp_path / "none"), "scan")
-    for k, (text, why) in enumerate([("{", "no valid JSON"), ("[]", "one JSON object"), ('{"schema": "codemass-history/1"}', "schema 'codemass-history'"), ("{}", "schema 'missing'"),
+    for k, (text, why) in enumerate([("{", "no valid JSON"), ("[]", "one JSON object"),
+            ('{"schema": "codemass-history/1"}', "schema 'codemass-history'"), ("{}", "schema 'missing'"),
         (json.dumps({"schema": {"name": "codemass-scan"}, "repository_sha": "abc"}), "no full commit hash")]):
         (tmp_path / f"{k}" / "head").mkdir(parents=True)
         (tmp_path / f"{k}" / "head" / "part.txt").write_text(text)
@@ -68,13 +69,17 @@ def test_git_guards(spark, tmp_path, monkeypatch):
 
 
 def test_explanations_in_words(spark):
-    deltas = spark.createDataFrame([("testing", 0, 1200, 1200), ("core-product", 5, 2, -3), ("unknown", 1, 1, 0)], "category string, before long, after long, delta long")
+    deltas = spark.createDataFrame([("testing", 0, 1200, 1200), ("core-product", 5, 2, -3), ("unknown", 1, 1, 0)],
+        "category string, before long, after long, delta long")
     crossed = spark.createDataFrame([("b",), ("a",)], "path string")
     depth = spark.createDataFrame([(1, 3)], "before int, after int")
-    chains = spark.createDataFrame([("added", None, "x -> z"), ("added", None, "x -> y"), ("removed", "q -> r", None), ("changed", "a", "b")], "change string, before string, after string")
+    chains = spark.createDataFrame([("added", None, "x -> z"), ("added", None, "x -> y"), ("removed", "q -> r", None), ("changed", "a", "b")],
+        "change string, before string, after string")
     rows = compare.structural_explanations(deltas, crossed, depth, chains).orderBy("part", "rank").collect()
     assert [r["message"] for r in rows] == [
-        "Testing gained 1,200 LOC.", "Core Product lost 3 LOC.", "a crossed from product-dominant to machinery-dominant.", "b crossed from product-dominant to machinery-dominant.",
-        "Max exact recursive depth increased from 1 to 3.", "A new deepest exact machinery chain appeared through x -> y.", "A previously deepest exact machinery chain disappeared: q -> r.",
+        "Testing gained 1,200 LOC.", "Core Product lost 3 LOC.", "a crossed from product-dominant to machinery-dominant.",
+        "b crossed from product-dominant to machinery-dominant.",
+        "Max exact recursive depth increased from 1 to 3.", "A new deepest exact machinery chain appeared through x -> y.",
+        "A previously deepest exact machinery chain disappeared: q -> r.",
         "A deepest exact chain kept the same endpoints but changed its internal structural path.",
     ]

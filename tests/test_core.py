@@ -59,28 +59,34 @@ def test_imports_and_names(spark):
     assert got("import b.c\nfrom .a import x\n  import b.c", "python") == [".a", "b.c"]
     assert got("const a = require('x')\nimport 'y'\nimport z from \"w\"", "javascript") == ["w", "x", "y"]
     assert got('import "fmt"\n\t"os"\n', "go") == ["os"] and got("use a::b;\nmod c;", "rust") == ["a::b", "c"] and got("x", "lua") == []
-    assert one(spark, text.normal_target("v"), " new  Foo::bar(); ") == "Foo.bar" and one(spark, text.normal_target("v"), "from x import y") == "from x import y"
+    assert one(spark, text.normal_target("v"), " new  Foo::bar(); ") == "Foo.bar" and one(spark, text.normal_target("v"),
+        "from x import y") == "from x import y"
     assert sorted(one(spark, text.gram_tokens("v"), "metaAudit_x")) == ["audit", "auditx", "meta", "metaaudit", "metaauditx", "x"]
 
 
 def test_scalars(spark):
-    assert one(spark, scalars.model_of("v"), "0.12.3") == "semantic-v1" and one(spark, scalars.model_of("v"), "0.13.0") is None and one(spark, scalars.model_of("v"), "1.3") is None
+    assert one(spark, scalars.model_of("v"), "0.12.3") == "semantic-v1" and one(spark, scalars.model_of("v"), "0.13.0") is None and one(spark,
+        scalars.model_of("v"), "1.3") is None
     assert one(spark, scalars.optional_ratio("v", F.lit(0)), 3, "int") is None and one(spark, scalars.optional_ratio("v", F.lit(0)), 0, "int") == 0.0
     assert one(spark, scalars.rating("v"), 2.5, "double") == "2.5" and one(spark, scalars.rating("v"), 3.0, "double") == "3"
-    assert one(spark, scalars.safe_member("v"), "a/b") and not one(spark, scalars.safe_member("v"), "a/../b") and not one(spark, scalars.safe_member("v"), "c:b")
+    assert one(spark, scalars.safe_member("v"), "a/b") and not one(spark, scalars.safe_member("v"), "a/../b") and not one(spark,
+        scalars.safe_member("v"), "c:b")
 
 
 def files_of(spark, rows):
     made = spark.createDataFrame([("s", p, g, t) for p, g, t in rows], "snapshot_id string, path string, language string, text string")
-    return made.withColumns({"lines_of": text.lines_of("text"), "code_lines": F.lit(10).cast("long"), "lines": F.lit(3), "imports": text.imports_of("text", "language")})
+    return made.withColumns({"lines_of": text.lines_of("text"), "code_lines": F.lit(10).cast("long"), "lines": F.lit(3),
+            "imports": text.imports_of("text", "language")})
 
 
 def test_classification(spark):
-    rows = [("lib/x1.py", "python", "x = 1"), ("src/building.py", "python", "decimal placid"), ("tests/test_a.py", "python", "assert test"), (".github/a.yml", "yaml", ""), ("README.md", "markdown", "guide")]
+    rows = [("lib/x1.py", "python", "x = 1"), ("src/building.py", "python", "decimal placid"), ("tests/test_a.py", "python", "assert test"),
+        (".github/a.yml", "yaml", ""), ("README.md", "markdown", "guide")]
     got = {r["path"]: r for r in classify.classify(files_of(spark, rows)).collect()}
     assert got["lib/x1.py"]["category"] == "unknown" and got["lib/x1.py"]["confidence"] == 0.0 and got["lib/x1.py"]["signals"] == []
     assert got["src/building.py"]["category"] == "core-product" and got["tests/test_a.py"]["category"] == "testing"
-    assert got[".github/a.yml"]["category"] == "process-machinery" and got["README.md"]["category"] == "documentation" and got["README.md"]["confidence"] <= 0.99
+    assert got[".github/a.yml"]["category"] == "process-machinery" and got["README.md"]["category"] == "documentation" and got["README.md"][
+        "confidence"] <= 0.99
     over = spark.createDataFrame([("./tests", "verification", 0), ("tests/test_a.py", "core-product", 1)], "prefix string, category string, seq int")
     again = {r["path"]: r for r in classify.classify(files_of(spark, rows), over).collect()}
     assert again["tests/test_a.py"]["category"] == "core-product" and again["tests/test_a.py"]["confidence"] == 1.0
@@ -95,7 +101,8 @@ def graph(spark, rows):
 
 
 def test_distances_and_chains(spark):
-    c = components(spark, [("app", "core-product", 10), ("verify", "verification", 5), ("audit", "audit-provenance", 5), ("physics", "essential-support", 5), ("alone", "meta-machinery", 1), ("far", "unknown", 1)])
+    c = components(spark, [("app", "core-product", 10), ("verify", "verification", 5), ("audit", "audit-provenance", 5),
+            ("physics", "essential-support", 5), ("alone", "meta-machinery", 1), ("far", "unknown", 1)])
     g = graph(spark, [("verify", "app"), ("audit", "verify"), ("app", "physics"), ("far", "audit"), ("verify", "audit")])
     got = {r["path"]: r["value_distance"] for r in traverse.value_distances(c, g).collect()}
     assert got == {"app": 0, "verify": 2, "audit": 3, "physics": 1, "alone": 4, "far": 3}
@@ -117,8 +124,10 @@ def links(spark, rows):
 
 
 def test_symbol_graph(spark):
-    s = symbols(spark, [("core", "function", "core-product"), ("check", "function", "verification"), ("tool", "function", "developer-tooling"), ("ledger", "function", "audit-provenance"), ("lost", "function", "testing")])
-    e = links(spark, [("check", "calls", "core", "exact"), ("tool", "calls", "check", "exact"), ("ledger", "calls", "tool", "exact"), ("lost", "calls", "core", "probable"), ("core", "calls", "core", "exact"), ("check", "calls", "core", "exact")])
+    s = symbols(spark, [("core", "function", "core-product"), ("check", "function", "verification"), ("tool", "function", "developer-tooling"),
+            ("ledger", "function", "audit-provenance"), ("lost", "function", "testing")])
+    e = links(spark, [("check", "calls", "core", "exact"), ("tool", "calls", "check", "exact"), ("ledger", "calls", "tool", "exact"),
+            ("lost", "calls", "core", "probable"), ("core", "calls", "core", "exact"), ("check", "calls", "core", "exact")])
     near = {r["id"]: r["value_distance"] for r in traverse.symbol_distances(s, e).collect()}
     assert near == {"core": 0, "check": 1, "tool": 2, "ledger": 3, "lost": None}
     chains, _ = traverse.recursive_chains(s, e)
@@ -139,27 +148,33 @@ def test_value_paths_stop_at_cycles_and_depth(spark):
 
 
 def test_resolution_of_imports(spark):
-    f = files_of(spark, [("src/pkg/core.py", "python", ""), ("src/pkg/use.py", "python", "from pkg.core import x\nimport json"), ("src/on.py", "python", ""), ("other/deep.py", "python", "import a.b.core")])
+    f = files_of(spark, [("src/pkg/core.py", "python", ""), ("src/pkg/use.py", "python", "from pkg.core import x\nimport json"),
+            ("src/on.py", "python", ""), ("other/deep.py", "python", "import a.b.core")])
     got = {(r["src"], r["dst"]) for r in resolve.file_dependencies(f).collect()}
     assert got == {("src/pkg/use.py", "src/pkg/core.py"), ("other/deep.py", "src/pkg/core.py")}
 
 
 def test_comparison_events(spark):
-    a = spark.createDataFrame([("r", 0, 1.0, 0.0, 1), ("r", 1, 0.4, 0.6, 3)], "repository string, frame int, product_share double, machinery_share double, recursive_depth int")
-    p = spark.createDataFrame([("r", 0, "src", 9, 1), ("r", 1, "src", 4, 6)], "repository string, frame int, path string, product_lines long, machinery_lines long")
+    a = spark.createDataFrame([("r", 0, 1.0, 0.0, 1), ("r", 1, 0.4, 0.6, 3)],
+        "repository string, frame int, product_share double, machinery_share double, recursive_depth int")
+    p = spark.createDataFrame([("r", 0, "src", 9, 1), ("r", 1, "src", 4, 6)],
+        "repository string, frame int, path string, product_lines long, machinery_lines long")
     got = {(r["type"], r["frame"]) for r in compare.history_events(a, p).collect()}
     assert got == {("repository-dominance-shift", 1), ("recursive-depth-change", 1), ("directory-crossover", 1)}
     before = components(spark, [("old.py", "core-product", 5), ("src/app.py", "core-product", 100), ("same.py", "testing", 4)])
     after = components(spark, [("tests/test_app.py", "testing", 40), ("src/app.py", "verification", 80), ("same.py", "testing", 4)])
     rows = compare.change_drivers(before, after).orderBy("rank").collect()
-    assert [(r["path"], r["status"], r["movement"]) for r in rows] == [("src/app.py", "recategorized", 100), ("tests/test_app.py", "added", 40), ("old.py", "removed", 5)]
+    assert [(r["path"], r["status"], r["movement"]) for r in rows] == [("src/app.py", "recategorized", 100), ("tests/test_app.py", "added", 40),
+        ("old.py", "removed", 5)]
 
 
 def test_distance_properties(spark):
     zeros = {c: 0.0 for c in CATEGORIES}
-    rec = lambda k, code, links, symbols: ("o/" + k, "a" * 40, "2024", 1, "0.10.0", "r", True, None, zeros | code, zeros | symbols, links, 0.5, 2.0, 10.0, 0.1, None, 0.5, 0.2)
+    rec = lambda k, code, links, symbols: ("o/" + k, "a" * 40, "2024", 1, "0.10.0", "r", True, None, zeros | code, zeros | symbols, links, 0.5, 2.0,
+        10.0, 0.1, None, 0.5, 0.2)
     schema = "repository string, sha string, scanned_at string, seq int, version string, revision string, canonical boolean, model string, category_lines map<string,double>, category_symbols map<string,double>, relationship_count double, exact_resolution_rate double, max_recursive_depth double, semantic_index double, far_share double, scaffolding_ratio double, product_share double, machinery_share double"
-    rows = [rec("a", {"core-product": 10.0}, 5.0, {"testing": 3.0}), rec("b", {"core-product": 10.0}, 5.0, {"testing": 3.0}), rec("c", {"testing": 9.0}, 0.0, {}), rec("d", {"testing": -1.0}, 0.0, {"unknown": float("nan")})]
+    rows = [rec("a", {"core-product": 10.0}, 5.0, {"testing": 3.0}), rec("b", {"core-product": 10.0}, 5.0, {"testing": 3.0}),
+        rec("c", {"testing": 9.0}, 0.0, {}), rec("d", {"testing": -1.0}, 0.0, {"unknown": float("nan")})]
     p = corpus.fingerprints(spark.createDataFrame(rows, schema))
     got = {(r["a"], r["b"]): r["d"] for r in corpus.compared(p, p).select(F.col("q.repository").alias("a"), F.col("c.repository").alias("b"), "d").collect()}
     assert got["o/a", "o/b"]["distance"] == 0 and len(got["o/a", "o/b"]["components"]) == 6
@@ -178,33 +193,44 @@ def test_treemap_keeps_mass(spark):
 
 
 def test_metabolism_ladder(spark):
-    rows = [("r", f, p, c, 5, a and f == 0, "x") for f in range(3) for p, c, a in (("ops/release_120.py", "developer-tooling", True), ("ops/release_121.py", "developer-tooling", True), ("tool.py", "developer-tooling", False), ("docs/legacy.md", "documentation", False), ("x.py", "core-product", False))]
-    frames = spark.createDataFrame([*rows, ("r", 2, "now.py", "testing", 1, True, "y")], "repository string, frame int, path string, category string, code_lines long, active boolean, print string")
+    rows = [("r", f, p, c, 5, a and f == 0, "x") for f in range(3) for p, c,
+        a in (("ops/release_120.py", "developer-tooling", True), ("ops/release_121.py", "developer-tooling", True),
+            ("tool.py", "developer-tooling", False), ("docs/legacy.md", "documentation", False), ("x.py", "core-product", False))]
+    frames = spark.createDataFrame([*rows, ("r", 2, "now.py", "testing", 1, True, "y")],
+        "repository string, frame int, path string, category string, code_lines long, active boolean, print string")
     got = {r["path"]: r["status"] for r in metabolism.status(frames).collect()}
-    assert got == {"ops/release_120.py": "superseded-candidate", "ops/release_121.py": "dormant", "tool.py": "bounded-orphan-candidate", "docs/legacy.md": "archive-candidate", "x.py": "insufficient-evidence", "now.py": "active"}
+    assert got == {"ops/release_120.py": "superseded-candidate", "ops/release_121.py": "dormant", "tool.py": "bounded-orphan-candidate",
+        "docs/legacy.md": "archive-candidate", "x.py": "insufficient-evidence", "now.py": "active"}
 
 
 def test_references(spark):
     f = spark.createDataFrame([
-        ("s", ".github/workflows/go.yml", "run: ./scripts/release.sh", "process-machinery"), ("s", "scripts/release.sh", "python $ROOT/scripts/helper.py ../src/post.py", "process-machinery"), ("s", "scripts/helper.py", "", "unknown"),
-        ("s", "src/post.py", "", "unknown"), ("s", "dead_a.py", "dead_b.py", "unknown"), ("s", "dead_b.py", "dead_a.py my_helper.py", "unknown"), ("s", "helper.py", "", "unknown"),
+        ("s", ".github/workflows/go.yml", "run: ./scripts/release.sh", "process-machinery"),
+            ("s", "scripts/release.sh", "python $ROOT/scripts/helper.py ../src/post.py", "process-machinery"), ("s", "scripts/helper.py", "", "unknown"),
+        ("s", "src/post.py", "", "unknown"), ("s", "dead_a.py", "dead_b.py", "unknown"), ("s", "dead_b.py", "dead_a.py my_helper.py", "unknown"),
+            ("s", "helper.py", "", "unknown"),
     ], "snapshot_id string, path string, text string, category string")
     assert {r["path"] for r in references.boundary_use(f).collect()} == {"scripts/release.sh", "scripts/helper.py", "src/post.py"}
 
 
 def test_surfaces(spark):
     f = files_of(spark, [
-        ("app.py", "python", '@app.get("/items")\ndef items():\n    pass\n'), ("web.ts", "typescript", "router.post('/x', h)\nexport default function main() {}"), ("C.cs", "csharp", '[HttpGet("a")]\n[HttpPost]'),
-        ("pyproject.toml", "toml", '[project.scripts]\ntool = "pkg.cli:main"\n[other]\nx = "a:b"'), ("package.json", "json", '{"name": "p", "bin": {"run": ".hidden/run.js"}}'),
+        ("app.py", "python", '@app.get("/items")\ndef items():\n    pass\n'),
+            ("web.ts", "typescript", "router.post('/x', h)\nexport default function main() {}"), ("C.cs", "csharp", '[HttpGet("a")]\n[HttpPost]'),
+        ("pyproject.toml", "toml", '[project.scripts]\ntool = "pkg.cli:main"\n[other]\nx = "a:b"'),
+            ("package.json", "json", '{"name": "p", "bin": {"run": ".hidden/run.js"}}'),
     ])
     assert {r["name"] for r in surfaces.routes(f).collect()} == {"GET /items", "POST /x", "GET a", "POST <attribute-route>"}
     assert [(r["name"], r["module"], r["callable"]) for r in surfaces.packaged_scripts(f).collect()] == [("tool", "pkg.cli", "main")]
-    assert [r["detail"] for r in surfaces.package_bins(f).collect()] == ["package.json bin -> .hidden/run.js"] and [r["name"] for r in surfaces.exports(f).collect()] == ["main"]
+    assert [r["detail"] for r in surfaces.package_bins(f).collect()] == ["package.json bin -> .hidden/run.js"] and [
+        r["name"] for r in surfaces.exports(f).collect()] == ["main"]
 
 
 def test_journey(spark):
-    s = symbols(spark, [("Record", "class", "core-product"), ("normalize", "method", "core-product"), ("save", "method", "core-product"), ("helper", "method", "core-product"), ("user", "function", "core-product")])
-    e = links(spark, [("Record", "contains", m, "exact") for m in ("normalize", "save", "helper")] + [("user", "calls", t, "exact") for t in ("Record", "normalize", "normalize", "helper")] + [("user", "calls", "save", "probable")])
+    s = symbols(spark, [("Record", "class", "core-product"), ("normalize", "method", "core-product"), ("save", "method", "core-product"),
+            ("helper", "method", "core-product"), ("user", "function", "core-product")])
+    e = links(spark, [("Record", "contains", m, "exact") for m in ("normalize", "save", "helper")] + [
+            ("user", "calls", t, "exact") for t in ("Record", "normalize", "normalize", "helper")] + [("user", "calls", "save", "probable")])
     types = spark.createDataFrame([("s", "Record")], "snapshot_id string, type_id string")
     stages = {r["role"]: r["events"] for r in surfaces.journey_stages(surfaces.journeys(types, s, e), types).collect()}
     assert stages == {"created": 1, "transformed": 1, "persisted": 0, "emitted": 0}
@@ -212,8 +238,10 @@ def test_journey(spark):
 
 TREE = {
     "src/app.py": "from lib.physics import resolve\n\n\ndef main():\n    return resolve(1)\n", "lib/physics.py": "def resolve(x):\n    return x\n",
-    "verification/verify.py": "from app import main\n\n\ndef verify_app():\n    main()\n", "audit/audit_log.py": "from verification.verify import verify_app\n\n\ndef audit_all():\n    verify_app()\n",
-    "pkg/__init__.py": "", ".github/workflows/ci.yml": "run: x\n", "broken.py": "def (", "gen.py": "# auto-generated\nx = 1\n", "node_modules/x.js": "x", "blob.py": "\0",
+    "verification/verify.py": "from app import main\n\n\ndef verify_app():\n    main()\n",
+    "audit/audit_log.py": "from verification.verify import verify_app\n\n\ndef audit_all():\n    verify_app()\n",
+    "pkg/__init__.py": "", ".github/workflows/ci.yml": "run: x\n", "broken.py": "def (", "gen.py": "# auto-generated\nx = 1\n",
+    "node_modules/x.js": "x", "blob.py": "\0",
 }
 
 
@@ -229,7 +257,8 @@ def test_scan_of_a_folder(spark, tmp_path):
     write(tmp_path, TREE)
     s = plans.scan_folder(spark, str(tmp_path))
     paths = {r["path"]: r for r in s.components.collect()}
-    assert set(paths) == {"src/app.py", "lib/physics.py", "verification/verify.py", "audit/audit_log.py", "pkg/__init__.py", ".github/workflows/ci.yml", "broken.py"}
+    assert set(paths) == {"src/app.py", "lib/physics.py", "verification/verify.py", "audit/audit_log.py", "pkg/__init__.py",
+        ".github/workflows/ci.yml", "broken.py"}
     deps = {(r["src"], r["dst"]) for r in s.dependencies.collect()}
     assert {("src/app.py", "lib/physics.py"), ("verification/verify.py", "src/app.py"), ("audit/audit_log.py", "verification/verify.py")} <= deps
     calls = {(r["source_id"], r["target_id"]): r["resolution"] for r in s.edges.where("kind = 'calls'").collect()}
@@ -252,7 +281,8 @@ def test_history_of_commits(spark, tmp_path):
     git(tmp_path, "add", ".")
     git(tmp_path, "commit", "-qm", "two")
     commits = trees.commits(spark, str(tmp_path), "HEAD")
-    assert [r["subject"] for r in commits.orderBy("frame").collect()] == ["one", "two"] and trees.static_sha(str(tmp_path)) == commits.orderBy(F.desc("frame")).first()["sha"]
+    assert [r["subject"] for r in commits.orderBy("frame").collect()] == ["one",
+        "two"] and trees.static_sha(str(tmp_path)) == commits.orderBy(F.desc("frame")).first()["sha"]
     with pytest.raises(trees.TreeError, match="invalid-limit"):
         trees.commits(spark, str(tmp_path), "HEAD", limit=0)
     s = plans.scan_commits(spark, str(tmp_path), commits)
@@ -280,7 +310,8 @@ def test_archives_fail_closed(spark, tmp_path):
     rows = spark.read.format("source_tarball").option("path", str(tmp_path / "a.tar.gz")).load().collect()
     assert {r["path"] for r in rows} == {".github/a.yml", "a.py"}
     for items, code in (
-        ([("r/../x", b"", tarfile.REGTYPE)], "unsafe"), ([("r/l", None, tarfile.SYMTYPE)], "unsafe"), ([("r/a", b"", tarfile.REGTYPE), ("q/b", b"", tarfile.REGTYPE)], "unsafe"),
+        ([("r/../x", b"", tarfile.REGTYPE)], "unsafe"), ([("r/l", None, tarfile.SYMTYPE)], "unsafe"),
+        ([("r/a", b"", tarfile.REGTYPE), ("q/b", b"", tarfile.REGTYPE)], "unsafe"),
         ([("r/a", b"", tarfile.REGTYPE)] * 2, "unsafe"), ([("/r/a", b"", tarfile.REGTYPE)], "unsafe"),
     ):
         with pytest.raises(trees.TreeError, match=code):
@@ -292,14 +323,16 @@ def test_archives_fail_closed(spark, tmp_path):
 
 
 def test_records(spark, tmp_path):
-    row = {"status": "ok", "scanned_at": "2024-01-01T00:00:00Z", "identity": "i", "repository": {"name": "o/r", "sha": "a"}, "analyzer": {"version": "0.10.0"}, "measurement": {"category_code_lines": {"testing": 3}, "baseline": {}, "semantic": {}}}
+    row = {"status": "ok", "scanned_at": "2024-01-01T00:00:00Z", "identity": "i", "repository": {"name": "o/r", "sha": "a"},
+        "analyzer": {"version": "0.10.0"}, "measurement": {"category_code_lines": {"testing": 3}, "baseline": {}, "semantic": {}}}
     (tmp_path / "c.jsonl").write_text(json.dumps(row) + "\n\n" + json.dumps(row | {"status": "failed"}) + "\n")
     read = records.corpus(spark, str(tmp_path / "c.jsonl"))
     assert read.count() == 2 and corpus.fingerprints(records.flat(read)).first()["code_total"] == 3
     (tmp_path / "bad.jsonl").write_text("{\n")
     with pytest.raises(Exception, match="not a JSON record"):
         records.corpus(spark, str(tmp_path / "bad.jsonl")).collect()
-    assert [tuple(r) for r in records.manifest(spark, '{"targets": ["o/r", {"repo": "a/b", "sha": "' + "c" * 40 + '", "x": 1}]}').collect()] == [(0, "o/r", None), (1, "a/b", "c" * 40)]
+    assert [tuple(r) for r in records.manifest(spark, '{"targets": ["o/r", {"repo": "a/b", "sha": "' + "c" * 40 + '", "x": 1}]}').collect()] == [
+        (0, "o/r", None), (1, "a/b", "c" * 40)]
     with pytest.raises(ValueError, match="target 0"):
         records.manifest(spark, '["nothing"]')
     with pytest.raises(ValueError, match="unknown categories"):

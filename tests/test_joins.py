@@ -77,7 +77,8 @@ def test_exclusions_equal_brute_force(spark):
     for k in range(150):
         repository = draw.choice(["o/a", "O/A", "o/b", "o/c", None])
         shares = None if k % 11 == 0 else [float(k % 3), 1.0]
-        rows.append((repository, "s", "2024", k, draw.choice(["m", "n", None]), draw.choice([True, False, None]), draw.choice(["i", "j", f"k{k}", None]), shares))
+        rows.append((repository, "s", "2024", k, draw.choice(["m", "n", None]), draw.choice([True, False, None]),
+                draw.choice(["i", "j", f"k{k}", None]), shares))
     asked = [r for r in rows if r[3] % 5 == 0] + rows[:3]
     low = lambda x: None if x is None else x.lower()
 
@@ -94,7 +95,8 @@ def test_exclusions_equal_brute_force(spark):
                         want[q[6], "same_repository"] += 1
                     elif not cross_model and (c[4] is None or c[4] != q[4] or c[5] != q[5]):
                         want[q[6], "measurement_mismatch"] += 1
-            got = corpus.exclusions(spark.createDataFrame(asked, PRINTS), spark.createDataFrame(rows, PRINTS), same_repository=same_repository, cross_model=cross_model)
+            got = corpus.exclusions(spark.createDataFrame(asked, PRINTS), spark.createDataFrame(rows, PRINTS), same_repository=same_repository,
+                cross_model=cross_model)
             assert {(r["query"], r["reason"]): r["records"] for r in got.collect()} == dict(want)
             assert "NestedLoop" not in plan_of(got) and "Cartesian" not in plan_of(got)
     empty = spark.createDataFrame([], PRINTS)
@@ -119,6 +121,7 @@ def test_hops_equal_breadth_first_search(spark):
                 if b not in want:
                     want[b] = want[at] + 1
                     todo.append(b)
-        found = traverse.hops(spark.createDataFrame(edges, "snapshot_id string, src string, dst string"), spark.createDataFrame(roots, "snapshot_id string, node string"), directed=directed)
+        found = traverse.hops(spark.createDataFrame(edges, "snapshot_id string, src string, dst string"),
+            spark.createDataFrame(roots, "snapshot_id string, node string"), directed=directed)
         rows = [(r["node"], r["hops"]) for r in found.select("node", F.col("hops")).collect()]
         assert len(rows) == len(want) and dict(rows) == want

@@ -61,9 +61,12 @@ def test_selector_tiers(spark):
 
 
 def test_declared_surfaces(spark):
-    rows = [("s", "a", "A.java", "java", "class", "A", "A", 1, 2, None, "core-product"), ("s", "g", "m.go", "go", "function", "Run", "Run", 1, 1, "m.go::<file>", "core-product"), ("s", "h", "m.go", "go", "function", "run", "run", 2, 2, None, "core-product")]
+    rows = [("s", "a", "A.java", "java", "class", "A", "A", 1, 2, None, "core-product"),
+        ("s", "g", "m.go", "go", "function", "Run", "Run", 1, 1, "m.go::<file>", "core-product"),
+        ("s", "h", "m.go", "go", "function", "run", "run", 2, 2, None, "core-product")]
     s = spark.createDataFrame(rows, SYMBOLS).withColumns({"role_confidence": F.lit(0.9), "role_source": F.lit("x")})
-    files = spark.createDataFrame([("s", "A.java", "public class A {\n}"), ("s", "m.go", "func Run() {}\nfunc run() {}")], "snapshot_id string, path string, text string")
+    files = spark.createDataFrame([("s", "A.java", "public class A {\n}"), ("s", "m.go", "func Run() {}\nfunc run() {}")],
+        "snapshot_id string, path string, text string")
     none = spark.createDataFrame([], "snapshot_id string, symbol_id string")
     assert {r["name"] for r in surfaces.declared_surfaces(files, s, none).collect()} == {"A"}
     assert {r["name"] for r in surfaces.declared_surfaces(files, s, none, top_level="file_parent").collect()} == {"A", "Run"}
@@ -96,7 +99,8 @@ def test_index_run(spark, tmp_path):
     args = ["index", str(manifest), f"file://{tmp_path}/corpus", "--tarballs", str(tmp_path)]
     assert cli.main(args, spark) == 1
     rows = {r["repository"]["name"]: r for r in records.corpus(spark, f"file://{tmp_path}/corpus").collect()}
-    assert rows["o/good"]["status"] == "ok" and rows["o/good"]["measurement"]["category_symbol_counts"] and rows["o/bad"]["reason"]["code"] == "unsafe-archive" and rows["o/absent"]["status"] == "failed"
+    assert rows["o/good"]["status"] == "ok" and rows["o/good"]["measurement"]["category_symbol_counts"] and rows["o/bad"]["reason"][
+        "code"] == "unsafe-archive" and rows["o/absent"]["status"] == "failed"
     assert cli.main(args, spark) == 1 and records.corpus(spark, f"file://{tmp_path}/corpus").where("status = 'ok'").count() == 1
     assert cli.main(["context", f"file://{tmp_path}/corpus", "--repo", "O/GOOD"], spark) == 0
 
@@ -123,7 +127,8 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables")
-@pytest.mark.parametrize("name", ["composition_metrics", "directory_profiles", "value_distance", "resolve_names", "neighbours_topk", "context_percentiles", "history_events", "metabolism_status", "code_lines", "literal_references"])
+@pytest.mark.parametrize("name", ["composition_metrics", "directory_profiles", "value_distance", "resolve_names", "neighbours_topk",
+        "context_percentiles", "history_events", "metabolism_status", "code_lines", "literal_references"])
 def test_queries_equal_sql(spark, name):
     db = duckdb.connect()
     for t in os.listdir(SMALL):

@@ -41,7 +41,8 @@ def test_index_records_each_failure(spark, tmp_path):
     (tmp_path / "good.tar.gz").write_bytes(good)
     (tmp_path / "cut.tar.gz").write_bytes(good[: len(good) // 2])
     (tmp_path / "unsafe.tar.gz").write_bytes(packed({"/etc/x.py": b"x"}))
-    targets = spark.createDataFrame([("o/" + n, "a" * 40, str(tmp_path / f"{n}.tar.gz")) for n in ("good", "cut", "unsafe", "missing")], "repository string, sha string, path string")
+    targets = spark.createDataFrame([("o/" + n, "a" * 40, str(tmp_path / f"{n}.tar.gz")) for n in ("good", "cut", "unsafe", "missing")],
+        "repository string, sha string, path string")
     out = str(tmp_path / "corpus")
     made = {r["repository"]["name"]: r for r in scan.index(spark, targets, out, version="1", revision="r").collect()}
     assert {k: r["status"] for k, r in made.items()} == {"o/good": "ok", "o/cut": "failed", "o/unsafe": "failed", "o/missing": "failed"}

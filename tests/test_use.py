@@ -41,9 +41,11 @@ def test_six_kinds_of_evidence(spark, tmp_path):
 
 def test_reach_is_bounded_nearest_first(spark):
     symbols = spark.createDataFrame([("s", f"n{i}", f"f{i}.py") for i in range(6)], "snapshot_id string, id string, path string")
-    edges = spark.createDataFrame([("s", f"n{i}", f"n{i + 1}", "calls", "exact", i) for i in range(5)] + [("s", "n1", None, "calls", "unresolved", 9), ("s", "n5", "n0", "calls", "probable", 10)],
+    edges = spark.createDataFrame([("s", f"n{i}", f"n{i + 1}", "calls", "exact", i) for i in range(5)] + [("s", "n1", None, "calls", "unresolved", 9),
+            ("s", "n5", "n0", "calls", "probable", 10)],
         "snapshot_id string, source_id string, target_id string, kind string, resolution string, edge_seq long")
-    found = spark.createDataFrame([("s", "cli", "a", "f0.py", 1, "n0"), ("s", "cli", "b", "f9.py", 1, None)], "snapshot_id string, kind string, name string, path string, line int, symbol_id string")
+    found = spark.createDataFrame([("s", "cli", "a", "f0.py", 1, "n0"), ("s", "cli", "b", "f9.py", 1, None)],
+        "snapshot_id string, kind string, name string, path string, line int, symbol_id string")
     reached = surfaces.implementation(found, symbols, edges, max_depth=3, max_symbols=3)
     rows = {r["name"]: r for r in surfaces.with_implementation(found, reached, edges).collect()}
     assert rows["a"]["implementation_symbols"] == ["n0", "n1", "n2"] and rows["a"]["truncated"] and rows["a"]["unresolved_relationships"] == 1
@@ -52,7 +54,8 @@ def test_reach_is_bounded_nearest_first(spark):
 
 def test_references_by_accident_do_not_count(spark):
     files = spark.createDataFrame([
-        ("s", "Makefile", "run tools/make.py and ../up.py, also mytools/make.py", "unknown"), ("s", "tools/make.py", "", "unknown"), ("s", "make.py", "", "unknown"),
+        ("s", "Makefile", "run tools/make.py and ../up.py, also mytools/make.py", "unknown"), ("s", "tools/make.py", "", "unknown"),
+            ("s", "make.py", "", "unknown"),
         ("s", "up.py", "", "unknown"), ("s", "sub/Makefile", "../up.py ./own.py", "unknown"), ("s", "sub/own.py", "", "unknown"),
     ], "snapshot_id string, path string, text string, category string")
     got = {(r["source"], r["path"]) for r in references.use(files).collect()}

@@ -55,13 +55,15 @@ def test_budget_keeps_what_fits(spark):
     calls = graph(spark, [("a", f"n{i}") for i in range(9)] + [("n0", "z")])
     root = spark.createDataFrame([("s", "a")], "snapshot_id string, node string")
     cut, spent = traverse.value_paths(calls, root, budget=4)
-    assert sorted((r["ids"][-1], r["complete"]) for r in cut.collect()) == [("n0", False), ("n1", True), ("n2", True), ("n3", True)] and spent.first()["truncated"]
+    assert sorted((r["ids"][-1], r["complete"]) for r in cut.collect()) == [("n0", False), ("n1", True), ("n2", True),
+        ("n3", True)] and spent.first()["truncated"]
 
 
 def test_registered_chains_have_no_budget(spark, monkeypatch):
     """A star that passes every default budget: chains of all its points come back."""
     n = 100_001
-    each = spark.range(n).select(F.lit("s").alias("snapshot_id"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("path"), F.lit("verification").alias("category"), F.lit(1).cast("long").alias("code_lines"))
+    each = spark.range(n).select(F.lit("s").alias("snapshot_id"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("path"),
+        F.lit("verification").alias("category"), F.lit(1).cast("long").alias("code_lines"))
     app = spark.createDataFrame([("s", "app", "core-product", 1)], each.schema)
     tables = {"components": each.union(app), "edges": each.select("snapshot_id", F.col("path").alias("src"), F.lit("app").alias("dst"))}
     monkeypatch.setattr(graph_queries, "frame", lambda spark, sf, name: tables[name])
