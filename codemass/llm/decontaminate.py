@@ -201,7 +201,8 @@ def _joined(docs: DataFrame, items: DataFrame, schema: T.StructType, k: int, thr
             for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if found := shingles(words_of(t), k):
                     h = sketch(found, threshold)
-                    yield pa.RecordBatch.from_pydict({"_n": np.full(len(h), n), "h": h.view(np.int64), "k": pa.array([len(next(iter(found)))] * len(h), pa.int32())})
+                    yield pa.RecordBatch.from_pydict(
+                        {"_n": np.full(len(h), n), "h": h.view(np.int64), "k": pa.array([len(next(iter(found)))] * len(h), pa.int32())})
 
     named = items.select(F.xxhash64(item, "_item_text").alias("_n"), item, "_item_text")
     hashes = checkpointed(named.select("_n", "_item_text").mapInArrow(sketches, "_n long, h long, k int"))

@@ -28,7 +28,9 @@ _RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "
 _RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in _RAW}
 _FURNITURE = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "select"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
-_INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "meta", "link", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "big", "br", "button", "select", "option"}
+_INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark",
+    "meta", "link", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "big",
+    "br", "button", "select", "option"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|banner|menu|nav|navbar|navigation|sidebar|side-bar|breadcrumbs?"

@@ -138,7 +138,8 @@ class ByteConvNet:
     def dump(self) -> bytes:
         """The weights as bytes (a few hundred KB, whatever the corpus)."""
         out = io.BytesIO()
-        np.savez(out, classes=np.array(self.classes), dense=self.dense, shift=self.shift, **{f"c{i}": c for i, c in enumerate(self.conv)}, **{f"b{i}": b for i, b in enumerate(self.bias)})
+        np.savez(out, classes=np.array(self.classes), dense=self.dense, shift=self.shift, **{f"c{i}": c for i, c in enumerate(self.conv)},
+            **{f"b{i}": b for i, b in enumerate(self.bias)})
         return out.getvalue()
 
     @classmethod
@@ -166,7 +167,8 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", key:
     usable = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
     size = F.length(F.col(text))
     spread = F.array(*[
-        F.encode(F.substring(F.col(text), (F.lit(1) + F.floor(F.greatest(size - WINDOW, F.lit(0)) * i / max(1, SAMPLE_WINDOWS - 1))).cast("int"), F.lit(WINDOW)), "utf-8")
+        F.encode(F.substring(F.col(text), (F.lit(1) + F.floor(F.greatest(size - WINDOW, F.lit(0)) * i / max(1, SAMPLE_WINDOWS - 1))).cast("int"),
+                    F.lit(WINDOW)), "utf-8")
         for i in range(SAMPLE_WINDOWS)
     ])
     # the text takes part, so that rows without a key, or of one key, are drawn one by one

@@ -31,7 +31,8 @@ TAG = "spdx license identifier"
 _TAG_RAW = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\n\r]*)")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+\-:]+")
 #: Identifier prefix to label; the first that fits holds, else the identifier itself is the label.
-FAMILIES = (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("mpl", "mpl"), ("cc-by-nc", "cc-by-nc"), ("cc-by-sa", "cc-by-sa"), ("cc-by-nd", "cc-by-nd"), ("cc-by", "cc-by"), ("cc0", "cc0"), ("bsl", "bsl"), ("isc", "isc"))
+FAMILIES = (("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl", "gpl"), ("apache", "apache"), ("mit", "mit"), ("bsd", "bsd"), ("mpl", "mpl"),
+    ("cc-by-nc", "cc-by-nc"), ("cc-by-sa", "cc-by-sa"), ("cc-by-nd", "cc-by-nd"), ("cc-by", "cc-by"), ("cc0", "cc0"), ("bsl", "bsl"), ("isc", "isc"))
 #: Binding strength of the operators, loosest first.
 STRENGTH = {"or": 1, "and": 2, "with": 3}
 
@@ -172,13 +173,16 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", with_places: bool = Fa
                     if got[6]:
                         found[r0 + i] = got
         rows = [found.get(i, (0, None, None, "", "", 0.0, [])) for i in range(n)]
-        out = [pa.array(words)] + [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()))]
+        out = [pa.array(words)] + [pa.array([r[k] for r in rows], t) for k,
+            t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()))]
         if with_places:
             kind = pa.list_(pa.struct([("word", pa.int64()), ("phrase", pa.string())]))
             out.append(pa.array([[{"word": w, "phrase": p} for w, p in r[6]] for r in rows], kind))
         return out
 
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_base", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_base", T.LongType()), T.StructField("first_word", T.LongType()),
+        T.StructField("last_word", T.LongType()), T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()),
+        T.StructField("score", T.DoubleType())]
     if with_places:
         fields.append(T.StructField("places", T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("phrase", T.StringType())]))))
     return append_columns(docs, fields, run)

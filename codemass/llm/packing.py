@@ -61,7 +61,8 @@ class WordTokens(dict):
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         normal, split = str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)
-        self.by_word = "Lowercase" in normal and "\\\\p{L}" in split.replace("\\p", "\\\\p") and "use_regex=False" in split and type(self.tokenizer.model).__name__ == "BPE"
+        self.by_word = "Lowercase" in normal and "\\\\p{L}" in split.replace("\\p",
+            "\\\\p") and "use_regex=False" in split and type(self.tokenizer.model).__name__ == "BPE"
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)

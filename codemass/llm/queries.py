@@ -36,7 +36,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = chat.read_back(chat.format_chats(events))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["masked"]), lambda t: t["text"]), "")
-    digest = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), whole.alias("_whole"), loss.alias("_loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    digest = back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), whole.alias("_whole"), loss.alias("_loss"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
     return digest.select(
         "conv_id", "n_turns", F.sha2("_whole", 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"),
         F.sha2("_loss", 256).alias("loss_sha256"), "formatted_chars",
@@ -91,7 +92,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_packing, op4_token_counts, op5_license_scan, op6_html_extract, op7_exact_topk, op8_substring_dedup, op9_language_id, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_packing, op4_token_counts, op5_license_scan, op6_html_extract,
+        op7_exact_topk, op8_substring_dedup, op9_language_id, op10_simhash)}
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -203,7 +203,8 @@ def _minimizers(key: str, text: str, shared):
                 new = ~s.often
                 if new.any():
                     row = r0 + s.row[new]
-                    yield pa.RecordBatch.from_pydict({"low": s.low[new].view(np.int64), "doc": ids[row].astype(np.int64), "_block": block[row].astype(np.int32)})
+                    yield pa.RecordBatch.from_pydict(
+                        {"low": s.low[new].view(np.int64), "doc": ids[row].astype(np.int64), "_block": block[row].astype(np.int32)})
 
     return run
 
@@ -282,11 +283,13 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
             return out_segments.empty_table()
         h, size, low, high, shard = (np.concatenate([p[i] for p in parts]) for i in range(5))
         return pa.Table.from_arrays(
-            [pa.array(shard.astype(np.int32)), pa.array(np.full(len(h), number, np.int32)), pa.array(h.view(np.int64)), pa.array(low), pa.array(high), _binary(np.concatenate([p[5] for p in parts]), size)],
+            [pa.array(shard.astype(np.int32)), pa.array(np.full(len(h), number, np.int32)), pa.array(h.view(np.int64)), pa.array(low), pa.array(high),
+                _binary(np.concatenate([p[5] for p in parts]), size)],
             schema=out_segments,
         )
 
-    out_segments = pa.schema([("shard", pa.int32()), ("_block", pa.int32()), ("h", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("words", pa.binary())])
+    out_segments = pa.schema([("shard", pa.int32()), ("_block", pa.int32()), ("h", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
+            ("words", pa.binary())])
     sent = dealt.groupBy(own).cogroup(wanted.groupBy("_block")).applyInArrow(segments, "shard int, _block int, h long, low long, high long, words binary")
 
     out_found = pa.schema([("_block", pa.int32()), ("h", pa.int64()), ("least", pa.binary())])
@@ -306,7 +309,8 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         use = np.flatnonzero(smallest[of] < table.column("high").to_numpy())
         of = of[use]
         return pa.Table.from_arrays(
-            [table.column("_block").combine_chunks().take(pa.array(use)), pa.array(h[use]), _binary(least[X.ranges(at[of], count[of])], count[of])], schema=out_found
+            [table.column("_block").combine_chunks().take(pa.array(use)), pa.array(h[use]), _binary(least[X.ranges(at[of], count[of])], count[of])],
+            schema=out_found
         )
 
     found = sent.groupBy("shard").applyInArrow(search, "_block int, h long, least binary")
@@ -348,7 +352,8 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
             bounds = to[s.first]
             data = data.tobytes()
             kept += [data[a : max(a, b - 1)].decode() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        arrays = [table.column(c).combine_chunks() for c in names] + [pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(n_removed), pa.int64()), pa.array(kept, pa.string())]
+        arrays = [table.column(c).combine_chunks() for c in names] + [pa.array(np.concatenate(n_words), pa.int64()),
+            pa.array(np.concatenate(n_removed), pa.int64()), pa.array(kept, pa.string())]
         return pa.Table.from_arrays(arrays, names=[f.name for f in schema.fields])
 
     judged = dealt.groupBy(own).cogroup(found.groupBy("_block")).applyInArrow(delete, schema)

@@ -36,7 +36,8 @@ def test_random_logs_equal_a_fold(spark):
     for conv in [None, *range(150)]:
         for n in range(rnd.choice([1, 3, 30, 60])):
             kind = rnd.choice(["message", "delta", "delta", "delta", "edit", "regenerate", None] if conv else ["message", "delta"])
-            rows.append((conv, rnd.choice([n, n, rnd.randint(0, 5), None]), kind, rnd.choice([0, 1, 2, 3, None]), rnd.choice(["user", "assistant", None]), rnd.choice(["a", "b<", "[c", "", None])))
+            rows.append((conv, rnd.choice([n, n, rnd.randint(0, 5), None]), kind, rnd.choice([0, 1, 2, 3, None]),
+                    rnd.choice(["user", "assistant", None]), rnd.choice(["a", "b<", "[c", "", None])))
     rows += rows[:40]
     events = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", messages string, _n int").repartition(5)
     got = {r["conv_id"]: [(m["role"], m["text"]) for m in r["messages"]] for r in chat.reconstruct(events).collect()}

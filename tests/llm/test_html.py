@@ -40,7 +40,8 @@ def test_many_equal_lines_align_fast():
     assert time.time() - began < 5
 
 
-@pytest.mark.parametrize("page", ['<a "' * 250_000 + "'>'", "<a '" + "<a " * 300_000 + ">'", '"' * 1_000_000, "<a " + '"' * 1_000_001, "<!" * 400_000, "<!--" * 200_000,
+@pytest.mark.parametrize("page", ['<a "' * 250_000 + "'>'", "<a '" + "<a " * 300_000 + ">'", '"' * 1_000_000, "<a " + '"' * 1_000_001, "<!" * 400_000,
+        "<!--" * 200_000,
     "<div>" * 200_000 + "</p>" * 200_000, "</script" * 100_000, "<script>" + "</script" * 100_000, "<p a='" * 150_000])
 def test_broken_pages_take_linear_time(page):
     began = time.time()
@@ -65,10 +66,12 @@ def test_text_does_not_depend_on_ranges(spark):
     rows = plain_pages()
     for i in range(100, 220):
         body = "".join(f"<p>{x}</p>" for x in rnd.sample(lines, 4)) + f"<p>own {i}</p>"
-        rows.append((i, rnd.choice([f"http://s{i % 3}.org/{i % 7}/{i}", "http://hot.org/same", "http://hot.org/sane", None, "x"]), rnd.choice(["{}", "<main>{}</main>", "<main>{}</main><p>out</p>"]).format(body)))
+        rows.append((i, rnd.choice([f"http://s{i % 3}.org/{i % 7}/{i}", "http://hot.org/same", "http://hot.org/sane", None, "x"]),
+                rnd.choice(["{}", "<main>{}</main>", "<main>{}</main><p>out</p>"]).format(body)))
     rows += rows[20:26]
     pages = spark.createDataFrame(rows, SCHEMA)
-    got = [sorted((r["page_id"], r["url"] or "", r["text"]) for r in htmltext.extract(pages.repartition(p), ranges=n).collect()) for p, n in ((1, 1), (3, 4), (5, 64), (2, 150))]
+    got = [sorted((r["page_id"], r["url"] or "", r["text"]) for r in htmltext.extract(pages.repartition(p), ranges=n).collect()) for p,
+        n in ((1, 1), (3, 4), (5, 64), (2, 150))]
     assert got[0] == got[1] == got[2] == got[3] and len(got[0]) == len(rows)
     # by differencing alone: without it the heading and the line of the site would stay
     assert [t for k, _, t in got[0] if k < 8] == [f"own {i} text" for i in range(8)]
@@ -94,7 +97,8 @@ def test_markup_breaks_ties():
 
 
 def test_nulls_clashes_and_empty_tables(spark):
-    pages = spark.createDataFrame([(None, None, None, "r", "u"), (None, None, None, "r", "u"), (1, "http://a/b", "<p>" + "x" * 300_000 + "</p>", None, None)], SCHEMA + ", _range string, _URL string")
+    pages = spark.createDataFrame([(None, None, None, "r", "u"), (None, None, None, "r", "u"),
+            (1, "http://a/b", "<p>" + "x" * 300_000 + "</p>", None, None)], SCHEMA + ", _range string, _URL string")
     rows = htmltext.extract(pages, ranges=3).collect()
     assert sorted(r["n_chars"] for r in rows) == [0, 0, 300_000] and {r["_range"] for r in rows} == {"r", None}
     assert htmltext.extract(pages.limit(0)).count() == 0

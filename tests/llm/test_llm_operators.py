@@ -73,7 +73,8 @@ def test_word_ids_equal_the_library():
     words = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
     rnd = random.Random(2)
     alphabet = "abS ▁é²1_.,\n\t日łΣж½ᵃ̈ 's'RE'llÉß \x1c\x85 İ"
-    cases = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(500)] + ["a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|>", "it's I'LL 'sun"]
+    cases = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(500)] + ["a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|>",
+        "it's I'LL 'sun"]
     for s in cases:
         assert np.frombuffer(words.ids(s), "<u4").tolist() == words.tokenizer.encode(s, add_special_tokens=False).ids, s
 
@@ -313,12 +314,14 @@ def test_decontamination_equals_brute_force(spark, limit):
     docs += [(70, None), (71, ""), (0, docs[0][1]), (None, docs[2][1]), (None, docs[2][1])]
     # an item given twice is one, another text under its id is another
     items += [items[0], items[0], (2, items[4][1]), (None, items[6][1])]
-    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=limit)
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=limit)
     rows = [(r["doc_id"], r["item_id"], r["n_shingles"], r["n_found"]) for r in got.collect()]
     want = brute_contained(docs, items)
     assert sorted(rows, key=str) == want and len(want) > 10
     clash = spark.createDataFrame([(1, items[29][1], 3, "n")], "doc_id long, text string, _d int, N_FOUND string")
-    assert decontaminate.contaminated(clash, spark.createDataFrame([(29, items[29][1], 1)], "item_id long, text string, h int"), broadcast_bytes=limit).count() == 1
+    assert decontaminate.contaminated(clash, spark.createDataFrame([(29, items[29][1], 1)], "item_id long, text string, h int"),
+        broadcast_bytes=limit).count() == 1
     assert decontaminate.contaminated(clash.limit(0), spark.createDataFrame([], "item_id long, text string"), broadcast_bytes=limit).count() == 0
 
 
@@ -326,7 +329,8 @@ def test_topk_equals_brute_force(spark):
     rnd = np.random.default_rng(9)
     vectors = [(i, [float(x) for x in np.float32(rnd.normal(0, 0.2, 20))]) for i in range(350)]
     vectors[5] = (5, vectors[200][1])
-    rows = vectors + [(400, None), (401, [1.0, None] + [0.0] * 18), (402, [float("nan")] * 20), (403, []), (404, [0.5, 0.5]), (None, vectors[3][1]), (7, vectors[7][1])]
+    rows = vectors + [(400, None), (401, [1.0, None] + [0.0] * 18), (402, [float("nan")] * 20), (403, []), (404, [0.5, 0.5]), (None, vectors[3][1]),
+        (7, vectors[7][1])]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), F.col("vec_id") % 100 == 0, shards=5).collect()
     whole = {k: np.floor(1024 * np.asarray(v, np.float64)).astype(np.int64) for k, v in vectors}
     want = []
@@ -346,8 +350,10 @@ def test_license_scan(spark):
         return len(words), sorted(i for i, _ in places), ",".join(sorted({x for _, x in places}))
 
     rows = [
-        "Released under the MIT License.", "GNU General\nPublic-License and mit license mit license", "licensed under CC BY-NC 4.0. cc by", "no licence", "", None,
-        "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\nx", "SPDX-License-Identifier: MIT AND (",
+        "Released under the MIT License.", "GNU General\nPublic-License and mit license mit license", "licensed under CC BY-NC 4.0. cc by",
+        "no licence", "", None,
+        "// SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\nx",
+        "SPDX-License-Identifier: MIT AND (",
         "summit license mit licenses", "é mit license" * 3, "MIT LICENSE", "apache license " * 500,
     ]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
@@ -355,7 +361,8 @@ def test_license_scan(spark):
     for k, t in enumerate(rows):
         n, places, labels = brute(t)
         r = got[k]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (n, len(places), places[0] if places else None, places[-1] if places else None, labels), t
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (n, len(places), places[0] if places else None,
+            places[-1] if places else None, labels), t
         assert 0 <= r["score"] <= 1
     assert got[6]["labels"] == "apache,bsd,mit" and got[7]["labels"] == "gpl" and got[8]["score"] < 1 and got[2]["labels"] == "cc-by,cc-by-nc"
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
@@ -390,7 +397,8 @@ def test_html_extract(spark):
     article = PAGE.format(open="<article>", close="</article>")
     bare = PAGE.format(open="<div>", close="<p>Same on all</p></div>")
     other = bare.replace("One  two", "Uno").replace("Four", "Cuatro").replace("A &amp; B", "C")
-    rows = [(1, "http://h.org/a/1", article), (2, "http://g.org/a/1", bare), (3, "http://g.org/a/2", other), (4, None, None), (5, "http://h.org/x", ""), (6, "x", "plain & text"), (1, "http://h.org/a/1", article)]
+    rows = [(1, "http://h.org/a/1", article), (2, "http://g.org/a/1", bare), (3, "http://g.org/a/2", other), (4, None, None),
+        (5, "http://h.org/x", ""), (6, "x", "plain & text"), (1, "http://h.org/a/1", article)]
     got = defaultdict(list)
     for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         got[r["page_id"]].append(r["text"])
@@ -442,8 +450,10 @@ def test_chat_round_trip(spark):
 
 def test_chat_folds_events(spark):
     rows = [
-        (1, 1, "message", 0, "user", "hi"), (1, 2, "message", 1, "assistant", ""), (1, 3, "delta", 1, "assistant", "hel"), (1, 4, "delta", 1, "assistant", "lo"),
-        (1, 5, "message", 2, "user", "more"), (1, 6, "edit", 0, "user", "hey"), (1, 7, "regenerate", 1, "assistant", "ho"), (1, 8, "delta", 1, "assistant", "!"),
+        (1, 1, "message", 0, "user", "hi"), (1, 2, "message", 1, "assistant", ""), (1, 3, "delta", 1, "assistant", "hel"),
+        (1, 4, "delta", 1, "assistant", "lo"),
+        (1, 5, "message", 2, "user", "more"), (1, 6, "edit", 0, "user", "hey"), (1, 7, "regenerate", 1, "assistant", "ho"),
+        (1, 8, "delta", 1, "assistant", "!"),
         (2, 1, "delta", 0, "assistant", "a"), (2, 2, None, 1, "user", None),
     ]
     events = spark.createDataFrame(rows, "conv_id long, seq long, kind string, turn long, role string, text string")

@@ -50,7 +50,8 @@ def test_many_cells_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(topk, "CELL_BYTES", 2000)
     monkeypatch.setattr(topk, "QUERIES", 8)
     rnd = np.random.default_rng(7)
-    rows = [(i, [float(x) for x in np.round(rnd.normal(0, 0.1, 6), 2)]) for i in range(300)] + [(None, [1.0]), (301, None), (302, []), (303, [1.0, None]), (304, [float("nan")])]
+    rows = [(i, [float(x) for x in np.round(rnd.normal(0, 0.1, 6), 2)]) for i in range(300)] + [(None, [1.0]), (301, None), (302, []),
+        (303, [1.0, None]), (304, [float("nan")])]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = topk.top_k(docs, F.col("vec_id") % 3 == 0).collect()
     assert sorted(map(tuple, got)) == brute(rows, lambda q: q % 3 == 0)
