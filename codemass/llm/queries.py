@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codemass.llm import chat, decontaminate, htmltext, langid, licenses, packing, simhash, substring, tokencount, topk
+from codemass.llm import centroids, chat, decontaminate, htmltext, langid, licenses, merkle, mixing, packing, simhash, substring, tokencount, topk
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,11 +95,83 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five rounds around 40 centroids."""
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether a row that may have been changed still gives the root."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    digest = lambda text: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    lower = F.translate("text", _UPPER, _LOWER)
+    leaves = docs.select("doc_id", "lang", digest(F.col("text")).alias("leaf"), F.when(changed, digest(lower)).alias("_now"))
+    found = merkle.proofs(leaves).withColumn("folded_root", merkle.fold(F.coalesce("_now", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document: doc_id, size, source_size, target, taken."""
+    return mixing.taken(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_packing, op4_token_counts, op5_license_scan, op6_html_extract,
-        op7_exact_topk, op8_substring_dedup, op9_language_id, op10_simhash)}
+        op7_exact_topk, op8_substring_dedup, op9_language_id, op10_simhash, op11_centroid_clusters, op12_merkle_manifest, op13_source_mix)}
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds, one after the other, in whole numbers."""
+    square = "list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i])))::bigint"
+    parts = [
+        """v as (select row_number() over () r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        f"""c0 as (select row_number() over (order by sha256('2:' || vec_id) nulls last, e) - 1 c, e from v
+  qualify row_number() over (order by sha256('2:' || vec_id) nulls last, e) <= {k})""",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} as materialized (select r, vec_id, e, min(struct_pack(d := d, c := c)) b from (select v.*, c.c, {square} d from v, c{n} c) group by all)")
+        if n < rounds:
+            floor_mean = "((s - ((s % n) + n) % n) // n)::bigint"
+            parts.append(
+                f"""m{n} as (select c, list({floor_mean} order by i) e from (select b.c c, i, sum(e[i])::hugeint s, count(*) n
+  from a{n}, range(1, 65) t(i) group by all) group by c),
+ c{n + 1} as materialized (select c, coalesce(m{n}.e, c{n}.e) e from c{n} left join m{n} using (c))"""
+            )
+    last = f"a{rounds}"
+    return "with " + ",\n ".join(parts) + f"""
+select vec_id, b.c::int "cluster", b.d distance, (sum(b.d) over (partition by b.c))::bigint cluster_inertia, (sum(b.d) over ())::bigint inertia,
+ sha256(array_to_string(c.e, ',')) centroid_sha256 from {last} join c{rounds} c on b.c = c.c"""
+
+
+def _merkle_sql(fanout: int = 8) -> str:
+    """Nodes level by level by one recursion; a leaf's siblings and what a changed leaf gives by another."""
+    value = lambda c: f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')"
+    digest = lambda text: "sha256(" + " || ".join(map(value, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    bits = "flatten(list_transform(range(1, length(doc_id::varchar) + 1), lambda i: list_transform(range(0, 8), lambda j: (ascii(substr(doc_id::varchar, i, 1)) >> j) & 1)))"
+    crc = f"list_reduce(list_prepend(4294967295::bigint, {bits}::bigint[]), lambda a, b: xor(a >> 1, case when xor(a, b) & 1 = 1 then 3988292384::bigint else 0::bigint end))"
+    up = f"pos // {fanout}, (any_value(n) + {fanout - 1}) // {fanout}, sha256(string_agg(h, '' order by pos))"
+    step = f"""f.pos // {fanout}, (f.n + {fanout - 1}) // {fanout}, sha256(string_agg(case when u.pos = f.pos then f.h else u.h end, '' order by u.pos)),
+   f.proof || coalesce(string_agg(u.h, '' order by u.pos) filter (u.pos <> f.pos), '')"""
+    same = f"f.lvl = u.lvl and f.pos // {fanout} = u.pos // {fanout}"
+    return f"""
+with recursive r as (select row_number() over () rid, doc_id, lang, {digest("text")} leaf,
+  case when xor({crc}, 4294967295::bigint) % 3 = 0 then {digest(f"translate(text, '{_UPPER}', '{_LOWER}')")} end changed from documents),
+ p as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 pos, count(*) over (partition by lang) n from r),
+ up(lang, lvl, pos, n, h) as (select lang, 0, pos, n, leaf from p union all select lang, lvl + 1, {up} from up where n > 1 group by lang, lvl, pos // {fanout}),
+ subs as (select lang, h subroot, row_number() over (order by lang nulls first) - 1 pos, count(*) over () n from up where n = 1),
+ top(lvl, pos, n, h) as (select 0, pos, n, subroot from subs union all select lvl + 1, {up} from top where n > 1 group by lvl, pos // {fanout}),
+ fold(rid, lang, lvl, pos, n, h, proof) as (select rid, lang, 0, pos, n, coalesce(changed, leaf), '' from p union all select f.rid, f.lang, f.lvl + 1, {step}
+   from fold f join up u on f.lang is not distinct from u.lang and {same} where f.n > 1 group by f.rid, f.lang, f.lvl, f.pos, f.n, f.h, f.proof),
+ high(rid, lvl, pos, n, h, proof) as (select f.rid, 0, s.pos, s.n, f.h, f.proof from fold f join subs s on f.lang is not distinct from s.lang where f.n = 1
+   union all select f.rid, f.lvl + 1, {step} from high f join top u on {same} where f.n > 1 group by f.rid, f.lvl, f.pos, f.n, f.h, f.proof)
+select doc_id, leaf, subroot, t.h root, sha256(proof) proof_sha256, high.h folded_root, high.h = t.h verified
+from high join p using (rid) join subs s on p.lang is not distinct from s.lang, (select h from top where n = 1) t where high.n = 1"""
+
 
 ORACLE_SQL = {
     "op1_decontamination": rf"""
@@ -132,4 +207,17 @@ with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
  w as (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) p from d),
  k as (select doc_id, count(*) n, string_agg(word, ' ' order by p) t from w anti join bad using (doc_id, p) group by doc_id)
 select doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join k using (doc_id)""",
+    "op11_centroid_clusters": _clusters_sql(),
+    "op12_merkle_manifest": _merkle_sql(),
+    "op13_source_mix": r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size,
+  sha256('13:' || coalesce(doc_id::varchar, '-')) h from documents),
+ g as (select source, sum(size)::bigint s, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double w from d group by source),
+ o as (select *, 1.5::double * sum(s) over () t, sum(w) over () all_w, coalesce(sum(2 * s) over earlier, 0)::double held, coalesce(sum(w) over earlier, 0) held_w
+  from g window earlier as (order by 2 * s / w, source rows between unbounded preceding and 1 preceding)),
+ l as (select (t - held) / (all_w - held_w) level from o where (t - held) / (all_w - held_w) * w <= 2 * s order by 2 * s / w, source limit 1),
+ q as (select source, s, least((2 * s)::double, w * level) target from g, l),
+ p as (select d.*, s, target, round(target)::bigint n, (sum(size) over (partition by d.source order by h, size, doc_id) - size)::bigint a
+  from d join q on d.source is not distinct from q.source)
+select doc_id, size, s source_size, target, (greatest(0, least(a + size, n) - a) + greatest(0, least(a + s + size, n) - a - s))::bigint taken from p""",
 }
