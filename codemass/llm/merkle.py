@@ -105,6 +105,8 @@ def proofs(leaves: DataFrame, *, key: str = "doc_id", group: str = "lang", diges
     rows = leaves.drop("subroot", "root", "path")
     start = rows.select(F.col(group).isNotNull().alias("_has"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("_group"),
         F.col(key).alias("_key"), F.col(digest).alias("_hash"), F.struct(*[rows[f"`{c}`"] for c in rows.columns]).alias("_row"))
+    # written before it is sorted: looking for ranges would read and hash all rows once more
+    start = checkpointed(start)
     runs, tops = _climb(numbered(start, _GROUP, [F.col("_key").asc_nulls_first(), "_hash"]).drop("_key"), fanout)
     ends = tops[0].select(*_GROUP, "_hash")
     for t in tops[1:]:
