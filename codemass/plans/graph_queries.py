@@ -248,13 +248,24 @@ select t.id type_id, x.r as role, count(c.ty) events from t cross join (select u
 
 
 def literal_references(spark: SparkSession, sf: str) -> DataFrame:
-    """Paths that texts name: every component refers to its pair's path."""
-    c = frame(spark, sf, "components").select("snapshot_id", "path", "p_partkey")
-    other = c.select(F.col("p_partkey").alias("b"), F.col("path").alias("to"))
-    rows = frame(spark, sf, "pairs").join(c, F.col("a") == F.col("p_partkey")).join(other, "b").groupBy("snapshot_id",
-        "path").agg(F.concat(F.lit("run "), F.array_join(F.sort_array(F.collect_list("to")), "; sh ./")).alias("text"))
-    files = c.select("snapshot_id", "path").join(rows, ["snapshot_id", "path"], "left").fillna("", ["text"])
-    return references.literal_references(files).select("src", "dst")
+    """Paths that texts name, with the form they use: files of a tree of odd names mention each other rightly and wrongly."""
+    paths = frame(spark, sf, "tree").select("snapshot_id", F.concat_ws("/", "branch", "twig", "leaf").alias("path"))
+    texts = frame(spark, sf, "mentions").groupBy("snapshot_id", F.col("src").alias("path")).agg(
+        F.concat(F.lit("run "), F.array_join(F.sort_array(F.collect_list("mention")), "; sh "), F.lit("\n")).alias("text"))
+    files = paths.join(texts, ["snapshot_id", "path"], "left")
+    # texts come out of a small shuffle; their words are spread over tasks again
+    files = files.repartition(spark.sparkContext.defaultParallelism, "path")
+    return references.literal_references(files).select("src", "dst", "form")
+
+
+_NAMED = """
+with f as (select concat(branch, '/', twig, '/', leaf) path from {tree}), t as (select src, concat('run ', string_agg(mention, '; sh '), chr(10)) body from {mentions} group by src),
+ c as (select src, path dst, body, string_split(src, '/')[:-2] sp, string_split(path, '/') tp from t join f on contains(body, string_split(path, '/')[-1]) and src <> path),
+ k as (select *, len(list_filter(range(1, len(sp) + 1), lambda i: sp[1:i] = tp[1:i])) same from c),
+ r as (select *, repeat('../', len(sp) - same) || array_to_string(tp[same + 1:], '/') short from k),
+ w as (select src, dst, body, unnest(list_distinct([dst, './' || dst, short, case when starts_with(short, '.') then short else './' || short end])) form from r)
+select src, dst, form from w where regexp_matches(body, concat(case when contains(form, '/') then '(^|[^A-Za-z0-9_.-])' else '(^|[^A-Za-z0-9_./-])' end, regexp_escape(form), '($|[^A-Za-z0-9_./-])'))
+qualify row_number() over (partition by src, dst order by length(form) desc, form) = 1"""
 
 
 def use_evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -332,5 +343,5 @@ select case when r.s is null then 'added' when a.s is null then 'removed' else '
     "capability_dedup": (capability_dedup, _MERGED),
     "journey_stages": (journey_stages, _STAGES),
     "use_evidence": (use_evidence, _USE),
-    "literal_references": (literal_references, "select distinct src, dst from {edges}"),
+    "literal_references": (literal_references, _NAMED),
 }

@@ -57,6 +57,19 @@ from {lineitem} join {part} on p_partkey = l_partkey""",
     "imports": """
 select 'parts' as snapshot_id, concat('src/', lower(replace(p_brand, '#', '')), '/mod', cast(p_partkey as string), '.py') as path, p_partkey,
  concat(case when p_partkey % 3 = 0 then 'elsewhere' else lower(replace(p_brand, '#', '')) end, '.mod', cast((p_partkey * 3 + 1) % (select count(*) from {part}) as string)) as raw from {part}""",
+    # a tree with characters of every kind in its folders and names
+    "tree": """
+select 'parts' as snapshot_id, p_partkey, concat('src/', case p_partkey % 4 when 0 then '(' when 1 then '@' else '' end, lower(replace(p_brand, '#', '')), case p_partkey % 4 when 0 then ')' else '' end) as branch,
+ lower(p_type) as twig, case p_partkey % 5 when 0 then concat(replace(p_name, ' ', '_'), '_', cast(p_partkey as string), '.py') when 1 then concat(p_name, ' ', cast(p_partkey as string), '.py')
+ when 2 then concat('é', cast(p_partkey as string), '.sh') when 3 then concat('[', p_name, ']/', cast(p_partkey as string), '.tsx') else concat('a', cast(p_partkey as string), '.c++') end as leaf from {part}""",
+    # how one file of the tree names another: from the root, from its folder, behind a variable, and in ways that are no reference
+    "mentions": """
+select x.snapshot_id, concat(x.branch, '/', x.twig, '/', x.leaf) as src, concat(y.branch, '/', y.twig, '/', y.leaf) as dst, concat(
+ case (e.a + e.b * 3) % 8 when 1 then './' when 3 then '$ROOT/' when 4 then 'x' when 6 then 'foo/../' else '' end,
+ case when (e.a + e.b * 3) % 8 not in (2, 6, 7) then concat(y.branch, '/', y.twig, '/', y.leaf) when x.branch = y.branch and x.twig = y.twig and not (contains(x.leaf, '/') or contains(y.leaf, '/')) then y.leaf
+  else concat(case when contains(x.leaf, '/') then '../../../' else '../../' end, substring(y.branch, 5), '/', y.twig, '/', y.leaf) end,
+ case (e.a + e.b * 3) % 8 when 5 then '.bak' else '' end) as mention
+from {pairs} e join {tree} x on x.p_partkey = e.a join {tree} y on y.p_partkey = e.b""",
     "files": """
 select 'docs' as snapshot_id, doc_id, concat(source, '/', lang, '/doc_', cast(doc_id as string), '.md') as path,
  case lang when 'en' then 'c' when 'fr' then 'shell' when 'de' then 'sql' else 'markdown' end as language, coalesce(text, '') as text from {documents}""",
