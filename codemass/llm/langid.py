@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,8 @@ FILTERS = 16
 #: The bound of the training sample: documents of each language, and windows of each document.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 4
 UNKNOWN = "und"
-_HAS_LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of a long text that are looked at together; whole windows.
+SLICE = WINDOW << 12
 
 
 def _alphabet() -> np.ndarray:
@@ -45,6 +45,11 @@ def _alphabet() -> np.ndarray:
 ALPHABET, SYMBOLS = _alphabet(), 127
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter: numbers, marks and signs that stand for letters are none."""
+    return any(map(str.isalpha, text))
+
+
 def windows(raw: np.ndarray, offs: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of every window (one a row of the matrix, padded) and the number of windows of each text."""
     lengths = np.diff(offs)
@@ -215,7 +220,8 @@ _NETS: dict[str, tuple[ByteConvNet, list]] = {}
 def identify(docs: DataFrame, net: ByteConvNet, *, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1, the mean probability of that language over all windows).
 
-    A null text, or one without any letter, gets ``und`` and score 0.  A row in, a row out; no shuffle.
+    A null text, or one without any letter (Unicode category L), gets ``und`` and score 0.  A row in, a row out; no shuffle.
+    A long text is walked in slices of SLICE bytes, so its windows take no memory that grows with it.
     Input columns with a result's name are replaced.
     """
     weights = net.dump()
@@ -232,14 +238,21 @@ def identify(docs: DataFrame, net: ByteConvNet, *, text: str = "text") -> DataFr
         column = batch.column(batch.schema.get_field_index(text))
         pred, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
         for r0, r1, raw, offs in X.chunks(column, 1 << 20):
-            x, count = windows(raw, offs)
-            if not len(x):
+            if not len(raw):
                 continue
-            p = loaded.apply(x, tables)
-            ends = np.cumsum(count)
-            for i in range(r1 - r0):
-                if count[i] and _HAS_LETTER.search(column[r0 + i].as_py()):
-                    mean = p[ends[i] - count[i] : ends[i]].mean(0)
+            # texts share a chunk only where they are short together
+            cuts = [(0, len(raw))] if r1 - r0 > 1 else [(a, min(a + SLICE, len(raw))) for a in range(0, len(raw), SLICE)]
+            sums, total = np.zeros((r1 - r0, len(loaded.classes))), np.zeros(r1 - r0, np.int64)
+            for a, b in cuts:
+                x, count = windows(raw[a:b], offs if len(cuts) == 1 else np.array([0, b - a]))
+                p = loaded.apply(x, tables)
+                ends = np.cumsum(count)
+                for i in np.flatnonzero(count):
+                    sums[i] += p[ends[i] - count[i] : ends[i]].sum(0)
+                total += count
+            for i in np.flatnonzero(total):
+                if has_letter(column[r0 + i].as_py()):
+                    mean = sums[i] / total[i]
                     best = int(mean.argmax())
                     pred[r0 + i], score[r0 + i] = loaded.classes[best], min(1.0, float(mean[best]))
         return [pa.array(pred, pa.string()), pa.array(score)]
