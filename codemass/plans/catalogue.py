@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codemass.operators import metrics, traverse
-from codemass.plans import explore_queries, graph_queries, measure_queries, role_queries, series_queries, text_queries
+from codemass.plans import explore_queries, graph_queries, measure_queries, role_queries, series_queries, source_queries, text_queries
 from codemass.plans.proxies import expand, frame
 
 
@@ -17,7 +17,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.composition(components)
 
 
-_ALL = (graph_queries, measure_queries, series_queries, text_queries, role_queries, explore_queries)
+_ALL = (graph_queries, measure_queries, series_queries, text_queries, role_queries, explore_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

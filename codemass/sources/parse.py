@@ -1,6 +1,7 @@
 """Symbols and relationships of source texts: a file's syntax tree becomes rows, many files a batch.
 
-Python is parsed by its own ``ast``.  Languages whose parser is not installed keep a file symbol and a warning.
+Python is parsed by its own ``ast``, languages with braces by ``sources.braces``.  Others, whose parser is not installed, keep a
+file symbol and a warning.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import tokenize
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codemass.sources import braces
+
 ROWS = (
     "snapshot_id string, row string, seq bigint, id string, path string, language string, kind string, name string, qualified_name string,"
     " start_line int, end_line int, parent_id string, target_name string, target_id string, resolution string, evidence string, message string, severity string"
@@ -129,7 +132,13 @@ def parsed(files: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], k) for c, k in kinds.items()], names=list(kinds))
 
-    return files.select("snapshot_id", "path", "language", "text", "lines").mapInArrow(run, ROWS)
+    files = files.select("snapshot_id", "path", "language", "text", "lines")
+    braced = F.coalesce(F.col("language").isin(*braces.LANGUAGES), F.lit(False))
+    rows = files.where(~braced).mapInArrow(run, ROWS)
+    # texts are written already; whether any is braced is one look at their languages
+    if files.where(braced).isEmpty():
+        return rows
+    return rows.unionByName(braces.rows_of(files), allowMissingColumns=True).select(*rows.columns)
 
 
 def symbols(rows: DataFrame, components: DataFrame) -> DataFrame:
