@@ -24,7 +24,7 @@ def brace_symbols(spark: SparkSession, sf: str) -> DataFrame:
     pick = lambda made: F.coalesce(*[F.when(kind == k, made(*form[1:])) for k, form in enumerate(_FORMS)])
     number = lambda c: F.col(c).cast("string")
     one = pick(lambda first, f, last: F.concat(F.lit(f[0]), number("l_linenumber"), F.lit(f[1]), number("l_partkey"), F.lit(f[2])))
-    functions = lines.select("l_orderkey", F.struct("l_linenumber", one.alias("s")).alias("f")).groupBy("l_orderkey").agg(
+    functions = lines.select("l_orderkey", F.struct("l_linenumber", "l_partkey", one.alias("s")).alias("f")).groupBy("l_orderkey").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["s"]), "").alias("body"), F.count("*").alias("n"))
     text = pick(lambda first, f, last: F.concat(F.lit(first[0]), number("l_orderkey"), F.lit(first[1]), F.col("body"), F.lit(last)))
     language = F.element_at(F.array(*[F.lit(form[0]) for form in _FORMS]), (kind + 1).cast("int"))
