@@ -30,37 +30,60 @@ class Scan:
     diagnostics: DataFrame | None = None
     symbol_chains: DataFrame | None = None
     symbol_metrics: DataFrame | None = None
+    contents: Contents | None = None
 
 
-def scan(raw: DataFrame, *, overrides: DataFrame | None = None, ignore: DataFrame | None = None, symbols: bool = True) -> Scan:
+@dataclass
+class Contents:
+    """Each different content of a path once, keyed by it in the place of a snapshot, and where it stands."""
+
+    files: DataFrame
+    classified: DataFrame
+    placed: DataFrame | None = None
+
+    def each(self, df: DataFrame) -> DataFrame:
+        """``df`` of contents as rows of the snapshots that hold them."""
+        if self.placed is None:
+            return df
+        named = df.withColumnRenamed(SNAP, "_content")
+        return self.placed.join(named, ["path", "_content"]).select(*df.columns)
+
+
+def scan(raw: DataFrame, *, overrides: DataFrame | None = None, ignore: DataFrame | None = None, symbols: bool = True, placed: DataFrame | None = None) -> Scan:
     """All relations of raw trees (snapshot_id, path, content).
 
-    Without ``symbols`` only the file half is made.  Texts are read and counted once and cut from their lineage.
+    Without ``symbols`` only the file half is made.  Texts are read and counted once and cut from their lineage.  With ``placed``
+    (snapshot_id, path, _content) the raw rows are contents, named in their snapshot_id, and what is local to a file (lines, category,
+    symbols) is worked out once for each; what follows from a whole tree is worked out for each snapshot.
     """
     files = trees.files(raw)
     if ignore is not None:
         files = classify.ignored(files, ignore)
     files = checkpointed(parse.with_python_lines(files))
-    components = checkpointed(classify.classify(files.drop("lines_of"), overrides))
+    classified = classify.classify(files.drop("lines_of"), overrides)
+    contents = Contents(files, classified if placed is None else checkpointed(classified), placed)
+    components = checkpointed(contents.each(contents.classified))
     dependencies = checkpointed(resolve.file_dependencies(components))
     components = checkpointed(traverse.value_distances(components, dependencies))
     chains, _ = traverse.audit_chains(components, dependencies)
     depths = chains.groupBy(SNAP).agg(F.max("depth").alias("max_depth"))
-    out = Scan(files, components, dependencies, metrics.composition(components, depths), metrics.directory_profiles(components), chains)
+    out = Scan(contents.each(files), components, dependencies, metrics.composition(components, depths), metrics.directory_profiles(components), chains)
+    out.contents = contents if placed is not None else None
     return with_symbols(out) if symbols else out
 
 
 def with_symbols(s: Scan) -> Scan:
     """A scan with its symbols refined, relationships resolved, distances, chains and metrics."""
-    rows = checkpointed(parse.parsed(s.files))
-    found = classify.refine_symbols(parse.symbols(rows, s.components), s.files.select(SNAP, "path", "lines_of"))
-    found = checkpointed(found)
-    s.edges = checkpointed(resolve.resolve_relationships(parse.edges(rows), found, s.dependencies))
+    own = s.contents or Contents(s.files, s.components)
+    rows = checkpointed(parse.parsed(own.files))
+    found = classify.refine_symbols(parse.symbols(rows, own.classified), own.files.select(SNAP, "path", "lines_of"))
+    found = checkpointed(own.each(found))
+    s.edges = checkpointed(resolve.resolve_relationships(parse.edges(own.each(rows.where("row = 'edge'"))), found, s.dependencies))
     s.symbols = checkpointed(traverse.symbol_distances(found, s.edges))
     s.symbol_chains, spent = traverse.recursive_chains(s.symbols, s.edges)
     note = spent.where("truncated").select(SNAP, F.lit("<semantic-graph>").alias("path"), F.lit("graph").alias("language"),
         F.lit("Recursive chain traversal reached its budget; depth may be understated.").alias("message"), F.lit("warning").alias("severity"))
-    s.diagnostics = parse.diagnostics(rows).unionByName(note)
+    s.diagnostics = own.each(parse.diagnostics(rows)).unionByName(note)
     s.symbol_metrics = metrics.symbol_metrics(s.symbols, s.edges, s.symbol_chains.groupBy(SNAP).agg(F.max("depth").alias("max_depth")))
     return s
 
@@ -72,10 +95,21 @@ def scan_folder(spark: SparkSession, path: str, *, snapshot: str = "tree", **opt
 
 
 def scan_commits(spark: SparkSession, path: str, commits: DataFrame, **options) -> Scan:
-    """One scan of all given commits (frame, sha): each is a snapshot."""
+    """One scan of all given commits (frame, sha), oldest first: each is a snapshot.
+
+    The commits' differences tell which contents of a path stand in which of them; each content is read, classified and parsed
+    once.  Trees whose attributes keep files from archives or change them there are read as archives, whole.
+    """
     trees.register(spark)
-    shas = ",".join(r["sha"] for r in commits.select("sha").collect())  # at most 200
-    return scan(spark.read.format("git_tree").option("path", path).option("commits", shas).load(), **options)
+    shas = [r["sha"] for r in commits.select("frame", "sha").orderBy("frame").collect()]  # at most 200
+    runs = checkpointed(trees.commit_runs(spark, path, shas))
+    attributes = runs.where(F.element_at(F.split("path", "/"), -1) == ".gitattributes")
+    if not trees.blobs(path, attributes).where(F.contains(F.col("content"), F.lit(b"export-"))).isEmpty():
+        return scan(spark.read.format("git_tree").option("path", path).option("commits", ",".join(shas)).load(), **options)
+    names = spark.createDataFrame(list(enumerate(shas)), f"_frame int, {SNAP} string")
+    placed = runs.select("path", F.col("blob").alias("_content"), F.explode(F.sequence("first", "last")).alias("_frame")).join(F.broadcast(names), "_frame")
+    kept = runs.join(attributes.select("path").distinct(), "path", "left_anti")
+    return scan(trees.blobs(path, kept), placed=checkpointed(placed.drop("_frame")), **options)
 
 
 def history(s: Scan, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,7 +148,11 @@ def metabolise(s: Scan, commits: DataFrame, evidence: DataFrame | None = None) -
     """The status of every file of the last commit: a file is active where any of the six kinds of evidence holds."""
     frames = commits.select(F.col("sha").alias(SNAP), "frame")
     used = (use_evidence(s) if evidence is None else evidence).select(SNAP, "path").distinct().withColumn("active", F.lit(True))
-    prints = s.files.select(SNAP, "path", F.sha2("text", 256).alias("print"))
+    # a file changes where its size, lines, category or text does
+    own = s.contents or Contents(s.files, s.components)
+    prints = own.each(own.files.select(SNAP, "path", F.col("bytes").cast("string").alias("_bytes"), F.sha2("text", 256).alias("_sha")))
+    kinds = s.components.select(SNAP, "path", F.col("category").alias("_category"), F.col("code_lines").cast("string").alias("_lines"))
+    prints = prints.join(kinds, [SNAP, "path"]).select(SNAP, "path", F.concat_ws(":", "_bytes", "_lines", "_category", "_sha").alias("print"))
     rows = prints.join(s.components.select(SNAP, "path", "category", "code_lines"), [SNAP, "path"]).join(used, [SNAP, "path"], "left").fillna(False, ["active"])
     return metabolism.status(rows.join(frames, SNAP).select(F.lit("repo").alias("repository"), "frame", "path", "category", "code_lines", "active", "print"))
 

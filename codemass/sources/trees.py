@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -379,6 +380,86 @@ def commits(spark: SparkSession, root: str, last: str, *, first: str | None = No
     return spark.createDataFrame(rows, "frame int, sha string, authored_at string, subject string")
 
 
+def _git_bytes(root: str, *args: str, given: bytes | None = None) -> bytes:
+    run = subprocess.run(["git", "-C", root, *args], input=given, capture_output=True, timeout=GIT_SECONDS)
+    if run.returncode:
+        raise TreeError("git-error", run.stderr.decode("utf-8", "replace").strip()[:200])
+    return run.stdout
+
+
+def _changed(root: str, sha: str, before: str | None) -> list[tuple[str, str | None]]:
+    """(path, blob) of the files that a commit has new or otherwise than the one before, null where one is gone.
+
+    Only regular files count; links and other entries are as good as gone.
+    """
+    if before is None:
+        # the first tree is judged whole, as an archive is; later ones are told by what differs
+        told = _git_bytes(root, "ls-tree", "-r", "-l", "-z", "--full-tree", sha).split(b"\0")
+        entries = [(head.split()[0], head.split()[2], path) for head, _, path in (t.partition(b"\t") for t in told if t)]
+        if sum(int(t.split()[3]) for t in told if t.startswith(b"100")) > MAX_BYTES:
+            raise TreeError("extracted-too-large", f"over {MAX_BYTES} bytes")
+    else:
+        told = _git_bytes(root, "diff-tree", "-r", "-z", "--no-renames", "--no-commit-id", before, sha).split(b"\0")
+        entries = [(head.split()[1], head.split()[3], path) for head, path in zip(told[::2], told[1::2], strict=False)]
+    if len(entries) > MAX_FILES:
+        raise TreeError("too-many-files", f"over {MAX_FILES} files")
+    out = [(path.decode("utf-8", "replace"), blob.decode() if mode.startswith(b"100") else None) for mode, blob, path in entries]
+    for path, _ in out:
+        if "\\" in path or ":" in path:
+            raise TreeError("unsafe-archive", f"unsafe path: {path!r}")
+    return out
+
+
+def commit_runs(spark: SparkSession, root: str, shas: list[str]) -> DataFrame:
+    """(path, blob, first, last): in which of the given commits, counted from 0, each content of a path stands without a break.
+
+    A commit is compared with the one before it, each in a task of its own, so the work follows the files that change.  Only
+    ``wanted`` files and attribute files are told.
+    """
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for frame, sha, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = [(frame, path, blob) for path, blob in _changed(root, sha, before) if wanted(path) or path.rsplit("/", 1)[-1] == ".gitattributes"]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.string()), strict=True)],
+                        names=["frame", "path", "blob"])
+
+    steps = spark.createDataFrame([(k, sha, shas[k - 1] if k else None) for k, sha in enumerate(shas)], "frame int, sha string, before string")
+    told = steps.repartition(max(1, len(shas)), "frame").mapInArrow(run, "frame int, path string, blob string")
+    until = F.coalesce(F.lead("frame").over(W.partitionBy("path").orderBy("frame")) - 1, F.lit(len(shas) - 1))
+    return told.select("path", "blob", F.col("frame").alias("first"), until.alias("last")).where("blob is not null")
+
+
+def blobs(root: str, wanted_: DataFrame) -> DataFrame:
+    """(snapshot_id, path, content) of (path, blob), the blob in the place of the snapshot; those over MAX_FILE_BYTES are left out."""
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            paths, names = (c.to_pylist() for c in batch.columns)
+            told = _git_bytes(root, "cat-file", "--batch-check=%(objectsize)", given="\n".join(names).encode() + b"\n").split()
+            sizes = [int(t) for t in told]
+            order, at = [i for i, n in enumerate(sizes) if n <= MAX_FILE_BYTES], 0
+            while at < len(order):
+                end, held = at, 0
+                while end < len(order) and (end == at or held + sizes[order[end]] <= BYTES_A_PARTITION):
+                    held += sizes[order[end]]
+                    end += 1
+                part = order[at:end]
+                data, place, contents = _git_bytes(root, "cat-file", "--batch", given="\n".join(names[i] for i in part).encode() + b"\n"), 0, []
+                for i in part:
+                    place = data.index(b"\n", place) + 1
+                    contents.append(data[place : place + sizes[i]])
+                    place += sizes[i] + 1
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in part]), pa.array([paths[i] for i in part]), pa.array(contents, pa.binary())],
+                    names=["snapshot_id", "path", "content"])
+                at = end
+
+    return wanted_.select("path", "blob").distinct().mapInArrow(run, SCHEMA)
+
+
 def static_sha(root: str) -> str | None:
     """The commit of a work tree's HEAD by plain file reads; null if there is none."""
     git = os.path.join(root, ".git")
