@@ -9,6 +9,7 @@ import argparse
 import sys
 import time
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +91,8 @@ def sections(spark: SparkSession, a: argparse.Namespace) -> list[tuple[str, Data
         if a.command == "journey":
             return list(zip(("events", "stages", "warnings"), scan.data_journey(s, a.data), strict=True))
         found = scan.atlas(s, top_level=getattr(a, "top_level", "no_parent"))
-        return [("capabilities", scan.atlas_reach(s, found))] if a.command == "atlas" else [("paths", scan.value_path(s, found, a.capability))]
+        return [("capabilities", scan.atlas_reach(s, found))] if a.command == "atlas" else [
+            ("paths", scan.value_path(s, found, a.capability)), ("steps", scan.value_path_steps(s, found, a.capability))]
     if a.command == "index":
         with open(a.manifest) as f:
             targets = corpus.distinct_targets(records.manifest(spark, f.read()))
@@ -108,6 +110,7 @@ def sections(spark: SparkSession, a: argparse.Namespace) -> list[tuple[str, Data
         return list(artifacts.story(spark, a.scan, history=a.history, drivers=a.drivers, context=a.context).items())
     prints = corpus.fingerprints(records.flat(records.corpus(spark, a.corpus)))
     query = corpus.newest_match(prints, F.lit(a.repo), F.lit(a.sha) if a.sha else None)
+    a.sha = next((r["sha"] for r in query.select("sha").limit(1).collect()), a.sha)
     return [("neighbours", corpus.neighbours(query, prints, keep=a.limit))] if a.command == "neighbours" else [("context", corpus.context(query, prints))]
 
 
@@ -128,8 +131,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 df.show(a.limit, truncate=60)
         if a.command == "index" and found[0][1].where("status = 'failed'").count():
             return 1
-    except (ValueError, OSError) as e:
-        print(f"codemass: {e}", file=sys.stderr)
+    except (ValueError, OSError, PySparkException) as e:
+        print(f"codemass: {str(e).strip().splitlines()[0] if str(e).strip() else type(e).__name__}", file=sys.stderr)
         return 2
     print(f"{time.monotonic() - began:.1f} s", file=sys.stderr)
     return 0

@@ -225,6 +225,86 @@ def rank_paths(paths: DataFrame, symbols: DataFrame, *, keep: int = 6) -> DataFr
     return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
 
 
+def _walks(e: DataFrame, place: DataFrame, max_depth: int) -> DataFrame:
+    """(snapshot_id, node, reach, turns, ahead) of nodes with edges: of the walks of ``max_depth`` edges at most, the longest, the most
+    changes of file on one, and all categories on any."""
+    own = lambda name: place.select(SNAP, F.col("node").alias(name), F.col("_file").alias(f"_{name}_file"), F.col("_kind").alias(f"_{name}_kind"))
+    e = e.join(own("src"), [SNAP, "src"], "left").join(own("dst"), [SNAP, "dst"], "left")
+    turn = F.coalesce(F.col("_src_file") != F.col("_dst_file"), F.lit(True)).cast("int")
+    e = checkpointed(e.select(SNAP, "src", "dst", turn.alias("_turn"), F.array_compact(F.array("_dst_kind")).alias("_kinds")))
+    known = None
+    for _ in range(max_depth):
+        step = e if known is None else e.join(known.withColumnRenamed("node", "dst"), [SNAP, "dst"], "left")
+        more = (lambda c: F.lit(0)) if known is None else (lambda c: F.coalesce(c, F.lit(0)))
+        ahead = F.col("_kinds") if known is None else F.array_union("_kinds", F.coalesce("ahead", F.array().cast("array<string>")))
+        made = step.groupBy(SNAP, F.col("src").alias("node")).agg((F.max(more("reach")) + 1).alias("reach"), F.max(F.col("_turn") + more("turns")).alias("turns"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set(ahead)))).alias("ahead"))
+        before, known = known, checkpointed(made)
+        # walks end of themselves where nothing changes any more
+        if before is not None and known.exceptAll(before).isEmpty():
+            break
+    return known
+
+
+def strongest_paths(calls: DataFrame, roots: DataFrame, symbols: DataFrame, *, max_depth: int = 12, keep: int = 6, beam: int = 32) -> DataFrame:
+    """The ``keep`` strongest simple call paths of each root, as ``rank_paths`` of all of them gives, without listing all.
+
+    Branch and bound over levels.  A path can become as long as the longest walk from its end allows, gains no more files than a
+    walk changes its file, and no categories but those ahead.  First the ``beam`` most hopeful paths of each root and level are followed to the end; what they
+    give bounds the second search, which drops a path once it cannot come before the root's last kept one.  Ties go by ids, so
+    equally strong paths are cut by their beginnings.  The bound of the beam changes the work alone, never the result.
+    """
+    e = checkpointed(calls.select(SNAP, "src", "dst").distinct())
+    place = symbols.select(SNAP, F.col("id").alias("node"), F.col("path").alias("_file"), F.col("category").alias("_kind"))
+    steps = e.select(SNAP, "src", F.col("dst").alias("node")).join(place, [SNAP, "node"], "left").join(_walks(e, place, max_depth), [SNAP, "node"], "left")
+    # what a symbol calls is bounded by its own text, so a row holds it
+    zero = F.lit(0)
+    to = F.struct(F.col("node").alias("dst"), "_file", "_kind", F.coalesce("reach", zero).alias("reach"), F.coalesce("turns", zero).alias("turns"),
+        F.coalesce("ahead", F.array().cast("array<string>")).alias("ahead"))
+    steps = checkpointed(steps.groupBy(SNAP, F.col("src").alias("node")).agg(F.collect_list(to).alias("_to")))
+    begin = roots.select(SNAP, "node").distinct().join(place, [SNAP, "node"], "left")
+    begin = checkpointed(begin.select(SNAP, F.col("node").alias("root"), "node", F.array("node").alias("ids"), F.array_compact(F.array("_file")).alias("files"),
+            F.array_compact(F.array("_kind")).alias("kinds"), zero.alias("more"), zero.alias("turns"), F.array().cast("array<string>").alias("ahead")))
+    strength = lambda depth, files, kinds: F.struct(depth.alias("d"), files.alias("f"), kinds.alias("k"))
+    now = strength(F.size("ids") - 1, F.size("files"), F.size("kinds"))
+    hope = strength(F.size("ids") - 1 + F.col("more"), F.size("files") + F.least("more", "turns"),
+        F.least(F.size("kinds") + F.col("more"), F.size(F.array_union("kinds", "ahead"))))
+
+    def search(cut) -> DataFrame:
+        front, ended = begin, None
+        for level in range(max_depth + 1):
+            free = F.filter("_to", lambda x: ~F.array_contains("ids", x["dst"]))
+            front = checkpointed(front.join(steps, [SNAP, "node"], "left").withColumn("_to", F.when(F.lit(level < max_depth), free)))
+            stop = front.where("coalesce(size(_to), 0) <= 0").select(SNAP, "root", "ids", "files", "kinds")
+            ended = stop if ended is None else ended.union(stop)
+            if level == max_depth or front.isEmpty():
+                break
+            left = F.least(F.col("_x.reach"), F.lit(max_depth) - F.size("ids"))
+            added = lambda c, x: F.when(F.col(x).isNull(), F.col(c)).otherwise(F.array_union(F.col(c), F.array(x)))
+            grown = front.withColumn("_x", F.explode("_to")).select(SNAP, "root", F.col("_x.dst").alias("node"), F.concat("ids", F.array("_x.dst")).alias("ids"),
+                added("files", "_x._file").alias("files"), added("kinds", "_x._kind").alias("kinds"), left.alias("more"),
+                F.col("_x.turns").alias("turns"), F.col("_x.ahead").alias("ahead"))
+            front = cut(grown)
+        return ended
+
+    each = W.partitionBy(SNAP, "root")
+    hopeful = lambda df: df.withColumn("_n", F.row_number().over(each.orderBy(hope.desc(), "ids"))).where(F.col("_n") <= beam).drop("_n")
+    last = search(hopeful).withColumn("_n", F.row_number().over(each.orderBy(now.desc(), "ids"))).where(F.col("_n") == keep)
+    bounds = checkpointed(last.select(SNAP, "root", now.alias("_least"), F.col("ids").alias("_ids")))
+    tied = (hope == F.col("_least")) & (F.col("ids") <= F.slice("_ids", F.lit(1), F.size("ids")))
+    bounded = lambda df: df.join(bounds, [SNAP, "root"], "left").where(F.col("_least").isNull() | (hope > F.col("_least")) | tied).drop("_least", "_ids")
+    return rank_paths(search(bounded).select(SNAP, "root", "ids", (F.size("ids") - 1).alias("depth")), symbols, keep=keep)
+
+
+def path_steps(ranked: DataFrame, symbols: DataFrame, calls: DataFrame) -> DataFrame:
+    """A row for each symbol of ranked paths: snapshot_id, root, rank, step (from 0), the symbol, and the call that led to it (edge_seq, the
+    first of equal ones; null for the root)."""
+    each = ranked.select(SNAP, "root", "rank", "ids", F.posexplode("ids").alias("step", "symbol_id")).withColumn("_from", F.get("ids", F.col("step") - 1)).drop("ids")
+    what = symbols.select(SNAP, F.col("id").alias("symbol_id"), "kind", "name", "qualified_name", "path", "start_line", "end_line", "category")
+    call = calls.groupBy(SNAP, F.col("src").alias("_from"), F.col("dst").alias("symbol_id")).agg(F.min("edge_seq").alias("edge_seq"))
+    return each.join(what, [SNAP, "symbol_id"], "left").join(call, [SNAP, "_from", "symbol_id"], "left").drop("_from")
+
+
 def neighbourhood(edges: DataFrame, anchors: DataFrame, *, max_depth: int = 4, max_symbols: int | None = 250) -> DataFrame:
     """(snapshot_id, anchor, node, hops, truncated): what each anchor reaches forward; at most ``max_symbols``, nearest first.
 

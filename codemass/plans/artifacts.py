@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codemass.functions.checkpoint import checkpointed
 from codemass.operators import compare, metrics
@@ -31,7 +32,8 @@ def save(spark: SparkSession, folder: str, name: str, sha: str | None, sections:
             bad = F.isnan(c) | (F.abs(c) == float("inf"))
             df = df.withColumn(c, F.when(bad, F.raise_error(F.lit(f"{section}.{c} is not finite")).cast("double")).otherwise(F.col(c)))
         df.write.json(f"{folder}/{section}")
-    head = {"schema": {"name": f"codemass-{name}", "version": VERSION}, "repository_sha": sha, "sections": sorted(sections)}
+    head = {"schema": {"name": f"codemass-{name}", "version": VERSION}, "repository_sha": sha, "sections": sorted(sections),
+        "columns": {k: df.schema.json() for k, df in sections.items()}}
     spark.createDataFrame([(json.dumps(head, sort_keys=True),)], "value string").coalesce(1).write.text(f"{folder}/head")
 
 
@@ -61,6 +63,12 @@ def section(spark: SparkSession, folder: str, name: str, schema: str) -> DataFra
     return spark.read.schema(schema).json(f"{folder}/{name}")
 
 
+def saved(spark: SparkSession, folder: str, told: dict, name: str) -> DataFrame:
+    """A section as it was saved, by the columns that the artifact's head names; they hold for empty ones too."""
+    columns = (told.get("columns") or {}).get(name)
+    return (spark.read.schema(T.StructType.fromJson(json.loads(columns))) if columns else spark.read).json(f"{folder}/{name}")
+
+
 SCAN = {
     "metrics": "direct_product_share double, tooling_share double, scaffolding_ratio double, total_lines long",
     "category_lines": "category string, code_lines long",
@@ -121,7 +129,7 @@ def story(spark: SparkSession, scan_folder: str, *, history: str | None = None,
         told = head(spark, folder, {"comparison": "history", "drivers": "drivers", "context": "context"}[name]) if folder else None
         shas[name] = spark.createDataFrame([(told["repository_sha"] if told else None,)], f"{column} string")
         for part in told["sections"] if told else ():
-            out[f"{name} {part}"] = spark.read.json(f"{folder}/{part}")
+            out[f"{name} {part}"] = saved(spark, folder, told, part)
     one = spark.createDataFrame([(own["repository_sha"],)], "sha string")
     told = explore.story(one, shas["comparison"], shas["drivers"], shas["context"])
     rows = read_scan(spark, scan_folder)

@@ -81,14 +81,17 @@ def with_baseline(deltas: DataFrame, frames: DataFrame, values: list[str]) -> Da
 
 
 def story(scan: DataFrame, comparison: DataFrame, drivers: DataFrame, context: DataFrame) -> DataFrame:
-    """One row that joins four single-row artifacts: whether each is of the scan's commit, and a warning for each that is not.
+    """One row that joins four single-row artifacts: whether each is of the scan's commit, and a warning for a comparison or a
+    context that is not.
 
-    ``scan``: sha; ``comparison``: before_sha, after_sha; ``drivers``: after_sha; ``context``: sha.
+    ``scan``: sha; ``comparison``: before_sha, after_sha; ``drivers``: after_sha; ``context``: sha.  Where a commit is not known, or
+    an artifact not given, its flag is null and nothing is warned of.  Drivers of another commit are no fault:
+    driver_relation says whether they are of the current commit or of a historical change point.
     """
     one = scan.select(F.col("sha").alias("scan_sha"))
     for name, df, column in (("comparison", comparison, "after_sha"), ("drivers", drivers, "after_sha"), ("context", context, "sha")):
         one = one.join(df.select(F.col(column).alias(f"{name}_sha")), F.lit(True), "left")
-    match = {k: F.coalesce(F.col("scan_sha") == F.col(f"{k}_sha"), F.lit(False)) for k in ("comparison", "drivers", "context")}
-    notes = F.array_compact(F.array(*[F.when(~m, F.concat(F.lit(f"{k} is of "), F.coalesce(f"{k}_sha", F.lit("an unknown commit")),
-                        F.lit(", scan of "), F.coalesce("scan_sha", F.lit("an unknown commit")))) for k, m in match.items()]))
-    return one.select("scan_sha", *[m.alias(f"{k}_matches") for k, m in match.items()], notes.alias("warnings"))
+    match = {k: F.col("scan_sha") == F.col(f"{k}_sha") for k in ("comparison", "drivers", "context")}
+    notes = F.array_compact(F.array(*[F.when(~match[k], F.concat(F.lit(f"{k} is of "), f"{k}_sha", F.lit(", scan of "), "scan_sha")) for k in ("comparison", "context")]))
+    relation = F.when(match["drivers"], "current-commit").when(~match["drivers"], "historical-change-point")
+    return one.select("scan_sha", *[m.alias(f"{k}_matches") for k, m in match.items()], relation.alias("driver_relation"), notes.alias("warnings"))

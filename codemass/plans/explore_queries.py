@@ -175,5 +175,6 @@ union all select distinct repository, 5, 1, 'A deepest exact chain kept the same
     "python_lines": (python_lines, "select doc_id, (case when doc_id % 2 = 0 then len(string_split(coalesce(text, ''), chr(10))) else 0 end + 1)::int code_lines, 'pkg.' || coalesce(lang, 'none') imports from {documents}"),
     "story": (story, """
 with o as (select max(o_orderdate)::date::string s from {orders}), l as (select max(l_shipdate)::date::string s from {lineitem}), e as (select max(ts)::date::string s from {events})
-select o.s scan_sha, true comparison_matches, o.s = l.s drivers_matches, o.s = e.s context_matches, concat_ws('; ', case when o.s <> l.s then 'drivers is of ' || l.s || ', scan of ' || o.s end, case when o.s <> e.s then 'context is of ' || e.s || ', scan of ' || o.s end) warnings from o, l, e"""),
+select o.s scan_sha, true comparison_matches, o.s = l.s drivers_matches, o.s = e.s context_matches, case when o.s = l.s then 'current-commit' else 'historical-change-point' end driver_relation,
+ concat_ws('; ', case when o.s <> e.s then 'context is of ' || e.s || ', scan of ' || o.s end) warnings from o, l, e"""),
 }

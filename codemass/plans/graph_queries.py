@@ -95,8 +95,8 @@ def value_path_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The strongest call path of every constructor."""
     s = frame(spark, sf, "symbols")
     calls = traverse.exact_edges(frame(spark, sf, "links")).where("kind = 'calls'")
-    paths, _ = traverse.value_paths(calls, s.where("kind = 'constructor'").select("snapshot_id", F.col("id").alias("node")), max_depth=6, budget=None)
-    return traverse.rank_paths(paths, s, keep=1).select("root", "depth", "distinct_files", "distinct_categories", F.array_join("ids", ">").alias("ids"))
+    roots = s.where("kind = 'constructor'").select("snapshot_id", F.col("id").alias("node"))
+    return traverse.strongest_paths(calls, roots, s, max_depth=6, keep=1).select("root", "depth", "distinct_files", "distinct_categories", F.array_join("ids", ">").alias("ids"))
 
 
 def reach_neighbourhood(spark: SparkSession, sf: str) -> DataFrame:

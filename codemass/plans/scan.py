@@ -178,11 +178,20 @@ def atlas_reach(s: Scan, capabilities: DataFrame) -> DataFrame:
 
 
 def value_path(s: Scan, capabilities: DataFrame, selector: str | None, *, max_depth: int = 12) -> DataFrame:
-    """The strongest call path of the selected capability, and up to five others."""
+    """The strongest call path of the selected capability, and up to five others: a row for each path."""
+    return _value_path(s, capabilities, selector, max_depth)[0]
+
+
+def value_path_steps(s: Scan, capabilities: DataFrame, selector: str | None, *, max_depth: int = 12) -> DataFrame:
+    """The same paths with a row for each symbol on them and the call that led to it."""
+    return traverse.path_steps(*_value_path(s, capabilities, selector, max_depth))
+
+
+def _value_path(s: Scan, capabilities: DataFrame, selector: str | None, max_depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     chosen = select.capability(capabilities, selector)
     calls = traverse.exact_edges(s.edges).where("kind = 'calls'")
-    paths, _ = traverse.value_paths(calls, chosen.select(SNAP, F.col("symbol_id").alias("node")), max_depth=max_depth)
-    return traverse.rank_paths(paths, s.symbols)
+    roots = chosen.where("symbol_id is not null").select(SNAP, F.col("symbol_id").alias("node"))
+    return traverse.strongest_paths(calls, roots, s.symbols, max_depth=max_depth), s.symbols, calls
 
 
 def data_journey(s: Scan, selector: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:

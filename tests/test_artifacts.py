@@ -83,3 +83,27 @@ def test_explanations_in_words(spark):
         "A previously deepest exact machinery chain disappeared: q -> r.",
         "A deepest exact chain kept the same endpoints but changed its internal structural path.",
     ]
+
+
+def test_a_story_warns_of_known_commits_alone(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    empty = {k: spark.createDataFrame([], schema) for k, schema in artifacts.SCAN.items()}
+    one, two = "a" * 40, "b" * 40
+    artifacts.save(spark, at("scan"), "scan", one, empty)
+    artifacts.save(spark, at("nameless"), "scan", None, empty)
+    crossed = spark.createDataFrame([], "path string, before double, nested struct<a: int>")
+    artifacts.save(spark, at("drivers"), "drivers", two, {"crossovers": crossed})
+    artifacts.save(spark, at("context"), "context", two, {"context": spark.createDataFrame([(1,)], "n int")})
+    artifacts.save(spark, at("unknown"), "context", None, {"context": spark.createDataFrame([(1,)], "n int")})
+    alone = artifacts.story(spark, at("scan"))["story"].first()
+    assert (alone["comparison_matches"], alone["drivers_matches"], alone["context_matches"], alone["driver_relation"], alone["warnings"]) == (None, None, None, None, [])
+    found = artifacts.story(spark, at("scan"), drivers=at("drivers"), context=at("context"))
+    told = found["story"].first()
+    assert told["driver_relation"] == "historical-change-point" and told["drivers_matches"] is False
+    assert told["warnings"] == [f"context is of {two}, scan of {one}"]
+    for scan_folder, context in (("nameless", "context"), ("scan", "unknown")):
+        assert artifacts.story(spark, at(scan_folder), context=at(context))["story"].first()["warnings"] == []
+    # a section without rows keeps its columns and can be saved again
+    assert found["drivers crossovers"].schema == crossed.schema
+    artifacts.save(spark, at("story"), "story", one, {k.replace(" ", "_"): df for k, df in found.items()})
+    assert "story" in artifacts.head(spark, at("story"), "story")["sections"]
