@@ -169,20 +169,24 @@ def literal_references(files: DataFrame, sources: Column | None = None) -> DataF
     return hits.groupBy(SNAP, "src", "dst").agg(F.min_by("form", F.struct(-F.length("form"), F.col("form"))).alias("form"))
 
 
-def use(files: DataFrame) -> DataFrame:
+def use(files: DataFrame, *, name_boundaries: bool = False) -> DataFrame:
     """(snapshot_id, path, kind, source, detail): files that texts refer to, as evidence of their use.
 
     ``static_path_references`` are a trusted boundary's own.  Where what it refers to passes references on, those of that file
     are ``boundary_path_references``, and so on: one search for all boundaries of a snapshot.  Files that refer to each other
-    but that no boundary reaches are no evidence.
+    but that no boundary reaches are no evidence.  ``name_boundaries`` searches from each boundary and adds it as a column: a row
+    of ``boundary_path_references`` for each boundary behind its source; null in direct references.
     """
     refs = checkpointed(literal_references(files, is_boundary("path", "category") | passes_on("path")))
     direct = refs.join(files.where(is_boundary("path", "category")).select(SNAP, F.col("path").alias("src")), [SNAP, "src"], "left_semi")
     passing = files.where(passes_on("path")).select(SNAP, F.col("path").alias("node"))
-    first = direct.select(SNAP, F.lit("").alias("boundary"), F.col("dst").alias("node")).distinct().join(passing, [SNAP, "node"], "left_semi")
-    reached = closure(refs, first, through=passing).join(passing, [SNAP, "node"], "left_semi").select(SNAP, F.col("node").alias("src")).distinct()
+    whose = F.col("src") if name_boundaries else F.lit("")
+    first = direct.select(SNAP, whose.alias("boundary"), F.col("dst").alias("node")).distinct().join(passing, [SNAP, "node"], "left_semi")
+    reached = closure(refs, first, through=passing).join(passing, [SNAP, "node"], "left_semi").select(SNAP, "boundary", F.col("node").alias("src"))
     row = lambda kind: [SNAP, F.col("dst").alias("path"), F.lit(kind).alias("kind"), F.col("src").alias("source"), F.col("form").alias("detail")]
-    return direct.select(*row("static_path_references")).unionByName(refs.join(reached, [SNAP, "src"], "left_semi").select(*row("boundary_path_references")))
+    rows = direct.withColumn("boundary", F.lit(None).cast("string")).select(*row("static_path_references"), "boundary").unionByName(
+        refs.join(reached, [SNAP, "src"]).select(*row("boundary_path_references"), "boundary"))
+    return rows if name_boundaries else rows.drop("boundary")
 
 
 def boundary_use(files: DataFrame) -> DataFrame:

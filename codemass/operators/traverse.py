@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codemass.functions.checkpoint import checkpointed
+from codemass.operators.searches import searches
 from codemass.schema import MACHINERY, PRODUCT, RECURSIVE, among, base_distance
 
 SNAP = "snapshot_id"
@@ -308,15 +309,14 @@ def path_steps(ranked: DataFrame, symbols: DataFrame, calls: DataFrame) -> DataF
 def neighbourhood(edges: DataFrame, anchors: DataFrame, *, max_depth: int = 4, max_symbols: int | None = 250) -> DataFrame:
     """(snapshot_id, anchor, node, hops, truncated): what each anchor reaches forward; at most ``max_symbols``, nearest first.
 
-    All of it where ``max_symbols`` is None.
+    An anchor that has met more stops there, so it finds at most one level beyond.  All of it where ``max_symbols`` is None.
     """
-    roots = anchors.select(SNAP, F.col("node").alias("anchor"), "node")
-    found = hops(edges, roots, max_depth=max_depth)
+    found, totals = searches(edges, anchors.select(SNAP, F.col("node").alias("search"), "node"), max_depth=max_depth, quota=max_symbols)
     if max_symbols is None:
-        return found.withColumn("truncated", F.lit(False))
-    order = W.partitionBy(SNAP, "anchor").orderBy("hops", "node")
-    ranked = found.withColumns({"_rank": F.row_number().over(order), "_all": F.count("*").over(W.partitionBy(SNAP, "anchor"))})
-    return ranked.where(F.col("_rank") <= max_symbols).withColumn("truncated", F.col("_all") > max_symbols).drop("_rank", "_all")
+        return found.withColumnRenamed("search", "anchor").withColumn("truncated", F.lit(False))
+    order = W.partitionBy(SNAP, "search").orderBy("hops", "node")
+    ranked = found.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= max_symbols)
+    return ranked.join(totals, [SNAP, "search"]).select(SNAP, F.col("search").alias("anchor"), "node", "hops", (F.col("reached") > max_symbols).alias("truncated"))
 
 
 def closure(edges: DataFrame, roots: DataFrame, *, through: DataFrame | None = None) -> DataFrame:
@@ -327,4 +327,5 @@ def closure(edges: DataFrame, roots: DataFrame, *, through: DataFrame | None = N
     e = edges.select(SNAP, "src", "dst")
     if through is not None:
         e = e.join(through.select(SNAP, F.col("node").alias("src")), [SNAP, "src"], "left_semi")
-    return hops(e, roots.select(SNAP, "boundary", "node")).select(SNAP, "boundary", "node")
+    found, _ = searches(e, roots.select(SNAP, F.col("boundary").alias("search"), "node"))
+    return found.select(SNAP, F.col("search").alias("boundary"), "node")

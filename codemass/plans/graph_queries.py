@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codemass.operators import compare, metabolism, metrics, references, resolve, surfaces, traverse
+from codemass.operators import compare, metabolism, metrics, references, resolve, searches, surfaces, traverse
 from codemass.plans.proxies import frame
 from codemass.schema import AUDIT, BASE_DISTANCE, MACHINERY, PRODUCT, RECURSIVE
 
@@ -114,6 +114,18 @@ def boundary_closure(spark: SparkSession, sf: str) -> DataFrame:
     return traverse.closure(frame(spark, sf, "edges"), roots, through=through).select("boundary", "node")
 
 
+def hub_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """The 1,000 nearest nodes of every supplier in the graph of all line items; suppliers are hubs, a search each."""
+    anchors = frame(spark, sf, "supplier").select(F.lit("lines").alias("snapshot_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    return traverse.neighbourhood(frame(spark, sf, "supplies"), anchors, max_symbols=1000).select("anchor", "node", "hops", "truncated")
+
+
+def boundary_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """How many components each test component reaches, itself included."""
+    roots = frame(spark, sf, "components").where("category = 'testing'").select("snapshot_id", F.col("path").alias("search"), F.col("path").alias("node"))
+    return searches.searches(frame(spark, sf, "edges"), roots)[1].select(F.col("search").alias("boundary"), "reached")
+
+
 def dependency_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """Imports of every component resolved to files, by name and by their last part."""
     files = frame(spark, sf, "imports").select("snapshot_id", "path", F.array("raw").alias("imports"))
@@ -321,6 +333,13 @@ select anchor, node, min(h)::int hops from w group by 1, 2"""),
 with recursive k as (select path, category, code_lines from {components}), e as (select distinct src, dst from {edges} join k on k.path = src and (k.code_lines % 2 = 0 or k.category = 'testing')),
  w(node) as (select path from k where category = 'testing' union select dst from w join e on e.src = w.node)
 select 'testing' boundary, node from w"""),
+    "hub_reach": (hub_reach, """
+with recursive e as (select src, dst from {supplies}), w(anchor, node, h) as (select concat('s', s_suppkey), concat('s', s_suppkey), 0 from {supplier} union select anchor, e.dst, h + 1 from w join e on e.src = w.node where h < 4),
+ m as (select anchor, node, min(h)::int hops from w group by 1, 2)
+select anchor, node, hops, count(*) over (partition by anchor) > 1000 truncated from m qualify row_number() over (partition by anchor order by hops, node) <= 1000"""),
+    "boundary_reach": (boundary_reach, """
+with recursive e as (select distinct src, dst from {edges}), w(boundary, node) as (select path, path from {components} where category = 'testing' union select boundary, dst from w join e on e.src = w.node)
+select boundary, count(*) reached from w group by 1"""),
     "dependency_resolve": (dependency_resolve, """
 with i as (select path, p_partkey, raw, split_part(raw, '.', 1) m, split_part(raw, '.', 2) t from {imports}), f as (select path, split_part(split_part(path, '/', 3), '.', 1) stem, split_part(path, '/', 2) b from i)
 select distinct i.path src, f.path dst from i join f on f.stem = i.t where f.path <> i.path"""),

@@ -33,6 +33,10 @@ select distinct l_partkey as a, (l_partkey * 7 + l_suppkey % 5) % (select count(
 from {lineitem}""",
     "edges": """
 select 'parts' as snapshot_id, x.path as src, y.path as dst from {pairs} e join {components} x on x.p_partkey = e.a join {components} y on y.p_partkey = e.b where e.a <> e.b""",
+    # suppliers are hubs: each has hundreds of parts, and a part leads back to all of its suppliers
+    "supplies": """
+with l as (select distinct concat('s', cast(l_suppkey as string)) as s, concat('p', cast(l_partkey as string)) as p from {lineitem})
+select 'lines' as snapshot_id, s as src, p as dst from l union all select 'lines' as snapshot_id, p as src, s as dst from l""",
     "symbols": f"""
 select 'parts' as snapshot_id, concat('s', cast(p_partkey as string)) as id, concat('src/', lower(replace(p_brand, '#', '')), '.py') as path,
  case when p_partkey % 5 = 0 then 'go' else 'python' end as language,

@@ -134,20 +134,21 @@ def movie(s: Scan, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rects, compare.layout_changes(before, flat.where("frame > 0"), ("frame",))
 
 
-def use_evidence(s: Scan) -> DataFrame:
-    """(snapshot_id, path, kind, source, detail): all six kinds of evidence that a file is in use."""
+def use_evidence(s: Scan, *, name_boundaries: bool = True) -> DataFrame:
+    """(snapshot_id, path, kind, source, detail): all six kinds of evidence that a file is in use; with ``name_boundaries`` the trusted
+    boundary behind each reference that was passed on, too."""
     text = s.files.select(SNAP, "path", "text").join(s.components.select(SNAP, "path", "category"), [SNAP, "path"])
     found = checkpointed(atlas(s))
     reached = surfaces.implementation(found, s.symbols, s.edges)
-    rows = metabolism.structural_use(s.symbols, s.edges,
-        s.dependencies).unionByName(metabolism.capability_use(found, s.symbols, reached)).unionByName(references.use(text))
+    rows = metabolism.structural_use(s.symbols, s.edges, s.dependencies).unionByName(metabolism.capability_use(found, s.symbols, reached)).unionByName(
+        references.use(text, name_boundaries=name_boundaries), allowMissingColumns=True)
     return rows.join(s.components.select(SNAP, "path"), [SNAP, "path"], "left_semi")
 
 
 def metabolise(s: Scan, commits: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """The status of every file of the last commit: a file is active where any of the six kinds of evidence holds."""
     frames = commits.select(F.col("sha").alias(SNAP), "frame")
-    used = (use_evidence(s) if evidence is None else evidence).select(SNAP, "path").distinct().withColumn("active", F.lit(True))
+    used = (use_evidence(s, name_boundaries=False) if evidence is None else evidence).select(SNAP, "path").distinct().withColumn("active", F.lit(True))
     # a file changes where its size, lines, category or text does
     own = s.contents or Contents(s.files, s.components)
     prints = own.each(own.files.select(SNAP, "path", F.col("bytes").cast("string").alias("_bytes"), F.sha2("text", 256).alias("_sha")))
