@@ -112,8 +112,8 @@ def automaton():
     return _AUTOMATON
 
 
-def scan_words(normal: str, raw: str) -> tuple[int, int | None, int | None, str, str, float, list[tuple[int, str]]]:
-    """Of a text as ' word word ... ': base places, first and last start, base labels, labels, score, all places."""
+def scan_words(normal: str, raw: str) -> tuple[int, int | None, int | None, str, str, float, str, str, list[tuple[int, str]]]:
+    """Of a text as ' word word ... ': base places, first and last start, base labels, labels, score, required, choices, all places."""
     places, own, tagged = [], set(), False
     words = at = 0  # words that have ended before ``at``
     for end, (phrase, label) in automaton().iter(normal):
@@ -123,29 +123,35 @@ def scan_words(normal: str, raw: str) -> tuple[int, int | None, int | None, str,
             tagged = True
         else:
             own.add(label)
-    certain = False
+    certain, chosen = False, set()
+    required = set(own)
     if tagged:
         for m in _TAG_RAW.finditer(raw.translate(_LOWER)):
             if value := evaluate(m[1]):
                 certain = True
-                own.update(value[0])
+                own |= value[0]
+                required |= value[1]
+                chosen |= value[0] - value[1]
     base = sorted(p for p, phrase in places if phrase in BASE)
     labels = sorted({BASE[phrase] for _, phrase in places if phrase in BASE})
     hits = sum(phrase != TAG for _, phrase in places)
     score = 1.0 if certain else hits / (hits + 1.0)
-    return len(base), base[0] if base else None, base[-1] if base else None, ",".join(labels), ",".join(sorted(own)), score, sorted(places)
+    joined = [",".join(sorted(x)) for x in (own, required, chosen - required)]
+    return len(base), base[0] if base else None, base[-1] if base else None, ",".join(labels), joined[0], score, joined[1], joined[2], sorted(places)
 
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
 
 def scan_licenses(docs: DataFrame, *, text: str = "text", with_places: bool = False) -> DataFrame:
-    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels and score of each whole text.
+    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score, required and choices of each whole text.
 
     n_base counts every place of a base phrase; first_word and last_word are the least and greatest word number
     of those places (null without any).  labels also holds those of the other notices and of tag expressions.
-    score is 1 for a well-formed tag expression, else hits / (hits + 1).  with_places adds every place found.
-    A row in, a row out; no shuffle.  Null and empty texts have no words, labels "" and score 0.  Input columns
+    score is 1 for a well-formed tag expression, else hits / (hits + 1).  required holds the labels that bind whichever way the
+    text's tag expressions are chosen (notices bind), choices the other labels: MIT OR GPL-2.0 requires nothing and offers
+    gpl,mit.  with_places adds every place found.
+    A row in, a row out; no shuffle.  Null and empty texts have no words, labels, required and choices "" and score 0.  Input columns
     with a result's name are replaced.
     """
 
@@ -170,19 +176,19 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", with_places: bool = Fa
                 if any(x in s for x in _HINTS):
                     spaced = " " + s.decode("utf-8", "replace").strip(" ") + " "
                     got = scan_words(spaced, column[r0 + i].as_py())
-                    if got[6]:
+                    if got[8]:
                         found[r0 + i] = got
-        rows = [found.get(i, (0, None, None, "", "", 0.0, [])) for i in range(n)]
+        rows = [found.get(i, (0, None, None, "", "", 0.0, "", "", [])) for i in range(n)]
         out = [pa.array(words)] + [pa.array([r[k] for r in rows], t) for k,
-            t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()))]
+            t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.string()))]
         if with_places:
             kind = pa.list_(pa.struct([("word", pa.int64()), ("phrase", pa.string())]))
-            out.append(pa.array([[{"word": w, "phrase": p} for w, p in r[6]] for r in rows], kind))
+            out.append(pa.array([[{"word": w, "phrase": p} for w, p in r[8]] for r in rows], kind))
         return out
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_base", T.LongType()), T.StructField("first_word", T.LongType()),
         T.StructField("last_word", T.LongType()), T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()),
-        T.StructField("score", T.DoubleType())]
+        T.StructField("score", T.DoubleType()), T.StructField("required", T.StringType()), T.StructField("choices", T.StringType())]
     if with_places:
         fields.append(T.StructField("places", T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("phrase", T.StringType())]))))
     return append_columns(docs, fields, run)

@@ -61,7 +61,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of every text."""
     scanned = licenses.scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "required", "choices")
 
 
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -365,9 +365,39 @@ def test_license_scan(spark):
             places[-1] if places else None, labels), t
         assert 0 <= r["score"] <= 1
     assert got[6]["labels"] == "apache,bsd,mit" and got[7]["labels"] == "gpl" and got[8]["score"] < 1 and got[2]["labels"] == "cc-by,cc-by-nc"
+    value = lambda k: (got[k]["required"], got[k]["choices"])
+    assert value(6) == ("bsd", "apache,mit") and value(7) == ("gpl", "") and value(0) == ("mit", "") and value(4) == value(5) == value(8) == ("", "")
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_license_values_equal_all_choices(spark):
+    """Random expressions against the list of every way to choose: what binds is in all of them."""
+    draw = random.Random(4)
+    names = {"MIT": "mit", "Apache-2.0": "apache", "GPL-3.0-only": "gpl", "BSD-2-Clause": "bsd", "ISC": "isc", "LGPL-2.1+": "lgpl"}
+
+    def make(depth):
+        """An expression, its ways, and the binding strength of its outermost operator."""
+        if depth == 0 or draw.random() < 0.25:
+            name = draw.choice(list(names))
+            if draw.random() < 0.2:
+                return f"{name} WITH x-exception", [{names[name]}], 3
+            return name, [{names[name]}], 4
+        op, strength = draw.choice((("OR", 1), ("and", 2)))
+        sides = [make(depth - 1), make(depth - 1)]
+        texts = [f"({t})" if s < strength or draw.random() < 0.3 else t for t, _, s in sides]
+        (_, a, _), (_, b, _) = sides
+        return f"{texts[0]} {op} {texts[1]}", a + b if op == "OR" else [x | y for x in a for y in b], strength
+
+    made = [make(draw.randrange(5)) for _ in range(300)]
+    docs = spark.createDataFrame([(k, f"x\n# SPDX-License-Identifier: {t}\ny") for k, (t, _, _) in enumerate(made)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["required"], r["choices"]) for r in licenses.scan_licenses(docs).collect()}
+    for k, (t, ways, _) in enumerate(made):
+        every, binding = set().union(*ways), set.intersection(*ways)
+        assert got[k] == tuple(",".join(sorted(x)) for x in (every, binding, every - binding)), t
+    two = spark.createDataFrame([(1, "SPDX-License-Identifier: MIT OR ISC\nSPDX-License-Identifier: ISC\nall under the Apache License")], "doc_id long, text string")
+    assert [tuple(r) for r in licenses.scan_licenses(two).select("labels", "required", "choices").collect()] == [("apache,isc,mit", "apache,isc", "mit")]
+
+
 def test_long_license_texts_are_linear(spark):
     import time
 
