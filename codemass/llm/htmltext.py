@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -32,11 +33,27 @@ _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn",
     "meta", "link", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "big",
     "br", "button", "select", "option"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form"}
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|banner|menu|nav|navbar|navigation|sidebar|side-bar|breadcrumbs?"
-    r"|footer|masthead|site-header|comments?|disqus|respond|share|sharing|social|related|recommended|newsletter|subscribe|popup|modal|widget|toolbar|pagination|skip-link)(?:$|[\s_-])",
-    re.I,
+#: Words of class and id names that speak of furniture, and words that only say where or what kind of box it is.
+_WORDS = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo(?:s|tions?|ted|tional)?|cookies?|consent|gdpr|notices?|banners?|menus?|nav|navbar|navigation|sidebars?|breadcrumbs?"
+    r"|footer|masthead|comments?|disqus|respond|share|sharing|social|related|recommended|newsletters?|subscribe|popup|modal|widgets?|toolbar|pagination"
 )
+_PLACES = set("""site page main top bottom left right upper lower primary secondary global mobile desktop sticky box bar block section area wrap wrapper container
+    inner outer list item items link links button buttons icon icons slot unit posts post articles stories content body form signup sign up thread overlay
+    header panel group row column col toggle dropdown count reply author avatar label tabs region zone holder""".split())
+_WHOLE = {"site-header", "side-bar", "skip-link"}
+_CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "details", "fieldset", "center"}
+
+
+@lru_cache(4096)
+def _furniture(value: str) -> bool:
+    """Whether one of the names in a class or id is furniture as a whole: ``share-buttons`` is, ``promo-code`` and ``related-work`` are not."""
+    for name in value.lower().split():
+        parts = [x for x in re.split(r"[-_]+", name) if x and not x.isdigit()]
+        spoken = [x for x in parts if _WORDS.fullmatch(x)]
+        if name in _WHOLE or spoken and all(x in spoken or x in _PLACES for x in parts):
+            return True
+    return False
 
 
 class _Tags:
@@ -164,7 +181,10 @@ def _zone(name: str, attributes: str, zone: int) -> int:
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 return DROP
-            if key == "role" and value.lower() in _ROLES or key in ("class", "id") and name not in ("body", "html", "article", "main") and _NAMES.search(value):
+            if key == "role" and value.lower() in _ROLES:
+                return DROP
+            # an id of a heading or a text element is an anchor, made from its words
+            if (key == "class" and name not in ("body", "html", "article", "main") or key == "id" and name in _CONTAINERS) and _furniture(value):
                 return DROP
             if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return DROP

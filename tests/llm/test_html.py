@@ -102,3 +102,16 @@ def test_nulls_clashes_and_empty_tables(spark):
     rows = htmltext.extract(pages, ranges=3).collect()
     assert sorted(r["n_chars"] for r in rows) == [0, 0, 300_000] and {r["_range"] for r in rows} == {"r", None}
     assert htmltext.extract(pages.limit(0)).count() == 0
+
+
+def test_names_are_furniture_only_as_a_whole(spark):
+    kept = ['<h2 id="comments">Comments on design</h2>', '<h2 id="related-work">Related work</h2>', '<section class="promo-code"><p>How codes work</p></section>',
+        '<section id="comments-on-design"><p>Designs</p></section>', '<p id="notice">A word of notice</p>', '<div class="notice-period"><p>Two months</p></div>',
+        '<div class="main-content"><p>Body text</p></div>', '<p class="social-science">Science</p>', '<div class="cookie-recipe"><p>Flour</p></div>']
+    gone = ['<div class="comments">a1</div>', '<div id="related-posts">a2</div>', '<ul class="share-buttons">a3</ul>', '<div class="x ad-slot-2">a4</div>',
+        '<section id="newsletter_signup">a5</section>', '<div class="Cookie-Consent-Banner">a6</div>', '<div class="advertisement">a7</div>',
+        '<div class="side-bar">a8</div>', '<div class="sponsored-content">a9</div>']
+    page = f"<html><body><article>{''.join(x for pair in zip(kept, gone) for x in pair)}</article></body></html>"
+    pages = spark.createDataFrame([(1, "https://a.org/x", page)], SCHEMA)
+    want = ["Comments on design", "Related work", "How codes work", "Designs", "A word of notice", "Two months", "Body text", "Science", "Flour"]
+    assert htmltext.extract(pages).first()["text"].split("\n\n") == want
