@@ -6,8 +6,10 @@ import json
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RECORD = (
     "status string, scanned_at string, identity string, repository struct<name:string,sha:string,id:string>, analyzer struct<name:string,version:string,source_revision:string,canonical:boolean>,"
@@ -18,10 +20,30 @@ RECORD = (
 )
 
 
+def ordered(value: Column, kind: T.DataType, name: str) -> Column:
+    """``value`` with the keys of all structs and maps within it in order; a number that is not finite fails, under its name."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[ordered(value.getField(f.name), f.dataType, f"{name}.{f.name}").alias(f.name) for f in fields]))
+    if isinstance(kind, T.MapType):
+        entry = lambda k: F.struct(k.alias("key"), ordered(F.element_at(value, k), kind.valueType, f"{name}[]").alias("value"))
+        return F.map_from_entries(F.transform(F.array_sort(F.map_keys(value)), entry))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: ordered(x, kind.elementType, f"{name}[]"))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        odd = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+        return F.when(odd, F.raise_error(F.lit(f"{name} is not a finite number"))).otherwise(value)
+    return value
+
+
 def append(records: DataFrame, path: str) -> None:
-    """Adds records to a corpus folder as JSON lines with sorted keys; skipped ones are not kept."""
+    """Adds records to a corpus folder as JSON lines with sorted keys at every depth; skipped ones are not kept.
+
+    A record with a number that is not finite fails the batch, and a batch that fails adds no record.
+    """
     rows = records.where("status <> 'skipped'")
-    rows.select(*sorted(rows.columns)).write.mode("append").json(path)
+    fields = sorted(rows.schema.fields, key=lambda f: f.name)
+    rows.select(*[ordered(F.col(f.name), f.dataType, f.name).alias(f.name) for f in fields]).write.mode("append").json(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,13 +52,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _broken(line: Column) -> Column:
+    return (F.trim(line) != "") & (F.try_parse_json(line).isNull() | ~F.trim(line).startswith("{"))
+
+
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, lines, text): of each split of a corpus the number of the first line that is no JSON object, how many such lines it has,
+    and the first's first words.
+
+    Files are read in splits, in parallel; a split counts its lines where it is read, and the sums of the splits before it in
+    its file are added to its own line numbers.  What is shuffled is a row a split.  Blank lines are counted and not broken.
+    """
+    at = F.monotonically_increasing_id().alias("_id")  # follows the order of lines within a split
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), at)
+    bad = F.when(_broken(F.col("value")), F.struct("_id", F.substring("value", 1, 80).alias("text")))
+    splits = lines.groupBy("file", "_start").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"), F.count(bad).alias("lines"), F.min(bad).alias("_bad"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = splits.withColumn("line", before + F.col("_bad._id") - F.col("_first") + 1)
+    return numbered.where("lines > 0").select("file", "line", "lines", F.col("_bad.text").alias("text"))
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a corpus; a line that is no JSON fails the job, which names its file and its first words.  Blank lines are skipped."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_file")).where(F.trim("value") != "")
-    row = F.from_json("value", RECORD, {"mode": "PERMISSIVE"})
-    broken = F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{")
-    checked = F.when(broken, F.raise_error(F.concat(F.lit("not a JSON record in "), F.col("_file"), F.lit(": "), F.substring("value", 1, 80)))).otherwise(row)
-    return lines.select(checked.alias("r")).select("r.*")
+    """Records of a corpus; blank lines are skipped.  Lines that are no JSON objects are a ValueError that names the first's file and number."""
+    if bad := broken_lines(spark, path).orderBy("file", "line").first():
+        raise ValueError(f"not a JSON record: {bad['file']}, line {bad['line']}: {bad['text']}")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", RECORD, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
 def flat(records: DataFrame) -> DataFrame:
