@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codemass.functions.checkpoint import checkpointed
-from codemass.operators import classify, compare, corpus, metrics
+from codemass.operators import classify, compare, corpus, metrics, nearest
 from codemass.plans.proxies import frame
 from codemass.schema import ASSURANCE, AUDIT, CATEGORIES, ESSENTIAL, MACHINERY, PRODUCT
 
@@ -140,6 +140,12 @@ def neighbours_topk(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.neighbours(_queried(p), p).select("query", "rank", "repository", "sha", F.round("distance", 9).alias("distance"))
 
 
+def neighbours_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest nations of every nation in every year."""
+    p = _prints(spark, sf)
+    return nearest.nearest(p, p).select("query", "rank", "repository", "sha", F.round("distance", 9).alias("distance"))
+
+
 def neighbours_exclusions(spark: SparkSession, sf: str) -> DataFrame:
     """How many records each reason keeps from being neighbours."""
     p = _prints(spark, sf)
@@ -246,6 +252,10 @@ select snapshot_id, {_LINES.format("category <> 'documentation'")} total_lines,
  {_LINES.format("category in " + _in(MACHINERY))} machinery_lines, {_LINES.format("category in " + _in(ASSURANCE))} assurance_lines, {_LINES.format("category in " + _in(AUDIT))} audit_lines,
  {_LINES.format("category = 'meta-machinery'")} meta_lines, {_LINES.format("category <> 'documentation' and value_distance >= 4")} far_lines, 0::int max_audit_depth from {{components}} group by snapshot_id))"""
 
+_NEIGHBOURS = f"""with f as ({_FULL}), p as (select q.identity query, c.repository, c.sha, {_DISTANCE} d from f q, f c where {{only}} lower(q.repository) <> lower(c.repository) and c.model = q.model),
+ b as (select * from p qualify row_number() over (partition by query, repository order by d, sha) = 1)
+select query, row_number() over (partition by query order by d, repository, sha)::int as "rank", repository, sha, round(d, 9) distance from b qualify row_number() over (partition by query order by d, repository, sha) <= 10"""
+
 QUERIES = {
     "composition_metrics": (composition_metrics, _METRICS.replace("direct_product_share * 0 + ", "")),
     "category_lines": (category_lines, "select snapshot_id, category, sum(code_lines)::bigint code_lines from {components} group by 1, 2"),
@@ -257,9 +267,8 @@ QUERIES = {
     "corpus_fingerprint": (corpus_fingerprint, _FINGER),
     "structural_distance_pairs": (structural_distance_pairs,
         f"with f as ({_FULL}) select q.identity query, c.identity candidate, round({_DISTANCE}, 9) distance from f q, f c where q.frame = 2000 and lower(q.repository) <> lower(c.repository) and c.model = q.model"),
-    "neighbours_topk": (neighbours_topk, f"""with f as ({_FULL}), p as (select q.identity query, c.repository, c.sha, {_DISTANCE} d from f q, f c where q.frame = 2000 and lower(q.repository) <> lower(c.repository) and c.model = q.model),
- b as (select * from p qualify row_number() over (partition by query, repository order by d, sha) = 1)
-select query, row_number() over (partition by query order by d, repository, sha)::int as "rank", repository, sha, round(d, 9) distance from b qualify row_number() over (partition by query order by d, repository, sha) <= 10"""),
+    "neighbours_topk": (neighbours_topk, _NEIGHBOURS.replace("{only}", "q.frame = 2000 and")),
+    "neighbours_all": (neighbours_all, _NEIGHBOURS.replace("{only}", "")),
     "neighbours_exclusions": (neighbours_exclusions,
         f"""with f as ({_FULL}) select q.identity query, case when c.identity = q.identity then 'same_identity' when c.repository = q.repository then 'same_repository' else 'measurement_mismatch' end reason, count(*) records
 from f q, f c where q.frame = 2000 and (c.repository = q.repository or c.model is null) group by 1, 2"""),
