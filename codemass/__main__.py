@@ -89,7 +89,7 @@ def sections(spark: SparkSession, a: argparse.Namespace) -> list[tuple[str, Data
     if a.command in ("atlas", "path", "journey"):
         s = scan.scan_folder(spark, a.path)
         if a.command == "journey":
-            return list(zip(("events", "stages", "warnings"), scan.data_journey(s, a.data), strict=True))
+            return list(scan.data_journey(s, a.data).items())
         found = scan.atlas(s, top_level=getattr(a, "top_level", "no_parent"))
         return [("capabilities", scan.atlas_reach(s, found))] if a.command == "atlas" else [
             ("paths", scan.value_path(s, found, a.capability)), ("steps", scan.value_path_steps(s, found, a.capability))]

@@ -58,6 +58,14 @@ def newer_siblings(paths: DataFrame) -> DataFrame:
     return rows.select("repository", "path", F.transform("_n", lambda n: n["path"]).alias("newer"))
 
 
+def superseded(paths: DataFrame) -> DataFrame:
+    """(repository, path): paths whose version family has a greater number; its greatest is enough to know."""
+    name, number = family("path")
+    members = paths.select("repository", "path", name.alias("family"), number.alias("number")).where("family is not null")
+    last = members.groupBy("repository", "family").agg(F.max("number").alias("_last"))
+    return members.join(last, ["repository", "family"]).where("number < _last").select("repository", "path").distinct()
+
+
 def status_of(active: Column, newer: Column, archive: Column, last_use: Column, machinery: Column, observed: Column, total: Column) -> Column:
     """A file's status, the first that fits."""
     return (
@@ -74,7 +82,7 @@ def status(frames: DataFrame) -> DataFrame:
     """(repository, path, category, code_lines, status, observed_frames, last_use, last_change) of the last frame's files."""
     ends = frames.groupBy("repository").agg(F.max("frame").alias("_end"), F.countDistinct("frame").alias("_total"))
     now = frames.join(ends, "repository").where("frame = _end").select(*KEY, "category", "code_lines", "active", "_total")
-    rows = now.join(usage(frames), KEY).join(newer_siblings(now.select(*KEY)), KEY, "left")
+    rows = now.join(usage(frames), KEY).join(superseded(now.select(*KEY)).withColumn("newer", F.lit(True)), KEY, "left")
     archive = (F.col("category") == "documentation") & F.lower("path").rlike("|".join(ARCHIVE_WORDS))
     value = status_of(F.col("active"), F.col("newer").isNotNull(), archive, F.col("last_use"), among("category", MACHINERY), F.col("observed_frames"),
         F.col("_total"))

@@ -61,8 +61,8 @@ def capability(capabilities: DataFrame, selector: str | None) -> DataFrame:
 
 
 def data_symbols(symbols: DataFrame) -> DataFrame:
-    """Symbols that describe data."""
-    return symbols.where(F.col("kind").isin(*DATA_KINDS))
+    """Symbols that describe data, by qualified name in any letter case, then by place."""
+    return symbols.where(F.col("kind").isin(*DATA_KINDS)).orderBy(F.lower("qualified_name"), "path", "start_line", "id")
 
 
 def data_symbol(symbols: DataFrame, selector: str | None) -> DataFrame:
@@ -70,4 +70,4 @@ def data_symbol(symbols: DataFrame, selector: str | None) -> DataFrame:
     needle = F.lower(F.lit(selector or ""))
     tiers = [("id", F.lower("id") == needle), ("qualified name", F.lower("qualified_name") == needle), ("name", F.lower("name") == needle),
         ("part", F.contains(F.lower("qualified_name"), needle))]
-    return pick(data_symbols(symbols), selector, tiers, "qualified_name")
+    return pick(symbols.where(F.col("kind").isin(*DATA_KINDS)), selector, tiers, "qualified_name")

@@ -23,9 +23,59 @@ def file_explorer(components: DataFrame, *, keep: int = 160) -> DataFrame:
 
 
 def symbol_explorer(symbols: DataFrame, *, keep: int = 180) -> DataFrame:
-    """Symbols worth a look: machinery first, then the farthest from value."""
+    """Symbols worth a look: machinery first, then the farthest from value, then the surest of their role (where it is given)."""
     rows = symbols.where("kind <> 'file'").withColumn("_m", among("category", MACHINERY))
-    return top(rows, [SNAP], [F.desc("_m"), F.desc(F.coalesce("value_distance", F.lit(0))), "path", "start_line", "id"], keep).drop("_m")
+    sure = [F.desc("role_confidence")] if "role_confidence" in symbols.columns else []
+    order = [F.desc("_m"), F.desc(F.coalesce("value_distance", F.lit(0))), *sure, "path", "start_line", "qualified_name", "id"]
+    return top(rows, [SNAP], order, keep).drop("_m")
+
+
+def chain_explorer(chains: DataFrame, symbols: DataFrame, *, keep: int = 8) -> DataFrame:
+    """(snapshot_id, rank, step, id, name, path, line, relationship): the deepest recursive chains, a row for each symbol on them.
+
+    ``relationship`` is the kind of the edge to the symbol before; the first step has none.  A symbol that is not known keeps its id.
+    """
+    best = top(chains, [SNAP], [F.desc("depth"), "symbol_ids"], keep)
+    steps = best.select(SNAP, "rank", F.posexplode("symbol_ids").alias("step", "id"), "relationships")
+    own = symbols.select(SNAP, "id", F.col("qualified_name").alias("name"), "path", F.col("start_line").alias("line"))
+    return steps.join(own, [SNAP, "id"], "left").select(SNAP, "rank", "step", "id", F.coalesce("name", "id").alias("name"), "path", "line",
+        F.when(F.col("step") > 0, F.get("relationships", F.col("step") - 1)).alias("relationship"))
+
+
+def edge_explorer(reached: DataFrame, edges: DataFrame, *, keep: int = 80) -> DataFrame:
+    """(snapshot_id, anchor, rank, source_id, target_id, kind, evidence, more): the first exact relationships among what each anchor
+    reaches; ``more`` is how many there are beyond these.
+
+    ``reached``: snapshot_id, anchor, id.  Anchors without relationships have no row.
+    """
+    exact = edges.where("resolution = 'exact' and target_id is not null").select(SNAP, F.col("source_id").alias("id"), "target_id", "kind", "evidence")
+    rows = reached.select(SNAP, "anchor", "id").distinct().join(exact, [SNAP, "id"]).withColumnRenamed("id", "source_id")
+    counts = rows.groupBy(SNAP, "anchor").agg(F.greatest(F.count("*") - keep, F.lit(0)).alias("more"))
+    return top(rows, [SNAP, "anchor"], ["source_id", "target_id", "kind", "evidence"], keep).join(counts, [SNAP, "anchor"]).select(SNAP,
+        "anchor", "rank", "source_id", "target_id", "kind", "evidence", "more")
+
+
+def chain_flags(components: DataFrame, chains: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(snapshot_id, path, on_deepest_chain): whether a symbol on one of the snapshot's deepest recursive chains lies in the file."""
+    deepest = chains.groupBy(SNAP).agg(F.max("depth").alias("depth")).where("depth > 0")
+    on = chains.join(deepest, [SNAP, "depth"]).select(SNAP, F.explode("symbol_ids").alias("id")).distinct()
+    paths = symbols.select(SNAP, "id", "path").join(on, [SNAP, "id"]).select(SNAP, "path").distinct().withColumn("on_deepest_chain", F.lit(True))
+    return components.select(SNAP, "path").join(paths, [SNAP, "path"], "left").fillna(False, ["on_deepest_chain"])
+
+
+def folder_flags(components: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(snapshot_id, folder, code_lines, files, is_inversion): what lies below each folder, at any depth, and whether it is inverted."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    below = components.where(F.size(parts) > 1).select(SNAP, "code_lines", F.explode(above).alias("folder"))
+    inverted = profiles.where("is_inversion").select(SNAP, F.col("path").alias("folder"), "is_inversion")
+    sums = below.groupBy(SNAP, "folder").agg(F.sum("code_lines").alias("code_lines"), F.count("*").alias("files"))
+    return sums.join(inverted, [SNAP, "folder"], "left").fillna(False, ["is_inversion"])
+
+
+def semantic_chains(chains: DataFrame, *, keep: int = 50) -> DataFrame:
+    """The recursive chains that a record keeps: the deepest of each snapshot, then by their symbols."""
+    return top(chains, [SNAP], [F.desc("depth"), "symbol_ids"], keep)
 
 
 def diagnostic_explorer(diagnostics: DataFrame, *, keep: int = 50) -> DataFrame:

@@ -139,7 +139,7 @@ _STATUS = series_queries._STATUS
 
 QUERIES = {
     "file_explorer": (file_explorer, f'select (row_number() over o)::int as "rank", path, category, value_distance from {{components}} window o as (order by {_MACHINE} desc, value_distance desc, code_lines desc, path) qualify row_number() over o <= 160'),
-    "symbol_explorer": (symbol_explorer, f"select (row_number() over o)::int as \"rank\", id, (start_line % 7)::int value_distance from {{symbols}} where kind <> 'file' window o as (order by {_MACHINE} desc, start_line % 7 desc, path, start_line, id) qualify row_number() over o <= 180"),
+    "symbol_explorer": (symbol_explorer, f"select (row_number() over o)::int as \"rank\", id, (start_line % 7)::int value_distance from {{symbols}} where kind <> 'file' window o as (order by {_MACHINE} desc, start_line % 7 desc, path, start_line, qualified_name, id) qualify row_number() over o <= 180"),
     "folder_files": (folder_files, """with f as (select path, code_lines, unnest([split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2), split_part(path, '/', 1) || '/' || split_part(path, '/', 2) || '/' || split_part(path, '/', 3)]) folder from {components})
 select folder, (row_number() over o)::int as "rank", path, code_lines from f window o as (partition by folder order by code_lines desc, path) qualify row_number() over o <= 40"""),
     "file_symbols": (file_symbols, "select path, (row_number() over o)::int as \"rank\", id from {symbols} where kind <> 'file' window o as (partition by path order by start_line, qualified_name, id) qualify row_number() over o <= 30"),

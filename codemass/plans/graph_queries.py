@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codemass.operators import compare, metabolism, metrics, references, resolve, searches, surfaces, traverse
+from codemass.operators import compare, journeys, metabolism, metrics, references, resolve, searches, surfaces, traverse
+from codemass.plans import explore, measure_queries
 from codemass.plans.proxies import frame
 from codemass.schema import AUDIT, BASE_DISTANCE, MACHINERY, PRODUCT, RECURSIVE
 
@@ -241,16 +242,52 @@ select g snapshot_id, k::int as "rank", name, symbol_id, evidence from (select *
  from (select *, regexp_extract(path, '([0-9]+)', 1)::bigint n from (""" + _HREFS + """)) group by 1, 2)) where k <= 200"""
 
 
-def journey_stages(spark: SparkSession, sf: str) -> DataFrame:
-    """How many exact calls reach each stage of every class."""
+def _typed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every class, symbols of which three in four have a lifecycle verb, and their links."""
     s = frame(spark, sf, "symbols").withColumn("name",
         F.when(F.col("start_line") % 4 == 0, "saveAll").when(F.col("start_line") % 4 == 1, "normalize_it").when(F.col("start_line") % 4 == 2,
             "emit").otherwise(F.col("name")))
-    edges = frame(spark, sf, "links")
-    types = s.where("kind = 'class'").select("snapshot_id", F.col("id").alias("type_id"))
+    return s.where("kind = 'class'").select("snapshot_id", F.col("id").alias("type_id")), s, frame(spark, sf, "links")
+
+
+def journey_stages(spark: SparkSession, sf: str) -> DataFrame:
+    """How many exact calls reach each stage of every class."""
+    types, s, edges = _typed(spark, sf)
     return surfaces.journey_stages(surfaces.journeys(types, s, edges), types).select("type_id", "role", "events")
 
 
+def journey_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Every exact call in the journey of every class, with both ends, trust and evidence."""
+    types, s, edges = _typed(spark, sf)
+    return journeys.events(surfaces.journeys(types, s, edges), s).drop("snapshot_id", "relationship")
+
+
+def journey_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every class's members with a role, and whether an exact call reaches them."""
+    return journeys.boundaries(*_typed(spark, sf)).drop("snapshot_id")
+
+
+def recursive_chain_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The fifty deepest recursive chains."""
+    chains, _ = traverse.recursive_chains(frame(spark, sf, "symbols"), frame(spark, sf, "links"), budget=None)
+    return explore.semantic_chains(chains).select("rank", "depth", F.array_join("symbol_ids", ">").alias("chain"))
+
+
+def edge_explorer(spark: SparkSession, sf: str) -> DataFrame:
+    """The first eighty exact relationships of every class and what it contains."""
+    types, _, edges = _typed(spark, sf)
+    own = types.withColumnRenamed("type_id", "anchor")
+    inside = edges.where("kind = 'contains' and resolution = 'exact'").select("snapshot_id", F.col("source_id").alias("anchor"), F.col("target_id").alias("id"))
+    reached = own.withColumn("id", F.col("anchor")).union(inside.where("id is not null").join(own, ["snapshot_id", "anchor"], "left_semi"))
+    return explore.edge_explorer(reached, edges).drop("snapshot_id")
+
+
+def map_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines, files and inversion of every folder of components."""
+    c = frame(spark, sf, "components")
+    return explore.folder_flags(c, metrics.directory_profiles(c)).select("folder", "code_lines", "files", "is_inversion")
+
+
 _STAGES = """
 with s as (select *, case start_line % 4 when 0 then 'persisted' when 1 then 'transformed' when 2 then 'emitted' end r0 from {symbols}), t as (select id from s where kind = 'class'),
  m as (select distinct l.source_id ty, s.id, case when s.kind = 'constructor' then 'created' else r0 end r from {links} l join s on s.id = l.target_id and s.kind <> 'file' where l.kind = 'contains' and l.resolution = 'exact'),
@@ -259,6 +296,29 @@ with s as (select *, case start_line % 4 when 0 then 'persisted' when 1 then 'tr
 select t.id type_id, x.r as role, count(c.ty) events from t cross join (select unnest(['created', 'transformed', 'persisted', 'emitted']) r) x left join c on c.ty = t.id and c.r = x.r group by 1, 2"""
 
 
+_VERBS = "case start_line % 4 when 0 then 'saveAll' when 1 then 'normalize_it' when 2 then 'emit' else name end v"
+_TYPED = _STAGES[: _STAGES.index(",\n c as (")].replace("select *,", f"select *, {_VERBS},", 1)
+_EVENTS = _TYPED + """,
+ c as (select ty type_id, r as role, l.source_id, l.target_id, min_by(l.evidence, l.edge_seq) ev from {links} l join e on e.tgt = l.target_id where l.kind = 'calls' and l.resolution = 'exact' group by all)
+select type_id, role, source_id, target_id, a.path source_path, a.start_line source_line, a.qualified_name source_name, b.path target_path, b.start_line target_line, b.qualified_name target_name,
+ case when target_id = type_id then 'exact-call-to-data-type' else 'exact-call-to-lifecycle-member; role-from-member-name' end trust,
+ case when target_id = type_id then ev || '; exact call resolves to selected ' || b.kind
+  else ev || '; exact call resolves to contained member ' || chr(39) || b.qualified_name || chr(39) || '; role derived from member name ' || chr(39) || b.v || chr(39) end evidence
+from c join s a on a.id = source_id join s b on b.id = target_id"""
+_BOUNDARIES = _TYPED + """
+select ty type_id, r as role, m.id, path, start_line line, qualified_name as name, 'exact member containment; lifecycle verb ' || chr(39) || v || chr(39) evidence,
+ m.id in (select target_id from {links} where kind = 'calls' and resolution = 'exact' and target_id is not null and source_id in (select id from s)) called
+from m join s on s.id = m.id where r is not null and ty in (select id from t)"""
+_EDGES_OF = """
+with x as (select source_id, target_id, kind, evidence from {links} where resolution = 'exact' and target_id is not null), t as (select id from {symbols} where kind = 'class'),
+ r as (select id anchor, id from t union select source_id, target_id from x where kind = 'contains' and source_id in (select id from t)),
+ n as (select anchor, source_id, target_id, x.kind, evidence, row_number() over (partition by anchor order by source_id, target_id, x.kind, evidence) k, count(*) over (partition by anchor) c from r join x on x.source_id = r.id)
+select anchor, k::int as "rank", source_id, target_id, kind, evidence, greatest(c - 80, 0)::bigint more from n where k <= 80"""
+_FOLDERS = f"""
+with p as (select unnest([array_to_string(string_split(path, '/')[1:n], '/') for n in range(1, len(string_split(path, '/')))]) folder, code_lines, category from {{components}})
+select folder, sum(code_lines)::bigint code_lines, count(*) files, folder in (select path from ({measure_queries._PROFILED}) where is_inversion) is_inversion from p group by folder"""
+
+
 def literal_references(spark: SparkSession, sf: str) -> DataFrame:
     """Paths that texts name, with the form they use: files of a tree of odd names mention each other rightly and wrongly."""
     paths = frame(spark, sf, "tree").select("snapshot_id", F.concat_ws("/", "branch", "twig", "leaf").alias("path"))
@@ -361,6 +421,12 @@ select case when r.s is null then 'added' when a.s is null then 'removed' else '
     "page_routes": (page_routes, _HREFS),
     "capability_dedup": (capability_dedup, _MERGED),
     "journey_stages": (journey_stages, _STAGES),
+    "journey_events": (journey_events, _EVENTS),
+    "journey_boundaries": (journey_boundaries, _BOUNDARIES),
+    "recursive_chain_topk": (recursive_chain_topk,
+        _CALLERS + """ select row_number() over (order by len(ids) desc, ids)::int as "rank", (len(ids) - 1)::int as "depth", array_to_string(ids, '>') chain from c qualify row_number() over (order by len(ids) desc, ids) <= 50"""),
+    "edge_explorer": (edge_explorer, _EDGES_OF),
+    "map_folders": (map_folders, _FOLDERS),
     "use_evidence": (use_evidence, _USE),
     "literal_references": (literal_references, _NAMED),
 }

@@ -195,11 +195,15 @@ def _value_path(s: Scan, capabilities: DataFrame, selector: str | None, max_dept
     return traverse.strongest_paths(calls, roots, s.symbols, max_depth=max_depth), s.symbols, calls
 
 
-def data_journey(s: Scan, selector: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events, stages and warnings of the selected data type."""
+def data_journey(s: Scan, selector: str | None) -> dict[str, DataFrame]:
+    """Events, stages, boundaries, warnings and the number of calls looked at, of the selected data type."""
     types = select.data_symbol(s.symbols, selector).select(SNAP, F.col("id").alias("type_id"))
-    events = checkpointed(surfaces.journeys(types, s.symbols, s.edges))
-    return events, surfaces.journey_stages(events, types), surfaces.journey_warnings(events, types, s.symbols, s.edges)
+    found = checkpointed(surfaces.journeys(types, s.symbols, s.edges))
+    return {
+        "events": journeys.events(found, s.symbols), "stages": surfaces.journey_stages(found, types),
+        "boundaries": journeys.boundaries(types, s.symbols, s.edges), "examined": journeys.examined(types, s.edges),
+        "warnings": surfaces.journey_warnings(found, types, s.symbols, s.edges),
+    }
 
 
 def record(s: Scan, names: DataFrame, *, version: str, revision: str) -> DataFrame:

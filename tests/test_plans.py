@@ -45,10 +45,14 @@ def test_atlas_and_value_path(spark, scanned):
 
 def test_data_journey(spark, scanned):
     _, s = scanned
-    events, stages, warnings = scan.data_journey(s, "record")
-    assert [(r["role"], r["source_id"]) for r in events.collect()] == [("created", "src/cli.py::work@8")]
-    assert {r["role"]: r["events"] for r in stages.collect()} == {"created": 1, "transformed": 0, "persisted": 0, "emitted": 0}
-    assert warnings.count() == 2
+    found = scan.data_journey(s, "record")
+    assert [(r["role"], r["source_id"], r["trust"]) for r in found["events"].collect()] == [("created", "src/cli.py::work@8", "exact-call-to-data-type")]
+    assert {r["role"]: r["events"] for r in found["stages"].collect()} == {"created": 1, "transformed": 0, "persisted": 0, "emitted": 0}
+    assert found["warnings"].count() == 2
+    idle = found["boundaries"].collect()
+    assert idle and not any(r["called"] for r in idle) and idle[0]["evidence"].startswith("exact member containment; lifecycle verb")
+    exact = s.edges.where("kind = 'calls' and resolution = 'exact' and target_id is not null").count()
+    assert [r["exact_calls_examined"] for r in found["examined"].collect()] == [exact]
 
 
 def test_selector_tiers(spark):
