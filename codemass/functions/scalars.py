@@ -83,6 +83,7 @@ def family(path: Column | str) -> tuple[Column, Column]:
     """The version family of a path and its number in it; nulls if the name has none."""
     from codemass.functions.text import file_name, parent
 
+    # Fixed value: names that carry a version number.
     pattern = r"(?i)^(.*(?:release|stage|migration|migrate|schema|version|upgrade|v)[_-]?)(\d{2,})(.*)$"
     name = file_name(path)
     suffix = F.regexp_extract(name, r"(?<=.)(\.[^.]+)$", 1)

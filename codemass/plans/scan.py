@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codemass.functions import scalars
 from codemass.functions.checkpoint import checkpointed
-from codemass.operators import classify, compare, corpus, layout, metabolism, metrics, references, resolve, select, surfaces, traverse
+from codemass.operators import classify, compare, corpus, journeys, layout, metabolism, metrics, references, resolve, select, surfaces, traverse
 from codemass.sources import parse, records, trees
 
 SNAP = "snapshot_id"

@@ -54,7 +54,7 @@ def test_data_symbols_come_by_name_in_any_letter_case(spark):
 
 
 def test_superseded_is_whether_there_is_a_newer_sibling(spark):
-    paths = [(r, f"ops/release_{n}_{k}.sh") for r in ("x", "y") for n in (1, 2, 2, 30) for k in ("a", "b") if (r, n) != ("y", 30)] + [("x", "plain.sh")]
+    paths = [(r, f"ops/release_{n:02d}_{k}.sh") for r in ("x", "y") for n in (1, 2, 2, 30) for k in ("a", "b") if (r, n) != ("y", 30)] + [("x", "plain.sh")]
     rows = spark.createDataFrame(paths, "repository string, path string")
     want = {tuple(r) for r in metabolism.newer_siblings(rows).select("repository", "path").collect()}
     got = metabolism.superseded(rows).collect()
