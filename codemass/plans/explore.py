@@ -73,9 +73,9 @@ def folder_flags(components: DataFrame, profiles: DataFrame) -> DataFrame:
     return sums.join(inverted, [SNAP, "folder"], "left").fillna(False, ["is_inversion"])
 
 
-def semantic_chains(chains: DataFrame, *, keep: int = 50) -> DataFrame:
-    """The recursive chains that a record keeps: the deepest of each snapshot, then by their symbols."""
-    return top(chains, [SNAP], [F.desc("depth"), "symbol_ids"], keep)
+def semantic_chains(chains: DataFrame, *, keep: int = 50, by: str = "symbol_ids") -> DataFrame:
+    """The recursive chains that a record keeps: the deepest of each snapshot, then by their symbols (or the codes of these)."""
+    return top(chains, [SNAP], [F.desc("depth"), by], keep)
 
 
 def diagnostic_explorer(diagnostics: DataFrame, *, keep: int = 50) -> DataFrame:

@@ -31,8 +31,9 @@ with recursive e as (select a, b from {pairs} where a <> b union select b, a fro
 
 def audit_chain_depth(spark: SparkSession, sf: str) -> DataFrame:
     """The deepest chain of machinery upon machinery over each product component."""
-    chains, _ = traverse.audit_chains(frame(spark, sf, "components"), frame(spark, sf, "edges"), budget=None)
-    return chains.groupBy("root").agg(F.max("depth").alias("max_depth"))
+    chains, names, _ = traverse.audit_chain_codes(frame(spark, sf, "components"), frame(spark, sf, "edges"))
+    deep = chains.groupBy(F.col("codes")[0].alias("code")).agg(F.max("depth").alias("max_depth"))
+    return deep.join(names, "code").select(F.col("id").alias("root"), "max_depth")
 
 
 def _levels(first: str, grow: str, depth: int) -> str:
@@ -52,9 +53,8 @@ with e as (select distinct src, dst from {{edges}}), k as (select path, category
 
 def audit_chain_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The 25 deepest chains that begin no longer one."""
-    c = frame(spark, sf, "components")
-    chains, _ = traverse.audit_chains(c, frame(spark, sf, "edges"), budget=None)
-    return traverse.top_chains(chains, c).select("rank", "depth", "total_lines", F.array_join("paths", " > ").alias("chain"))
+    chains, names, _ = traverse.audit_chain_codes(frame(spark, sf, "components"), frame(spark, sf, "edges"))
+    return traverse.top_chain_codes(chains, names).select("rank", "depth", "total_lines", F.array_join("paths", " > ").alias("chain"))
 
 
 def audit_budget(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,8 +77,9 @@ with recursive e as (select a, b from {_EXACT} union select b, a from {_EXACT}),
 
 def recursive_chain_depth(spark: SparkSession, sf: str) -> DataFrame:
     """The deepest recursive chain over each product symbol."""
-    chains, _ = traverse.recursive_chains(frame(spark, sf, "symbols"), frame(spark, sf, "links"), budget=None)
-    return chains.groupBy("root").agg(F.max("depth").alias("max_depth"), F.count("*").alias("chains"))
+    chains, names, _ = traverse.recursive_chain_codes(frame(spark, sf, "symbols"), frame(spark, sf, "links"))
+    deep = chains.groupBy(F.col("codes")[0].alias("code")).agg(F.max("depth").alias("max_depth"), F.count("*").alias("chains"))
+    return deep.join(names, "code").select(F.col("id").alias("root"), "max_depth", "chains")
 
 
 _CALLERS = f"""
@@ -269,8 +270,9 @@ def journey_boundaries(spark: SparkSession, sf: str) -> DataFrame:
 
 def recursive_chain_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The fifty deepest recursive chains."""
-    chains, _ = traverse.recursive_chains(frame(spark, sf, "symbols"), frame(spark, sf, "links"), budget=None)
-    return explore.semantic_chains(chains).select("rank", "depth", F.array_join("symbol_ids", ">").alias("chain"))
+    chains, names, _ = traverse.recursive_chain_codes(frame(spark, sf, "symbols"), frame(spark, sf, "links"))
+    best = explore.semantic_chains(traverse.with_snapshot(chains, names), by="codes")
+    return traverse.decoded(best.drop("snapshot_id"), names, "symbol_ids").select("rank", "depth", F.array_join("symbol_ids", ">").alias("chain"))
 
 
 def edge_explorer(spark: SparkSession, sf: str) -> DataFrame:

@@ -52,3 +52,42 @@ def test_no_calls_and_no_roots(spark):
     calls, roots = spark.createDataFrame([], CALLS), spark.createDataFrame([("s", "a")], "snapshot_id string, node string")
     assert [(r["ids"], r["depth"]) for r in traverse.strongest_paths(calls, roots, symbols).collect()] == [(["a"], 0)]
     assert traverse.strongest_paths(calls, roots.limit(0), symbols).count() == 0
+
+
+def _machine_graph(spark):
+    """Product and machinery symbols with parallel edges and cycles; some have several least paths to choose from."""
+    n = 24
+    category = lambda k: ("core-product", "testing", "verification", "audit-provenance")[k % 4]
+    s = spark.createDataFrame([("s", f"n{k:02d}", f"n{k:02d}", category(k), "function", k) for k in range(n)],
+        "snapshot_id string, id string, path string, category string, kind string, code_lines int")
+    e = [("s", f"n{(k * 5 + j) % n:02d}", f"n{k:02d}", ("calls", "imports", "inherits")[(k + j + p) % 3], "exact", (k * 7919 + j * 31 + p * 1009) % 10007)
+        for k in range(n) for j in range(3) for p in range(2)]
+    return s, spark.createDataFrame(e, "snapshot_id string, source_id string, target_id string, kind string, resolution string, edge_seq bigint")
+
+
+def test_coded_chains_equal_budgeted_ones(spark):
+    """Without a budget chains are kept as numbers, a shuffle a level; they and their account equal those under a budget that never ends."""
+    from pyspark.sql import functions as F
+
+    s, e = _machine_graph(spark)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    whole, spent = traverse.recursive_chains(s, e, max_depth=5, budget=10**9)
+    coded, again = traverse.recursive_chains(s, e, max_depth=5, budget=None)
+    columns = ["snapshot_id", "root", "symbol_ids", "relationships", "depth"]
+    assert rows(coded.select(columns)) == rows(whole.select(columns)) and coded.count() > 50
+    assert rows(again) == rows(spent)
+    g = e.select("snapshot_id", F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    whole, spent = traverse.audit_chains(s, g, max_depth=4, budget=10**9)
+    coded, again = traverse.audit_chains(s, g, max_depth=4, budget=None)
+    columns = ["snapshot_id", "root", "paths", "depth"]
+    assert rows(coded.select(columns)) == rows(whole.select(columns)) and rows(again) == rows(spent)
+    codes, names, _ = traverse.audit_chain_codes(s, g, max_depth=4)
+    columns += ["total_lines", "rank"]
+    for keep in (3, 10**6):
+        assert rows(traverse.top_chain_codes(codes, names, keep=keep).select(columns)) == rows(traverse.top_chains(whole, s, keep=keep).select(columns))
+
+
+def test_chain_rows_hold_numbers(spark):
+    """What a level keeps and shuffles of a chain are numbers of symbols and edges."""
+    codes, _, _ = traverse.recursive_chain_codes(*_machine_graph(spark), max_depth=3)
+    assert dict(codes.dtypes)["codes"] == "array<int>"
