@@ -210,7 +210,10 @@ PRODUCT_FOLDERS = ("src", "source", "sources", "app", "apps", "service", "servic
 
 def path_role(path: Column | str) -> Column:
     """The role that a path names by itself, by the first category that fits; null if none."""
-    found = gram_tokens(path)
+    return _role_of(gram_tokens(path))
+
+
+def _role_of(found: Column) -> Column:
     tests = [F.when(F.arrays_overlap(found, F.array(*map(F.lit, words))), F.lit(c)) for c, words in PATH_ROLES.items()]
     return F.coalesce(*tests)
 
@@ -233,6 +236,12 @@ def local_scores(name_tokens: Column, body_tokens: Column) -> Column:
     return F.array_compact(F.array(*[one(k, c, w) for k, (c, w) in enumerate(ROLE_WORDS.items())]))
 
 
+def _settled(rows: DataFrame, **made: Column) -> DataFrame:
+    """``rows`` with columns that are worked out once a row, whatever reads them: a generator's output is no expression to repeat."""
+    one = F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("_one")
+    return rows.select("*", one).select(*rows.columns, *[F.col(f"_one.{k}").alias(k) for k in made])
+
+
 def refine_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """``symbols`` with category, role_confidence and role_source refined.
 
@@ -240,20 +249,25 @@ def refine_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
     name another purpose that is no machinery.  Machinery stays only where a symbol's own words clearly say so; else it
     is product under a product folder and support elsewhere.  ``files``: snapshot_id, path, lines_of (array<string>).
     """
-    joined = symbols.join(files.select(SNAP, "path", F.col("lines_of").alias("_lines")), [SNAP, "path"], "left")
+    # symbols are spread over tasks before they meet their files' lines, which are left out of that shuffle
+    spread = symbols.repartition(symbols.sparkSession.sparkContext.defaultParallelism)
+    joined = spread.join(files.select(SNAP, "path", F.col("lines_of").alias("_lines")), [SNAP, "path"], "left")
     lines = F.coalesce("_lines", F.array().cast("array<string>"))
-    named = F.array_union(gram_tokens("name"), gram_tokens("qualified_name"))
-    body = gram_tokens(snippet(lines, F.col("start_line"), F.col("end_line")))
-    ranked = F.array_sort(F.transform(local_scores(named, body),
+    # names and bodies are cut into tokens once
+    joined = _settled(joined, _named=F.array_union(gram_tokens("name"), gram_tokens("qualified_name")),
+        _body=gram_tokens(snippet(lines, F.col("start_line"), F.col("end_line"))), _at=gram_tokens("path"), _above=gram_tokens(parent("path"))).drop("_lines")
+    joined = _settled(joined, _scores=local_scores(F.col("_named"), F.col("_body")), _path=_role_of(F.col("_at")),
+        _product=F.arrays_overlap("_above", F.array(*map(F.lit, PRODUCT_FOLDERS)))).drop("_named", "_body", "_at", "_above")
+    ranked = F.array_sort(F.transform("_scores",
             lambda s: F.struct((-s["score"]).alias("o"), s["rank"].alias("rank"), s["category"].alias("category"), s["score"].alias("score"))))
-    joined = joined.withColumn("_r", ranked).withColumns(
-        {"_path": path_role("path"), "_best": F.try_element_at("_r", F.lit(1)), "_next": F.coalesce(F.try_element_at("_r", F.lit(2))["score"], F.lit(0.0))})
+    joined = _settled(joined, _r=ranked).drop("_scores").withColumns(
+        {"_best": F.try_element_at("_r", F.lit(1)), "_next": F.coalesce(F.try_element_at("_r", F.lit(2))["score"], F.lit(0.0))})
     best, score = F.col("_best.category"), F.col("_best.score")
     clear = F.coalesce((score >= 5.0) & (score - F.col("_next") >= 0.5), F.lit(False))
     machine = among("category", MACHINERY)
     own_product = ~machine & clear & ~among(best, MACHINERY)
     own_machine = machine & clear & among(best, MACHINERY)
-    fallback = F.when(product_folder("path"), "core-product").otherwise("essential-support")
+    fallback = F.when(F.col("_product"), "core-product").otherwise("essential-support")
     is_file, by_path = F.col("kind") == "file", F.col("_path").isNotNull()
 
     def choose(file, path, own_p, keep, own_m, fall) -> Column:

@@ -92,6 +92,14 @@ def test_symbol_roles(spark):
     assert role("lib/a.py", "a.py", "testing", kind="file") == ("testing", "file-classification", 1.0)
 
 
+def test_symbol_roles_cut_words_once(spark):
+    """Each text of a symbol is cut into tokens once, whatever reads them: name, qualified name, body, path and folder."""
+    s = spark.createDataFrame([("s", "i", "src/a.py", "python", "function", "x", "x", 1, 1, None, "testing")], SYMBOLS)
+    f = spark.createDataFrame([("s", "src/a.py", ["x"])], "snapshot_id string, path string, lines_of array<string>")
+    plan = classify.refine_symbols(s, f)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("regexp_extract_all(") <= 5 * 9
+
+
 def test_index_run(spark, tmp_path):
     import tarfile
 
