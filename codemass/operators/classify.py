@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codemass.functions.spread import spread
 from codemass.functions.text import gram_tokens, mentions, normal_path, parent, phrase_hit, snippet, tokens
 from codemass.schema import MACHINERY, PRODUCT, among
 
@@ -172,7 +173,8 @@ def declared(paths: DataFrame, overrides: DataFrame) -> DataFrame:
     rules = rules.select(normal_path("prefix").alias("prefix"), "category", "seq")
     parts = F.split(normal_path("path"), "/")
     begins = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    cut = paths.select(SNAP, "path", F.explode(begins).alias("prefix"))
+    # each path's beginnings stay in its task, so that the groups below need no sort of all of them in one
+    cut = spread(paths.select(SNAP, "path"), SNAP, "path").select(SNAP, "path", F.explode(begins).alias("prefix"))
     return cut.join(rules, "prefix").groupBy(SNAP, "path").agg(F.max_by("category", F.struct(F.length("prefix"), -F.col("seq"))).alias("declared"))
 
 
@@ -250,7 +252,7 @@ def refine_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
     is product under a product folder and support elsewhere.  ``files``: snapshot_id, path, lines_of (array<string>).
     """
     # symbols are spread over tasks before they meet their files' lines, which are left out of that shuffle
-    spread = symbols.repartition(symbols.sparkSession.sparkContext.defaultParallelism)
+    spread = spread(symbols)
     joined = spread.join(files.select(SNAP, "path", F.col("lines_of").alias("_lines")), [SNAP, "path"], "left")
     lines = F.coalesce("_lines", F.array().cast("array<string>"))
     # names and bodies are cut into tokens once
