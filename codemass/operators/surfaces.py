@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codemass.functions.scalars import member_role
+from codemass.functions.spread import spread
 from codemass.functions.text import file_name, lines_of, strip
 from codemass.operators import traverse
 from codemass.schema import JOURNEY_ROLES
@@ -106,6 +107,8 @@ def nearest_symbol(places: DataFrame, symbols: DataFrame, *, after_lines: int =
     inner = symbols.where("kind not in ('file', 'module', 'namespace')").select(
         *at, "name", F.col("qualified_name").alias("_q"), F.col("start_line").alias("_a"), width.alias("_w"), F.col("id").alias("_id")
     )
+    # the first of each place is found in parts, a task each, before the parts meet
+    inner = spread(inner)
     one = F.min(F.struct("_w", "_q", "_id")).alias("_s")
     line, start, size = F.col("line"), F.col("_a"), F.col("_s._w")
 
@@ -141,13 +144,14 @@ def module_symbol(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
     on = [SNAP, "callable", "_end"]
     last = F.element_at(F.split("qualified_name", r"\."), -1)
     both_names = F.array("name", F.when(F.col("qualified_name").contains("."), last).otherwise(F.col("name")))
-    named = symbols.where(F.col("path").endswith(".py")).select(SNAP, "id", "path", "parent_id", F.explode(F.array_distinct(both_names)).alias("callable"))
+    named = spread(symbols.where(F.col("path").endswith(".py"))).select(SNAP, "id", "path", "parent_id", F.explode(F.array_distinct(both_names)).alias("callable"))
     asked = wanted.select(SNAP, "module", "callable").distinct().withColumn("_end", F.concat(F.replace("module", F.lit("."), F.lit("/")), F.lit(".py")))
     sizes = asked.select(SNAP, "callable", F.length("_end").alias("_size")).distinct()
     cut = named.join(sizes, [SNAP, "callable"]).where(F.col("_size") <= F.length("path")).withColumn("_end", F.right("path", F.col("_size")))
     top = F.when(F.col("parent_id").isNull(), F.col("id"))
-    counted = cut.groupBy(*on).agg(F.countDistinct("id").alias("_n"), F.min("id").alias("_id"), F.countDistinct(top).alias("_m"), F.min(top).alias("_top"))
-    answer = F.when(F.col("_n") == 1, F.col("_id")).when(F.col("_m") == 1, F.col("_top"))
+    # one symbol is all there is where the least is the greatest
+    counted = cut.groupBy(*on).agg(F.min("id").alias("_id"), F.max("id").alias("_last"), F.min(top).alias("_top"), F.max(top).alias("_last_top"))
+    answer = F.when(F.col("_id") == F.col("_last"), F.col("_id")).when(F.col("_top") == F.col("_last_top"), F.col("_top"))
     picked = asked.join(counted, on).select(SNAP, "module", "callable", answer.alias("symbol_id"))
     return wanted.join(picked, [SNAP, "module", "callable"], "left")
 
