@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codemass.functions import scalars, text
+from codemass.functions.spread import spread
 from codemass.operators import classify
 from codemass.plans.proxies import frame
 
@@ -66,7 +67,8 @@ _COUNT = lambda ws: " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) //
 def classify_argmax(spark: SparkSession, sf: str) -> DataFrame:
     """The purpose of every document as a file, and of every component by its path."""
     docs = frame(spark, sf, "files").select("snapshot_id", "path", F.lit("markdown").alias("language"), "text")
-    parts = frame(spark, sf, "part").select(
+    # rows of few bytes, many words to look for in each
+    parts = spread(frame(spark, sf, "part")).select(
         F.lit("docs").alias("snapshot_id"), F.concat(
             F.element_at(F.array(*map(F.lit, _FOLDERS)), (F.col("p_partkey") % len(_FOLDERS) + 1).cast("int")), F.lit("/"),
             F.replace("p_name", F.lit(" "), F.lit("_")), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"),
