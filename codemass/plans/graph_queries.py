@@ -125,7 +125,7 @@ def hub_reach(spark: SparkSession, sf: str) -> DataFrame:
 def boundary_reach(spark: SparkSession, sf: str) -> DataFrame:
     """How many components each test component reaches, itself included."""
     roots = frame(spark, sf, "components").where("category = 'testing'").select("snapshot_id", F.col("path").alias("search"), F.col("path").alias("node"))
-    return searches.searches(frame(spark, sf, "edges"), roots)[1].select(F.col("search").alias("boundary"), "reached")
+    return searches.reached(frame(spark, sf, "edges"), roots).select(F.col("search").alias("boundary"), "reached")
 
 
 def dependency_resolve(spark: SparkSession, sf: str) -> DataFrame:

@@ -88,3 +88,16 @@ def test_references_name_their_boundaries(spark, tmp_path):
     assert {(r["path"], r["source"]) for r in plain.where("kind = 'boundary_path_references'").collect()} == {x[:2] for x in got}
     rows = plans.use_evidence(s)
     assert rows.where("kind = 'boundary_path_references' and boundary is null").isEmpty() and rows.where("kind = 'static_path_references' and boundary is not null").isEmpty()
+
+
+def test_numbers_reached_are_told_by_components(spark):
+    draw = random.Random(5)
+    edges = [(draw.choice("tu"), f"n{draw.randrange(60)}", f"n{draw.randrange(60)}") for _ in range(150)]
+    edges += [("r", f"x{i}", f"x{(i + 1) % 40}") for i in range(40)] + [("r", "x3", "tail"), ("r", "head", "x9"), ("t", None, "n1"), ("t", "n1", "n1"), edges[0]]
+    starts = [(snap, f"q{i}", f"n{draw.randrange(65)}") for snap in "tu" for i in range(70) for _ in range(draw.choice((1, 1, 3)))]
+    starts += [("r", f"x{i}", f"x{i}") for i in range(40)] + [("r", "head", "head"), ("r", "tail", "tail"), ("v", "q", "lone"), ("t", None, "n1")]
+    got = [tuple(r) for r in searches.reached(spark.createDataFrame(edges, EDGES).repartition(3), spark.createDataFrame(starts, ROOTS)).collect()]
+    want = {(s, q, len(met)) for (s, q), met in brute(edges, starts).items()}
+    assert len(got) == len(want) and set(got) == want
+    ring = spark.createDataFrame([(i, (i + 1) % 40) for i in range(40)] + [(3, 100), (100, 101), (50, 51), (51, 50), (3, 50)], "src long, dst long")
+    assert {tuple(r) for r in searches.components(ring).collect()} == {(i, 39) for i in range(40)} | {(50, 51), (51, 51)}
