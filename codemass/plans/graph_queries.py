@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codemass.functions.spread import spread
 from codemass.operators import compare, journeys, metabolism, metrics, references, resolve, searches, surfaces, traverse
 from codemass.plans import explore, measure_queries
 from codemass.plans.proxies import frame
@@ -328,7 +329,7 @@ def literal_references(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("run "), F.array_join(F.sort_array(F.collect_list("mention")), "; sh "), F.lit("\n")).alias("text"))
     files = paths.join(texts, ["snapshot_id", "path"], "left")
     # texts come out of a small shuffle; their words are spread over tasks again
-    files = files.repartition(spark.sparkContext.defaultParallelism, "path")
+    files = spread(files, "path")
     return references.literal_references(files).select("src", "dst", "form")
 
 

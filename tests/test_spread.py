@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from codemass.operators import classify, surfaces
-from codemass.plans import text_queries
+from codemass.plans import graph_queries, text_queries
 
 SYMBOLS = "snapshot_id string, id string, path string, language string, kind string, name string, qualified_name string, start_line int, end_line int, parent_id string"
 
@@ -39,3 +39,15 @@ def test_parts_are_spread_before_words_are_looked_for(spark, tmp_path):
     spark.createDataFrame([(1, "a b")], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
     spark.createDataFrame([(1, "x", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert "Repartition" in _plan(text_queries.classify_argmax(spark, str(tmp_path)))
+
+
+def test_texts_are_spread_over_as_many_tasks_as_a_shuffle_has(spark, tmp_path):
+    spark.createDataFrame([(k, "a b", "Brand#1", "X", 1) for k in range(10)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(
+        str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(k, 1) for k in range(10)], "l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        assert "RepartitionByExpression [path" in (plan := _plan(graph_queries.literal_references(spark, str(tmp_path)))) and ", 7" in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
