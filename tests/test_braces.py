@@ -121,3 +121,17 @@ def test_nulls_empties_and_broken_texts(spark):
     }
     assert {r["path"] for r in rows if r["kind"] == "file"} == {"a.go", "b.go", "c.go", "d.go", "e.go", "f.lua"}
     assert braces.rows_of(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_texts_are_not_written_and_deep_names_are_whole(spark, monkeypatch):
+    written, keep = [], braces.checkpointed
+    monkeypatch.setattr(braces, "checkpointed", lambda df: written.append(df.columns) or keep(df))
+    flat = ("a.java", "java", "class A {\n  void m() { f(); }\n}\n")
+    rows = rows_of(spark, [flat])
+    assert ("a.java", "A.m", 2, 2) in symbols(rows) and edges(rows, "calls") == {("a.java", "A.m", "f")}
+    assert len(written) == 1 and "text" not in written[0]
+    deep = "".join(f"class C{i} {{\n" for i in range(5)) + "void m() { f(); }\n" + "}\n" * 5
+    rows = rows_of(spark, [flat, ("b.java", "java", deep), ("c.java", "java", "class A { class B { void n() { g(); } } ")])
+    assert ("b.java", "C0.C1.C2.C3.C4.m", 6, 6) in symbols(rows) and ("c.java", "A.B.n", 1, 1) in symbols(rows)
+    assert edges(rows, "calls") == {("a.java", "A.m", "f"), ("b.java", "C0.C1.C2.C3.C4.m", "f"), ("c.java", "A.B.n", "g")}
+    assert [r["path"] for r in rows if r["row"] == "diagnostic"] == ["c.java"]
