@@ -187,7 +187,8 @@ def normal_target(target: Column | str) -> Column:
     t = F.regexp_replace(F.regexp_replace(F.trim(col(target)), r"^[;(){}\[\]]+|[;(){}\[\]]+$", ""), "::|->", ".")
     t = F.regexp_replace(t, r"(?U)\s+", " ")
     last = F.regexp_replace(F.element_at(F.split(F.trim(t), " "), -1), r"^\.+|\.+$", "")
-    return F.when(t.rlike("^(?:import|from|using|open|use) "), t).otherwise(last)
+    # plain names are what they are; expressions on texts cost more than joins
+    return F.when(col(target).rlike(r"^\w+(?:\.\w+)*$"), col(target)).when(t.rlike("^(?:import|from|using|open|use) "), t).otherwise(last)
 
 
 def normal_module(target: Column | str) -> Column:

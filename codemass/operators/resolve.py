@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codemass.functions.checkpoint import checkpointed
+from codemass.functions.spread import spread
 from codemass.functions.text import col, import_targets, module_aliases, normal_module, normal_path, normal_target, parent, tail
 
 SNAP = "snapshot_id"
+#: Entries of a relation that may be handed to all tasks.
+_HELD = 400_000
 
 
 def _candidates(path: Column | str, raw: Column | str) -> Column:
@@ -57,10 +61,40 @@ def resolve_imports(edges: DataFrame, symbols: DataFrame, dependencies: DataFram
     return picked.select(SNAP, "edge_seq", F.col("_f.id").alias("target_id"), F.when(F.col("_n") == 1, "exact").otherwise("probable").alias("resolution"))
 
 
-def _first(symbols: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key: how many symbols, and the first by path, line and name.  Candidates are counted before any join."""
-    return symbols.groupBy(*keys).agg(F.count("*").alias("_n"),
-        F.min(F.struct("path", "start_line", "qualified_name", "id")).alias("_f")).select(*keys, "_n", F.col("_f.id").alias("_id"))
+def _counted(rows: DataFrame, keys: list[str], n: Column) -> DataFrame:
+    """For each key: how many symbols, and the first by path, line and name."""
+    return rows.groupBy(SNAP, "target", *keys).agg(F.sum(n).alias("_n"), F.min("_f").alias("_f"))
+
+
+def _held(rows: DataFrame, entries: Column) -> DataFrame:
+    """``rows``, which hold few entries each: small ones are handed to all tasks, others are left to a shuffle."""
+    rows = checkpointed(rows)
+    return F.broadcast(rows) if rows.agg(F.sum(1 + entries)).first()[0] in range(_HELD + 1) else rows
+
+
+def _answers(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What symbols answer to names: by (name, path) and by name.  Candidates are counted before any edge is joined.
+
+    A name in a path has ``_own``, the one symbol of a bare name there, and ``_of``, the one symbol by language of a dotted name and by
+    parent of a bare one; a name has ``_by``, the first symbol by language and whether it is the only one of a dotted name, and ``_any``, the first.
+    """
+    inner = spread(symbols.where("kind <> 'file'").select(SNAP, "id", "path", "language", "name", "qualified_name", "start_line", "parent_id"))
+    refs = F.concat(F.array("qualified_name", "name"),
+        F.transform(module_aliases("path"), lambda m: F.regexp_replace(F.concat(m, F.lit("."), F.col("qualified_name")), r"^\.+|\.+$", "")))
+    dotted = F.col("target").contains(".")
+    by_ref = inner.withColumn("target", F.explode(F.array_distinct(F.transform(F.filter(refs, lambda r: r != ""), normal_target)))).where(dotted).distinct()
+    by_name = inner.withColumn("target", F.explode(F.array_distinct(F.array("name", "qualified_name")))).where(~dotted & (F.col("target") != ""))
+    every = by_ref.union(by_name).select(SNAP, "target", "path", "language", F.coalesce("parent_id", F.lit("\x00")).alias("parent_id"),
+        F.struct("path", "start_line", "qualified_name", "id").alias("_f"))
+    every = checkpointed(_counted(every, ["path", "language", "parent_id"], F.lit(1)))
+    n, first, one = F.col("_n"), F.col("_f.id"), F.col("_n") == 1
+    entries = lambda test, key, value: F.map_from_entries(F.collect_list(F.when(test & F.col(key).isNotNull(), F.struct(key, value))))
+    of = every.withColumn("_key", F.when(dotted, F.col("language")).otherwise(F.col("parent_id")))
+    here = _counted(of, ["path", "_key"], n).groupBy(SNAP, "target", "path").agg(entries(one, "_key", first).alias("_of"), F.sum("_n").alias("_n"), F.min("_f").alias("_f"))
+    here = here.select(SNAP, "target", "path", F.when(~dotted & one, first).alias("_own"), "_of").where("_own is not null or size(_of) > 0")
+    known = F.struct(first.alias("id"), (dotted & one).alias("exact"))
+    there = _counted(every, ["language"], n).groupBy(SNAP, "target").agg(entries(F.lit(True), "language", known).alias("_by"), F.min("_f").alias("_f"))
+    return _held(here, F.size("_of")), _held(there.select(SNAP, "target", "_by", first.alias("_any")), F.size("_by"))
 
 
 def resolve_names(edges: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -68,41 +102,22 @@ def resolve_names(edges: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Dotted names: one symbol of that reference in the file is exact, else one of the language is exact, else the first of
     the language, or of all, is probable.  Bare names: one within the same parent is exact, else one in the file; one or
-    more of the language, or of any, make the first probable.  Names that nothing answers are unresolved.
+    more of the language, or of any, make the first probable.  Names that nothing answers are unresolved.  Edges are read once
+    and meet their sources, then what their names mean in a path, then what they mean anywhere.
     """
-    inner = symbols.where("kind <> 'file'").select(SNAP, "id", "path", "language", "name", "qualified_name", "start_line", "parent_id")
-    refs = F.concat(F.array("qualified_name", "name"),
-        F.transform(module_aliases("path"), lambda m: F.regexp_replace(F.concat(m, F.lit("."), F.col("qualified_name")), r"^\.+|\.+$", "")))
-    by_ref = inner.withColumn("target", F.explode(F.array_distinct(F.transform(F.filter(refs, lambda r: r != ""), normal_target)))).distinct()
-    by_name = inner.withColumn("target", F.explode(F.array_distinct(F.array("name", "qualified_name"))))
-    source = symbols.select(SNAP, F.col("id").alias("source_id"), F.col("path").alias("path"), "language", "parent_id")
+    here, there = _answers(symbols)
+    source = spread(symbols.select(SNAP, F.col("id").alias("source_id"), F.col("path").alias("path"), "language", "parent_id"), SNAP, "source_id")
     wants = edges.where("target_id is null and kind <> 'contains'").join(source, [SNAP, "source_id"]).select(SNAP, "edge_seq", "path", "language",
-        "parent_id", normal_target("target_name").alias("target"))
-
-    def pick(rows: DataFrame, candidates: DataFrame, tiers: list[tuple[list[str], bool, bool]]) -> DataFrame:
-        out, answer = rows, F.lit(None).cast("struct<id:string,resolution:string>")
-        for k, (keys, _, _) in enumerate(tiers):
-            c = _first(candidates, [SNAP, "target", *keys])
-            c = c.select(SNAP, "target", *[F.coalesce(x, F.lit("\x00")).alias(x) if x == "parent_id" else F.col(x) for x in keys],
-                F.col("_n").alias(f"_n{k}"), F.col("_id").alias(f"_id{k}"))
-            out = out.join(c, [SNAP, "target", *keys], "left")
-        for k, (_, one_only, exact) in reversed(list(enumerate(tiers))):
-            n = F.col(f"_n{k}")
-            value = lambda how, k=k: F.struct(F.col(f"_id{k}").alias("id"), F.lit(how).alias("resolution"))
-            if one_only:
-                answer = F.when(n == 1, value("exact")).otherwise(answer)
-            else:
-                answer = F.when((n == 1) & F.lit(exact), value("exact")).when(n >= 1, value("probable")).otherwise(answer)
-        return out.select(SNAP, "edge_seq", answer.alias("_r")).select(SNAP, "edge_seq", F.col("_r.id").alias("target_id"),
-            F.coalesce("_r.resolution", F.lit("unresolved")).alias("resolution"))
-
-    wants = wants.withColumn("parent_id", F.coalesce("parent_id", F.lit("\x00")))
-    dotted = wants.where(F.col("target").contains("."))
-    bare = wants.where(~F.col("target").contains(".") & (F.col("target") != ""))
-    empty = wants.where("target = ''").select(SNAP, "edge_seq", F.lit(None).cast("string").alias("target_id"), F.lit("unresolved").alias("resolution"))
-    a = pick(dotted, by_ref, [(["language", "path"], True, True), (["language"], False, True), ([], False, False)])
-    b = pick(bare, by_name, [(["path", "parent_id"], True, True), (["path"], True, True), (["language"], False, False), ([], False, False)])
-    return a.union(b).union(empty)
+        "parent_id", normal_target("target_name").alias("target")).where("target is not null")
+    met = wants.join(here, [SNAP, "target", "path"], "left").join(there, [SNAP, "target"], "left")
+    answer = lambda found, how: F.when(found.isNotNull(), F.struct(found.alias("id"), how.alias("resolution")))
+    exact, probable = F.lit("exact"), F.lit("probable")
+    key = F.when(F.col("target").contains("."), F.col("language")).otherwise(F.coalesce("parent_id", F.lit("\x00")))
+    tongue = F.try_element_at("_by", F.col("language"))
+    tiers = [answer(F.try_element_at("_of", key), exact), answer(F.col("_own"), exact), answer(tongue["id"], F.when(tongue["exact"], exact).otherwise(probable)),
+        answer(F.col("_any"), probable)]
+    return met.select(SNAP, "edge_seq", F.coalesce(*tiers).alias("_r")).select(SNAP, "edge_seq", F.col("_r.id").alias("target_id"),
+        F.coalesce("_r.resolution", F.lit("unresolved")).alias("resolution"))
 
 
 def resolve_relationships(edges: DataFrame, symbols: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
