@@ -55,26 +55,50 @@ def meanings(form: Column, source: Column) -> Column:
     A form is the path from the root, or the shortest path from the source's folder, either with './' before it unless
     that is a path that begins with a dot.  So '..' parts lead a form or are none of it.
     """
-    plain = F.regexp_replace(form, r"^\./", "")
-    folders = F.filter(F.split(parent(source), "/"), lambda p: p != "")
-    depth = F.size(folders)
+    return F.array_distinct(F.array_compact(F.array(*_meanings(form, source))))
+
+
+def _folder(path: Column) -> Column:
+    """``parent`` without expressions: what stands before the last slash."""
+    return F.when(path.contains("/"), F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)).otherwise("")
+
+
+def _meanings(form: Column, source: Column) -> tuple[Column, Column]:
+    """The path from the root that a form may mean, and another one or null; only forms that go up are taken apart."""
+    plain, own = F.when(form.startswith("./"), F.substring(form, 3, 2**31 - 1)).otherwise(form), _folder(source)
+    folders = F.filter(F.split(own, "/"), lambda p: p != "")
     up = (F.length(F.regexp_extract(form, r"^((?:\.\./)*)", 1)) / 3).cast("int")
-    below = F.when(~form.startswith("./") | ~plain.startswith("."), F.concat_ws("/", F.when(depth > 0, parent(source)), plain))
+    # a source in no folder means the same from there; slashes alone are no folder
+    placed = F.length(F.replace(own, F.lit("/"), F.lit(""))) > 0
+    below = F.when(placed & (~form.startswith("./") | ~plain.startswith(".")), F.concat_ws("/", own, plain))
     rest = F.substring(form, up * 3 + 1, F.length(form))
-    left = depth - up
+    left = F.size(folders) - up
     # the shortest way does not go up from a folder only to come back into it
     shortest = (left >= 0) & (F.split(rest, "/")[0] != F.try_element_at(folders, left + 1))
     above = F.when(shortest, F.array_join(F.concat(F.slice(folders, 1, F.greatest(left, F.lit(0))), F.array(rest)), "/"))
-    return F.array_distinct(F.array_compact(F.array(plain, F.when(up > 0, above).otherwise(below))))
+    return plain, F.when(form.startswith("../"), above).otherwise(below)
+
+
+def _slashes(path: Column) -> Column:
+    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
 
 
 def _plain_forms(texts: DataFrame, paths: DataFrame) -> DataFrame:
-    """(snapshot_id, src, form): words, and their endings that hold a slash, whose last part is the name of a file."""
+    """(snapshot_id, src, form, _deep): words, and their endings that hold a slash, whose last part is the name of a file, beside how many
+    slashes paths of that name have.
+
+    A form is as long as the path that it means, with or without './' before it, or shorter by the source's folders; only
+    words that go up are cut at each slash.
+    """
     rows = texts.select(SNAP, F.col("path").alias("src"), F.explode(F.array_distinct(_words(F.col("text")))).alias("_word"))
-    names = paths.select(SNAP, file_name("path").alias("_name")).distinct()
-    rows = rows.withColumn("_name", F.substring_index("_word", "/", -1)).join(names, [SNAP, "_name"], "left_semi")
+    deep = paths.select(SNAP, F.substring_index("path", "/", -1).alias("_name"), _slashes(F.col("path")).alias("_deep")).distinct()
+    rows = rows.withColumn("_name", F.substring_index("_word", "/", -1)).join(deep, [SNAP, "_name"])
+    d, n, own = F.col("_deep"), _slashes(F.col("_word")), _slashes(F.col("src"))
+    cuts = F.when(F.col("_word").contains("../"), F.sequence(F.lit(0), n)).otherwise(F.array(d, d + 1, d - own, d - own + 1))
+    rows = rows.select(SNAP, "src", "_word", "_deep", n.alias("_n"), F.explode(cuts).alias("_k"))
     # an ending without a slash would be a bare name at the end of another path, so only the whole word counts there
-    return rows.withColumn("form", F.explode(_endings(F.col("_word")))).where("form = _word or contains(form, '/')").select(SNAP, "src", "form")
+    rows = rows.where("_k = _n or _k between 1 and _n")
+    return rows.select(SNAP, "src", F.expr("substring_index(_word, '/', -(_k + 1))").alias("form"), "_deep")
 
 
 def _shapes(odd: DataFrame) -> DataFrame:
@@ -163,8 +187,10 @@ def literal_references(files: DataFrame, sources: Column | None = None) -> DataF
     forms = _plain_forms(texts, paths)
     odd = paths.where(~F.col("path").rlike(f"^{WORD}$"))
     if not odd.isEmpty():
-        forms = forms.unionByName(_odd_forms(texts, checkpointed(odd)))
-    meant = forms.select(SNAP, "src", "form", F.explode(meanings(F.col("form"), F.col("src"))).alias("dst")).where("src <> dst")
+        forms = forms.unionByName(_odd_forms(texts, checkpointed(odd)), allowMissingColumns=True)
+    meant = forms.select(SNAP, "src", "form", "_deep", F.explode(F.array(*_meanings(F.col("form"), F.col("src")))).alias("dst")).where("src <> dst")
+    # what is deeper or flatter than paths of its name meets none
+    meant = meant.where(F.col("_deep").isNull() | (F.col("_deep") == _slashes(F.col("dst")))).drop("_deep")
     hits = meant.join(paths.withColumnRenamed("path", "dst"), [SNAP, "dst"])
     return hits.groupBy(SNAP, "src", "dst").agg(F.min_by("form", F.struct(-F.length("form"), F.col("form"))).alias("form"))
 

@@ -96,3 +96,16 @@ def test_odd_names_are_evidence_of_use(spark):
     got = {(r["source"], r["path"], r["kind"]) for r in references.use(files).collect()}
     assert got == {(".github/workflows/ci.yml", "tools/build all.sh", "static_path_references"),
         ("tools/build all.sh", "web/[id]/x.js", "boundary_path_references"), ("tools/build all.sh", "tools/web/[id]/x.js", "boundary_path_references")}
+
+
+def test_endings_that_can_mean_no_path_are_not_made(spark):
+    """Forms are as deep as the paths that they mean: a word in a deep folder gives few, and every way to name a file is still found."""
+    paths = ["a/b/c/d/x.py", "a/b/c/d/y.py", "d/x.py", "x.py", "a/x.py", "a/b/z.py", ".hid/x.py"]
+    texts = {"a/b/c/d/y.py": "q/a/b/c/d/x.py ./x.py", "a/b/z.py": "../x.py ./c/d/x.py k/./d/x.py", "x.py": "./a/x.py .hid/x.py ./.hid/x.py", "a/x.py": "b/../x.py b/z.py"}
+    files = spark.createDataFrame([("s", p, texts.get(p, "")) for p in paths], "snapshot_id string, path string, text string")
+    got = {(r["src"], r["dst"], r["form"]) for r in references.literal_references(files).collect()}
+    assert got == {("a/b/c/d/y.py", "a/b/c/d/x.py", "a/b/c/d/x.py"), ("a/b/c/d/y.py", "d/x.py", "d/x.py"), ("a/b/c/d/y.py", "x.py", "./x.py"),
+        ("a/b/z.py", "a/x.py", "../x.py"), ("a/b/z.py", "a/b/c/d/x.py", "./c/d/x.py"), ("a/b/z.py", "d/x.py", "./d/x.py"),
+        ("x.py", "a/x.py", "./a/x.py"), ("x.py", ".hid/x.py", "./.hid/x.py"), ("a/x.py", "x.py", "../x.py"), ("a/x.py", "a/b/z.py", "b/z.py")}
+    texts = files.where("path = 'a/b/c/d/y.py'")
+    assert references._plain_forms(texts, files.select("snapshot_id", "path").where("path = 'a/b/c/d/x.py'")).count() <= 3
