@@ -252,8 +252,7 @@ def refine_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
     is product under a product folder and support elsewhere.  ``files``: snapshot_id, path, lines_of (array<string>).
     """
     # symbols are spread over tasks before they meet their files' lines, which are left out of that shuffle
-    spread = spread(symbols)
-    joined = spread.join(files.select(SNAP, "path", F.col("lines_of").alias("_lines")), [SNAP, "path"], "left")
+    joined = spread(symbols).join(files.select(SNAP, "path", F.col("lines_of").alias("_lines")), [SNAP, "path"], "left")
     lines = F.coalesce("_lines", F.array().cast("array<string>"))
     # names and bodies are cut into tokens once
     joined = _settled(joined, _named=F.array_union(gram_tokens("name"), gram_tokens("qualified_name")),

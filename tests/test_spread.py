@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from codemass.operators import classify, surfaces
 from codemass.plans import graph_queries, text_queries
@@ -35,6 +36,14 @@ def test_one_file_is_spread(spark, query):
     assert "Repartition" in _plan(df)
 
 
+def test_symbols_are_spread_before_they_are_refined(spark):
+    s = _symbols(spark).withColumn("category", F.lit("core-product"))
+    files = spark.createDataFrame([("s", "a/b.py", ["def f():", "  verify checksum"])], "snapshot_id string, path string, lines_of array<string>")
+    df = classify.refine_symbols(s, files)
+    assert {(r["id"], r["category"], r["role_source"]) for r in df.collect()} == {(k, "core-product", "file-seed-preserved") for k in "ij"}
+    assert "Repartition" in _plan(df)
+
+
 def test_parts_are_spread_before_words_are_looked_for(spark, tmp_path):
     spark.createDataFrame([(1, "a b")], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
     spark.createDataFrame([(1, "x", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
