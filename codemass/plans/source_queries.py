@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codemass.functions.checkpoint import checkpointed
 from codemass.functions.spread import spread
 from codemass.plans.proxies import frame
-from codemass.sources import parse
+from codemass.sources import braces
 
 #: Of each of four languages: suffix, first line, a function (its number, what it calls), last line.  Strings and comments hold braces.
 _FORMS = (
@@ -26,20 +25,13 @@ def brace_symbols(spark: SparkSession, sf: str) -> DataFrame:
     pick = lambda made: F.coalesce(*[F.when(kind == k, made(*form[1:])) for k, form in enumerate(_FORMS)])
     number = lambda c: F.col(c).cast("string")
     line = lambda x, first, f, last: F.concat(F.lit(f[0]), x["l_linenumber"].cast("string"), F.lit(f[1]), x["l_partkey"].cast("string"), F.lit(f[2]))
-    # numbers are shuffled once; a file's text is made, and cut again, where its lines have met
-    lines = spread(lines.withColumn("path", F.concat(F.lit("o"), number("l_orderkey"))), "path")
-    orders = lines.groupBy("path", "l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("f"))
+    # numbers are shuffled once; a file's text is made, and walked, where its lines have met
+    orders = spread(lines, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("f"))
     text = pick(lambda first, f, last: F.concat(F.lit(first[0]), number("l_orderkey"), F.lit(first[1]), F.array_join(F.transform("f", lambda x: line(x, first, f, last)), ""), F.lit(last)))
     language = F.element_at(F.array(*[F.lit(form[0]) for form in _FORMS]), (kind + 1).cast("int"))
-    files = checkpointed(orders.select(F.lit("orders").alias("snapshot_id"), "path", language.alias("language"), text.alias("text"),
-            (F.size("f") * 3 + 2).cast("int").alias("lines")))
-    rows = parse.parsed(files)
-    # a symbol and its calls meet in one group; of the symbols, one row has each id
-    symbol, call = F.col("row") == "symbol", F.col("row") == "edge"
-    rows = rows.where("row = 'symbol' and kind <> 'file' or row = 'edge' and kind = 'calls'")
-    both = rows.groupBy("path", "id").agg(F.max(F.when(symbol, F.struct("kind", "qualified_name", "start_line", "end_line"))).alias("s"),
-        F.count_if(call).alias("calls"), F.min(F.when(call, F.col("target_name"))).alias("first_call"))
-    return both.where("s is not null").select("path", "s.*", "calls", "first_call")
+    files = orders.select(F.lit("orders").alias("snapshot_id"), F.concat(F.lit("o"), number("l_orderkey")).alias("path"), language.alias("language"), text.alias("text"),
+        (F.size("f") * 3 + 2).cast("int").alias("lines"))
+    return braces.outlines(files).drop("snapshot_id")
 
 
 _SYMBOLS = """

@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from codemass.plans import source_queries
 from codemass.sources import braces, parse
 
 SCHEMA = "snapshot_id string, path string, language string, text string, lines int"
@@ -135,3 +136,22 @@ def test_texts_are_not_written_and_deep_names_are_whole(spark, monkeypatch):
     assert ("b.java", "C0.C1.C2.C3.C4.m", 6, 6) in symbols(rows) and ("c.java", "A.B.n", 1, 1) in symbols(rows)
     assert edges(rows, "calls") == {("a.java", "A.m", "f"), ("b.java", "C0.C1.C2.C3.C4.m", "f"), ("c.java", "A.B.n", "g")}
     assert [r["path"] for r in rows if r["row"] == "diagnostic"] == ["c.java"]
+
+
+def test_includes_of_cpp_are_imports(spark):
+    rows = rows_of(spark, [("a.cpp", "cpp", '#include <x.h>\n#  include "y.h"\nvoid f() { g(); }\n')])
+    assert {t for _, _, t in edges(rows, "imports")} == {"#include <x.h>", '# include "y.h"'} and edges(rows, "calls") == {("a.cpp", "f", "g")}
+
+
+def test_outlines_are_the_rows_and_meet_no_other_file(spark, tmp_path):
+    """Symbols with their calls come out of the walk, so the query shuffles numbers of lines once and writes nothing."""
+    sources = [("s", "a.java", "java", "class A { void m() { g(); f(); h(f()); } int m() { return 1; } }", 1), ("s", "b.go", "go", None, 0),
+        ("s", "c.ts", "typescript", "function a() {\n function b() { c(1);\n }\n}", 4), ("s", "d.lua", "lua", "f()", 1)]
+    files = spark.createDataFrame(sources, SCHEMA)
+    got = {(r["path"], r["qualified_name"], r["start_line"], r["end_line"], r["kind"], r["calls"], r["first_call"]) for r in braces.outlines(files).collect()}
+    assert got == {("a.java", "A", 1, 1, "class", 0, None), ("a.java", "A.m", 1, 1, "method", 4, "f"), ("c.ts", "a", 1, 4, "function", 0, None), ("c.ts", "a.b", 2, 3, "function", 1, "c")}
+    spark.createDataFrame([(o, n, o * n) for o in range(1, 9) for n in (1, 2)], "l_orderkey long, l_linenumber long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = source_queries.brace_symbols(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan and "ExistingRDD" not in plan
+    assert df.count() == 16 + 6
