@@ -78,9 +78,7 @@ with recursive e as (select a, b from {_EXACT} union select b, a from {_EXACT}),
 
 def recursive_chain_depth(spark: SparkSession, sf: str) -> DataFrame:
     """The deepest recursive chain over each product symbol."""
-    chains, names, _ = traverse.recursive_chain_codes(frame(spark, sf, "symbols"), frame(spark, sf, "links"))
-    deep = chains.groupBy(F.col("codes")[0].alias("code")).agg(F.max("depth").alias("max_depth"), F.count("*").alias("chains"))
-    return deep.join(names, "code").select(F.col("id").alias("root"), "max_depth", "chains")
+    return traverse.recursive_depths(frame(spark, sf, "symbols"), frame(spark, sf, "links"))
 
 
 _CALLERS = f"""

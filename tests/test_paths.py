@@ -7,6 +7,7 @@ import random
 import pytest
 
 from codemass.operators import traverse
+from codemass.plans import explore, graph_queries
 
 CALLS, SYMBOLS = "snapshot_id string, src string, dst string, edge_seq long", "snapshot_id string, id string, path string, category string, kind string, name string, qualified_name string, start_line int, end_line int"
 
@@ -93,6 +94,32 @@ def test_chain_rows_hold_numbers(spark):
     assert dict(codes.dtypes)["codes"] == "array<int>"
 
 
+def test_chains_are_followed_root_by_root(spark, monkeypatch):
+    """Depths, counts and the deepest chains of two snapshots equal those of all chains, and no level is written."""
+    from pyspark.sql import functions as F
+
+    s, e = _machine_graph(spark)
+    rest = F.substring("source_id", 2, 2).cast("int") % 4 > 1
+    s, e = s.union(s.withColumn("snapshot_id", F.lit("t"))), e.union(e.withColumn("snapshot_id", F.lit("t")).where(rest))
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    every, _ = traverse.recursive_chains(s, e, max_depth=7, budget=None)
+    every = every.localCheckpoint()
+    want = every.groupBy("snapshot_id", "root").agg(F.max("depth").alias("max_depth"), F.count("*").alias("chains"))
+    kept, write = [], traverse.checkpointed
+    monkeypatch.setattr(traverse, "checkpointed", lambda df: kept.append(df.schema.simpleString()) or write(df))
+    assert rows(traverse.recursive_depths(s, e, max_depth=7)) == rows(want.drop("snapshot_id")) and want.count() == 12
+    for keep in (1, 3, 10**6):
+        best, names = traverse.deepest_recursive(s, e, max_depth=7, keep=keep)
+        best = traverse.decoded(best, names, "symbol_ids")
+        top = lambda df: rows(explore.semantic_chains(df, keep=keep).select("snapshot_id", "rank", "depth", "symbol_ids"))  # noqa: B023, E731
+        assert top(best) == top(every) and (keep < 9 or best.count() == every.count())
+    alone = e.where("snapshot_id = 's'")
+    monkeypatch.setattr(graph_queries, "frame", lambda spark, sf, name: s.where("snapshot_id = 's'") if name == "symbols" else alone)
+    assert graph_queries.recursive_chain_depth(spark, "").count() == 6
+    assert kept and not any("array" in k for k in kept)
+    assert traverse.recursive_depths(s, e.where("false")).count() == 0
+
+
 def test_levels_of_paths_hold_numbers_alone(spark, monkeypatch):
     """Two snapshots with the same ids and other symbols: equal to all paths, and no level keeps a name or what may follow."""
     kept, write = [], traverse.checkpointed
