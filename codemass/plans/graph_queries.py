@@ -269,7 +269,7 @@ def journey_boundaries(spark: SparkSession, sf: str) -> DataFrame:
 
 def recursive_chain_topk(spark: SparkSession, sf: str) -> DataFrame:
     """The fifty deepest recursive chains."""
-    chains, names, _ = traverse.recursive_chain_codes(frame(spark, sf, "symbols"), frame(spark, sf, "links"))
+    chains, names = traverse.deepest_recursive(frame(spark, sf, "symbols"), frame(spark, sf, "links"), keep=50)
     best = explore.semantic_chains(traverse.with_snapshot(chains, names), by="codes")
     return traverse.decoded(best.drop("snapshot_id"), names, "symbol_ids").select("rank", "depth", F.array_join("symbol_ids", ">").alias("chain"))
 

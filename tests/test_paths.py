@@ -115,7 +115,7 @@ def test_chains_are_followed_root_by_root(spark, monkeypatch):
         assert top(best) == top(every) and (keep < 9 or best.count() == every.count())
     alone = e.where("snapshot_id = 's'")
     monkeypatch.setattr(graph_queries, "frame", lambda spark, sf, name: s.where("snapshot_id = 's'") if name == "symbols" else alone)
-    assert graph_queries.recursive_chain_depth(spark, "").count() == 6
+    assert graph_queries.recursive_chain_depth(spark, "").count() == 6 and graph_queries.recursive_chain_topk(spark, "").count() == 50
     assert kept and not any("array" in k for k in kept)
     assert traverse.recursive_depths(s, e.where("false")).count() == 0
 
