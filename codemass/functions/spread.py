@@ -1,4 +1,4 @@
-"""Rows of small files over many tasks."""
+"""Rows of small files over many tasks, and joins of large relations in small files."""
 
 from __future__ import annotations
 
@@ -11,3 +11,9 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     session = df.sparkSession
     parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
     return df.repartition(parts, *by)
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` so that joins shuffle it: a size that is guessed from compressed files may be a hundredth of its rows', which would all go
+    through the driver to every executor."""
+    return df.hint("merge")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codemass.functions.checkpoint import checkpointed
+from codemass.functions.spread import apart
 from codemass.functions.text import file_name, parent
 from codemass.operators.traverse import closure
 
@@ -208,7 +209,7 @@ def use(files: DataFrame, *, name_boundaries: bool = False) -> DataFrame:
     passing = files.where(passes_on("path")).select(SNAP, F.col("path").alias("node"))
     whose = F.col("src") if name_boundaries else F.lit("")
     first = direct.select(SNAP, whose.alias("boundary"), F.col("dst").alias("node")).distinct().join(passing, [SNAP, "node"], "left_semi")
-    reached = closure(refs, first, through=passing).join(passing, [SNAP, "node"], "left_semi").select(SNAP, "boundary", F.col("node").alias("src"))
+    reached = apart(closure(refs, first, through=passing).join(passing, [SNAP, "node"], "left_semi").select(SNAP, "boundary", F.col("node").alias("src")))
     row = lambda kind: [SNAP, F.col("dst").alias("path"), F.lit(kind).alias("kind"), F.col("src").alias("source"), F.col("form").alias("detail")]
     rows = direct.withColumn("boundary", F.lit(None).cast("string")).select(*row("static_path_references"), "boundary").unionByName(
         refs.join(reached, [SNAP, "src"]).select(*row("boundary_path_references"), "boundary"))

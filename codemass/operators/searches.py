@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codemass.functions.checkpoint import checkpointed
+from codemass.functions.spread import apart
 
 SNAP = "snapshot_id"
 _KEY = [SNAP, "node", "_word"]
@@ -117,7 +118,7 @@ def searches(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None
 def _search(edges: DataFrame, roots: DataFrame, max_depth: int | None, quota: int | None) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
     """Words of each level (snapshot_id, node, _word, _bits, hops), numbers of nodes by search, and the searches' names."""
     names = _numbered(roots)
-    e = checkpointed(edges.where("src <> dst").select(SNAP, F.col("src").alias("node"), "dst").distinct())
+    e = apart(checkpointed(edges.where("src <> dst").select(SNAP, F.col("src").alias("node"), "dst").distinct()))
     first = roots.join(names, [SNAP, "search"]).groupBy(*_KEY).agg(F.expr(_MERGED).alias("_bits"))
     front = checkpointed(first)
     state, levels, counts, depth = front.withColumnRenamed("_bits", "_seen"), [front.withColumn("hops", F.lit(0))], [], 0
@@ -133,7 +134,7 @@ def _search(edges: DataFrame, roots: DataFrame, max_depth: int | None, quota: in
         depth += 1
         step = front.join(e, [SNAP, "node"]).groupBy(SNAP, F.col("dst").alias("node"), "_word").agg(F.bit_or("_bits").alias("_new"))
         seen, new = F.coalesce("_seen", F.lit(0)), F.coalesce("_new", F.lit(0))
-        both = checkpointed(state.join(step, _KEY, "full").select(*_KEY, seen.bitwiseOR(new).alias("_seen"), new.bitwiseAND(F.bitwise_not(seen)).alias("_bits")))
+        both = checkpointed(apart(state).join(step, _KEY, "full").select(*_KEY, seen.bitwiseOR(new).alias("_seen"), new.bitwiseAND(F.bitwise_not(seen)).alias("_bits")))
         state, front = both.drop("_bits"), both.where("_bits <> 0").drop("_seen")
         levels.append(front.withColumn("hops", F.lit(depth)))
     return levels, counts, names

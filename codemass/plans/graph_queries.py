@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codemass.functions.spread import spread
+from codemass.functions.spread import apart, spread
 from codemass.operators import compare, journeys, metabolism, metrics, references, resolve, searches, surfaces, traverse
 from codemass.plans import explore, measure_queries
 from codemass.plans.proxies import frame
@@ -343,9 +343,10 @@ qualify row_number() over (partition by src, dst order by length(form) desc, for
 
 def use_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """How many evidence rows of each of the six kinds every file has; user-surface classes are the capabilities."""
-    c, symbols, links, edges = (frame(spark, sf, n) for n in ("components", "symbols", "links", "edges"))
+    c, symbols, links, edges = (frame(spark, sf, n, shuffled=True) for n in ("components", "symbols", "links", "edges"))
     texts = edges.groupBy("snapshot_id", "src").agg(F.concat(F.lit("run "), F.array_join(F.sort_array(F.collect_list("dst")), "; sh ./")).alias("text"))
     files = c.select("snapshot_id", "path", "category").join(texts.withColumnRenamed("src", "path"), ["snapshot_id", "path"], "left").fillna("", ["text"])
+    files = apart(files)
     found = symbols.where("kind = 'class' and category = 'user-surface'").select("snapshot_id", F.lit("user-surface").alias("kind"),
         F.col("id").alias("name"), "path", F.col("id").alias("symbol_id"))
     reached = surfaces.implementation(found, symbols, links, max_symbols=None)

@@ -9,6 +9,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codemass.functions.spread import apart
 from codemass.schema import CATEGORIES
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark",
@@ -100,11 +101,13 @@ def uses(name: str) -> tuple[str, ...]:
     return tuple(k for k in (*TABLES, *SQL) if "{" + k + "}" in SQL.get(name, ""))
 
 
-def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table or a proxy as a DataFrame."""
+def frame(spark: SparkSession, sf_dir: str, name: str, *, shuffled: bool = False) -> DataFrame:
+    """A given table or a proxy as a DataFrame; ``shuffled``: so that joins in it and of it broadcast none of its tables."""
     if name not in SQL:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(SQL[name], **{k: frame(spark, sf_dir, k) for k in uses(name)})
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    else:
+        df = spark.sql(SQL[name], **{k: frame(spark, sf_dir, k, shuffled=shuffled) for k in uses(name)})
+    return apart(df) if shuffled else df
 
 
 def expand(sql: str) -> str:

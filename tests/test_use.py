@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from test_core import git, write
 
-from codemass.operators import references, surfaces
-from codemass.plans import proxies
+from codemass.operators import references, surfaces, traverse
+from codemass.plans import graph_queries, proxies
 from codemass.plans import scan as plans
 from codemass.sources import trees
 
@@ -70,3 +70,20 @@ def test_suppliers_fold_to_five_targets(spark, tmp_path):
     lines = [(o, 1, o % 3, o * 7 + 1) for o in range(40)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long").write.parquet(f"{folder}/lineitem.parquet")
     assert {tuple(r) for r in proxies.frame(spark, folder, "pairs").collect()} == {(p, (p * 7 + s % 5) % 50) for _, _, p, s in lines}
+
+
+def test_evidence_broadcasts_no_relation_of_a_table(spark, tmp_path, monkeypatch):
+    """Relations as long as a table are joined by shuffles, however small its file seems; only names of searches may be broadcast."""
+    parts = [(k, f"red bolt {k}", f"Brand#{k % 3}", "STEEL", k + 1) for k in range(40)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(o, n, (o * 3 + n) % 40, (o + n) % 5, "ARN"[(o + n) % 3], "O") for o in range(1, 40) for n in (1, 2, 3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    plans_of, keep = [], references.checkpointed
+    seen = lambda df: plans_of.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df)
+    monkeypatch.setattr(references, "checkpointed", seen)
+    monkeypatch.setattr(traverse, "checkpointed", seen)
+    rows = graph_queries.use_evidence(spark, str(tmp_path))
+    assert plans_of and not any("BroadcastExchange" in p for p in plans_of)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") <= 1
+    assert rows.where("kind = 'static_path_references'").count() > 0
