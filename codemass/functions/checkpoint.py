@@ -24,3 +24,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def released(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage: shuffle files of what was cut from its lineage are deleted only then."""
+    spark.sparkContext._jvm.System.gc()

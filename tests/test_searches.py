@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 from collections import deque
 
+import numpy as np
 from pyspark.sql import functions as F
 from test_core import git, write
 
-from codemass.operators import references, searches, traverse
+from codemass.operators import nearby, references, searches, traverse
 from codemass.plans import scan as plans
 from codemass.sources import trees
 
@@ -127,6 +128,50 @@ def test_a_level_holds_no_more_than_the_bound(spark, monkeypatch):
     assert sizes and max(sizes) <= 21
 
 
+def test_a_level_keeps_a_row_for_each_anchor(spark, monkeypatch):
+    """Anchors that lie together share the lists of their nodes, and a level writes as many rows as there are anchors."""
+    draw = random.Random(7)
+    edges = [("s", f"h{draw.randrange(9)}", f"p{draw.randrange(60)}") for _ in range(200)]
+    edges += [(s, b, a) for s, a, b in edges] + [("s", "h1", "h1")]
+    starts = [("s", f"h{i}", f"h{i}") for i in range(10)]
+    levels, keep = [], traverse.checkpointed
+
+    def watched(df):
+        out = keep(df)
+        if "full" in out.columns:
+            levels.append((out.count(), out.select("block").distinct().count()))
+        return out
+
+    monkeypatch.setattr(traverse, "checkpointed", watched)
+    monkeypatch.setattr(traverse, "_ANCHORS", 4)
+    e, anchors = spark.createDataFrame(edges, EDGES), spark.createDataFrame([(s, n) for s, _, n in starts], "snapshot_id string, node string")
+    for bound in (1, 30, 500):
+        levels.clear()
+        got = {tuple(r) for r in traverse.neighbourhood(e, anchors, max_depth=3, max_symbols=bound).collect()}
+        want = set()
+        for (snap, name), met in brute(edges, starts, 3, bound).items():
+            want |= {(snap, name, n, h, len(met) > bound) for h, n in sorted((h, n) for n, h in met.items())[:bound]}
+        assert got == want and levels and all(n <= 10 and blocks > 1 for n, blocks in levels[:2])
+
+
+def test_lists_are_told_apart_a_part_at_a_time(monkeypatch):
+    """However few pairs are held at once and however lists arrive, an anchor has its least new neighbours."""
+    draw = random.Random(13)
+    lists = {n: sorted(draw.sample(range(300), draw.randrange(40))) for n in range(100)}
+    met = [np.array([draw.randrange(100)] + draw.sample(range(100, 300), 5) + draw.sample(range(100), draw.randrange(9)), np.int64) for _ in range(12)]
+    ends = [[6, len(m)] if len(m) > 6 else [1, 6, 6] for m in met]
+    want = [sorted({v for n in m[(e[-2]) :] for v in lists.get(int(n), ())} - set(m.tolist())) for m, e in zip(met, ends, strict=True)]
+    for pairs in (1, 50, 10**6):
+        monkeypatch.setattr(nearby, "_PAIRS", pairs)
+        block = nearby._Block(list(range(12)), met, ends, 24)
+        nodes = sorted(lists)
+        for some in (nodes[::2], nodes[1::2]):
+            offsets = np.concatenate([[0], np.cumsum([len(lists[n]) for n in some])])
+            block.add(np.array(some), offsets, np.array([v for n in some for v in lists[n]], np.int64))
+        for (_, now, upto, full), m, e, new in zip(block.levels(), met, ends, want, strict=True):
+            assert now.tolist() == [*m.tolist(), *new[: 25 - len(m)]] and upto == [*e, len(now)] and full == (len(now) > 24)
+
+
 def test_unbounded_neighbourhoods_ship_runs_and_open_no_words(spark, monkeypatch):
     """A hub's neighbours come in runs, tasks follow the level's size, and no row is opened into 64."""
     monkeypatch.setattr(traverse, "_RUN", 3)
